@@ -54,3 +54,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """df less the columns that an operator is about to add: its own replace them."""
+    return df.drop(*names)

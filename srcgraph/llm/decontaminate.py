@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructType
 
+from ._store import without
 from ._tok import ALNUM_RUNS, FOLD, Hasher, chunks, window_starts
 
 NGRAM = 10
@@ -81,6 +82,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
     empty text has no words and no hits, and an empty benchmark hits nothing.
     A nominated window counts only if its words are the item's. No shuffle.
     """
+    docs = without(docs, "hit_words", "hit_ranges", "hit_items")
     names = docs.columns
     where = names.index(text_col)
     schema = StructType(list(docs.schema.fields)).add("hit_words", LongType()).add("hit_ranges", ArrayType(IntegerType())).add("hit_items", ArrayType(StringType()))
@@ -138,9 +140,12 @@ def n_hit(ranges):
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", text_col: str = "text", **options) -> DataFrame:
     """The input's columns; documents with hits are dropped, or in mode "spans" lose the hit words and what lies between them."""
-    found = scan(docs, benchmark, text_col, **options)
+    # Own names, so that columns of docs named like findings stay.
+    hidden = {c: f"__sg_{c}" for c in ("hit_words", "hit_ranges", "hit_items")}
+    back = {v: k for k, v in hidden.items()}
+    found = scan(docs.withColumnsRenamed(hidden), benchmark, text_col, **options)
     if mode == "documents":
-        return found.where(F.size("hit_ranges") == 0).select(*docs.columns)
+        return found.where(F.size("hit_ranges") == 0).drop(*hidden).withColumnsRenamed(back).select(*docs.columns)
     if mode != "spans":
         raise ValueError("mode is documents or spans")
     names = found.columns

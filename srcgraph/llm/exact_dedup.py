@@ -40,25 +40,25 @@ class DigestIndex:
         return (F.min if self.smallest else F.max)(column)
 
     def _flush(self, rows: DataFrame, name: str) -> DataFrame:
-        return self.scratch.write(rows, name, **{"parquet.bloom.filter.enabled#_digest": "true", "parquet.bloom.filter.adaptive.enabled": "true"})
+        return self.scratch.write(rows, name, **{"parquet.bloom.filter.enabled#__sg_digest": "true", "parquet.bloom.filter.adaptive.enabled": "true"})
 
     def append(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         """Logs a batch and flushes its memtables; returns the log (id, _digest)."""
-        log = self.scratch.write(docs.select(F.col(id_col).alias("_id"), self.digest(normalised(F.col(text_col))).alias("_digest")), "log")
+        log = self.scratch.write(docs.select(F.col(id_col).alias("__sg_id"), self.digest(normalised(F.col(text_col))).alias("__sg_digest")), "log")
         memtables = (
-            log.groupBy(F.pmod(F.xxhash64("_id"), F.lit(self.runs)).alias("_run"), "_digest")
-            .agg(self._pick("_id").alias("_keep"), F.count("*").alias("_n"))
-            .sortWithinPartitions("_run", "_digest")
+            log.groupBy(F.pmod(F.xxhash64("__sg_id"), F.lit(self.runs)).alias("__sg_run"), "__sg_digest")
+            .agg(self._pick("__sg_id").alias("__sg_keep"), F.count("*").alias("__sg_n"))
+            .sortWithinPartitions("__sg_run", "__sg_digest")
         )
         self.levels.append(self._flush(memtables, "runs"))
         return log
 
     def compact(self) -> DataFrame:
         """One run of all levels; copies within and between runs fold into one row."""
-        rows = self.levels[0].select("_digest", "_keep", "_n")
+        rows = self.levels[0].select("__sg_digest", "__sg_keep", "__sg_n")
         for level in self.levels[1:]:
-            rows = rows.unionByName(level.select("_digest", "_keep", "_n"))
-        merged = rows.groupBy("_digest").agg(self._pick("_keep").alias("_keep"), F.sum("_n").alias("_n")).sortWithinPartitions("_digest")
+            rows = rows.unionByName(level.select("__sg_digest", "__sg_keep", "__sg_n"))
+        merged = rows.groupBy("__sg_digest").agg(self._pick("__sg_keep").alias("__sg_keep"), F.sum("__sg_n").alias("__sg_n")).sortWithinPartitions("__sg_digest")
         old, self.levels = self.levels, [self._flush(merged, "compacted")]
         for level in old:
             self.scratch.drop(level)
@@ -80,37 +80,37 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     index = DigestIndex(scratch, smallest, runs, digest)
     log = index.append(docs, id_col, text_col)
     assigned = scratch.write(
-        log.join(index.compact(), "_digest").select(F.col("_id"), "_digest", "_keep", "_n"), "assigned"
+        log.join(index.compact(), "__sg_digest").select(F.col("__sg_id"), "__sg_digest", "__sg_keep", "__sg_n"), "assigned"
     )
     # Byte verification of hits: a group is right when its least and greatest text are the same bytes.
-    hits = assigned.where((F.col("_n") > 1) & F.col("_id").isNotNull()).select("_id", "_digest").distinct()
+    hits = assigned.where((F.col("__sg_n") > 1) & F.col("__sg_id").isNotNull()).select("__sg_id", "__sg_digest").distinct()
     hits = scratch.write(hits, "hits")
     n_hits = hits.count()
     if n_hits == 0:
         return _decided(assigned, id_col)
     side = F.broadcast(hits) if n_hits <= BROADCAST_ROWS else hits
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(side, "_id")
-    texts = texts.withColumn("_text", normalised(F.col("_text"))).where(digest(F.col("_text")) == F.col("_digest"))
+    texts = docs.select(F.col(id_col).alias("__sg_id"), F.col(text_col).alias("__sg_text")).join(side, "__sg_id")
+    texts = texts.withColumn("__sg_text", normalised(F.col("__sg_text"))).where(digest(F.col("__sg_text")) == F.col("__sg_digest"))
     wrong = scratch.write(
-        texts.groupBy("_digest").agg(F.min("_text").alias("_lo"), F.max("_text").alias("_hi")).where("_lo <> _hi").select("_digest"), "wrong"
+        texts.groupBy("__sg_digest").agg(F.min("__sg_text").alias("__sg_lo"), F.max("__sg_text").alias("__sg_hi")).where("__sg_lo <> __sg_hi").select("__sg_digest"), "wrong"
     )
     if wrong.isEmpty():
         return _decided(assigned, id_col)
     # Different texts under one digest: their groups are formed anew on the texts themselves.
     pick = F.min if smallest else F.max
-    clashing = texts.join(wrong, "_digest", "left_semi")
-    regrouped = clashing.groupBy("_digest", "_text").agg(pick("_id").alias("_keep"), F.count("*").alias("_n"))
-    fixed = clashing.join(regrouped, ["_digest", "_text"]).select("_id", "_digest", "_keep", "_n")
-    return _decided(assigned.join(wrong, "_digest", "left_anti").select(*fixed.columns).unionByName(fixed), id_col)
+    clashing = texts.join(wrong, "__sg_digest", "left_semi")
+    regrouped = clashing.groupBy("__sg_digest", "__sg_text").agg(pick("__sg_id").alias("__sg_keep"), F.count("*").alias("__sg_n"))
+    fixed = clashing.join(regrouped, ["__sg_digest", "__sg_text"]).select("__sg_id", "__sg_digest", "__sg_keep", "__sg_n")
+    return _decided(assigned.join(wrong, "__sg_digest", "left_anti").select(*fixed.columns).unionByName(fixed), id_col)
 
 
 def _decided(assigned: DataFrame, id_col: str) -> DataFrame:
     return assigned.select(
-        F.col("_id").alias(id_col),
-        F.col("_keep").alias("keep_id"),
-        F.col("_n").cast("long").alias("group_size"),
-        F.col("_id").eqNullSafe(F.col("_keep")).alias("kept"),
-        F.lower(F.hex("_digest")).alias("digest"),
+        F.col("__sg_id").alias(id_col),
+        F.col("__sg_keep").alias("keep_id"),
+        F.col("__sg_n").cast("long").alias("group_size"),
+        F.col("__sg_id").eqNullSafe(F.col("__sg_keep")).alias("kept"),
+        F.lower(F.hex("__sg_digest")).alias("digest"),
     )
 
 
@@ -121,12 +121,12 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     kept = exact_groups(docs, id_col, text_col, smallest).where("kept")
     scratch = Scratch(docs.sparkSession, "exact-kept")
-    kept = scratch.write(kept.select(F.col(id_col).alias("_kid"), F.unhex("digest").alias("_kdigest")), "kept")
-    repeated = kept.groupBy("_kid").count().where("count > 1").limit(1)
-    out = docs.join(kept.select("_kid").distinct(), F.col(id_col).eqNullSafe(F.col("_kid")), "left_semi")
+    kept = scratch.write(kept.select(F.col(id_col).alias("__sg_kid"), F.unhex("digest").alias("__sg_kdigest")), "kept")
+    repeated = kept.groupBy("__sg_kid").count().where("count > 1").limit(1)
+    out = docs.join(kept.select("__sg_kid").distinct(), F.col(id_col).eqNullSafe(F.col("__sg_kid")), "left_semi")
     if repeated.isEmpty():
         return out
-    keyed = out.withColumn("_kdigest", sha256(normalised(F.col(text_col))))
-    decided = kept.select(F.col("_kid"), F.col("_kdigest").alias("_d")).distinct()
-    keyed = keyed.join(decided, F.col(id_col).eqNullSafe(F.col("_kid")) & (F.col("_kdigest") == F.col("_d")), "left_semi")
-    return keyed.withColumn("_same", F.coalesce(F.col(id_col).cast("string"), F.lit(""))).dropDuplicates(["_same", "_kdigest"]).drop("_same", "_kdigest")
+    keyed = out.withColumn("__sg_kdigest", sha256(normalised(F.col(text_col))))
+    decided = kept.select(F.col("__sg_kid"), F.col("__sg_kdigest").alias("__sg_d")).distinct()
+    keyed = keyed.join(decided, F.col(id_col).eqNullSafe(F.col("__sg_kid")) & (F.col("__sg_kdigest") == F.col("__sg_d")), "left_semi")
+    return keyed.withColumn("__sg_same", F.coalesce(F.col(id_col).cast("string"), F.lit(""))).dropDuplicates(["__sg_same", "__sg_kdigest"]).drop("__sg_same", "__sg_kdigest")

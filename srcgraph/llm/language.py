@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
+from ._store import without
 from ._tok import FOLD, row_groups, string_bytes
 
 ORDER = 3
@@ -165,6 +166,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     that is null, empty or has no letters is "und" with score 0, as is every
     text when the model has no language. Ties go to the first name in order.
     """
+    docs = without(docs, "lang_pred", "score")
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     names = docs.columns
@@ -195,6 +197,8 @@ def keep_identified(docs: DataFrame, least_score: float = 0.5, **columns: str) -
     model = fit(docs, **columns)
     if not model.langs:
         return docs
-    names = docs.columns
-    scored = predict(docs.select(*[F.col(c) for c in names]), model, columns.get("text_col", "text"))
-    return scored.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)).select(*names)
+    # Own names, so that columns of docs named like predictions stay.
+    hidden = {c: f"__sg_{c}" for c in ("lang_pred", "score")}
+    scored = predict(docs.withColumnsRenamed(hidden), model, columns.get("text_col", "text"))
+    kept = scored.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)).drop("lang_pred", "score")
+    return kept.withColumnsRenamed({v: k for k, v in hidden.items()}).select(*docs.columns)

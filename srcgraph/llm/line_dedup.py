@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import Scratch
+from ._store import Scratch, without
 
 WINDOW = 3
 
@@ -19,19 +19,19 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     scratch = Scratch(docs.sparkSession, "lines")
     base = docs.where(F.col(id_col).isNotNull() & F.col(text_col).contains("\n")).select(
-        F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_print"), F.split(F.col(text_col), "\n").alias("_lines")
+        F.col(id_col).alias("__sg_id"), F.xxhash64(F.col(text_col)).alias("__sg_print"), F.split(F.col(text_col), "\n").alias("__sg_lines")
     )
-    starts = F.when(F.size("_lines") >= window, F.sequence(F.lit(0), F.size("_lines") - window)).otherwise(F.array().cast("array<int>"))
-    rows = base.select("_id", "_print", "_lines", F.explode(starts).alias("_at"))
-    content = F.concat_ws("\n", F.slice("_lines", F.col("_at") + 1, window))
-    rows = rows.select("_id", "_print", "_at", content.alias("_window")).where(F.length(F.regexp_replace("_window", "\\s", "")) > 0)
-    windows = scratch.write(rows.select(F.unhex(F.md5(F.col("_window"))).alias("_key"), "_id", "_print", "_at"), "windows")
+    starts = F.when(F.size("__sg_lines") >= window, F.sequence(F.lit(0), F.size("__sg_lines") - window)).otherwise(F.array().cast("array<int>"))
+    rows = base.select("__sg_id", "__sg_print", "__sg_lines", F.explode(starts).alias("__sg_at"))
+    content = F.concat_ws("\n", F.slice("__sg_lines", F.col("__sg_at") + 1, window))
+    rows = rows.select("__sg_id", "__sg_print", "__sg_at", content.alias("__sg_window")).where(F.length(F.regexp_replace("__sg_window", "\\s", "")) > 0)
+    windows = scratch.write(rows.select(F.unhex(F.md5(F.col("__sg_window"))).alias("__sg_key"), "__sg_id", "__sg_print", "__sg_at"), "windows")
     # One row per repeated window, from partial minima: frequent windows shrink before the shuffle.
-    first = windows.groupBy("_key").agg(F.min(F.struct("_id", "_at", "_print")).alias("_first"), F.count("*").alias("_n")).where("_n > 1")
-    later = windows.join(first, "_key").where(F.struct("_id", "_at", "_print") > F.col("_first"))
-    covered = later.groupBy("_id", "_print").agg(F.collect_set("_at").alias("_starts"))
+    first = windows.groupBy("__sg_key").agg(F.min(F.struct("__sg_id", "__sg_at", "__sg_print")).alias("__sg_first"), F.count("*").alias("__sg_n")).where("__sg_n > 1")
+    later = windows.join(first, "__sg_key").where(F.struct("__sg_id", "__sg_at", "__sg_print") > F.col("__sg_first"))
+    covered = later.groupBy("__sg_id", "__sg_print").agg(F.collect_set("__sg_at").alias("__sg_starts"))
     steps = F.array(*[F.lit(i) for i in range(window)])
-    return covered.select("_id", "_print", F.array_sort(F.array_distinct(F.flatten(F.transform("_starts", lambda s: F.transform(steps, lambda i: s + i))))).alias("removed"))
+    return covered.select("__sg_id", "__sg_print", F.array_sort(F.array_distinct(F.flatten(F.transform("__sg_starts", lambda s: F.transform(steps, lambda i: s + i))))).alias("removed"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -41,18 +41,19 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     window, or empty, is kept whole, as are rows with a null identifier. Rows
     that repeat under one identifier with one text are one document.
     """
+    docs = without(docs, "n_lines", "n_removed", "kept_text")
     names = docs.columns
     removed = repeated_lines(docs, id_col, text_col, window)
-    rows = docs.withColumn("_print", F.xxhash64(F.col(text_col)))
-    removed = removed.withColumnRenamed("_id", "_rid").withColumnRenamed("_print", "_rprint")
-    out = rows.join(removed, (F.col(id_col) == F.col("_rid")) & (F.col("_print") == F.col("_rprint")), "left")
-    gone = F.coalesce(F.col("removed"), F.array().cast("array<int>"))
+    rows = docs.withColumn("__sg_print", F.xxhash64(F.col(text_col)))
+    removed = removed.select(F.col("__sg_id").alias("__sg_rid"), F.col("__sg_print").alias("__sg_rprint"), F.col("removed").alias("__sg_removed"))
+    out = rows.join(removed, (F.col(id_col) == F.col("__sg_rid")) & (F.col("__sg_print") == F.col("__sg_rprint")), "left")
+    gone = F.coalesce(F.col("__sg_removed"), F.array().cast("array<int>"))
     lines = F.split(F.col(text_col), "\n")
-    kept = F.filter(lines, lambda line, i: ~F.array_contains(F.col("_gone"), i))
-    out = out.withColumn("_gone", gone)
+    kept = F.filter(lines, lambda line, i: ~F.array_contains(F.col("__sg_gone"), i))
+    out = out.withColumn("__sg_gone", gone)
     return out.select(
         *[F.col(c) for c in names],
         F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-        F.size("_gone").cast("long").alias("n_removed"),
-        F.when(F.size("_gone") == 0, F.col(text_col)).otherwise(F.array_join(kept, "\n")).alias("kept_text"),
+        F.size("__sg_gone").cast("long").alias("n_removed"),
+        F.when(F.size("__sg_gone") == 0, F.col(text_col)).otherwise(F.array_join(kept, "\n")).alias("kept_text"),
     )

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._store import Scratch
+from ._store import Scratch, without
 
 #: Share of all sources that the weights do not name.
 OTHERS = "*"
@@ -68,45 +68,46 @@ def mix(docs: DataFrame, weights: dict[str, float], id_col: str = "doc_id", sour
     buckets of about `bucket_rows` identifiers and identifiers within them, so
     that no task holds a whole source; up to that many, a source is in order of identifiers.
     """
+    docs = without(docs, "mix_source", "mix_block", "mix_slot", "mix_release", "mix_deadline", "mix_offset", "mix_on_target")
     spark = docs.sparkSession
     share = shares(weights, period)
     plan = schedule(share)
     # The template: at most `period` rows.
     slots = spark.sql(
         "SELECT * FROM VALUES " + ", ".join(f"({_quoted(s)}, {i}L, {slot}L, {release}L, {deadline}L)" for s, i, slot, release, deadline in plan)
-        + " AS t(mix_source, _i, _slot, _release, _deadline)"
+        + " AS t(mix_source, __sg_i, __sg_slot, __sg_release, __sg_deadline)"
     )
     named = F.col(source_col).isin(*[s for s in share if s != OTHERS])
     source = F.when(named, F.col(source_col)).otherwise(F.lit(OTHERS) if OTHERS in share else F.raise_error(F.concat(F.lit("no weight for source "), F.coalesce(F.col(source_col).cast("string"), F.lit("null")))))
-    rows = docs.withColumn("mix_source", source).withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))))
+    rows = docs.withColumn("mix_source", source).withColumn("__sg_id", F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))))
     # Ranks are found on identifiers alone; whole rows move once, dealt by identifier.
     scratch = Scratch(spark, "mix")
-    ids = scratch.write(rows.select("mix_source", "_id").distinct(), "ids")
-    spread = scratch.write(ids.groupBy("mix_source").agg(F.count("*").alias("_source_n")), "spread")  # as many rows as weights at most
-    celled = ids.join(F.broadcast(spread), "mix_source").withColumn("_bucket", F.pmod(F.xxhash64("_id"), F.ceil(F.col("_source_n") / F.lit(bucket_rows))))
-    cells = celled.groupBy("mix_source", "_bucket").agg(F.count("*").alias("_in"))
-    before = F.sum("_in").over(Window.partitionBy("mix_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
-    cells = cells.select("mix_source", "_bucket", F.coalesce(before, F.lit(0).cast("long")).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("mix_source", "_bucket").orderBy("_id")) - 1
-    ranked = celled.withColumn("_within", within.cast("long")).join(cells, ["mix_source", "_bucket"])
-    ranked = ranked.select("mix_source", "_id", (F.col("_before") + F.col("_within")).alias("_rank"))
+    ids = scratch.write(rows.select("mix_source", "__sg_id").distinct(), "ids")
+    spread = scratch.write(ids.groupBy("mix_source").agg(F.count("*").alias("__sg_source_n")), "spread")  # as many rows as weights at most
+    celled = ids.join(F.broadcast(spread), "mix_source").withColumn("__sg_bucket", F.pmod(F.xxhash64("__sg_id"), F.ceil(F.col("__sg_source_n") / F.lit(bucket_rows))))
+    cells = celled.groupBy("mix_source", "__sg_bucket").agg(F.count("*").alias("__sg_in"))
+    before = F.sum("__sg_in").over(Window.partitionBy("mix_source").orderBy("__sg_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    cells = cells.select("mix_source", "__sg_bucket", F.coalesce(before, F.lit(0).cast("long")).alias("__sg_before"))
+    within = F.row_number().over(Window.partitionBy("mix_source", "__sg_bucket").orderBy("__sg_id")) - 1
+    ranked = celled.withColumn("__sg_within", within.cast("long")).join(cells, ["mix_source", "__sg_bucket"])
+    ranked = ranked.select("mix_source", "__sg_id", (F.col("__sg_before") + F.col("__sg_within")).alias("__sg_rank"))
     of = F.create_map(*[x for s, n in share.items() for x in (F.lit(s), F.lit(n).cast("long"))])
-    ranked = ranked.withColumn("mix_block", F.floor(F.col("_rank") / F.lit(block)) + 1).withColumn("_share", of[F.col("mix_source")])
-    ranked = ranked.withColumn("_i", F.pmod(F.col("mix_block") - 1, F.col("_share")) + 1).withColumn("_round", F.floor((F.col("mix_block") - 1) / F.col("_share")) * F.lit(period))
+    ranked = ranked.withColumn("mix_block", F.floor(F.col("__sg_rank") / F.lit(block)) + 1).withColumn("__sg_share", of[F.col("mix_source")])
+    ranked = ranked.withColumn("__sg_i", F.pmod(F.col("mix_block") - 1, F.col("__sg_share")) + 1).withColumn("__sg_round", F.floor((F.col("mix_block") - 1) / F.col("__sg_share")) * F.lit(period))
     # Slots before the first full block that some source lacks.
-    lacking = spread.withColumn("_b", F.floor(F.col("_source_n") / F.lit(block)) + 1).withColumn("_share", of[F.col("mix_source")])
-    lacking = lacking.withColumn("_i", F.pmod(F.col("_b") - 1, F.col("_share")) + 1).join(F.broadcast(slots), ["mix_source", "_i"])
-    ends = lacking.select((F.floor((F.col("_b") - 1) / F.col("_share")) * F.lit(period) + F.col("_slot")).alias("_end"))
+    lacking = spread.withColumn("__sg_b", F.floor(F.col("__sg_source_n") / F.lit(block)) + 1).withColumn("__sg_share", of[F.col("mix_source")])
+    lacking = lacking.withColumn("__sg_i", F.pmod(F.col("__sg_b") - 1, F.col("__sg_share")) + 1).join(F.broadcast(slots), ["mix_source", "__sg_i"])
+    ends = lacking.select((F.floor((F.col("__sg_b") - 1) / F.col("__sg_share")) * F.lit(period) + F.col("__sg_slot")).alias("__sg_end"))
     seen = {r[0] for r in spread.select("mix_source").collect()}  # no more than the weights
     first_absent = min((slot for s, i, slot, _, _ in plan if i == 1 and s not in seen), default=None)
-    horizon = ends.agg(F.min("_end")).first()[0]
+    horizon = ends.agg(F.min("__sg_end")).first()[0]
     horizon = min(x for x in (horizon, first_absent, 1 << 62) if x is not None)
-    placed = ranked.join(F.broadcast(slots), ["mix_source", "_i"]).withColumn("mix_slot", F.col("_round") + F.col("_slot"))
-    out = rows.join(placed, ["mix_source", "_id"])
+    placed = ranked.join(F.broadcast(slots), ["mix_source", "__sg_i"]).withColumn("mix_slot", F.col("__sg_round") + F.col("__sg_slot"))
+    out = rows.join(placed, ["mix_source", "__sg_id"])
     return out.select(
         *[F.col(c) for c in docs.columns], "mix_source", "mix_block", "mix_slot",
-        (F.col("_round") + F.col("_release")).alias("mix_release"), (F.col("_round") + F.col("_deadline")).alias("mix_deadline"),
-        F.pmod(F.col("_rank"), F.lit(block)).alias("mix_offset"), (F.col("mix_slot") < F.lit(horizon)).alias("mix_on_target"),
+        (F.col("__sg_round") + F.col("__sg_release")).alias("mix_release"), (F.col("__sg_round") + F.col("__sg_deadline")).alias("mix_deadline"),
+        F.pmod(F.col("__sg_rank"), F.lit(block)).alias("mix_offset"), (F.col("mix_slot") < F.lit(horizon)).alias("mix_on_target"),
     )
 
 

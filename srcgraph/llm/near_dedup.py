@@ -220,7 +220,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input's rows and columns, one document of each group: that with the least identifier."""
-    dropped = near_groups(docs, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct()
+    dropped = near_groups(docs, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("__sg_gone")).distinct()
     dropped = Scratch(docs.sparkSession, "near-gone").write(dropped, "gone")
     side = F.broadcast(dropped) if dropped.count() <= BROADCAST_ROWS else dropped
-    return docs.join(side, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    return docs.join(side, F.col(id_col).cast("long") == F.col("__sg_gone"), "left_anti")

@@ -14,6 +14,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._store import without
+
 # The patterns of the base scan, and the least length of the part that counts. A greedy run that is
 # too short ends where its characters end, so for the plain runs the least length can stand in the pattern.
 ASSIGN = (
@@ -119,20 +121,22 @@ def scan(docs: DataFrame, model: list[float], text_col: str = "text", threshold:
     base span has the same bounds. Order is by start, then kind as listed. A
     null or empty text has none.
     """
+    docs = without(docs, "secrets")
     text = F.coalesce(F.col(text_col), F.lit(""))
     kinds = [_named(_base(text, *base), order, base[0]) for order, base in enumerate(BASE)]
     runs = F.when(text.rlike(CANDIDATE), F.filter(located(text, CANDIDATE, lambda f: F.lit(True)), lambda s: ratio(model, s["found"]) >= threshold))
     none = F.array().cast("array<struct<start:int,rank:int,stop:int,kind:string>>")
     base = F.flatten(F.array(*[F.coalesce(k, none) for k in kinds]))
     extra = F.coalesce(_named(runs, len(BASE), "markov"), none)
-    out = docs.withColumn("_base", base).withColumn("_extra", extra)
-    added = F.filter("_extra", lambda e: ~F.exists("_base", lambda b: (b["start"] == e["start"]) & (b["stop"] == e["stop"])))
-    out = out.withColumn("_all", F.array_sort(F.concat("_base", added)))
-    return out.select(*[F.col(c) for c in docs.columns], F.transform("_all", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))).alias("secrets"))
+    out = docs.withColumn("__sg_base", base).withColumn("__sg_extra", extra)
+    added = F.filter("__sg_extra", lambda e: ~F.exists("__sg_base", lambda b: (b["start"] == e["start"]) & (b["stop"] == e["stop"])))
+    out = out.withColumn("__sg_all", F.array_sort(F.concat("__sg_base", added)))
+    return out.select(*[F.col(c) for c in docs.columns], F.transform("__sg_all", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))).alias("secrets"))
 
 
 def redact(docs: DataFrame, model: list[float], text_col: str = "text", mark: str = "[secret]") -> DataFrame:
     """The input's rows and columns with `clean_text`: every span's characters replaced by one mark per merged span."""
+    docs = without(docs, "secrets", "clean_text")
     found = scan(docs, model, text_col)
     text = F.coalesce(F.col(text_col), F.lit(""))
     step = lambda acc, s: F.struct(

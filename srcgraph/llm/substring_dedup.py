@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
-from ._store import Scratch, partitions
+from ._store import Scratch, partitions, without
 from ._tok import BLANK_SEPARATED, Hasher, chunks, sliding_min, window_starts
 
 WINDOW, GRAM = 13, 5
@@ -85,12 +85,12 @@ class RunIndex:
 
     def repeated(self) -> DataFrame:
         """The bucketed table of fingerprints of at least two documents."""
-        table = f"{self.name}_repeated"
+        table = f"{self.name}__sg_repeated"
         self.compacted().where("docs > 1").write.format("parquet").bucketBy(self.buckets, "print").sortBy("print").saveAsTable(table)
         return self.spark.table(table)
 
     def close(self) -> None:
-        for table in [*self.runs, f"{self.name}_repeated"]:
+        for table in [*self.runs, f"{self.name}__sg_repeated"]:
             self.spark.sql(f"DROP TABLE IF EXISTS {table}")
 
 
@@ -215,9 +215,10 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     words and an empty kept_text; rows with a null identifier are kept whole.
     Rows that repeat under one identifier are one document, which never repeats itself.
     """
+    docs = without(docs, "n_words", "n_removed", "kept_text")
     names = docs.columns
-    ranges = repeated_ranges(docs, id_col, text_col, batches).withColumnsRenamed({"id": "_id", "mark": "_mark", "ranges": "_ranges"})
-    joined = docs.join(ranges, (F.col(id_col).cast("long") == F.col("_id")) & (F.xxhash64(text_col) == F.col("_mark")), "left").select(*[docs[c] for c in names], "_ranges")
+    ranges = repeated_ranges(docs, id_col, text_col, batches).withColumnsRenamed({"id": "__sg_id", "mark": "__sg_mark", "ranges": "__sg_ranges"})
+    joined = docs.join(ranges, (F.col(id_col).cast("long") == F.col("__sg_id")) & (F.xxhash64(text_col) == F.col("__sg_mark")), "left").select(*[docs[c] for c in names], "__sg_ranges")
     where = names.index(text_col)
     schema = StructType(list(docs.schema.fields)).add("n_words", LongType()).add("n_removed", LongType()).add("kept_text", StringType())
 

@@ -127,6 +127,6 @@ def _joined(rows: DataFrame, rules: list[Rule], url_col: str, default: str) -> D
     suffixes = pairs.select("host", "path", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).alias("r_host"))
     fits = suffixes.join(table, "r_host").where(F.expr("startswith(path, r_path)"))
     order = F.struct(F.size(F.split("r_host", "\\.")), F.length("r_path"), F.col("r_verdict"))
-    best = fits.groupBy("host", "path").agg(F.max_by(F.struct(F.concat("r_host", "r_path").alias("rule"), "r_verdict"), order).alias("_best"))
+    best = fits.groupBy("host", "path").agg(F.max_by(F.struct(F.concat("r_host", "r_path").alias("rule"), "r_verdict"), order).alias("__sg_best"))
     out = keyed.join(best, ["host", "path"], "left")
-    return out.select(*rows.columns, "host", "path", F.col("_best.rule").alias("rule"), F.coalesce(F.col("_best.r_verdict"), F.lit(default)).alias("verdict"))
+    return out.select(*rows.columns, "host", "path", F.col("__sg_best.rule").alias("rule"), F.coalesce(F.col("__sg_best.r_verdict"), F.lit(default)).alias("verdict"))
