@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text hashed at once; bounds the temporary arrays of a Python worker.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 _U = np.uint64
 _GOLDEN = 0x9E3779B97F4A7C15
@@ -70,7 +70,7 @@ class Hasher:
         """base^i and base^-i for i up to n."""
         have = self._powers.get(base)
         if have is None or len(have[0]) <= n:
-            size = max(1 << 16, 1 << int(n + 1).bit_length())
+            size = max(1 << 12, 1 << int(n + 1).bit_length())
             with np.errstate(over="ignore"):
                 up, down = (np.full(size, _U(b), dtype=np.uint64) for b in (base, pow(base, -1, 1 << 64)))
                 up[0] = down[0] = 1
