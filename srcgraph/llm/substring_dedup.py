@@ -24,8 +24,8 @@ from ._store import Scratch, partitions, without
 from ._tok import BLANK_SEPARATED, Hasher, chunks, sliding_min, window_starts
 
 WINDOW, GRAM = 13, 5
-#: A fingerprint in at least so many documents is frequent.
-FREQUENT = 2_000
+#: A fingerprint in at least so many documents is frequent. Below, one fingerprint's windows are held in a task at once, some 5 MB.
+FREQUENT = 50_000
 BATCHES = 2
 _GRAMS, _WINDOWS = Hasher(57), Hasher(91)
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
