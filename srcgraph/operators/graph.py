@@ -204,7 +204,7 @@ def graph_cycles(s: Snapshot, limit: int = 20) -> DataFrame:
                     work.append((step, iter(after.get(step, ()))))
         return pd.DataFrame(out, columns=["id", "symbols", "files", "length"])
 
-    return rows.groupBy(F.lit(0)).applyInPandas(search, "id string, symbols array<string>, files array<string>, length int")
+    return rows.withColumn("all", F.lit(True)).groupBy("all").applyInPandas(search, "id string, symbols array<string>, files array<string>, length int")
 
 
 def strongly_connected(edges: DataFrame) -> DataFrame:
