@@ -151,9 +151,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 def _letters(texts: pa.Array) -> np.ndarray:
     """True for texts with a letter; only those without a-z are looked at one by one."""
     data, offsets = string_bytes(texts)
-    folded = FOLD[data]
-    ascii_letter = np.concatenate(([0], np.cumsum((folded >= 0x61) & (folded <= 0x7A))))
-    out = ascii_letter[offsets[1:]] > ascii_letter[offsets[:-1]]
+    out = np.zeros(len(texts), dtype=bool)
+    for lo, hi in row_groups(offsets):
+        folded = FOLD[data[offsets[lo] : offsets[hi]]]
+        letters = np.flatnonzero((folded >= 0x61) & (folded <= 0x7A))
+        at = np.searchsorted(letters, offsets[lo : hi + 1] - offsets[lo])
+        out[lo:hi] = at[1:] > at[:-1]
     for i in np.flatnonzero(~out & (np.diff(offsets) > 0)):
         out[i] = any(ch.isalpha() for ch in data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace"))
     return out
