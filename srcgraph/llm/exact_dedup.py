@@ -119,14 +119,17 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Rows repeated under one identifier with equal texts leave one row.
     """
-    kept = exact_groups(docs, id_col, text_col, smallest).where("kept")
     scratch = Scratch(docs.sparkSession, "exact-kept")
-    kept = scratch.write(kept.select(F.col(id_col).alias("__sg_kid"), F.unhex("digest").alias("__sg_kdigest")), "kept")
-    repeated = kept.groupBy("__sg_kid").count().where("count > 1").limit(1)
-    out = docs.join(kept.select("__sg_kid").distinct(), F.col(id_col).eqNullSafe(F.col("__sg_kid")), "left_semi")
-    if repeated.isEmpty():
-        return out
-    keyed = out.withColumn("__sg_kdigest", sha256(normalised(F.col(text_col))))
-    decided = kept.select(F.col("__sg_kid"), F.col("__sg_kdigest").alias("__sg_d")).distinct()
-    keyed = keyed.join(decided, F.col(id_col).eqNullSafe(F.col("__sg_kid")) & (F.col("__sg_kdigest") == F.col("__sg_d")), "left_semi")
-    return keyed.withColumn("__sg_same", F.coalesce(F.col(id_col).cast("string"), F.lit(""))).dropDuplicates(["__sg_same", "__sg_kdigest"]).drop("__sg_same", "__sg_kdigest")
+    groups = exact_groups(docs, id_col, text_col, smallest).select(F.col(id_col).alias("__sg_gid"), F.unhex("digest").alias("__sg_gdigest"), "kept")
+    groups = scratch.write(groups, "groups")
+    same_id = F.col(id_col).eqNullSafe(F.col("__sg_gid"))
+    if groups.groupBy("__sg_gid").count().where("count > 1").limit(1).isEmpty():
+        # Few rows go, so only their identifiers meet the documents, whose texts stay where they are.
+        gone = groups.where(~F.col("kept")).select("__sg_gid")
+        side = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+        return docs.join(side, same_id, "left_anti")
+    # Some identifiers repeat: rows are told apart by their texts too, and equal rows leave one.
+    kept = groups.where("kept").select("__sg_gid", "__sg_gdigest").distinct()
+    keyed = docs.withColumn("__sg_digest", sha256(normalised(F.col(text_col))))
+    keyed = keyed.join(kept, same_id & (F.col("__sg_digest") == F.col("__sg_gdigest")), "left_semi")
+    return keyed.withColumn("__sg_same", F.coalesce(F.col(id_col).cast("string"), F.lit(""))).dropDuplicates(["__sg_same", "__sg_digest"]).drop("__sg_same", "__sg_digest")
