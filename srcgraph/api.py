@@ -20,7 +20,7 @@ class Codebase:
         self.spark, self.root, self.patterns, self.max_file_size, self.provider = spark, os.path.realpath(root), list(patterns), max_file_size, provider
         self.uid = store.index_uid(root, partition)
         self.include, self.metadata = include, metadata
-        self.path = index_path or os.path.join(self.root, ".tmp", f"{self.uid}.index")
+        self.index_path = index_path or os.path.join(self.root, ".tmp", f"{self.uid}.index")
         self._snapshot: Snapshot | None = None
 
     # Life cycle
@@ -37,25 +37,25 @@ class Codebase:
         if self.provider is not None:
             fresh = embeddings.generate(fresh, self.provider)
         options = store.config_hash(maxFileSize=self.max_file_size, patterns=self.patterns or None, includeFiles=sorted(self.include) if self.include else None)
-        store.write(with_order(fresh), self.path, self.uid, workspaceRoot=self.root, configurationHash=options, **self.metadata)
+        store.write(with_order(fresh), self.index_path, self.uid, workspaceRoot=self.root, configurationHash=options, **self.metadata)
         self._snapshot = None
         return counts
 
     def snapshot(self) -> Snapshot:
         if self._snapshot is None:
-            self._snapshot = store.read(self.spark, self.path, self.uid, verify=False)
+            self._snapshot = store.read(self.spark, self.index_path, self.uid, verify=False)
         return self._snapshot
 
     def generate_embeddings(self, provider: embeddings.Provider) -> int:
         self.provider = provider
         s = embeddings.generate(self.snapshot(), provider)
-        made = store.write(s, self.path, self.uid, workspaceRoot=self.root, **self.metadata)
+        made = store.write(s, self.index_path, self.uid, workspaceRoot=self.root, **self.metadata)
         self._snapshot = None
         return made["counts"]["vectors"]
 
     def remove(self) -> bool:
         self._snapshot = None
-        return store.remove(self.path)
+        return store.remove(self.index_path)
 
     def listing(self) -> list[tuple]:
         return [r for r in scan.walk(self.root, self.patterns, self.include) if r[1] == "accepted"]
@@ -67,7 +67,7 @@ class Codebase:
 
     def status(self) -> dict:
         try:
-            return {"exists": True, **store.manifest(self.path)}
+            return {"exists": True, **store.manifest(self.index_path)}
         except store.StoredIndexError as e:
             return {"exists": False, "reason": e.reason}
 

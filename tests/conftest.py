@@ -12,8 +12,8 @@ def spark(tmp_path_factory):
 
     folder = tmp_path_factory.mktemp("spark")
     session = (
-        SparkSession.builder.master("local[4]")
-        .config("spark.sql.shuffle.partitions", "4")
+        SparkSession.builder.master("local[8]")
+        .config("spark.sql.shuffle.partitions", "2")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.checkpoint.dir", f"file://{folder}/shared")
