@@ -59,3 +59,14 @@ def partitions(spark: SparkSession) -> int:
 def without(df: DataFrame, *names: str) -> DataFrame:
     """df less the columns that an operator is about to add: its own replace them."""
     return df.drop(*names)
+
+
+#: Rows of a batch between Spark and Python where the session leaves Spark's own 10,000.
+BATCH_ROWS = 1000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Keeps batches of whole texts small, so that very long ones don't fill a worker; another setting of the session stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))

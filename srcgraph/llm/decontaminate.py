@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructType
 
-from ._store import without
+from ._store import bound_batches, without
 from ._tok import ALNUM_RUNS, FOLD, Hasher, chunks, window_starts
 
 NGRAM = 10
@@ -82,6 +82,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
     empty text has no words and no hits, and an empty benchmark hits nothing.
     A nominated window counts only if its words are the item's. No shuffle.
     """
+    bound_batches(docs.sparkSession)
     docs = without(docs, "hit_words", "hit_ranges", "hit_items")
     names = docs.columns
     where = names.index(text_col)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
-from ._store import without
+from ._store import bound_batches, without
 from ._tok import FOLD, row_groups, string_bytes
 
 ORDER = 3
@@ -133,6 +133,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     About `train_rows` rows per language, the least by a hash of their identifier,
     are counted on the executors; only their distinct byte contexts reach the driver.
     """
+    bound_batches(docs.sparkSession)
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     sizes = {r["_lang"]: r["n"] for r in labelled.groupBy(F.col(lang_col).alias("_lang")).agg(F.count("*").alias("n")).collect()}
     grid = 1 << 40
@@ -171,6 +172,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """
     docs = without(docs, "lang_pred", "score")
     spark = docs.sparkSession
+    bound_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     names = docs.columns
     where = names.index(text_col)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._minhash import bands, set_digests, shingle_sets, signatures
-from ._store import Scratch, partitions
+from ._store import Scratch, bound_batches, partitions
 from ._tok import Hasher
 from .components import components
 
@@ -180,6 +180,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Candidates come from 32 bands of four coordinates: a pair of similarity
     0.75 is missed by all of them with a probability of 5e-6. No bucket is capped.
     """
+    bound_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "near")
     ids = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketch = scratch.write(ids.mapInArrow(_sketch, "id long, n long, d1 long, d2 long, keys array<long>"), "sketch")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
-from ._store import Scratch, partitions, without
+from ._store import Scratch, bound_batches, partitions, without
 from ._tok import BLANK_SEPARATED, Hasher, chunks, sliding_min, window_starts
 
 WINDOW, GRAM = 13, 5
@@ -180,6 +180,7 @@ def _ranges(rows: pa.Table):
 def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES) -> DataFrame:
     """(id, mark, ranges) of documents with words to remove; mark is xxhash64 of the text, ranges an array of (lo, hi) in words."""
     spark = docs.sparkSession
+    bound_batches(spark)
     scratch = Scratch(spark, "substring")
     rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     index = RunIndex(spark, partitions(spark))
