@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,8 +46,14 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def release(self) -> None:
-        """Lets the context cleaner delete shuffle files of finished jobs; without it they stay until the driver's heap fills."""
-        self.spark._jvm.System.gc()
+        """Lets the context cleaner delete shuffle files of finished jobs; without it they stay until the driver's heap fills.
+
+        The cleaner runs beside the driver, so the next stage waits a moment for it.
+        """
+        for _ in range(2):
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.4)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
