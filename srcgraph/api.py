@@ -11,6 +11,7 @@ from .operators import architecture, context, detectors, embeddings, graph, incr
 from .operators.extract import with_order
 from .schema import Snapshot
 from .sources import scan, store
+from .sources.staging import Staging
 
 
 class Codebase:
@@ -31,13 +32,14 @@ class Codebase:
             previous = self.snapshot()
         except store.StoredIndexError:
             previous = Snapshot.empty(self.spark)
-        scanned = scan.scan(self.spark, self.root, self.patterns, self.include, self.max_file_size).where("status = 'accepted'")
-        fresh, changes = incremental.refresh(previous, scanned, force)
-        counts = incremental.diff_counts(changes).first().asDict()
-        if self.provider is not None:
-            fresh = embeddings.generate(fresh, self.provider)
         options = store.config_hash(maxFileSize=self.max_file_size, patterns=self.patterns or None, includeFiles=sorted(self.include) if self.include else None)
-        store.write(with_order(fresh), self.index_path, self.uid, workspaceRoot=self.root, configurationHash=options, **self.metadata)
+        with Staging(self.spark) as stage:
+            scanned = stage(scan.scan(self.spark, self.root, self.patterns, self.include, self.max_file_size).where("status = 'accepted'"), "scanned")
+            fresh, changes = incremental.refresh(previous, scanned, force, stage)
+            counts = incremental.diff_counts(changes).first().asDict()
+            if self.provider is not None:
+                fresh = embeddings.generate(fresh, self.provider)
+            store.write(with_order(fresh, stage), self.index_path, self.uid, workspaceRoot=self.root, configurationHash=options, **self.metadata)
         self._snapshot = None
         return counts
 

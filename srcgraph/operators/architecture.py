@@ -112,7 +112,7 @@ def analyze(s: Snapshot, texts: DataFrame | None = None) -> dict[str, DataFrame]
     segments = F.split("target", "/")
     package = F.when(F.col("target").startswith("@"), F.array_join(F.slice(segments, 1, 2), "/")).otherwise(segments[0])
     rest = rest.withColumn("package", package)
-    inside = rest.join(F.broadcast(packages), rest["package"] == packages["name"])
+    inside = rest.join(packages, rest["package"] == packages["name"])
     direct = inside.where("target = package").select("id", F.get("entryPoints", 0).alias("to"))
     sub = _candidates(inside.where("target <> package"), join_path(F.col("root"), F.expr("substring(target, length(package) + 2)"))).join(files, "path")
     by_package = direct.where("to IS NOT NULL").unionByName(sub.groupBy("id").agg(F.min_by("path", "rank").alias("to")))

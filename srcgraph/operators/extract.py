@@ -16,9 +16,11 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import terms
 from ..schema import SCHEMAS, Snapshot
+from ..sources.staging import unstaged
 
 #: Longer texts are not parsed, in UTF-16 units.
 MAX_PARSE = 4 << 20
@@ -312,10 +314,11 @@ _R = "array<struct<id:string,kind:string,filePath:string,fromSymbolId:string,toS
 _C = "array<struct<id:string,filePath:string,symbolId:string,startLine:int,endLine:int,hash:string,text:string>>"
 
 
-def extract(files: DataFrame) -> Snapshot:
+def extract(files: DataFrame, stage=unstaged) -> Snapshot:
     """files(path, language, hash, size, modifiedAt, text) to a snapshot without metadata and vectors.
 
-    `ord` of files is their hash-free position by path; that of the others follows file and position.
+    `ord` keeps the records of a file together and in position; with_order puts the files in order of path.
+    With `stage` each file is parsed once, however often its records are read.
     """
 
     def run(frames):
@@ -327,7 +330,7 @@ def extract(files: DataFrame) -> Snapshot:
                 rows.append((path, got.symbols if got else [], got.relations if got else [], chunks, bool(got and got.error)))
             yield pd.DataFrame(rows, columns=["path", "s", "r", "c", "parseError"])
 
-    parsed = files.select("path", "language", "text").mapInPandas(run, f"path string, s {_S}, r {_R}, c {_C}, parseError boolean")
+    parsed = stage(files.select("path", "language", "text").mapInPandas(run, f"path string, s {_S}, r {_R}, c {_C}, parseError boolean"), "parsed")
     # Within a file records keep their position; files are ordered by path.
     place = F.pmod(F.xxhash64("path"), F.lit(1 << 40))
 
@@ -341,11 +344,26 @@ def extract(files: DataFrame) -> Snapshot:
     return empty.with_(files=out.select(*[c.split(" ")[0] for c in SCHEMAS["files"].split(", ")]), symbols=rows("s", "symbols"), relations=rows("r", "relations"), chunks=rows("c", "chunks"))
 
 
-def with_order(s: Snapshot) -> Snapshot:
-    """ord anew: files by path, other records by file and position. For one index; ranks over paths only."""
-    from pyspark.sql.window import Window
+def path_ranks(files: DataFrame, stage=unstaged) -> DataFrame:
+    """(path, rank) from 0 in order of path.
 
-    rank = s.files.select("path", (F.row_number().over(Window.orderBy("path")) - 1).cast("long").alias("rank"))
+    With `stage` ranks are found range by range, each counted from where the one before ends, so no task sorts all
+    paths. Ranges are sampled anew in each evaluation, hence the single window without it.
+    """
+    paths = files.select("path")
+    if stage is unstaged:
+        return paths.select("path", (F.row_number().over(Window.orderBy("path")) - 1).cast("long").alias("rank"))
+    mask = (1 << 33) - 1  # monotonically_increasing_id: the partition above 33 bits of position
+    dealt = paths.repartitionByRange("path").sortWithinPartitions("path").withColumn("at", F.monotonically_increasing_id())
+    dealt = stage(dealt.select("path", F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND(F.lit(mask)).alias("within")), "ranked")
+    sizes = dealt.groupBy("part").agg(F.count("*").alias("n"))  # one row per partition
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    return dealt.join(sizes.select("part", before.alias("before")), "part").select("path", (F.col("before") + F.col("within")).alias("rank"))
+
+
+def with_order(s: Snapshot, stage=unstaged) -> Snapshot:
+    """ord anew: files by path, other records by file and position. For one index."""
+    rank = path_ranks(s.files, stage)
 
     def put(df: DataFrame, key: str) -> DataFrame:
         return df.join(rank.withColumnRenamed("path", key), key, "left").withColumn("ord", F.col("rank") * (1 << 20) + F.pmod(F.col("ord"), F.lit(1 << 20))).select(*df.columns)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import Snapshot
+from ..sources.staging import unstaged
 from .extract import extract
 from .resolve import resolve_relations
 
@@ -22,20 +23,21 @@ def diff_counts(changes: DataFrame) -> DataFrame:
     return changes.agg(*[F.count_if(F.col("status") == k).alias(k) for k in kinds])
 
 
-def refresh(previous: Snapshot, scanned: DataFrame, force: bool = False) -> tuple[Snapshot, DataFrame]:
+def refresh(previous: Snapshot, scanned: DataFrame, force: bool = False, stage=unstaged) -> tuple[Snapshot, DataFrame]:
     """The new snapshot and the changes. scanned holds the accepted files with their text.
 
     Rows of unchanged files are carried over; only added and changed files are read and parsed. Edges are
-    revalidated and bound after both are together, so a carried edge follows a renamed symbol.
+    revalidated and bound after both are together, so a carried edge follows a renamed symbol. With `stage` the
+    changes, the parsed files and the symbols are written once and read where they are needed again.
     """
-    changes = diff(previous.files.where("false") if force else previous.files, scanned)
+    changes = stage(diff(previous.files.where("false") if force else previous.files, scanned), "changes")
     same = changes.where("status = 'unchanged'").select("path")
     todo = scanned.join(changes.where("status IN ('added', 'changed')").select("path"), "path", "left_semi")
-    fresh = extract(todo)
+    fresh = extract(todo, stage)
     keep = lambda df, key="filePath": df.join(same.withColumnRenamed("path", key), key, "left_semi").select(*df.columns)
-    symbols = keep(previous.symbols).unionByName(fresh.symbols)
+    symbols = stage(keep(previous.symbols).unionByName(fresh.symbols), "symbols")
     relations = resolve_relations(keep(previous.relations).unionByName(fresh.relations), symbols)
-    chunks = keep(previous.chunks).unionByName(fresh.chunks)
+    chunks = stage(keep(previous.chunks).unionByName(fresh.chunks), "chunks")
     vectors = previous.vectors.join(chunks.select(F.col("id").alias("chunkId"), F.col("hash").alias("chunkHash")), ["chunkId", "chunkHash"], "left_semi").select(*previous.vectors.columns)
     files = keep(previous.files, "path").unionByName(fresh.files)
     return previous.with_(files=files, symbols=symbols, relations=relations, chunks=chunks, vectors=vectors), changes
