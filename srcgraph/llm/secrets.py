@@ -92,8 +92,12 @@ def located(text: Column, pattern: str, keep) -> Column:
 def ratio(model: list[float], token: Column) -> Column:
     """Mean log-likelihood ratio of a token's transitions, in bits."""
     table = F.from_json(F.lit(json.dumps([round(x, 6) for x in model])), "array<double>")
-    pair = lambda i: F.ascii(token.substr(i, F.lit(1))) * 128 + F.ascii(token.substr(i + 1, F.lit(1))) + 1
-    total = F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), F.lit(0.0), lambda acc, i: acc + F.element_at(table, pair(i)))
+    # Character by character, so that the time grows with the length of a token and not with its square.
+    step = lambda acc, char: F.struct(
+        F.ascii(char).alias("last"),
+        (acc["bits"] + F.when(acc["last"] >= 0, F.element_at(table, acc["last"] * 128 + F.ascii(char) + 1)).otherwise(0.0)).alias("bits"),
+    )
+    total = F.aggregate(F.split(token, ""), F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("bits")), step, lambda acc: acc["bits"])
     return total / (F.length(token) - 1)
 
 
