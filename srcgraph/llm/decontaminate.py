@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -10,45 +11,75 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructType
 
-from ._store import bound_batches, without
+from ._store import Scratch, bound_batches, without
 from ._tok import ALNUM_RUNS, FOLD, Hasher, chunks, window_starts
 
 NGRAM = 10
-#: Bytes of benchmark text in one broadcast set; a larger benchmark is scanned for in so many passes without a shuffle.
-BROADCAST_BYTES = 32 << 20
+#: Bytes of benchmark text in one broadcast set, which takes about five times as many in each worker. A larger benchmark
+#: is scanned for in so many passes, each written before the next begins, so that one set at a time is held.
+BROADCAST_BYTES = 16 << 20
 _HASHER = Hasher(41)
 
 
+class Table(NamedTuple):
+    """Windows of one length by hash: window i is words[start[i]:end[i]], and stands in the items of[first[i]:first[i + 1]]."""
+
+    hashes: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    first: np.ndarray
+    of: np.ndarray
+
+
 @dataclass
 class Windows:
-    """Per window length: sorted hashes, and the word sequences behind each hash with their items."""
+    """All windows of some items, in arrays over their folded words, which one blank separates."""
+
+    words: bytes
+    names: list[str]
+    tables: dict[int, Table]
+
+    def items(self, k: int, spot: int, sequence: bytes) -> set[int] | None:
+        """Items in which the sequence is a window; None where only its hash is. spot: the first window with its hash."""
+        t, got = self.tables[k], None
+        while True:
+            if self.words[t.start[spot] : t.end[spot]] == sequence:
+                got = (got or set()).union(t.of[t.first[spot] : t.first[spot + 1]].tolist())
+            if spot + 1 == len(t.hashes) or t.hashes[spot + 1] != t.hashes[spot]:
+                return got
+            spot += 1
+
 
-    hashes: dict[int, np.ndarray]
-    found: dict[int, dict[int, list[tuple[bytes, set[str]]]]]
+def _table(words: bytes, hashes: np.ndarray, start: np.ndarray, end: np.ndarray, item: np.ndarray) -> Table:
+    order = np.lexsort((item, hashes))
+    hashes, start, end, item = hashes[order], start[order], end[order], item[order]
+    opens = np.ones(len(hashes), dtype=bool)
+    for i in (np.flatnonzero(hashes[1:] == hashes[:-1]) + 1).tolist():
+        opens[i] = words[start[i] : end[i]] != words[start[i - 1] : end[i - 1]]
+    at = np.flatnonzero(opens)
+    return Table(hashes[at], start[at].astype(np.uint32), end[at].astype(np.uint32), np.append(at, len(hashes)).astype(np.uint32), item.astype(np.int32))
 
 
 def windows_of(items: list[tuple[str, str | None]], ngram: int = NGRAM) -> Windows:
     """All windows of the items; one of fewer than ngram words, but not none, is one window."""
-    found: dict[int, dict[int, list]] = {}
-    column = pa.array([text for _, text in items], pa.string())
-    for c in chunks(column, ALNUM_RUNS, FOLD):
+    pieces, size, found = [], 0, {}
+    for c in chunks(pa.array([text for _, text in items], pa.string()), ALNUM_RUNS, FOLD):
         hashes = _HASHER.words(c.buf, c.start, c.end, FOLD)
-        for row in range(c.rows):
-            lo, hi = int(c.first[row]), int(c.first[row + 1])
-            if lo == hi:
-                continue
-            k = min(ngram, hi - lo)
-            words = [w.lower() for w in c.text(lo, hi)]
-            keys = _HASHER.windows(hashes[lo:hi], np.arange(hi - lo - k + 1), k)
-            for i, key in enumerate(keys.tolist()):
-                entry = found.setdefault(k, {}).setdefault(key, [])
-                sequence = b" ".join(words[i : i + k])
-                known = next((x for x in entry if x[0] == sequence), None)
-                if known is None:
-                    known = (sequence, set())
-                    entry.append(known)
-                known[1].add(items[c.row + row][0])
-    return Windows({k: np.array(sorted(d), dtype=np.uint64) for k, d in found.items()}, found)
+        lengths = c.end - c.start
+        place = np.concatenate(([0], np.cumsum(lengths + 1)))
+        piece = np.full(place[-1], 0x20, dtype=np.uint8)
+        skipped = np.cumsum(lengths) - lengths
+        inner = np.arange(int(lengths.sum()))
+        piece[np.repeat(place[:-1] - skipped, lengths) + inner] = FOLD[c.buf[np.repeat(c.start - skipped, lengths) + inner]]
+        n = np.diff(c.first)
+        short = [(k, c.first[:-1][n == k], np.flatnonzero(n == k)) for k in range(1, ngram)]
+        for k, start, owner in [*short, (ngram, *window_starts(c.first, ngram))]:
+            if len(start):
+                found.setdefault(k, []).append((_HASHER.windows(hashes, start, k), size + place[start], size + place[start + k] - 1, c.row + owner))
+        pieces.append(piece.tobytes())
+        size += len(piece)
+    words = b"".join(pieces)
+    return Windows(words, [name for name, _ in items], {k: _table(words, *map(np.concatenate, zip(*parts))) for k, parts in found.items()})
 
 
 def _slices(benchmark: DataFrame, id_col: str, text_col: str, limit: int):
@@ -81,17 +112,24 @@ def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
     range in turn; hit_items the distinct items, sorted as strings. A null or
     empty text has no words and no hits, and an empty benchmark hits nothing.
     A nominated window counts only if its words are the item's. No shuffle.
+    Passes after the first read what the pass before them has written.
     """
     bound_batches(docs.sparkSession)
     docs = without(docs, "hit_words", "hit_ranges", "hit_items")
     names = docs.columns
     where = names.index(text_col)
     schema = StructType(list(docs.schema.fields)).add("hit_words", LongType()).add("hit_ranges", ArrayType(IntegerType())).add("hit_items", ArrayType(StringType()))
-    out, first = docs, True
+    out, written, shared, scratch = docs, None, None, Scratch(docs.sparkSession, "decontaminate")
     for items in _slices(benchmark, item_col, item_text_col, broadcast_bytes):
+        first = shared is None
+        if not first:
+            out = scratch.write(out, "pass")
+            shared.destroy()
+            if written is not None:
+                scratch.drop(written)
+            written = out
         shared = docs.sparkSession.sparkContext.broadcast(windows_of(items, ngram))
         out = out.mapInArrow(_pass(shared, names, where, first), schema)
-        first = False
     return out
 
 
@@ -107,20 +145,19 @@ def _pass(shared, names: list[str], where: int, first: bool):
                 total[c.row : c.row + c.rows] = np.diff(c.first)
                 hashes = _HASHER.words(c.buf, c.start, c.end, FOLD)
                 hits: dict[int, tuple[list, set]] = {}
-                for k, known in windows.hashes.items():
+                for k, known in windows.tables.items():
                     start, owner = window_starts(c.first, k)
                     keys = _HASHER.windows(hashes, start, k)
-                    spot = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-                    for i in np.flatnonzero(known[spot] == keys).tolist():
+                    spot = np.minimum(np.searchsorted(known.hashes, keys), len(known.hashes) - 1)
+                    for i in np.flatnonzero(known.hashes[spot] == keys).tolist():
                         at, row = int(start[i]), int(owner[i])
-                        sequence = b" ".join(c.text(at, at + k)).lower()
-                        for exact, of in windows.found[k][int(keys[i])]:
-                            if exact == sequence:
-                                got = hits.setdefault(row, ([], set()))
-                                got[0].append((at - int(c.first[row]), at - int(c.first[row]) + k))
-                                got[1].update(of)
+                        of = windows.items(k, int(spot[i]), b" ".join(c.text(at, at + k)).lower())
+                        if of is not None:
+                            got = hits.setdefault(row, ([], set()))
+                            got[0].append((at - int(c.first[row]), at - int(c.first[row]) + k))
+                            got[1].update(of)
                 for row, (spans, of) in hits.items():
-                    ranges[c.row + row], items[c.row + row] = _merge(np.array(spans)).ravel().tolist(), sorted(of)
+                    ranges[c.row + row], items[c.row + row] = _merge(np.array(spans)).ravel().tolist(), sorted({windows.names[i] for i in of})
             if earlier:
                 for i in range(n):
                     if earlier[0][i]:

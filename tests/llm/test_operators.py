@@ -170,6 +170,19 @@ def test_decontamination(spark, limit):
     assert [r.text for r in decontaminate.decontaminate(cut, bench, "spans").orderBy("doc_id").collect()] == ["Zé one, ! four", None, ""]
 
 
+@pytest.mark.parametrize("clash", [False, True])
+def test_decontamination_windows_of_items(monkeypatch, clash):
+    if clash:  # every window has one hash: only the words tell them apart
+        monkeypatch.setattr(decontaminate, "_HASHER", type("H", (decontaminate.Hasher,), {"windows": lambda self, words, start, k: np.zeros(len(start), dtype=np.uint64)})(41))
+    items = [("p", "one  TWO, three"), ("q", None), ("p", "zero one-two"), ("r", "É one two"), ("s", "one two one two"), ("t", "one"), ("u", "!")]
+    found = decontaminate.windows_of(items, ngram=2)
+    for sequence, want in {b"one two": {0, 2, 3, 4}, b"two three": {0}, b"two one": {4}, b"zero one": {2}, "É one".encode(): {3}}.items():
+        spots = [i for i, at in enumerate(found.tables[2].start) if found.words[at : found.tables[2].end[i]] == sequence]
+        first = int(np.searchsorted(found.tables[2].hashes, found.tables[2].hashes[spots[0]]))
+        assert found.items(2, first, sequence) == want
+    assert found.items(1, 0, b"one") == {5} and found.items(1, 0, b"two") is None and found.items(2, 0, b"no no") is None
+
+
 def test_secrets(spark):
     key = "aB3xK9qLmZ7TnR2vYw8PdF5jHs1cGuE0"
     texts = [
@@ -194,6 +207,11 @@ def test_secret_models_tell_random_from_ordinary(spark):
     judged = secrets.training_samples(spark, 6000).where(F.length("text") >= 20).withColumn("r", secrets.ratio(model, F.col("text"))).collect()
     right = [(x.r >= secrets.THRESHOLD) == bool(x.label) for x in judged]
     assert sum(right) / len(right) > 0.99
+    # Bit by bit the same as a plain sum, also on a token of a million characters.
+    token = "aZ09+/_=-" * 111_112
+    pairs = [round(model[ord(a) * 128 + ord(b)], 6) for a, b in zip(token, token[1:])]
+    got = spark.createDataFrame([(token,)], "text string").select(secrets.ratio(model, F.col("text"))).first()[0]
+    assert got == pytest.approx(sum(pairs) / len(pairs), rel=1e-9)
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p><p>no</p>";</script></head><body>
