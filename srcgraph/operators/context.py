@@ -32,14 +32,23 @@ def pack(ranked: DataFrame, budget: int) -> DataFrame:
     return rows.join(F.broadcast(taken), "id", "left_semi")
 
 
-def get_context(s: Snapshot, query: str, max_files: int = 8, max_tokens: int = 4000, max_related: int = 4) -> dict:
+def choose_files(s: Snapshot, query: str, max_files: int = 8, max_related: int = 4) -> DataFrame:
+    """(path) of the best files of a search over all files, and then of files related to them."""
     seeds = search(s, query, max(1, max_files - min(max_related, max_files - 1))).select("path")
     n = seeds.count()
     related = related_files(s, seeds, min(max_files - n, max_related)).select("path")
-    chosen = seeds.unionByName(related)
-    files = s.files.join(F.broadcast(chosen), "path", "left_semi")
+    return seeds.unionByName(related)
+
+
+def pack_files(s: Snapshot, chosen: DataFrame, query: str, max_tokens: int) -> DataFrame:
     own = s.chunks.join(F.broadcast(chosen.withColumnRenamed("path", "filePath")), "filePath", "left_semi")
-    chunks = pack(rank_chunks(own, query), max_tokens)
+    return pack(rank_chunks(own, query), max_tokens)
+
+
+def get_context(s: Snapshot, query: str, max_files: int = 8, max_tokens: int = 4000, max_related: int = 4) -> dict:
+    chosen = choose_files(s, query, max_files, max_related)
+    files = s.files.join(F.broadcast(chosen), "path", "left_semi")
+    chunks = pack_files(s, chosen, query, max_tokens)
     start = chunks.where("symbolId IS NOT NULL").select(F.col("symbolId").alias("id")).distinct()
     hop = lambda a, b: s.relations.join(start.withColumnRenamed("id", a), a, "left_semi").where(F.col(b).isNotNull()).select(F.col(b).alias("id"))
     ids = start.unionByName(hop("fromSymbolId", "toSymbolId")).unionByName(hop("toSymbolId", "fromSymbolId")).distinct()

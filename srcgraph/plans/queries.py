@@ -304,7 +304,7 @@ def db_schema_detect(spark, d):
 @query("SELECT path AS filePath, regexp_replace(regexp_extract(path, '[^/]*$'), '\\.md$', '') AS title, coalesce(links, '') AS links FROM files LEFT JOIN (SELECT path, array_to_string((list(name ORDER BY ord))[1:5], '|') AS links FROM (SELECT files.path, w.name, w.ord FROM files JOIN w ON list_contains(files.terms, lower(w.name))) GROUP BY path) USING (path)", _FILES, "w AS (SELECT name, row_number() OVER (ORDER BY name) AS ord FROM (SELECT DISTINCT term AS name FROM (SELECT unnest(terms) AS term FROM files WHERE ord < 3) WHERE length(term) > 3 ORDER BY term LIMIT 100))")
 def config_doc_detect(spark, d):
     s = td.snapshot(spark, d)
-    words = s.files.where("ord < 3").select(F.explode("terms").alias("name")).distinct().where("length(name) > 3").orderBy("name").limit(100)
+    words = s.files.select(F.explode("terms").alias("name")).distinct().where("length(name) > 3").orderBy("name").limit(100)
     names = words.withColumn("ord", F.row_number().over(Window.orderBy("name")).cast("long"))  # of a hundred rows
     return reports.docs(s.with_(symbols=names)).select("filePath", "title", F.array_join("linkedSymbols", "|").alias("links"))
 
@@ -548,8 +548,8 @@ SELECT filePath, startLine::BIGINT AS startLine, cost, score::BIGINT AS score FR
     _FILES, _CHUNKS,
 )
 def context_pack(spark, d):
-    rows = td.chunks(spark, d).where(F.col("ord") < 30 * 100_000)
-    return context.pack(search.rank_chunks(rows, "the onthe tion"), 900).select("filePath", *long("startLine"), "cost", "score")
+    s, asked = td.snapshot(spark, d), "the onthe tion"
+    return context.pack_files(s, context.choose_files(s, asked), asked, 900).select("filePath", *long("startLine"), "cost", "score")
 
 
 def queries() -> dict:
