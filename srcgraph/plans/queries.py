@@ -368,7 +368,7 @@ _SQL["query_intent"] = _intent_sql()
 def query_intent(spark, d):
     rows = td.read(spark, d, "conversations")
     phrase = F.element_at(F.array(*map(F.lit, _PHRASES)), (1 + (F.col("conv_id") + F.col("turn")) % len(_PHRASES)).cast("int"))
-    asked = F.concat(phrase, F.lower(F.left(F.coalesce("text", F.lit("")), F.lit(40))))
+    asked = F.concat(phrase, F.lower(F.coalesce("text", F.lit(""))))
     return rows.select("conv_id", "turn", detectors.query_intent(asked).alias("i")).select("conv_id", "turn", "i.kind", F.col("i.confidence").cast("double").alias("confidence"))
 
 

@@ -11,6 +11,7 @@ TABLES = {
     "supplier": ("s_suppkey long, s_name string, s_nationkey int", [(1, "s", 0)]),
     "nation": ("n_nationkey int, n_name string", [(0, "N")]),
     "lineitem": ("l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_returnflag string, l_discount double", [(1, 1, 1, 1, "A", 0.1)]),
+    "conversations": ("conv_id long, turn int, text string", [(0, 0, "x")]),
     "embeddings": ("vec_id long, label string, embedding array<float>", [(0, "x", [1.0])]),
 }
 
@@ -49,3 +50,10 @@ def test_config_doc_detect_takes_names_of_all_documents(spark, tmp_path):
     got = {r.title: r.links for r in q.config_doc_detect(spark, write(spark, tmp_path / "t", documents=rows)).collect()}
     names = sorted({w for _, t, *_ in rows for w in TERM.findall(t) if len(w) > 3})[:100]
     assert got == {f"doc{i}": "|".join([w for w in names if w in t.split()][:5]) for i, t, *_ in rows} and got["doc50"] == "aaaa50|common|zzzz050"
+
+
+def test_query_intent_reads_whole_texts(spark, tmp_path):
+    tails = {0: ("Who Calls run", "caller"), 11: ("the pytest run", "test"), 22: ("nothing", "symbol"), 33: ("an endpoint", "api"), 44: ("commit", "history")}
+    rows = [(i, 0, "lorem " * 300 + tail) for i, (tail, _) in tails.items()] + [(55, 0, None), (66, 0, "  ")]
+    got = {r.conv_id: r.kind for r in q.query_intent(spark, write(spark, tmp_path / "t", conversations=rows)).collect()}
+    assert got == {i: kind for i, (_, kind) in tails.items()} | {55: "semantic", 66: "semantic"}
