@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._store import Scratch, without
+from ._store import Scratch, partitions, without
 
 #: Share of all sources that the weights do not name.
 OTHERS = "*"
@@ -64,9 +64,9 @@ def mix(docs: DataFrame, weights: dict[str, float], id_col: str = "doc_id", sour
     and `mix_on_target` is true for the slots before any source ran out of full blocks. Sources
     that the weights do not name, null included, share the weight of "*" (they
     raise an error if there is none). Rows that repeat under one identifier share
-    a position; null identifiers come first. Ranks are counted in two levels,
-    buckets of about `bucket_rows` identifiers and identifiers within them, so
-    that no task holds a whole source; up to that many, a source is in order of identifiers.
+    a position; null identifiers come first. Ranks follow the identifiers at every
+    size. They are counted in two levels, ranges of at most about `bucket_rows`
+    identifiers and identifiers within them, so that no task holds a whole source.
     """
     docs = without(docs, "mix_source", "mix_block", "mix_slot", "mix_release", "mix_deadline", "mix_offset", "mix_on_target")
     spark = docs.sparkSession
@@ -84,13 +84,16 @@ def mix(docs: DataFrame, weights: dict[str, float], id_col: str = "doc_id", sour
     scratch = Scratch(spark, "mix")
     ids = scratch.write(rows.select("mix_source", "__sg_id").distinct(), "ids")
     spread = scratch.write(ids.groupBy("mix_source").agg(F.count("*").alias("__sg_source_n")), "spread")  # as many rows as weights at most
-    celled = ids.join(F.broadcast(spread), "mix_source").withColumn("__sg_bucket", F.pmod(F.xxhash64("__sg_id"), F.ceil(F.col("__sg_source_n") / F.lit(bucket_rows))))
-    cells = celled.groupBy("mix_source", "__sg_bucket").agg(F.count("*").alias("__sg_in"))
+    # Ranges of (source, identifier) in order: a row's number is its range in the upper bits and its place in the range below.
+    total = spread.agg(F.coalesce(F.sum("__sg_source_n"), F.lit(0))).first()[0]
+    ranges = max(partitions(spark), ceil(total / bucket_rows))
+    celled = ids.repartitionByRange(ranges, "mix_source", "__sg_id").sortWithinPartitions("mix_source", "__sg_id").withColumn("__sg_at", F.monotonically_increasing_id())
+    celled = scratch.write(celled, "ranges").withColumn("__sg_bucket", F.shiftright("__sg_at", 33))
+    cells = celled.groupBy("mix_source", "__sg_bucket").agg(F.count("*").alias("__sg_in"), F.min("__sg_at").alias("__sg_first"))  # ranges and weights in number at most
     before = F.sum("__sg_in").over(Window.partitionBy("mix_source").orderBy("__sg_bucket").rowsBetween(Window.unboundedPreceding, -1))
-    cells = cells.select("mix_source", "__sg_bucket", F.coalesce(before, F.lit(0).cast("long")).alias("__sg_before"))
-    within = F.row_number().over(Window.partitionBy("mix_source", "__sg_bucket").orderBy("__sg_id")) - 1
-    ranked = celled.withColumn("__sg_within", within.cast("long")).join(cells, ["mix_source", "__sg_bucket"])
-    ranked = ranked.select("mix_source", "__sg_id", (F.col("__sg_before") + F.col("__sg_within")).alias("__sg_rank"))
+    cells = cells.select("mix_source", "__sg_bucket", "__sg_first", F.coalesce(before, F.lit(0).cast("long")).alias("__sg_before"))
+    ranked = celled.join(F.broadcast(cells), ["mix_source", "__sg_bucket"])
+    ranked = ranked.select("mix_source", "__sg_id", (F.col("__sg_before") + F.col("__sg_at") - F.col("__sg_first")).alias("__sg_rank"))
     of = F.create_map(*[x for s, n in share.items() for x in (F.lit(s), F.lit(n).cast("long"))])
     ranked = ranked.withColumn("mix_block", F.floor(F.col("__sg_rank") / F.lit(block)) + 1).withColumn("__sg_share", of[F.col("mix_source")])
     ranked = ranked.withColumn("__sg_i", F.pmod(F.col("mix_block") - 1, F.col("__sg_share")) + 1).withColumn("__sg_round", F.floor((F.col("mix_block") - 1) / F.col("__sg_share")) * F.lit(period))
