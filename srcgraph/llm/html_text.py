@@ -3,8 +3,8 @@
 Markup is stripped into lines, one per block element. A line weighs as many
 characters as it has outside links and outside regions marked as boilerplate.
 Weights are summed over sliding windows of three lines; the text lies between
-the surge, where a window first exceeds the threshold, and the dive, where the
-windows fall to nothing. A page that marks its article narrows the lines to it,
+the first surge, where a window exceeds the threshold, and the last dive, where
+the windows fall to nothing; gaps of no weight between stretches are passed over. A page that marks its article narrows the lines to it,
 and then any weight is a surge, so that short paragraphs at its edges stay.
 """
 
@@ -160,7 +160,8 @@ def main_text(page: str | None) -> str:
     else:
         weights = [0 if line.skipped or 2 * line.links > len(line.text) else len(line.text) for line in lines]
         found = _stretches(weights, SURGE) or _stretches(weights, 0)
-        chosen = [max(found, key=lambda x: sum(weights[x[0] : x[1]]))] if found else []
+        # Links or boxes inside the text part it into stretches: all from the first surge to the last dive is text.
+        chosen = [(found[0][0], found[-1][1])] if found else []
         # Headings just above the surge belong to the text.
         chosen = [(begin - next((k for k in range(begin) if not (weights[begin - 1 - k] and lines[begin - 1 - k].tag in ("h1", "h2", "h3"))), begin), end) for begin, end in chosen]
     return "\n\n".join(lines[i].text for begin, end in chosen for i in range(begin, end) if weights[i])

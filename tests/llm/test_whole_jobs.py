@@ -2,7 +2,7 @@
 
 import random
 
-from srcgraph.llm import mixing
+from srcgraph.llm import html_text, mixing
 
 
 def test_mixing_ranks_follow_identifiers_at_every_bucket_size(spark):
@@ -17,3 +17,13 @@ def test_mixing_ranks_follow_identifiers_at_every_bucket_size(spark):
         for x in out:
             rank = ids[x.mix_source].index(-(1 << 63) if x.doc_id is None else x.doc_id)
             assert (x.mix_block, x.mix_offset) == (rank // 8 + 1, rank % 8)
+
+
+def test_html_text_goes_on_after_links():
+    prose = [f"<p>{f'Sentence {k} of the text. ' * 6}</p>" for k in range(4)]
+    links = "<ul><li><a href=1>One thing</a></li><li><a href=2>Two things</a></li><li><a href=3>More</a></li><li><a href=4>Still more</a></li></ul>"
+    boxes = "<aside>Buy</aside>" * 3
+    page = f"<html><body><nav>Home</nav>{links}{prose[0]}{links}<p>A short line.</p>{boxes}{prose[1]}{prose[2]}{boxes}{prose[3]}{links}<footer>foot</footer></body></html>"
+    want = [prose[0], "<p>A short line.</p>", *prose[1:]]
+    assert html_text.main_text(page) == "\n\n".join(p[3:-4].strip() for p in want)
+    assert html_text.main_text(f"<p>Few.</p>{links}<p>Words.</p>") == "Few.\n\nWords."
