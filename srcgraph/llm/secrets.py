@@ -3,7 +3,9 @@
 DataFrame operations only. Two first-order models over printable ASCII are
 trained from labelled samples, random strings against ordinary identifiers. A
 long run of token characters is a secret when the mean ratio of their
-likelihoods, in bits per transition, reaches the threshold.
+likelihoods, in bits per transition, reaches the threshold. Of a run that does
+not, parts are judged: those between its joints, and stretches over which the
+sum of what exceeds the threshold rises.
 """
 
 from __future__ import annotations
@@ -26,6 +28,11 @@ BASE = (("assign", ASSIGN, 2, 8), ("access", "AKIA[A-Z0-9]{12,}", 0, 16), ("hex"
 #: Runs that the Markov models judge, by length. They never span white space.
 CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
 THRESHOLD = 1.0
+#: Parts of such a run, between / = _ and -.
+PART = "[A-Za-z0-9+]{20,}"
+LEAST = 20
+#: Bits by which the sum falls below its peak where a stretch ends.
+DROP = 10.0
 
 #: Ordinary words of identifiers; the samples are their combinations.
 WORDS = (
@@ -101,6 +108,46 @@ def ratio(model: list[float], token: Column) -> Column:
     return total / (F.length(token) - 1)
 
 
+def stretches(model: list[float], token: Column, threshold: float) -> Column:
+    """Array of (start, stop) of stretches of LEAST characters or more whose mean exceeds the threshold, widened to the letters and digits that adjoin.
+
+    One pass: the sum of (ratio - threshold) restarts where it falls to zero or by DROP; a stretch ends at the peak.
+    """
+    table = F.from_json(F.lit(json.dumps([round(x, 6) for x in model])), "array<double>")
+    chars, n = F.split(token, ""), F.length(token)
+    pair = lambda a, b: F.struct((F.element_at(table, F.ascii(a) * 128 + F.ascii(b) + 1) - F.lit(threshold)).alias("x"), a.isin(*"/=_-").alias("a"), b.isin(*"/=_-").alias("b"))
+    none = F.array().cast("array<struct<start:int,stop:int>>")
+
+    def closed(acc):
+        return F.when(acc["stop"] - acc["start"] >= LEAST, F.concat(acc["spans"], F.array(F.struct(acc["left"].alias("start"), acc["stop"].alias("stop"))))).otherwise(acc["spans"])
+
+    def step(acc, p):
+        total, after = acc["total"] + p["x"], acc["at"] + 1
+        ends, rises = (total <= 0) | (total < acc["best"] - F.lit(DROP)), total > acc["best"]
+        word = F.when(p["a"], after).otherwise(acc["word"])
+        return F.struct(
+            after.alias("at"), word.alias("word"), F.when(ends, after).otherwise(acc["start"]).alias("start"), F.when(ends, F.when(p["b"], after).otherwise(word)).otherwise(acc["left"]).alias("left"),
+            F.when(ends, F.lit(0.0)).otherwise(total).alias("total"), F.when(ends, F.lit(0.0)).when(rises, total).otherwise(acc["best"]).alias("best"),
+            F.when(ends, after).when(rises, after + 1).otherwise(acc["stop"]).alias("stop"), F.when(ends, closed(acc)).otherwise(acc["spans"]).alias("spans"),
+        )
+
+    zero = F.struct(*[F.lit(0).alias(k) for k in ("at", "word", "start", "left")], F.lit(0.0).alias("total"), F.lit(0.0).alias("best"), F.lit(0).alias("stop"), none.alias("spans"))
+    found = F.aggregate(F.zip_with(F.slice(chars, 1, n - 1), F.slice(chars, 2, n - 1), pair), zero, step, closed)
+    return F.transform(found, lambda s: F.struct(s["start"].alias("start"), (s["stop"] + F.length(F.regexp_extract(token.substr(s["stop"] + 1, n), "^[A-Za-z0-9]*", 0))).alias("stop")))
+
+
+def judged(model: list[float], text: Column, threshold: float) -> Column:
+    """Array of (start, stop) of the runs that reach the threshold, and of the parts that do of the others."""
+    span = lambda start, stop: F.struct(start.alias("start"), stop.alias("stop"))
+    high = lambda token: ratio(model, token) >= threshold
+
+    def parts(run):
+        found = F.concat(stretches(model, run["found"], threshold), F.transform(located(run["found"], PART, high), lambda s: span(s["start"], s["stop"])))
+        return F.transform(F.array_distinct(found), lambda s: span(run["start"] + s["start"], run["start"] + s["stop"]))
+
+    return F.flatten(F.transform(located(text, CANDIDATE, lambda f: F.lit(True)), lambda run: F.when(high(run["found"]), F.array(span(run["start"], run["stop"]))).otherwise(parts(run))))
+
+
 #: Texts without these have no match of the kind.
 _QUICK = {"assign": "(?i)(pass|secret|token|api)", "access": "AKIA", "hex": "[0-9a-f]{32}"}
 
@@ -128,7 +175,7 @@ def scan(docs: DataFrame, model: list[float], text_col: str = "text", threshold:
     docs = without(docs, "secrets")
     text = F.coalesce(F.col(text_col), F.lit(""))
     kinds = [_named(_base(text, *base), order, base[0]) for order, base in enumerate(BASE)]
-    runs = F.when(text.rlike(CANDIDATE), F.filter(located(text, CANDIDATE, lambda f: F.lit(True)), lambda s: ratio(model, s["found"]) >= threshold))
+    runs = F.when(text.rlike(CANDIDATE), judged(model, text, threshold))
     none = F.array().cast("array<struct<start:int,rank:int,stop:int,kind:string>>")
     base = F.flatten(F.array(*[F.coalesce(k, none) for k in kinds]))
     extra = F.coalesce(_named(runs, len(BASE), "markov"), none)

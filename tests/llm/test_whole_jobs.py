@@ -2,7 +2,7 @@
 
 import random
 
-from srcgraph.llm import html_text, mixing
+from srcgraph.llm import html_text, mixing, secrets
 
 
 def test_mixing_ranks_follow_identifiers_at_every_bucket_size(spark):
@@ -27,3 +27,21 @@ def test_html_text_goes_on_after_links():
     want = [prose[0], "<p>A short line.</p>", *prose[1:]]
     assert html_text.main_text(page) == "\n\n".join(p[3:-4].strip() for p in want)
     assert html_text.main_text(f"<p>Few.</p>{links}<p>Words.</p>") == "Few.\n\nWords."
+
+
+def test_secrets_joined_to_ordinary_words(spark):
+    from pyspark.sql import functions as F
+
+    model = secrets.fit(secrets.training_samples(spark))
+    r = random.Random(5)
+    key = lambda n: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    heads = ["aws_secret_access_key=", "config/user/", "src/components/user/list/", "get_user_name_from_the_list_of_all_users/path/"]
+    cases = [(h, key(n), t) for h in heads for n in (20, 32, 40) for t in ("", "/read/the/next/line/of/file")]
+    rows = [(i, f"see {h}{k}{t} here") for i, (h, k, t) in enumerate(cases)] + [(100, f"{heads[0]}{key(40)}/list/of/user/values/and/names/{key(40)}/file")]
+    got = {x.doc_id: [(s.start, s.stop) for s in x.secrets] for x in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    found = [any(a <= 4 + len(h) and 4 + len(h) + len(k) <= b for a, b in got[i]) for i, (h, k, _) in enumerate(cases)]
+    assert all(found), [cases[i] for i, x in enumerate(found) if not x]
+    assert len(got[100]) >= 2
+    plain = secrets.training_samples(spark, 3000).where(F.length("text") >= 20).where("label = 0").select("text")
+    share = secrets.scan(plain, model).select(F.avg((F.size("secrets") > 0).cast("double"))).first()[0]
+    assert share < 0.01, share
