@@ -142,13 +142,22 @@ def docs(s: Snapshot) -> DataFrame:
 
 
 def test_links(s: Snapshot) -> DataFrame:
-    """Symbols of test files with the first other name that theirs contains; a theta join against distinct names."""
+    """Symbols of test files with the first other name that theirs contains.
+
+    The pieces of each distinct name that are as long as some name are joined with the names by equality.
+    """
     lower = F.lower("filePath")
     framework = F.when(lower.endswith(".py"), "pytest / unittest").when(lower.endswith(".go"), "go test").when(lower.endswith(".rs"), "cargo test").otherwise("jest / node:test / vitest")
     tests = s.symbols.where(lower.rlike("test|spec|__tests__")).select("id", "filePath", "name", "ord", framework.alias("framework"))
     names = s.symbols.groupBy(F.col("name").alias("other")).agg(F.min("ord").alias("otherOrd"))
-    hits = tests.join(names, (F.col("other") != F.col("name")) & F.lower("name").contains(F.lower("other"))).groupBy("id").agg(F.min_by("other", "otherOrd").alias("targetSymbol"))
-    return tests.join(hits, "id", "left").orderBy("ord").select(F.col("filePath").alias("testFile"), F.col("name").alias("testSymbol"), "targetSymbol", "framework")
+    names = names.withColumn("piece", F.lower("other"))
+    lengths = F.array(*[F.lit(r.n) for r in names.select(F.length("piece").alias("n")).distinct().collect()]).cast("array<int>")  # no more than the longest name has characters
+    lowered = tests.select("name", F.lower("name").alias("low")).distinct().where("low IS NOT NULL")
+    fitting = F.filter(lengths, lambda k: k <= F.length("low"))
+    pieces = F.transform(fitting, lambda k: F.transform(F.sequence(F.lit(1), F.length("low") - k + 1), lambda i: F.col("low").substr(i, k)))
+    pairs = lowered.select("name", F.explode(F.array_distinct(F.flatten(pieces))).alias("piece")).join(names, "piece").where(F.col("other") != F.col("name"))
+    hits = pairs.groupBy("name").agg(F.min_by("other", F.struct("otherOrd", "other")).alias("targetSymbol"))
+    return tests.join(hits, "name", "left").orderBy("ord").select(F.col("filePath").alias("testFile"), F.col("name").alias("testSymbol"), "targetSymbol", "framework")
 
 
 def index_group(group: Column, label: Column) -> Column:

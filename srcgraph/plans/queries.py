@@ -279,9 +279,9 @@ def health_check(spark, d):
 @query("SELECT id, testSymbol, targetSymbol, framework FROM (SELECT DISTINCT s.id, s.name AS testSymbol, first_value(o.name) OVER (PARTITION BY s.id ORDER BY o.ord NULLS LAST) AS targetSymbol, 'jest / node:test / vitest' AS framework FROM symbols s LEFT JOIN (SELECT name, min(ord) AS ord FROM t GROUP BY name) o ON o.name <> s.name AND contains(lower(s.name), lower(o.name)) WHERE s.kind = 'class')", _SYMBOLS, "t AS (SELECT * FROM symbols WHERE kind = 'class' UNION ALL SELECT 'x', '', r_name, '', 1, r_regionkey FROM region UNION ALL SELECT 'y', '', right(s_name, 2), '', 1, 50 + s_suppkey FROM supplier WHERE s_suppkey > 9)")
 def test_symbol_link(spark, d):
     s = td.snapshot(spark, d)
-    one = s.symbols.where("kind = 'class'").withColumn("filePath", F.concat(F.lit("tests/"), "id", F.lit(".ts")))
+    one = s.symbols.withColumn("filePath", F.concat(F.lit("tests/"), "id", F.lit(".ts")))
     two = td.read(spark, d, "region").select(F.col("r_name").alias("name"), F.col("r_regionkey").cast("long").alias("ord"))
-    three = td.read(spark, d, "supplier").where("s_suppkey > 9").select(F.right("s_name", F.lit(2)).alias("name"), (F.col("s_suppkey") + 50).alias("ord"))
+    three = td.read(spark, d, "supplier").select(F.right("s_name", F.lit(2)).alias("name"), (F.col("s_suppkey") + 50).alias("ord"))
     others = two.unionByName(three).select(F.lit("o").alias("id"), F.lit("lib/x.ts").alias("filePath"), "name", "ord")
     out = reports.test_links(s.with_(symbols=one.select("id", "filePath", "name", "ord").unionByName(others)))
     return out.select(F.regexp_extract("testFile", "tests/(.*).ts", 1).alias("id"), "testSymbol", "targetSymbol", "framework")

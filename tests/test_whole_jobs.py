@@ -11,6 +11,7 @@ TABLES = {
     "supplier": ("s_suppkey long, s_name string, s_nationkey int", [(1, "s", 0)]),
     "nation": ("n_nationkey int, n_name string", [(0, "N")]),
     "lineitem": ("l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_returnflag string, l_discount double", [(1, 1, 1, 1, "A", 0.1)]),
+    "region": ("r_regionkey int, r_name string", [(0, "ASIA")]),
     "conversations": ("conv_id long, turn int, text string", [(0, 0, "x")]),
     "embeddings": ("vec_id long, label string, embedding array<float>", [(0, "x", [1.0])]),
 }
@@ -57,3 +58,15 @@ def test_query_intent_reads_whole_texts(spark, tmp_path):
     rows = [(i, 0, "lorem " * 300 + tail) for i, (tail, _) in tails.items()] + [(55, 0, None), (66, 0, "  ")]
     got = {r.conv_id: r.kind for r in q.query_intent(spark, write(spark, tmp_path / "t", conversations=rows)).collect()}
     assert got == {i: kind for i, (_, kind) in tails.items()} | {55: "semantic", 66: "semantic"}
+
+
+def test_symbol_link_takes_all_symbols(spark, tmp_path):
+    parts = [(i, name, "B#1", "T", 1) for i, name in enumerate(["red widget", "Red", "old asia red widget", "blue", "get", "old asia red widget", "x03", "", "RED"], 1)]
+    suppliers = [(k, f"Supplier#{k:09d}", 0) for k in (3, 9, 12, 120)]
+    names = [(f"P{k}", n, k) for k, n, *_ in parts] + [(f"S{k}", n, 100_000_000 + k) for k, n, _ in suppliers]
+    others = {}
+    for n, ord_ in [(n, o) for _, n, o in names] + [("ASIA", 0)] + [(n[-2:], 50 + k) for k, n, _ in suppliers]:
+        others[n] = min(ord_, others.get(n, ord_))
+    first = lambda n: min(((o, x) for x, o in others.items() if x != n and x.lower() in n.lower()), default=(0, None))[1]
+    got = q.test_symbol_link(spark, write(spark, tmp_path / "t", part=parts, supplier=suppliers)).collect()
+    assert {r.id: (r.testSymbol, r.targetSymbol) for r in got} == {i: (n, first(n)) for i, n, _ in names} and len(got) == len(names)
