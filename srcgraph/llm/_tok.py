@@ -2,10 +2,8 @@
 
 Everything works on UTF-8 bytes: the word patterns of the operators only name
 ASCII characters, so a byte table classifies exactly and multi-byte characters
-always stay inside words.  A word's hash is a polynomial over its bytes taken
-from one prefix sum per chunk, a window's hash a polynomial over word hashes;
-both are independent of position.  Hashes only nominate candidates: operators
-confirm on the words themselves or on a second, independent hash.
+always stay inside words.  Hashes of words and of windows only nominate:
+operators confirm on the bytes of the words themselves, with `same_bytes`.
 """
 
 from __future__ import annotations
@@ -56,42 +54,78 @@ FOLD = np.arange(256, dtype=np.uint8)
 FOLD[0x41:0x5B] += 0x20
 
 
+#: Keeps the first n bytes of a little-endian 64-bit number.
+_FIRST_BYTES = np.array([(1 << (8 * n)) - 1 for n in range(9)], dtype=np.uint64)
+
+
+def pieces(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of buf as one number; beyond the end are zeros."""
+    data = np.zeros(len(buf) + 8, dtype=np.uint8)
+    data[: len(buf)] = buf
+    return np.ndarray(len(buf) + 1, dtype="<u8", buffer=data, strides=(1,))
+
+
+def same_bytes(wide: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """True where the `length` bytes from a are those from b; wide: pieces() of their buffer."""
+    out = np.ones(len(a), dtype=bool)
+    left, at = np.flatnonzero(length > 0), 0
+    while len(left):
+        keep = _FIRST_BYTES[np.minimum(length[left] - at, 8)]
+        equal = (wide[a[left] + at] ^ wide[b[left] + at]) & keep == 0
+        out[left[~equal]] = False
+        at += 8
+        left = left[equal & (length[left] > at)]
+    return out
+
+
 class Hasher:
-    """One family of word and window hashes, fixed by its seed."""
+    """One family of word and window hashes, fixed by its seed.
+
+    A word's pieces of eight bytes are each mixed with a key of their position
+    before they are added, and a window's words are multiplied by a random odd
+    number for each position: no sum of equal terms cancels, whatever the pattern
+    in which words or bytes repeat.
+    """
 
     def __init__(self, seed: int):
         self.seed = seed
-        self.base = int(seeded(seed, 1)[0]) | 1
-        self.bytes = seeded(seed + 1, 256)
-        self.step = int(seeded(seed + 2, 1)[0]) | 1
-        self._powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-    def powers(self, base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """base^i and base^-i for i up to n."""
-        have = self._powers.get(base)
-        if have is None or len(have[0]) <= n:
-            size = max(1 << 12, 1 << int(n + 1).bit_length())
-            with np.errstate(over="ignore"):
-                up, down = (np.full(size, _U(b), dtype=np.uint64) for b in (base, pow(base, -1, 1 << 64)))
-                up[0] = down[0] = 1
-                have = self._powers[base] = (np.multiply.accumulate(up), np.multiply.accumulate(down))
-        return have
-
-    def sums(self, values: np.ndarray, base: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        up, down = self.powers(base, len(values))
-        total = np.zeros(len(values) + 1, dtype=np.uint64)
-        np.cumsum(values * down[: len(values)], out=total[1:])
-        return (total[end] - total[start]) * up[start]
+        self.salt = int(seeded(seed, 1)[0])
+        self.factors = seeded(seed + 1, 64) | _U(1)
+
+    def _key(self, k: np.ndarray | int) -> np.ndarray:
+        return mix64(_U(self.salt) + np.asarray(k, dtype=np.uint64) * _U(_GOLDEN))
 
     def words(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray, fold: np.ndarray | None) -> np.ndarray:
-        table = self.bytes if fold is None else self.bytes[fold]
-        raw = self.sums(table[buf], self.base, start, end)
-        return mix64(raw + (end - start).astype(np.uint64) * _U(_GOLDEN))
+        wide, length = pieces(buf if fold is None else fold[buf]), end - start
+        with np.errstate(over="ignore"):
+            total = mix64((wide[start] & _FIRST_BYTES[np.minimum(length, 8)]) ^ self._key(0))
+            long = np.flatnonzero(length > 8)
+            if len(long):
+                more = (length[long] - 1) // 8
+                owner = np.repeat(np.arange(len(long)), more)
+                first = np.cumsum(more) - more
+                k = np.arange(len(owner)) - first[owner] + 1
+                keep = _FIRST_BYTES[np.minimum(length[long][owner] - 8 * k, 8)]
+                total[long] += np.add.reduceat(mix64((wide[start[long][owner] + 8 * k] & keep) ^ self._key(k)), first)
+            return mix64(total + length.astype(np.uint64) * _U(_GOLDEN))
 
     def windows(self, words: np.ndarray, start: np.ndarray, k: np.ndarray | int) -> np.ndarray:
         """Of k consecutive words from each start."""
-        raw = self.sums(words, self.step, start, start + k)
-        return mix64(raw + np.asarray(k, dtype=np.uint64) * _U(_GOLDEN))
+        if not np.isscalar(k):
+            out = np.zeros(len(start), dtype=np.uint64)
+            for n in np.unique(k).tolist():
+                out[k == n] = self.windows(words, start[k == n], n)
+            return out
+        size = len(words) - k + 1
+        if size <= 0 or not len(start):
+            return np.zeros(len(start), dtype=np.uint64)
+        with np.errstate(over="ignore"):
+            if k > len(self.factors):
+                self.factors = seeded(self.seed + 1, 2 * k) | _U(1)
+            raw = words[:size] * self.factors[0]
+            for j in range(1, k):
+                raw += words[j : j + size] * self.factors[j]
+            return mix64(raw + _U(k) * _U(_GOLDEN))[start]
 
 
 @dataclass
@@ -112,12 +146,23 @@ class Chunk:
     def text(self, i: int, j: int) -> list[bytes]:
         return [self.buf[s:e].tobytes() for s, e in zip(self.start[i:j], self.end[i:j])]
 
+    def spaced(self) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """The bytes with one blank for whatever stands between two words of a row, and where words then start and end."""
+        inside = np.zeros(len(self.buf) + 1, dtype=np.int8)
+        np.add.at(inside, self.start, 1)
+        np.add.at(inside, self.end, -1)
+        word = np.cumsum(inside[:-1]) > 0
+        keep = word.copy()
+        keep[1:] |= word[:-1]
+        place = np.concatenate(([0], np.cumsum(keep)))
+        return np.where(word, self.buf, np.uint8(0x20))[keep].tobytes(), place[self.start], place[self.end - 1] + 1
+
 
 def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and row offsets; a null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.fill_null("") if column.null_count else column
+    column = column.fill_null(b"" if pa.types.is_binary(column.type) else "") if column.null_count else column
     if len(column) == 0:
         return np.zeros(0, dtype=np.uint8), np.zeros(1, dtype=np.int64)
     wide = pa.types.is_large_string(column.type)

@@ -8,23 +8,38 @@ from pyspark.sql import functions as F
 from ._store import Scratch
 
 
+#: A node with more links than this is joined by a broadcast of such nodes (at most two in so many links), up to BROADCAST_ROWS of them.
+HEAVY, BROADCAST_ROWS = 1024, 500_000
+
+
+def _with_least(rows: DataFrame, least: DataFrame) -> DataFrame:
+    """Rows (u, v) with the m of their u. Those of heavy nodes stay where they are."""
+    heavy = least.where(F.col("c") > HEAVY).select("u", "m")
+    some = heavy.count()
+    if not 0 < some <= BROADCAST_ROWS:
+        return rows.join(least.select("u", "m"), "u")
+    light = rows.join(F.broadcast(heavy.select("u")), "u", "left_anti").join(least.where(F.col("c") <= HEAVY).select("u", "m"), "u")
+    return light.unionByName(rows.join(F.broadcast(heavy), "u"))
+
+
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, comp) of every linked node, comp being the least node it reaches. links: (a, b), long.
 
-    Links stay in shared tables; each round joins them with one minimum per
-    node, so a node with very many links is one partial row per task.
+    Links stay in shared tables; each round takes one minimum per node, from
+    partial minima, so a node with very many links is one partial row per task.
     """
     down = lambda df: df.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges = scratch.write(down(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "links")
     mark = _mark(edges)
     while mark[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = down(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        low = scratch.write(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("c")), "low")
+        large = scratch.write(down(_with_least(both, low).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))), "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v"))
         fresh = scratch.write(down(small), "links")
-        scratch.drop(edges)
+        for old in (edges, low, large):
+            scratch.drop(old)
         edges, old, mark = fresh, mark, _mark(fresh)
         if old == mark:
             break

@@ -18,7 +18,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StringType, StructType
 
-from ._store import bound_batches
 
 WINDOW = 3
 #: Characters in a window that begin the text on a page that marks no article.
@@ -172,7 +171,6 @@ def extract(pages: DataFrame, html_col: str = "html", out_col: str = "text") ->
 
     Pages are independent: no shuffle, whole pages whatever their length. Malformed markup never fails.
     """
-    bound_batches(pages.sparkSession)
     names = [c for c in pages.columns if c != out_col]
     rows = pages.select(*names)
     where = names.index(html_col)

@@ -3,11 +3,11 @@
 A window is 13 consecutive words. Its fingerprint is the least hash of the nine
 5-word grams in it, so neighbouring windows mostly share theirs and equal
 windows always do. Each batch of documents leaves one immutable run of
-(fingerprint, document), sorted within hash buckets; runs are merge-joined
-without a shuffle, and compaction folds them into document counts per
-fingerprint. Windows under a fingerprint of two or more documents are verified
-by an independent hash of all their words. Fingerprints in very many documents
-go another way, with partial minima ahead of the shuffle.
+(fingerprint, document, windows), sorted within hash buckets; runs are
+merge-joined without a shuffle, and compaction folds them into one. Windows
+under a fingerprint of two or more documents are then compared by their words.
+Fingerprints of very many windows go another way, with partial minima ahead of
+the shuffle.
 """
 
 from __future__ import annotations
@@ -16,17 +16,24 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
-from ._store import Scratch, bound_batches, partitions, without
-from ._tok import BLANK_SEPARATED, Hasher, chunks, sliding_min, window_starts
+from ._store import WHILE_WRITING, Folder, Scratch, partitions, settings, shared_dir, without
+from ._tok import BLANK_SEPARATED, Hasher, chunks, pieces, same_bytes, sliding_min, string_bytes, window_starts
 
 WINDOW, GRAM = 13, 5
-#: A fingerprint in at least so many documents is frequent. Below, one fingerprint's windows are held in a task at once, some 5 MB.
-FREQUENT = 50_000
+#: A fingerprint of so many windows is frequent. Below, its windows are held in one task: some 25 bytes of words and 40 of
+#: numbers each, so 13 MB.
+FREQUENT = 200_000
+#: Windows of one row between tasks at most.
+ROW_WINDOWS = 64
+#: Least identifiers of frequent windows that may be broadcast (some 200 bytes each).
+BROADCAST_ROWS = 100_000
 BATCHES = 2
+#: Runs from which on an index compacts by itself.
+FAN = 8
 _GRAMS, _WINDOWS = Hasher(57), Hasher(91)
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -43,7 +50,7 @@ def _least_grams(c, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 def _fingerprints(batches):
-    """Distinct (fingerprint, id)."""
+    """Distinct (fingerprint, id), with the number of windows."""
     for batch in batches:
         ids = batch.column(0).to_numpy()
         for c in chunks(batch.column(1), BLANK_SEPARATED):
@@ -54,48 +61,117 @@ def _fingerprints(batches):
             print_, owner = print_[order], owner[order]
             fresh = np.ones(len(print_), dtype=bool)
             fresh[1:] = (print_[1:] != print_[:-1]) | (owner[1:] != owner[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(print_[fresh].view(np.int64)), pa.array(ids[c.row + owner[fresh]])], names=["print", "id"])
+            first = np.flatnonzero(fresh)
+            many = np.diff(np.append(first, len(print_)))
+            yield pa.RecordBatch.from_arrays([pa.array(print_[first].view(np.int64)), pa.array(ids[c.row + owner[first]]), pa.array(many)], names=["print", "id", "windows"])
 
 
 class RunIndex:
-    """Sorted runs of (print, id) in bucketed tables of the warehouse."""
+    """Sorted runs of (print, id, windows), in bucketed tables of a folder.
 
-    def __init__(self, spark, buckets: int):
-        self.spark, self.buckets, self.runs = spark, buckets, []
-        self.name = f"prints_{uuid.uuid4().hex[:12]}"
-
-    def append(self, rows: DataFrame) -> None:
-        """Flushes a batch as a run."""
-        table = f"{self.name}_{len(self.runs)}"
-        dealt = rows.repartition(self.buckets, "print")
-        dealt.write.format("parquet").bucketBy(self.buckets, "print").sortBy("print").saveAsTable(table)
-        self.runs.append(table)
+    A stored index (`path`) is opened again by its path, takes further batches
+    and then answers as one batch of all would; it keeps the documents of each
+    batch beside its run. Without a path the index is in a folder of its own,
+    which close() deletes, and the caller keeps the documents.
+    """
 
-    def compacted(self) -> DataFrame:
-        """(print, docs) over all runs: each is counted within its buckets, then merge-joined with the history."""
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
+        self.spark, self.stored = spark, path is not None
+        self.path = path or f"{shared_dir(spark)}/prints-{uuid.uuid4().hex[:12]}"
+        self.name = f"prints_{uuid.uuid4().hex[:12]}"
+        # A run is run-NUMBER-BUCKETS; one that a compaction has superseded is gone, and one without a mark of success doesn't count.
+        found = [n for n in Folder(spark, self.path).names() if n.startswith("run-") and "_SUCCESS" in Folder(spark, f"{self.path}/{n}").names()]
+        self.buckets = int(found[0].rsplit("-", 1)[1]) if found else buckets or partitions(spark)
+        self.runs: dict[str, str] = {}
+        for run in found:
+            self._register(run)
+
+    def _register(self, run: str) -> None:
+        table = f"{self.name}_{run.split('-')[1]}"
+        self.spark.sql(f"CREATE TABLE {table} (print BIGINT, id BIGINT, windows BIGINT) USING parquet CLUSTERED BY (print) SORTED BY (print) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{run}'")
+        self.runs[run] = table
+
+    def _write(self, rows: DataFrame, table: str, place: str) -> None:
+        with settings(self.spark, WHILE_WRITING):
+            rows.repartition(self.buckets, "print").write.format("parquet").bucketBy(self.buckets, "print").sortBy("print").option("path", f"{self.path}/{place}").saveAsTable(table)
+
+    def _flush(self, rows: DataFrame) -> None:
+        number = 1 + max((int(r.split("-")[1]) for r in self.runs), default=0)
+        run = f"run-{number:06d}-{self.buckets}"
+        table = f"{self.name}_{number:06d}"
+        self._write(rows, table, run)
+        self.runs[run] = table
+
+    def append(self, docs: DataFrame) -> None:
+        """Flushes a batch (id, text) as a run."""
+        if self.stored:
+            with settings(self.spark, WHILE_WRITING):
+                docs.select("id", "text").write.mode("append").parquet(f"{self.path}/documents")
+        self._flush(docs.select("id", "text").mapInArrow(_fingerprints, "print long, id long, windows long"))
+        if self.stored and len(self.runs) >= FAN:
+            self.compact()
+
+    def documents(self) -> DataFrame:
+        return self.spark.read.schema("id long, text string").parquet(f"{self.path}/documents")
+
+    def compact(self) -> None:
+        """Merges all runs into one."""
+        old, rows = dict(self.runs), None
+        for table in old.values():
+            rows = self.spark.table(table) if rows is None else rows.unionByName(self.spark.table(table))
+        if len(old) > 1:
+            self._flush(rows.groupBy("print", "id").agg(F.max("windows").alias("windows")))
+            for run, table in old.items():
+                self.spark.sql(f"DROP TABLE {table}")
+                Folder(self.spark, f"{self.path}/{run}").delete()
+                del self.runs[run]
+
+    def counts(self) -> DataFrame:
+        """(print, docs, windows) over all runs: each is counted within its buckets, then merge-joined with the history."""
         history = None
-        for run in self.runs:
-            counts = self.spark.table(run).groupBy("print").agg(F.count("*").alias("docs"))
+        for table in self.runs.values():
+            counts = self.spark.table(table).groupBy("print").agg(F.count("*").alias("docs"), F.sum("windows").alias("windows"))
             if history is None:
                 history = counts
             else:
-                new = counts.withColumnRenamed("docs", "more")
-                history = history.hint("merge").join(new, "print", "full_outer").select("print", (F.coalesce("docs", F.lit(0).cast("long")) + F.coalesce("more", F.lit(0).cast("long"))).alias("docs"))
+                both = history.hint("merge").join(counts.withColumnsRenamed({"docs": "docs2", "windows": "windows2"}), "print", "full_outer")
+                add = lambda a: (F.coalesce(a, F.lit(0).cast("long")) + F.coalesce(f"{a}2", F.lit(0).cast("long"))).alias(a)
+                history = both.select("print", add("docs"), add("windows"))
         return history
 
-    def repeated(self) -> DataFrame:
-        """The bucketed table of fingerprints of at least two documents."""
-        table = f"{self.name}__sg_repeated"
-        self.compacted().where("docs > 1").write.format("parquet").bucketBy(self.buckets, "print").sortBy("print").saveAsTable(table)
-        return self.spark.table(table)
+    def hits(self) -> DataFrame:
+        """(id, hits): the fingerprints of each document that another has too, and whether they are frequent."""
+        if not self.runs:
+            return self.spark.createDataFrame([], "id long, hits array<struct<print: bigint, often: boolean>>")
+        table = f"{self.name}_repeated"
+        self._write(self.counts().where("docs > 1").select("print", (F.col("windows") >= FREQUENT).alias("often")), table, "repeated")
+        out = None
+        for run in self.runs.values():
+            part = self.spark.table(run).select("print", "id").hint("merge").join(self.spark.table(table), "print").select("id", F.struct("print", "often").alias("hit"))
+            out = part if out is None else out.unionByName(part)
+        return out.groupBy("id").agg(F.collect_set("hit").alias("hits"))
+
+    def forget(self) -> None:
+        """Drops what hits() has written."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_repeated")
+        Folder(self.spark, f"{self.path}/repeated").delete()
+
+    def __enter__(self) -> RunIndex:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.close()
 
     def close(self) -> None:
-        for table in [*self.runs, f"{self.name}__sg_repeated"]:
+        self.forget()
+        for table in self.runs.values():
             self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        if not self.stored:
+            Folder(self.spark, self.path).delete()
 
 
 def _candidates(batches):
-    """Runs of windows under one repeated fingerprint: (print, id, text print, first window, window hashes, frequent)."""
+    """Windows under one repeated fingerprint: (print, id, text print, first window, words one blank apart, frequent)."""
     for batch in batches:
         ids, marks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         lists = batch.column(3)
@@ -105,30 +181,32 @@ def _candidates(batches):
         bounds = np.concatenate(([0], np.cumsum(sizes)))
         for c in chunks(batch.column(2), BLANK_SEPARATED):
             start, owner, print_ = _least_grams(c, _GRAMS.words(c.buf, c.start, c.end, None))
-            if not len(start):
-                continue
             lo, hi = bounds[c.row], bounds[c.row + c.rows]
+            if not len(start) or lo == hi:
+                continue
+            # One sorted list for all rows: a row's fingerprints are shifted by a number of its own.
             known = prints[lo:hi] + np.repeat(np.arange(c.rows), sizes[c.row : c.row + c.rows]).astype(np.uint64) * _SPREAD
             order = np.argsort(known)
             sought = print_ + owner.astype(np.uint64) * _SPREAD
-            if not len(known):
-                continue
             spot = np.minimum(np.searchsorted(known[order], sought), len(known) - 1)
             hit = known[order][spot] == sought
             if not hit.any():
                 continue
-            windows = _WINDOWS.windows(_WINDOWS.words(c.buf, c.start, c.end, None), start[hit], WINDOW)
             s, o, p, f = start[hit], owner[hit], print_[hit], often[lo:hi][order][spot[hit]]
             new = np.ones(len(s), dtype=bool)
             new[1:] = (s[1:] != s[:-1] + 1) | (o[1:] != o[:-1]) | (p[1:] != p[:-1])
+            run = np.flatnonzero(new)
+            new[np.arange(len(s)) - run[np.cumsum(new) - 1] & (ROW_WINDOWS - 1) == 0] = True
             first = np.flatnonzero(new)
+            last = np.append(first[1:], len(s)) - 1
+            text, begin, end = c.spaced()
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(p[first].view(np.int64)), pa.array(ids[c.row + o[first]]), pa.array(marks[c.row + o[first]]),
                     pa.array((s[first] - c.first[o[first]]).astype(np.int32)),
-                    pa.ListArray.from_arrays(pa.array(np.append(first, len(s)).astype(np.int32)), pa.array(windows.view(np.int64))), pa.array(f[first]),
+                    pa.array([text[a:b] for a, b in zip(begin[s[first]].tolist(), end[s[last] + WINDOW - 1].tolist())], pa.binary()), pa.array(f[first]),
                 ],
-                names=["print", "id", "mark", "at", "windows", "often"],
+                names=["print", "id", "mark", "at", "words", "often"],
             )
 
 
@@ -151,22 +229,36 @@ def _judge(batches):
 
 
 def _ranges(rows: pa.Table):
-    lists = rows["windows"].combine_chunks()
-    if isinstance(lists, pa.ChunkedArray):
-        lists = lists.chunk(0)
-    sizes = np.diff(lists.offsets.to_numpy())
-    windows = lists.flatten().to_numpy()
-    owner = np.repeat(np.arange(len(rows)), sizes)
+    column = rows["words"].combine_chunks()
+    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    data, offsets = string_bytes(column)
+    parts = []
+    for c in chunks(column, BLANK_SEPARATED):
+        start, owner = window_starts(c.first, WINDOW)
+        hashes = _WINDOWS.windows(_WINDOWS.words(c.buf, c.start, c.end, None), start, WINDOW)
+        parts.append((hashes, c.row + owner, start - c.first[owner], offsets[c.row] + c.start[start], offsets[c.row] + c.end[start + WINDOW - 1]))
+    hashes, owner, nth, begin, end = (np.concatenate(x) for x in zip(*parts))
     prints, ids, at = rows["print"].to_numpy(), rows["id"].to_numpy(), rows["at"].to_numpy()
-    order = np.lexsort((windows, prints[owner]))
-    w, p = windows[order], prints[owner][order]
-    new = np.ones(len(w), dtype=bool)
-    new[1:] = (w[1:] != w[:-1]) | (p[1:] != p[:-1])
-    least = np.minimum.reduceat(ids[owner][order], np.flatnonzero(new))
-    hit = np.zeros(len(w), dtype=bool)
-    hit[order] = ids[owner][order] > least[np.cumsum(new) - 1]
-    start = np.arange(len(w)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + at[owner]
-    s, o = start[hit], owner[hit]
+    order = np.lexsort((hashes, prints[owner]))
+    h, p, b, e = hashes[order], prints[owner][order], begin[order], end[order]
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = (h[1:] != h[:-1]) | (p[1:] != p[:-1])
+    again = np.flatnonzero(~new)
+    size = e - b
+    wide = pieces(data)
+    alike = (size[again] == size[again - 1]) & same_bytes(wide, b[again], b[again - 1], np.minimum(size[again], size[again - 1]))
+    if alike.all():
+        least = np.minimum.reduceat(ids[owner][order], np.flatnonzero(new))
+        hit = np.zeros(len(h), dtype=bool)
+        hit[order] = ids[owner][order] > least[np.cumsum(new) - 1]
+    else:
+        # Different words under one hash: they are told apart by the words themselves.
+        words = [data[x:y].tobytes() for x, y in zip(begin, end)]
+        lowest: dict = {}
+        for word, i in zip(words, ids[owner].tolist()):
+            lowest[word] = min(lowest.get(word, i), i)
+        hit = ids[owner] > np.array([lowest[word] for word in words])
+    s, o = (nth + at[owner])[hit], owner[hit]
     if not len(s):
         return
     opens = np.ones(len(s), dtype=bool)
@@ -177,44 +269,60 @@ def _ranges(rows: pa.Table):
     yield pa.RecordBatch.from_arrays([pa.array(ids[o[first]]), pa.array(marks[o[first]]), pa.array(s[first].astype(np.int32)), pa.array((s[last] + WINDOW).astype(np.int32))], names=["id", "mark", "lo", "hi"])
 
 
-def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES) -> DataFrame:
-    """(id, mark, ranges) of documents with words to remove; mark is xxhash64 of the text, ranges an array of (lo, hi) in words."""
-    spark = docs.sparkSession
-    bound_batches(spark)
-    scratch = Scratch(spark, "substring")
-    rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    index = RunIndex(spark, partitions(spark))
-    for batch in range(batches):
-        part = rows.where(F.pmod(F.xxhash64("id"), F.lit(batches)) == batch)
-        index.append(part.mapInArrow(_fingerprints, "print long, id long"))
-        scratch.release()
-    repeated = index.repeated()
-    hits = None
-    for run in index.runs:
-        part = spark.table(run).hint("merge").join(repeated, "print").select("id", F.struct("print", (F.col("docs") >= FREQUENT).alias("often")).alias("hit"))
-        hits = part if hits is None else hits.unionByName(part)
-    hits = scratch.write(hits.groupBy("id").agg(F.collect_set("hit").alias("hits")), "hits")
-    index.close()
-    scratch.release()
+def judged(index: RunIndex, rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, mark, ranges) of the documents (id, text) of all batches of an index that have words to remove."""
+    spark = rows.sparkSession
+    hits = scratch.write(index.hits(), "hits")
+    index.forget()
     texts = rows.join(hits, "id").select("id", F.xxhash64("text").alias("mark"), "text", "hits")
-    found = scratch.write(texts.mapInArrow(_candidates, "print long, id long, mark long, at int, windows array<long>, often boolean"), "candidates", ("often",))
-    scratch.release()
-    rare = found.where("NOT often").select("print", "id", "mark", "at", "windows").repartition(partitions(spark), "print").sortWithinPartitions("print")
+    found = scratch.write(texts.mapInArrow(_candidates, "print long, id long, mark long, at int, words binary, often boolean"), "candidates")
+    scratch.drop(hits)
+    rare = found.where("NOT often").select("print", "id", "mark", "at", "words").repartition(partitions(spark), "print").sortWithinPartitions("print")
     ranges = rare.mapInArrow(_judge, "id long, mark long, lo int, hi int")
-    frequent = found.where("often").select("print", "id", "mark", "at", F.posexplode("windows").alias("k", "window"))
-    least = frequent.groupBy("print", "window").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").drop("most")
-    later = frequent.join(least, ["print", "window"]).where("id > least")
+    words = F.split(F.col("words").cast("string"), " ")
+    frequent = found.where("often").select("id", "mark", "at", words.alias("words"))
+    each = F.transform(F.sequence(F.lit(1), F.size("words") - (WINDOW - 1)), lambda k: F.array_join(F.slice("words", k, WINDOW), " "))
+    frequent = frequent.select("id", "mark", "at", F.posexplode(each).alias("k", "window"))
+    least = scratch.write(frequent.groupBy("window").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").drop("most"), "least")
+    later = frequent.join(F.broadcast(least) if least.count() <= BROADCAST_ROWS else least, "window").where("id > least")
     ranges = ranges.unionByName(later.select("id", "mark", (F.col("at") + F.col("k")).alias("lo"), (F.col("at") + F.col("k") + WINDOW).alias("hi")))
     return scratch.write(ranges.groupBy("id", "mark").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")), "ranges")
 
 
+def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+
+
+def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES) -> DataFrame:
+    """(id, mark, ranges) of documents with words to remove; mark is xxhash64 of the text, ranges an array of (lo, hi) in words."""
+    spark = docs.sparkSession
+    rows = _documents(docs, id_col, text_col)
+    with Scratch(spark, "substring") as scratch, RunIndex(spark) as index:
+        for batch in range(batches):
+            index.append(rows.where(F.pmod(F.xxhash64("id"), F.lit(batches)) == batch))
+        return scratch.keep(judged(index, rows, scratch))
+
+
+def add_batch(spark: SparkSession, path: str, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Adds a batch to the stored index at `path` and returns (id, mark, ranges) over the documents of all batches, as one batch of all would give.
+
+    Documents that come with larger identifiers than those before change none of the earlier answers.
+    """
+    with Scratch(spark, "substring") as scratch, RunIndex(spark, path) as index:
+        index.append(_documents(docs, id_col, text_col))
+        return scratch.keep(judged(index, index.documents(), scratch))
+
+
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES) -> DataFrame:
     """The input's rows and columns, with n_words, n_removed and kept_text (kept words joined by one space).
 
     A word goes when a window of 13 words over it also starts in a document with
-    a smaller identifier; windows are judged on the input. A null text has no
-    words and an empty kept_text; rows with a null identifier are kept whole.
-    Rows that repeat under one identifier are one document, which never repeats itself.
+    a smaller identifier (an integer); windows are judged on the input, whole
+    texts of any length. A null text has no words and an empty kept_text, as has
+    an empty one; rows with a null identifier are kept whole. Rows that repeat
+    under one identifier are one document, which never repeats itself. An empty
+    table gives an empty result. Further columns stay, but columns of the added
+    names are replaced.
     """
     docs = without(docs, "n_words", "n_removed", "kept_text")
     names = docs.columns

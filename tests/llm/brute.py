@@ -106,3 +106,11 @@ def removed_lines(rows, k=3):
             seen.add(window)
         out[i] = sorted(gone)
     return out
+
+
+def thue_morse(n=12):
+    """Two complementary words over a and b, of 2^n characters: equal under any polynomial hash modulo a power of two."""
+    word = "a"
+    for _ in range(n):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))

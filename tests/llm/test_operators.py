@@ -4,6 +4,7 @@ import random
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from srcgraph.llm import components, decontaminate, exact_dedup, html_text, language, line_dedup, mixing, near_dedup, secrets, substring_dedup, url_filter
@@ -108,6 +109,44 @@ def test_near_large_buckets_in_blocks(spark, monkeypatch):
     assert got == want
 
 
+def test_near_of_many_that_share_most_words(spark, monkeypatch):
+    """Large buckets whose members aren't all linked: by rare shingles, by pairs and by blocks."""
+    r = random.Random(6)
+    shared = [f"s{i}" for i in range(60)]
+    rows = [(i, " ".join(shared + [f"own{i % 40}x{k}" for k in range(18)] + [f"y{r.randrange(4)}" for _ in range(r.randint(0, 9))])) for i in range(120)]
+    want = brute.near_groups(rows)
+    for small, block in ((2, 4), (8, 300)):
+        monkeypatch.setattr(near_dedup, "SMALL_BUCKET", small)
+        monkeypatch.setattr(near_dedup, "BLOCK", block)
+        monkeypatch.setattr(components, "HEAVY", 3)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_groups(frame(spark, rows)).collect()}
+        assert got == want
+
+
+def test_near_confirms_on_words(spark, monkeypatch):
+    a, b = brute.thue_morse()
+    rows = [(1, f"{a} p q"), (2, f"{b} p q"), (3, f"{a} p q")]
+    want = {1: (1, 1), 2: (1, 2), 3: (1, 1)}
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_groups(frame(spark, rows)).collect()} == want == brute.near_groups(rows)
+    # Of so weak a hash that many different shingles share one, links still follow the words.
+    from srcgraph.llm import _minhash
+
+    hasher = near_dedup._HASHER
+    weak = lambda words, start, k, real=hasher.windows: real(words, start, k) % np.uint64(40)
+    rows = documents(12, 30)[:-1]
+    for texts in (rows,):
+        sets = {}
+        monkeypatch.setattr(hasher, "windows", weak)
+        for i, text in texts:
+            found = next(_minhash.shingle_sets(pa.array([text], pa.string()), hasher))
+            assert found.sizes[0] == len(brute.shingles(text))
+            sets[i] = found.one(0)
+        for i, j in itertools.combinations(sets, 2):
+            x, y = brute.shingles(dict(texts)[i]), brute.shingles(dict(texts)[j])
+            if x and y:
+                assert _minhash.common(sets[i], sets[j]) == (len(x), len(y), len(x & y))
+
+
 def test_circulant_minhash_estimates_similarity():
     from srcgraph.llm._minhash import signatures
     from srcgraph.llm._tok import seeded
@@ -136,13 +175,47 @@ def test_components(spark):
 
 
 def test_substring(spark, monkeypatch):
-    for often in (2000, 3):  # the second sends most windows the way of the frequent
+    for often, rows in ((2000, documents(7)), (3, documents(7)), (2000, documents(14, 60))):  # the second sends most windows the way of the frequent
         monkeypatch.setattr(substring_dedup, "FREQUENT", often)
-        rows = documents(7)
         got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring_dedup.dedup_substrings(frame(spark, rows)).collect()}
         assert got == brute.substring(rows)
 
 
+def test_substring_compares_words(spark):
+    a, b = brute.thue_morse()
+    words = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, f"{words} {a}"), (2, f"{words} {b}"), (3, f"{words}  {a}\n")]
+    got = {r.doc_id: r.n_removed for r in substring_dedup.dedup_substrings(frame(spark, rows)).collect()}
+    assert got == {1: 0, 2: 0, 3: 13}
+
+
+def test_substring_tells_words_of_one_hash_apart(monkeypatch):
+    monkeypatch.setattr(substring_dedup._WINDOWS, "windows", lambda words, start, k: np.zeros(len(start), dtype=np.uint64))
+    texts = [" ".join(f"w{k}" for k in range(i, i + 15)).encode() for i in (0, 1, 2, 0, 40)]
+    rows = pa.table({"print": [5] * 5, "id": [3, 2, 4, 9, 1], "mark": [0] * 5, "at": pa.array([0, 0, 7, 0, 0], pa.int32()), "words": pa.array(texts, pa.binary())})
+    got = {(r["id"], r["lo"], r["hi"]) for batch in substring_dedup._ranges(rows) for r in batch.to_pylist()}
+    # Of 3: windows 1 and 2 also start in 2; of 4: window 0 and 1; of 9: all three.
+    assert got == {(3, 1, 15), (4, 7, 21), (9, 0, 15)}
+
+
+def test_substring_index_takes_further_batches(spark, tmp_path):
+    rows = documents(7, 90)
+    path = f"file://{tmp_path}/index"
+    for part in (rows[:50], rows[50:70], rows[70:]):
+        ranges = substring_dedup.add_batch(spark, path, frame(spark, part))
+    want = {r.id: sorted(map(tuple, r.ranges)) for r in substring_dedup.repeated_ranges(frame(spark, rows)).collect()}
+    covered = lambda spans: {k for lo, hi in spans for k in range(lo, hi)}
+    got = {r.id: covered(r.ranges) for r in ranges.collect()}
+    assert got == {i: covered(spans) for i, spans in want.items()} and want
+    with substring_dedup.RunIndex(spark, path) as index:
+        before = sorted(index.counts().collect())
+        assert len(index.runs) == 3
+        index.compact()
+        assert len(index.runs) == 1 and sorted(index.counts().collect()) == before
+    with substring_dedup.RunIndex(spark, path) as index:
+        assert len(index.runs) == 1 and sorted(index.counts().collect()) == before
+
+
 def test_lines(spark):
     rows = documents(8) + [(500, "a\nb\nc\nd"), (501, "b\nc\nd\ne"), (502, "\n\n\n\n"), (503, "\n\n\n"), (504, "q\nq\nq\nq\nq")]
     want = brute.removed_lines(rows)
