@@ -8,18 +8,17 @@ from pyspark.sql import functions as F
 from ._store import Scratch
 
 
-#: A node with more links than this is joined by a broadcast of such nodes (at most two in so many links), up to BROADCAST_ROWS of them.
+#: A node with more links is heavy. There are at most 2 / HEAVY as many as links, and up to BROADCAST_ROWS are broadcast (16 bytes each).
 HEAVY, BROADCAST_ROWS = 1024, 500_000
 
 
-def _with_least(rows: DataFrame, least: DataFrame) -> DataFrame:
-    """Rows (u, v) with the m of their u. Those of heavy nodes stay where they are."""
-    heavy = least.where(F.col("c") > HEAVY).select("u", "m")
-    some = heavy.count()
-    if not 0 < some <= BROADCAST_ROWS:
+def _with_least(rows: DataFrame, least: DataFrame, links: int) -> DataFrame:
+    """Rows (u, v) with the m of their u, of so many links. Those of heavy nodes stay where they are."""
+    if not HEAVY < links <= BROADCAST_ROWS * HEAVY // 2:
         return rows.join(least.select("u", "m"), "u")
-    light = rows.join(F.broadcast(heavy.select("u")), "u", "left_anti").join(least.where(F.col("c") <= HEAVY).select("u", "m"), "u")
-    return light.unionByName(rows.join(F.broadcast(heavy), "u"))
+    heavy = F.broadcast(least.where(F.col("c") > HEAVY).select("u", "m"))
+    light = rows.join(heavy.select("u"), "u", "left_anti").join(least.where(F.col("c") <= HEAVY).select("u", "m"), "u")
+    return light.unionByName(rows.join(heavy, "u"))
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -33,13 +32,12 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     mark = _mark(edges)
     while mark[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = scratch.write(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("c")), "low")
-        large = scratch.write(down(_with_least(both, low).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))), "large")
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("c"))
+        large = down(_with_least(both, low, mark[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v"))
         fresh = scratch.write(down(small), "links")
-        for old in (edges, low, large):
-            scratch.drop(old)
+        scratch.drop(edges)
         edges, old, mark = fresh, mark, _mark(fresh)
         if old == mark:
             break
