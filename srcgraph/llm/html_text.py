@@ -1,35 +1,34 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped into lines, one per block element. A line weighs as many
-characters as it has outside links and outside regions marked as boilerplate.
-Weights are summed over sliding windows of three lines; the text lies between
-the first surge, where a window exceeds the threshold, and the last dive, where
-the windows fall to nothing; gaps of no weight between stretches are passed over. A page that marks its article narrows the lines to it,
-and then any weight is a surge, so that short paragraphs at its edges stay.
+characters as it has outside links: none where most of it is links or it stands
+in page furniture, a quarter in blocks that are only perhaps furniture, and
+SURGE more in an element that marks the article, beside which other lines weigh
+nothing. Weights are summed over sliding windows of three lines. The text lies
+between the first surge, where a window exceeds SURGE, and the last dive, where
+the windows fall to nothing; stretches in which they have fallen to nothing are
+passed over. So a short paragraph of an article stays, a run of links in it
+goes, and one between its paragraphs stays.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StringType, StructType
 
-
 WINDOW = 3
-#: Characters in a window that begin the text on a page that marks no article.
+#: Characters in a window that begin the text.
 SURGE = 80
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|[^<]+|<",
-    re.S,
-)
-_ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_OTHER = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+_NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_ATTR = re.compile(r"""(?<![a-zA-Z-])([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _SPACE = re.compile(r"\s+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg math object".split())
@@ -38,12 +37,14 @@ _BLOCK = frozenset(
     "hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody tfoot thead tr ul".split()
 )
 _BOILERPLATE = frozenset("head nav aside footer form button select menu dialog label fieldset audio video canvas map".split())
-_MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promotion|banner|nav|navbar|navigation|menu|sidebar|side|footer|foot|"
-    r"masthead|breadcrumb|breadcrumbs|comment|comments|commentlist|reply|replies|respond|disqus|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|share|sharing|"
-    r"social|related|recommended|newsletter|subscribe|subscription|signup|login|search|widget|toolbar|pagination|pager|copyright|legal|disclaimer|hidden)(?:$|[\s_-])",
-    re.I,
+#: Words of class names and identifiers: of furniture, of what may be furniture, and those that say nothing beside them.
+_FURNITURE = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu sidebar footer masthead breadcrumb breadcrumbs "
+    "comment comments commentlist reply replies respond disqus cookie cookies consent gdpr notice notices alert popup modal overlay share sharing social related recommended "
+    "newsletter subscribe subscription signup login search toolbar pagination pager copyright hidden".split()
 )
+_PERHAPS = frozenset("legal disclaimer side foot widget".split())
+_NEUTRAL = frozenset("container wrapper wrap box block list item items left right top bottom main primary secondary inner outer section area body bar link links text title unit slot global site page content thread form".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 
 
@@ -51,42 +52,98 @@ class Line(NamedTuple):
     text: str
     links: int  # characters in links
     tag: str
-    skipped: bool  # in a region marked as boilerplate
-    inside: bool  # in the article
+    skipped: bool  # in furniture
+    perhaps: bool  # in what may be furniture
+    inside: bool  # in an element that marks the article
+
+
+def _kind(names: str) -> int:
+    """2 if a class or identifier names furniture and nothing else, 1 if perhaps, else 0."""
+    best = 0
+    for name in names.lower().split():
+        parts = [x for x in re.split(r"[_-]+", name) if x and not x.isdigit()]
+        if all(x in _FURNITURE or x in _PERHAPS or x in _NEUTRAL for x in parts):
+            best = max([best, *(2 if x in _FURNITURE else 1 if x in _PERHAPS else 0 for x in parts)])
+    return best
+
+
+class _Tags:
+    """Finds where tags end, in a time that grows with the page: a quote that is found to close nowhere is not followed again."""
+
+    def __init__(self, page: str):
+        self.page, self.dead = page, set()
+        self.last = {mark: page.rfind(mark) for mark in "\"'>"}
+
+    def end(self, pos: int) -> int:
+        """The place after the tag whose attributes begin at pos. Where its quotes leave it open, it ends at the next < or >."""
+        page, at, seen = self.page, pos, []
+        while True:
+            found = _SPECIAL.search(page, at) if at <= max(self.last.values()) else None
+            if found is None or found.start() in self.dead:
+                break
+            at = found.start()
+            if page[at] == ">":
+                return at + 1
+            seen.append(at)
+            if at == self.last[page[at]]:
+                break
+            at = page.find(page[at], at + 1) + 1
+        self.dead.update(seen)
+        found = _BRACKET.search(page, pos)
+        return len(page) if found is None else found.end() if found[0] == ">" else found.start()
+
+
+_SPECIAL, _BRACKET = re.compile("[>\"']"), re.compile("[<>]")
 
 
 def _lines(page: str) -> tuple[list[Line], bool]:
-    """Each block in page order, of the article alone where one is marked; and whether one is."""
+    """Each block in page order, and whether an element marks the article."""
     out: list[Line] = []
     parts: list[str] = []
     link_chars = 0
-    stack: list[tuple[str, bool, bool]] = []  # name, boilerplate, article
-    skip = inside = link = 0
+    stack: list[tuple[str, int, bool]] = []  # name, kind of furniture, article
+    depth: Counter = Counter()  # open elements by name
+    tags = _Tags(page)
+    kinds = [0, 0, 0]  # open elements that are no, perhaps and surely furniture
+    inside = 0
     tag, any_article = "", False
 
     def flush():
         nonlocal link_chars, parts
         text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
         if text:
-            out.append(Line(text, link_chars, tag, skip > 0, inside > 0))
+            out.append(Line(text, link_chars, tag, kinds[2] > 0, kinds[1] > 0, inside > 0))
         parts, link_chars = [], 0
 
+    def leave():
+        nonlocal inside
+        name, kind, article = stack.pop()
+        depth[name] -= 1
+        kinds[kind] -= 1
+        inside -= article
+        return name
+
     pos, size = 0, len(page)
     while pos < size:
-        found = _TOKEN.match(page, pos)
-        pos = found.end()
-        name = found["name"]
-        if name is None:
-            piece = found[0]
-            if piece[0] != "<" or piece == "<":
-                parts.append(piece)
-                link_chars += len(piece) if link else 0
-            elif piece.startswith("<![CDATA["):
-                pass
+        if page[pos] != "<":
+            end = page.find("<", pos)
+            end = size if end < 0 else end
+            parts.append(page[pos:end])
+            link_chars += end - pos if depth["a"] > 0 else 0
+            pos = end
             continue
-        name = name.lower()
-        if not found["close"]:
-            attrs = found["attrs"]
+        found = _NAME.match(page, pos)
+        if found is None:
+            other = _OTHER.match(page, pos)
+            if other is None:
+                parts.append("<")
+                link_chars += depth["a"] > 0
+            pos = other.end() if other else pos + 1
+            continue
+        name, begin = found[2].lower(), found.end()
+        pos = tags.end(begin)
+        if not found[1]:
+            attrs = page[begin:pos].removesuffix(">")
             if name in _RAW:
                 if not attrs.endswith("/"):
                     end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, pos)
@@ -101,17 +158,19 @@ def _lines(page: str) -> tuple[list[Line], bool]:
             if name in _VOID or attrs.endswith("/"):
                 continue
             while stack and stack[-1][0] == name == "p" or (stack and name in ("li", "option", "dt", "dd", "tr", "td", "th") and stack[-1][0] == name):
-                _, b, a = stack.pop()
-                skip, inside = skip - b, inside - a
+                leave()
             pairs = {m[0].lower(): m[1] or m[2] or m[3] for m in _ATTR.findall(attrs)} if "=" in attrs else {}
             role = pairs.get("role", "").lower()
             article = name in ("article", "main") or role in ("main", "article") or "articlebody" in pairs.get("itemprop", "").lower()
-            marked = name in _BOILERPLATE or (name == "header" and not inside) or role in _ROLES or "hidden" in attrs.split() or (
-                not article and name not in ("html", "body") and bool(_MARKED.search(f"{pairs.get('class', '')} {pairs.get('id', '')}"))
-            )
-            stack.append((name, marked, article))
-            skip, inside, any_article = skip + marked, inside + article, any_article or (article and skip == 0)
-            link += name == "a"
+            if name in _BOILERPLATE or (name == "header" and not inside) or role in _ROLES or "hidden" in attrs.split():
+                kind = 2
+            else:
+                kind = 0 if article or name in ("html", "body") else _kind(f"{pairs.get('class', '')} {pairs.get('id', '')}")
+            stack.append((name, kind, article))
+            depth[name] += 1
+            kinds[kind] += 1
+            inside += article
+            any_article = any_article or (article and kinds[2] == 0)
             if name in _BLOCK:
                 tag = name
         else:
@@ -119,31 +178,43 @@ def _lines(page: str) -> tuple[list[Line], bool]:
                 flush()
             elif name in ("td", "th"):
                 parts.append(" ")
-            if any(x[0] == name for x in stack):
-                while stack:
-                    x, b, a = stack.pop()
-                    skip, inside, link = skip - b, inside - a, link - (x == "a")
-                    if x == name:
-                        break
+            if depth[name] > 0:
+                while leave() != name:
+                    pass
             if name in _BLOCK:
                 tag = ""
     flush()
-    return ([x for x in out if x.inside], True) if any_article else (out, False)
+    return out, any_article
+
 
+def weights(lines: list[Line], marked: bool) -> list[int]:
+    """What each line adds to the windows it is in."""
+    out = []
+    for line in lines:
+        prose = len(line.text) - line.links
+        if line.skipped or 2 * line.links > len(line.text) or (marked and not line.inside):
+            out.append(0)
+        elif line.perhaps:
+            out.append(-(-prose // 4))
+        else:
+            out.append(prose + SURGE if line.inside else prose)
+    return out
 
-def _stretches(weights: list[int], surge: int) -> list[tuple[int, int]]:
+
+def stretches(weight: list[int], surge: int) -> list[tuple[int, int]]:
     """Lines from each surge to its dive."""
-    n = len(weights)
-    sums = [sum(weights[i : i + WINDOW]) for i in range(n)]
+    n = len(weight)
+    sums = [sum(weight[i : i + WINDOW]) for i in range(n)]
     out, i = [], 0
     while i < n:
         if sums[i] <= surge:
             i += 1
             continue
-        begin = end = next(j for j in range(i, n) if weights[j])
+        begin = end = next(j for j in range(i, n) if weight[j])
         while end < n and sums[end] > 0:
             end += 1
-        out.append((begin, end))
+        last = max(j for j in range(max(begin, end - WINDOW), end) if weight[j]) + 1
+        out.append((begin, last))
         i = end
     return out
 
@@ -153,23 +224,28 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     lines, marked = _lines(page)
-    if marked:
-        weights = [0 if line.skipped else len(line.text) for line in lines]
-        chosen = _stretches(weights, 0)
-    else:
-        weights = [0 if line.skipped or 2 * line.links > len(line.text) else len(line.text) for line in lines]
-        found = _stretches(weights, SURGE) or _stretches(weights, 0)
-        # Links or boxes inside the text part it into stretches: all from the first surge to the last dive is text.
-        chosen = [(found[0][0], found[-1][1])] if found else []
-        # Headings just above the surge belong to the text.
-        chosen = [(begin - next((k for k in range(begin) if not (weights[begin - 1 - k] and lines[begin - 1 - k].tag in ("h1", "h2", "h3"))), begin), end) for begin, end in chosen]
-    return "\n\n".join(lines[i].text for begin, end in chosen for i in range(begin, end) if weights[i])
+    weight = weights(lines, marked)
+    found = stretches(weight, SURGE) or stretches(weight, 0)
+    if not found:
+        return ""
+    # All from the first surge to the last dive is text, but what weighs nothing between stretches.
+    begin, end = found[0][0], found[-1][1]
+    while begin and weight[begin - 1] and lines[begin - 1].tag in ("h1", "h2", "h3"):
+        begin -= 1  # headings just above the surge belong to the text
+    kept = [x > 0 for x in weight]
+    for lo, hi in found:
+        for i in range(lo, hi):
+            kept[i] = not lines[i].skipped and (not marked or lines[i].inside)
+    return "\n\n".join(lines[i].text for i in range(begin, end) if kept[i])
 
 
 def extract(pages: DataFrame, html_col: str = "html", out_col: str = "text") -> DataFrame:
     """The input's rows and columns with the main text of each page; a column of that name is replaced.
 
-    Pages are independent: no shuffle, whole pages whatever their length. Malformed markup never fails.
+    Pages are independent: no shuffle, whole pages whatever their length, and a
+    page of any length takes a time that grows with it. Malformed markup never
+    fails; a null or empty page has an empty text. Repeated rows each get their
+    text, and an empty table stays one.
     """
     names = [c for c in pages.columns if c != out_col]
     rows = pages.select(*names)

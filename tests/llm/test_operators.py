@@ -303,6 +303,82 @@ def test_html():
     assert len(html_text.main_text("<article>" + "<p>word</p>" * 20_000 + "</article>")) == 20_000 * 6 - 2
 
 
+def plain_main_text(lines, marked):
+    """Line-block distribution over (text, links, skipped, perhaps, inside), window by window."""
+    weight = []
+    for text, links, skipped, perhaps, inside in lines:
+        prose = len(text) - links
+        on = not skipped and links * 2 <= len(text) and (inside or not marked)
+        weight.append((math.ceil(prose / 4) if perhaps else prose + 80 * inside) if on else 0)
+    n = len(lines)
+    window = lambda i: sum(weight[i : i + 3])
+    for surge in (80, 0):
+        lively = set()  # lines of windows that a surge reaches without a dive
+        for i in range(n):
+            if window(i) > surge:
+                j = i
+                while j < n and window(j) > 0:
+                    lively |= {k for k in range(j, min(j + 3, n)) if weight[k]}
+                    j += 1
+        if lively:
+            break
+    if not lively:
+        return ""
+    # Between two lively lines less than three apart, nothing has dived.
+    order = sorted(lively)
+    between = {k for a, b in zip(order, order[1:]) if b - a <= 3 for k in range(a, b) if not lines[k][2] and (lines[k][4] or not marked)}
+    first, last = order[0], order[-1]
+    return "\n\n".join(lines[k][0] for k in range(first, last + 1) if weight[k] or k in between)
+
+
+def test_html_against_plain_distribution():
+    r = random.Random(2)
+    for trial in range(300):
+        marked = trial % 2 == 0
+        lines, page, open_article = [], "", False
+        for k in range(r.randint(1, 25)):
+            if marked and not open_article and r.random() < 0.4:
+                page, open_article = page + "<article>", True
+            kind, text = r.choice("pppplapf"), " ".join(f"w{r.randint(0, 99)}" for _ in range(r.choice((1, 3, 12, 30))))
+            page += {"p": f"<p>{text}</p>", "l": f"<p><a href='x'>{text}</a></p>", "a": f"<aside>{text}</aside>", "f": f"<div class='legal'>{text}</div>"}[kind]
+            lines.append((text, len(text) if kind == "l" else 0, kind == "a", kind == "f", open_article))
+        page += "</article>" if open_article else ""
+        assert html_text.main_text(page) == plain_main_text(lines, open_article), page
+
+
+def test_html_class_words_that_say_nothing():
+    page = "<article><p>One long enough paragraph of prose to begin with.</p><div class='share-price legal'><p>Shares rose by a tenth.</p></div><div class='ad-box'>Buy</div><p>End.</p></article>"
+    assert html_text.main_text(page) == "One long enough paragraph of prose to begin with.\n\nShares rose by a tenth.\n\nEnd."
+
+
+def test_html_keeps_all_stretches():
+    prose = [f"Sentence number {k} of a paragraph that is long enough to count as prose by itself, and more." for k in range(4)]
+    links = "".join(f"<p><a href='{k}'>link {k}</a></p>" for k in range(4))
+    page = "<body>" + "".join(f"<p>{x}</p>" for x in prose[:2]) + links + "".join(f"<p>{x}</p>" for x in prose[2:]) + "</body>"
+    assert html_text.main_text(page) == "\n\n".join(prose)
+    # So it is in an article, from which a run of links goes, but not one link between paragraphs.
+    inner = page.replace("body>", "article>").replace("</article>", "<p><a href='z'>Read on</a></p><p>Fin.</p></article>")
+    assert html_text.main_text(inner) == "\n\n".join([*prose, "Read on", "Fin."])
+
+
+@pytest.mark.parametrize("piece", ['<a href="', "<a href='x\">", "<div>", "</p><b>", "<a b", "<!-", "<p class=aaaaaaaaaaaaaaaa ", '<i x="> <i y=\''])
+def test_html_takes_linear_time(piece):
+    import time
+
+    html_text.main_text(piece * 1000)
+    began = time.process_time()
+    html_text.main_text(piece * (1_000_000 // len(piece)))
+    assert time.process_time() - began < 8
+    html_text.main_text("<p " + "a" * 1_000_000 + "=")
+
+
+def test_html_odd_tables(spark):
+    rows = [(1, "<p>x</p>", "a"), (1, "<p>x</p>", "a"), (None, None, "b"), (2, "", None), (3, '<p class="x>y</p><p>z</p>', "c")]
+    df = spark.createDataFrame(rows, "page_id long, html string, text string")
+    got = sorted((r.page_id or 0, r.text) for r in html_text.extract(df).collect())
+    assert got == [(0, ""), (1, "x"), (1, "x"), (2, ""), (3, "y\n\nz")]
+
+
 def test_urls(spark, monkeypatch):
     rule = url_filter.Rule
     rules = [rule("org", "/", "allow"), rule("example.org", "/es/", "block"), rule("example.org", "/en/1", "block"), rule("com", "/fr/", "allow"), rule("com", "/de/", "block"), rule("a.example.org", "/en/1/x", "allow"), rule("org", "/", "block")]
