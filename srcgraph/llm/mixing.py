@@ -64,7 +64,9 @@ def mix(docs: DataFrame, weights: dict[str, float], id_col: str = "doc_id", sour
     and `mix_on_target` is true for the slots before any source ran out of full blocks. Sources
     that the weights do not name, null included, share the weight of "*" (they
     raise an error if there is none). Rows that repeat under one identifier share
-    a position; null identifiers come first. Ranks follow the identifiers at every
+    a position; null identifiers come first. Identifiers are integers. An empty table
+    gives an empty result, texts are carried whole, and columns of the added names are
+    replaced. Ranks follow the identifiers at every
     size. They are counted in two levels, ranges of at most about `bucket_rows`
     identifiers and identifiers within them, so that no task holds a whole source.
     """
@@ -81,14 +83,26 @@ def mix(docs: DataFrame, weights: dict[str, float], id_col: str = "doc_id", sour
     source = F.when(named, F.col(source_col)).otherwise(F.lit(OTHERS) if OTHERS in share else F.raise_error(F.concat(F.lit("no weight for source "), F.coalesce(F.col(source_col).cast("string"), F.lit("null")))))
     rows = docs.withColumn("mix_source", source).withColumn("__sg_id", F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))))
     # Ranks are found on identifiers alone; whole rows move once, dealt by identifier.
-    scratch = Scratch(spark, "mix")
+    with Scratch(spark, "mix") as scratch:
+        placed, horizon = _placed(rows, share, plan, slots, block, period, bucket_rows, scratch)
+    out = rows.join(placed, ["mix_source", "__sg_id"])
+    return out.select(
+        *[F.col(c) for c in docs.columns], "mix_source", "mix_block", "mix_slot",
+        (F.col("__sg_round") + F.col("__sg_release")).alias("mix_release"), (F.col("__sg_round") + F.col("__sg_deadline")).alias("mix_deadline"),
+        F.pmod(F.col("__sg_rank"), F.lit(block)).alias("mix_offset"), (F.col("mix_slot") < F.lit(horizon)).alias("mix_on_target"),
+    )
+
+
+def _placed(rows: DataFrame, share: dict[str, int], plan: list, slots: DataFrame, block: int, period: int, bucket_rows: int, scratch: Scratch) -> tuple[DataFrame, int]:
+    """Rank, block and slot of each (source, identifier), and the first slot that lacks a full block."""
+    spark = rows.sparkSession
     ids = scratch.write(rows.select("mix_source", "__sg_id").distinct(), "ids")
     spread = scratch.write(ids.groupBy("mix_source").agg(F.count("*").alias("__sg_source_n")), "spread")  # as many rows as weights at most
     # Ranges of (source, identifier) in order: a row's number is its range in the upper bits and its place in the range below.
     total = spread.agg(F.coalesce(F.sum("__sg_source_n"), F.lit(0))).first()[0]
     ranges = max(partitions(spark), ceil(total / bucket_rows))
     celled = ids.repartitionByRange(ranges, "mix_source", "__sg_id").sortWithinPartitions("mix_source", "__sg_id").withColumn("__sg_at", F.monotonically_increasing_id())
-    celled = scratch.write(celled, "ranges").withColumn("__sg_bucket", F.shiftright("__sg_at", 33))
+    celled = scratch.keep(scratch.write(celled, "ranges")).withColumn("__sg_bucket", F.shiftright("__sg_at", 33))
     cells = celled.groupBy("mix_source", "__sg_bucket").agg(F.count("*").alias("__sg_in"), F.min("__sg_at").alias("__sg_first"))  # ranges and weights in number at most
     before = F.sum("__sg_in").over(Window.partitionBy("mix_source").orderBy("__sg_bucket").rowsBetween(Window.unboundedPreceding, -1))
     cells = cells.select("mix_source", "__sg_bucket", "__sg_first", F.coalesce(before, F.lit(0).cast("long")).alias("__sg_before"))
@@ -106,12 +120,7 @@ def mix(docs: DataFrame, weights: dict[str, float], id_col: str = "doc_id", sour
     horizon = ends.agg(F.min("__sg_end")).first()[0]
     horizon = min(x for x in (horizon, first_absent, 1 << 62) if x is not None)
     placed = ranked.join(F.broadcast(slots), ["mix_source", "__sg_i"]).withColumn("mix_slot", F.col("__sg_round") + F.col("__sg_slot"))
-    out = rows.join(placed, ["mix_source", "__sg_id"])
-    return out.select(
-        *[F.col(c) for c in docs.columns], "mix_source", "mix_block", "mix_slot",
-        (F.col("__sg_round") + F.col("__sg_release")).alias("mix_release"), (F.col("__sg_round") + F.col("__sg_deadline")).alias("mix_deadline"),
-        F.pmod(F.col("__sg_rank"), F.lit(block)).alias("mix_offset"), (F.col("mix_slot") < F.lit(horizon)).alias("mix_on_target"),
-    )
+    return placed, horizon
 
 
 def _quoted(s: str) -> str:

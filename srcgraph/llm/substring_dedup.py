@@ -12,7 +12,7 @@ the shuffle.
 
 from __future__ import annotations
 
-import uuid
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
-from ._store import WHILE_WRITING, Folder, Scratch, partitions, settings, shared_dir, without
+from ._runs import SortedRuns
+from ._store import WHILE_WRITING, Scratch, partitions, settings, without
 from ._tok import BLANK_SEPARATED, Hasher, chunks, pieces, same_bytes, sliding_min, string_bytes, window_starts
 
 WINDOW, GRAM = 13, 5
@@ -66,48 +67,23 @@ def _fingerprints(batches):
             yield pa.RecordBatch.from_arrays([pa.array(print_[first].view(np.int64)), pa.array(ids[c.row + owner[first]]), pa.array(many)], names=["print", "id", "windows"])
 
 
-class RunIndex:
-    """Sorted runs of (print, id, windows), in bucketed tables of a folder.
+class RunIndex(SortedRuns):
+    """Sorted runs of (print, id, windows).
 
-    A stored index (`path`) is opened again by its path, takes further batches
-    and then answers as one batch of all would; it keeps the documents of each
-    batch beside its run. Without a path the index is in a folder of its own,
-    which close() deletes, and the caller keeps the documents.
+    A stored index takes further batches and then answers as one batch of all
+    would; it keeps the documents of each batch beside its run. Without a path
+    the caller keeps the documents.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
-        self.spark, self.stored = spark, path is not None
-        self.path = path or f"{shared_dir(spark)}/prints-{uuid.uuid4().hex[:12]}"
-        self.name = f"prints_{uuid.uuid4().hex[:12]}"
-        # A run is run-NUMBER-BUCKETS; one that a compaction has superseded is gone, and one without a mark of success doesn't count.
-        found = [n for n in Folder(spark, self.path).names() if n.startswith("run-") and "_SUCCESS" in Folder(spark, f"{self.path}/{n}").names()]
-        self.buckets = int(found[0].rsplit("-", 1)[1]) if found else buckets or partitions(spark)
-        self.runs: dict[str, str] = {}
-        for run in found:
-            self._register(run)
-
-    def _register(self, run: str) -> None:
-        table = f"{self.name}_{run.split('-')[1]}"
-        self.spark.sql(f"CREATE TABLE {table} (print BIGINT, id BIGINT, windows BIGINT) USING parquet CLUSTERED BY (print) SORTED BY (print) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{run}'")
-        self.runs[run] = table
-
-    def _write(self, rows: DataFrame, table: str, place: str) -> None:
-        with settings(self.spark, WHILE_WRITING):
-            rows.repartition(self.buckets, "print").write.format("parquet").bucketBy(self.buckets, "print").sortBy("print").option("path", f"{self.path}/{place}").saveAsTable(table)
-
-    def _flush(self, rows: DataFrame) -> None:
-        number = 1 + max((int(r.split("-")[1]) for r in self.runs), default=0)
-        run = f"run-{number:06d}-{self.buckets}"
-        table = f"{self.name}_{number:06d}"
-        self._write(rows, table, run)
-        self.runs[run] = table
+        super().__init__(spark, "prints", "print BIGINT, id BIGINT, windows BIGINT", "print", path, buckets)
 
     def append(self, docs: DataFrame) -> None:
         """Flushes a batch (id, text) as a run."""
         if self.stored:
             with settings(self.spark, WHILE_WRITING):
                 docs.select("id", "text").write.mode("append").parquet(f"{self.path}/documents")
-        self._flush(docs.select("id", "text").mapInArrow(_fingerprints, "print long, id long, windows long"))
+        self.flush(docs.select("id", "text").mapInArrow(_fingerprints, "print long, id long, windows long"))
         if self.stored and len(self.runs) >= FAN:
             self.compact()
 
@@ -116,21 +92,15 @@ class RunIndex:
 
     def compact(self) -> None:
         """Merges all runs into one."""
-        old, rows = dict(self.runs), None
-        for table in old.values():
-            rows = self.spark.table(table) if rows is None else rows.unionByName(self.spark.table(table))
-        if len(old) > 1:
-            self._flush(rows.groupBy("print", "id").agg(F.max("windows").alias("windows")))
-            for run, table in old.items():
-                self.spark.sql(f"DROP TABLE {table}")
-                Folder(self.spark, f"{self.path}/{run}").delete()
-                del self.runs[run]
+        if len(self.runs) > 1:
+            rows = reduce(DataFrame.unionByName, self.tables())
+            self.replace(rows.groupBy("print", "id").agg(F.max("windows").alias("windows")))
 
     def counts(self) -> DataFrame:
         """(print, docs, windows) over all runs: each is counted within its buckets, then merge-joined with the history."""
         history = None
-        for table in self.runs.values():
-            counts = self.spark.table(table).groupBy("print").agg(F.count("*").alias("docs"), F.sum("windows").alias("windows"))
+        for run in self.tables():
+            counts = run.groupBy("print").agg(F.count("*").alias("docs"), F.sum("windows").alias("windows"))
             if history is None:
                 history = counts
             else:
@@ -143,31 +113,9 @@ class RunIndex:
         """(id, hits): the fingerprints of each document that another has too, and whether they are frequent."""
         if not self.runs:
             return self.spark.createDataFrame([], "id long, hits array<struct<print: bigint, often: boolean>>")
-        table = f"{self.name}_repeated"
-        self._write(self.counts().where("docs > 1").select("print", (F.col("windows") >= FREQUENT).alias("often")), table, "repeated")
-        out = None
-        for run in self.runs.values():
-            part = self.spark.table(run).select("print", "id").hint("merge").join(self.spark.table(table), "print").select("id", F.struct("print", "often").alias("hit"))
-            out = part if out is None else out.unionByName(part)
-        return out.groupBy("id").agg(F.collect_set("hit").alias("hits"))
-
-    def forget(self) -> None:
-        """Drops what hits() has written."""
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_repeated")
-        Folder(self.spark, f"{self.path}/repeated").delete()
-
-    def __enter__(self) -> RunIndex:
-        return self
-
-    def __exit__(self, *error) -> None:
-        self.close()
-
-    def close(self) -> None:
-        self.forget()
-        for table in self.runs.values():
-            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
-        if not self.stored:
-            Folder(self.spark, self.path).delete()
+        repeated = self.beside(self.counts().where("docs > 1").select("print", (F.col("windows") >= FREQUENT).alias("often")), "repeated")
+        parts = [run.select("print", "id").hint("merge").join(repeated, "print").select("id", F.struct("print", "often").alias("hit")) for run in self.tables()]
+        return reduce(DataFrame.unionByName, parts).groupBy("id").agg(F.collect_set("hit").alias("hits"))
 
 
 def _candidates(batches):
@@ -273,7 +221,7 @@ def judged(index: RunIndex, rows: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, mark, ranges) of the documents (id, text) of all batches of an index that have words to remove."""
     spark = rows.sparkSession
     hits = scratch.write(index.hits(), "hits")
-    index.forget()
+    index.forget("repeated")
     texts = rows.join(hits, "id").select("id", F.xxhash64("text").alias("mark"), "text", "hits")
     found = scratch.write(texts.mapInArrow(_candidates, "print long, id long, mark long, at int, words binary, often boolean"), "candidates")
     scratch.drop(hits)

@@ -81,6 +81,35 @@ def test_exact_repeated_rows_and_null_ids(spark):
     assert sorted((r.doc_id or 0, r.text) for r in kept) == [(0, "c"), (1, "a"), (2, "b"), (2, "z")]
 
 
+def test_exact_index_takes_further_batches(spark, tmp_path):
+    rows = documents(3, 90)
+    path = f"file://{tmp_path}/index"
+    for part in (rows[:40], rows[40:41], rows[41:]):
+        got = exact_dedup.add_batch(spark, path, frame(spark, part))
+    want = sorted(exact_dedup.exact_groups(frame(spark, rows)).collect())
+    assert sorted(got.collect()) == want
+    asked = [(1000, "new"), (1001, rows[0][1]), (1002, (rows[50][1] or "").upper()), (1003, None), (1004, "é")]
+    keep = {}
+    for i, t in sorted(rows, reverse=True):
+        keep[(t or "").translate(brute.UPPER)] = i
+    with exact_dedup.DigestIndex(spark, path=path) as index:
+        assert len(index.runs) == 1
+        held = {r.id: r.keep for r in index.held(frame(spark, asked), "doc_id", "text").collect()}
+        assert held == {i: keep[(t or "").translate(brute.UPPER)] for i, t in asked if (t or "").translate(brute.UPPER) in keep}
+        # The filter lets everything in the run pass, and few others.
+        run, table = next(iter(index.runs.items()))
+        assert index.maybe(spark.table(table).select("digest"), run).count() == spark.table(table).count()
+        others = spark.range(4000).selectExpr("unhex(sha2(concat('other', id), 256)) AS digest")
+        assert index.maybe(others, run).count() < 1200
+
+
+def test_exact_null_and_empty_identifiers(spark):
+    rows = [("", "a"), (None, "a"), ("", "b"), (None, "c"), (None, "c"), ("x", "c")]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    kept = sorted((r.doc_id or ("" if r.doc_id == "" else "-"), r.text) for r in exact_dedup.drop_exact_copies(df).collect())
+    assert kept == [("", "a"), ("", "b"), ("x", "c")]
+
+
 @pytest.mark.parametrize("seed", [1, 5])
 def test_near(spark, seed):
     rows = documents(seed)
@@ -216,6 +245,17 @@ def test_substring_index_takes_further_batches(spark, tmp_path):
         assert len(index.runs) == 1 and sorted(index.counts().collect()) == before
 
 
+def test_lines_of_long_texts_and_hot_windows(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(line_dedup, "HOT", 40)
+    rows = [(i, "p\nq\nr\n" + "\n".join(f"line {j}" for j in range(i % 5))) for i in range(60)] + [(100, "same\n" * 200_000)]
+    want = brute.removed_lines(rows)
+    got = {r.doc_id: (r.n_removed, r.kept_text) for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
+    for i, text in rows:
+        gone = set(want[i])
+        assert got[i] == (len(gone), "\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone))
+
+
 def test_lines(spark):
     rows = documents(8) + [(500, "a\nb\nc\nd"), (501, "b\nc\nd\ne"), (502, "\n\n\n\n"), (503, "\n\n\n"), (504, "q\nq\nq\nq\nq")]
     want = brute.removed_lines(rows)
@@ -414,6 +454,20 @@ def test_mixing_is_pfair():
             assert all(abs(n - t * Fraction(share[x], 100)) < 1 for x, n in done.items())
 
 
+def test_columns_of_the_added_names(spark):
+    """Of the input, columns named like what an operator adds are replaced, and rows that repeat stay."""
+    df = spark.createDataFrame([(1, "a b c", "x", "old", 5), (1, "a b c", "x", "old", 5), (2, "d\ne", "y", "old", 5)], "doc_id long, text string, source string, kept_text string, n_removed int")
+    for out in (substring_dedup.dedup_substrings(df), line_dedup.dedup_lines(df)):
+        assert sorted((r.doc_id, r.kept_text, r.n_removed) for r in out.collect()) == [(1, "a b c", 0), (1, "a b c", 0), (2, out.where("doc_id = 2").first().kept_text, 0)]
+        assert out.columns.count("kept_text") == 1 and "old" not in {r.kept_text for r in out.collect()}
+    named = df.withColumnsRenamed({"kept_text": "mix_slot", "n_removed": "mix_source"})
+    assert {r.mix_source for r in mixing.mix(named, {"x": 1.0, "y": 1.0}).collect()} == {"x", "y"}
+    spans = secrets.scan(df.withColumnRenamed("kept_text", "secrets"), [0.0] * 128 * 128).collect()
+    assert len(spans) == 3 and all(r.secrets == [] for r in spans)
+    judged = url_filter.judge(df.withColumnsRenamed({"kept_text": "host", "source": "verdict"}), [], url_col="text").collect()
+    assert len(judged) == 3 and {(r.host, r.verdict) for r in judged} == {("", "allow")}
+
+
 def test_mixing(spark):
     r = random.Random(1)
     rows = [(i, r.choice(["a", "a", "a", "b", "c", None])) for i in range(500)]
@@ -422,6 +476,10 @@ def test_mixing(spark):
     for bucket in (1_000_000, 20):
         out = mixing.mix(df, weights, block=8, period=20, bucket_rows=bucket).collect()
         assert sorted(x.doc_id for x in out) == list(range(500))
+        ranks = {}
+        for i, s in rows:  # in the order of identifiers, at every size
+            ranks.setdefault(s if s in ("a", "b") else "*", []).append(i)
+        assert {x.doc_id: (x.mix_source, (x.mix_block - 1) * 8 + x.mix_offset) for x in out} == {i: (s, k) for s, ids in ranks.items() for k, i in enumerate(ids)}
         slots = {}
         for x in out:
             slots.setdefault(x.mix_slot, []).append(x)
@@ -516,7 +574,9 @@ def test_empty_tables(spark):
     assert substring_dedup.dedup_substrings(df.select("doc_id", "text")).count() == 0
     assert line_dedup.dedup_lines(df).count() == 0
     assert decontaminate.scan(df, bench).count() == 0
-    assert mixing.mix(df.drop("rank"), {"*": 1.0}).count() == 0
+    assert mixing.mix(df, {"*": 1.0}).count() == 0
+    assert url_filter.judge(df, [url_filter.Rule("org", "/", "block")], url_col="text").count() == 0
+    assert secrets.scan(df, [0.0] * 128 * 128).count() == 0
     assert html_text.extract(df.withColumnRenamed("text", "html")).count() == 0
     assert language.keep_identified(df).count() == 0
     some = frame(spark, [(1, "a b c d e f g h i j k")])
