@@ -15,9 +15,12 @@ from ._store import Scratch, without
 from ._tok import ALNUM_RUNS, FOLD, Hasher, chunks, window_starts
 
 NGRAM = 10
-#: Bytes of benchmark text in one broadcast set, which takes about five times as many in each worker. A larger benchmark
-#: is scanned for in so many passes, each written before the next begins, so that one set at a time is held.
+#: Bytes of benchmark text in one broadcast set, which takes about five times as many in each worker. Of a larger benchmark
+#: only the windows that may occur in the documents are kept. Should these be larger still, they are scanned for in so many
+#: passes, each written before the next begins, so that one set at a time is held.
 BROADCAST_BYTES = 16 << 20
+#: Bits of the broadcast bitmap that finds them (32 MB).
+BITMAP = 1 << 28
 _HASHER = Hasher(41)
 
 
@@ -82,18 +85,64 @@ def windows_of(items: list[tuple[str, str | None]], ngram: int = NGRAM) -> Windo
     return Windows(words, [name for name, _ in items], {k: _table(words, *map(np.concatenate, zip(*parts))) for k, parts in found.items()})
 
 
-def _slices(benchmark: DataFrame, id_col: str, text_col: str, limit: int):
-    """The benchmark's rows in lists of at most `limit` bytes, one row at least."""
+def _slices(benchmark: DataFrame, limit: int):
+    """Rows (item, text) in lists of at most `limit` bytes of text, one row at least."""
     rows, size = [], 0
-    for r in benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("t IS NOT NULL").toLocalIterator():
-        if rows and size + len(r.t) > limit:
+    for r in benchmark.toLocalIterator():
+        more = len(r.text.encode())
+        if rows and size + more > limit:
             yield rows
             rows, size = [], 0
-        rows.append((r.i if r.i is not None else "", r.t))
-        size += len(r.t)
+        rows.append((r.item, r.text))
+        size += more
     yield rows
 
 
+def _item_windows(ngram: int):
+    def run(batches):
+        for batch in batches:
+            found = windows_of(list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())), ngram)
+            for k, t in found.tables.items():
+                owner = np.repeat(np.arange(len(t.hashes)), np.diff(t.first.astype(np.int64)))
+                words = [found.words[a:b].decode() for a, b in zip(t.start.tolist(), t.end.tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(t.hashes[owner].view(np.int64)), pa.array(np.full(len(owner), k)), pa.array([found.names[i] for i in t.of], pa.string()), pa.array([words[i] for i in owner], pa.string())],
+                    names=["hash", "k", "item", "text"],
+                )
+
+    return run
+
+
+def _occurring(docs: DataFrame, items: DataFrame, text_col: str, ngram: int, scratch: Scratch) -> DataFrame:
+    """(item, text): the windows of a large benchmark that may occur in the documents, each as an item of its own.
+
+    One scan of the documents against a bitmap of window hashes, of BITMAP bits
+    whatever the benchmark's size, and a join of the few hashes that pass with the windows.
+    """
+    windows = scratch.write(items.mapInArrow(_item_windows(ngram), "hash long, k long, item string, text string"), "windows")
+    lengths = [r.k for r in windows.select("k").distinct().collect()]  # ngram at most
+    bit = F.pmod(F.col("hash"), F.lit(BITMAP)) + 1  # bitmap functions count from 1
+    cells = windows.groupBy(F.bitmap_bucket_number(bit).alias("cell")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).toArrow()  # BITMAP bits at most
+    bits = np.zeros(BITMAP // 8 + 4096, dtype=np.uint8)
+    for cell, part in zip(cells["cell"].to_pylist(), cells["bits"].to_pylist()):
+        bits[(cell - 1) * 4096 : cell * 4096] = np.frombuffer(part, dtype=np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches):
+        known = shared.value
+        for batch in batches:
+            for c in chunks(batch.column(0), ALNUM_RUNS, FOLD):
+                hashes = _HASHER.words(c.buf, c.start, c.end, FOLD)
+                found = [_HASHER.windows(hashes, window_starts(c.first, k)[0], k).view(np.int64) for k in lengths]
+                keys = np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.int64)
+                at = keys % BITMAP
+                yield pa.RecordBatch.from_arrays([pa.array(keys[known[at >> 3] >> (at & 7) & 1 == 1])], names=["hash"])
+
+    hit = scratch.write(docs.select(text_col).mapInArrow(run, "hash long").distinct(), "hit")
+    shared.destroy()
+    return scratch.write(windows.join(hit, "hash", "left_semi").select("item", "text"), "occurring")
+
+
 def _merge(ranges: np.ndarray) -> np.ndarray:
     """Sorted disjoint ranges that cover the same words."""
     if len(ranges) < 2:
@@ -112,23 +161,30 @@ def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
     range in turn; hit_items the distinct items, sorted as strings. A null or
     empty text has no words and no hits, and an empty benchmark hits nothing.
     A nominated window counts only if its words are the item's. No shuffle.
-    Passes after the first read what the pass before them has written.
+    An empty table gives an empty result, repeated rows each get their hits, texts
+    of any length are read whole, and columns of the added names are replaced.
     """
     docs = without(docs, "hit_words", "hit_ranges", "hit_items")
     names = docs.columns
     where = names.index(text_col)
     schema = StructType(list(docs.schema.fields)).add("hit_words", LongType()).add("hit_ranges", ArrayType(IntegerType())).add("hit_items", ArrayType(StringType()))
-    out, written, shared, scratch = docs, None, None, Scratch(docs.sparkSession, "decontaminate")
-    for items in _slices(benchmark, item_col, item_text_col, broadcast_bytes):
-        first = shared is None
-        if not first:
-            out = scratch.write(out, "pass")
-            shared.destroy()
-            if written is not None:
-                scratch.drop(written)
-            written = out
-        shared = docs.sparkSession.sparkContext.broadcast(windows_of(items, ngram))
-        out = out.mapInArrow(_pass(shared, names, where, first), schema)
+    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text_col).alias("text")).where("text IS NOT NULL")
+    with Scratch(docs.sparkSession, "decontaminate") as scratch:
+        if (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > broadcast_bytes:
+            items = _occurring(docs, items, text_col, ngram, scratch)
+        out, written, shared = docs, None, None
+        for rows in _slices(items, broadcast_bytes):
+            first = shared is None
+            if not first:
+                out = scratch.write(out, "pass")
+                shared.destroy()
+                if written is not None:
+                    scratch.drop(written)
+                written = out
+            shared = docs.sparkSession.sparkContext.broadcast(windows_of(rows, ngram))
+            out = out.mapInArrow(_pass(shared, names, where, first), schema)
+        if written is not None:
+            scratch.keep(written)
     return out
 
 

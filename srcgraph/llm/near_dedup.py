@@ -30,7 +30,9 @@ SMALL_BUCKET, BLOCK = 64, 256
 #: Members that one task compares with a hub.
 HUB_SHARE = 256
 #: Further hubs for large buckets that the first leaves unconnected.
-HUB_ROUNDS = 2
+HUB_ROUNDS = 1
+#: Cells in which shingles are counted (2 MB of counts).
+CELLS = 1 << 18
 #: Identifiers that may be broadcast (16 bytes each, some 50 MB as a hash table).
 BROADCAST_ROWS = 500_000
 
@@ -127,10 +129,39 @@ def _against_block(batches):
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["a", "b"])
 
 
-def _hashes(batches):
+def _cell_counts(batches):
+    """(cell, n): how many shingles of the sets fall into each cell."""
     for batch in batches:
-        out = [sets.hashes[sets.bounds[row] : sets.bounds[row + 1]].view(np.int64) for sets, row in _each(batch.column(2))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64()))], names=["rep", "comp", "hashes"])
+        total = np.zeros(CELLS, dtype=np.int64)
+        for sets in shingle_sets(batch.column(0), _HASHER):
+            total += np.bincount((sets.hashes % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["cell", "n"])
+
+
+def _rarest(often):
+    """(h, rep, comp, n): the first shingles of each set, ordered by how often their cells occur, the rarest first.
+
+    Linked sets of n shingles have 3n/4 in common, so in whatever order they share one of the first n - ceil(3n/4) + 1 of either.
+    """
+
+    def run(batches):
+        counts = often.value
+        for batch in batches:
+            reps, comps = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            out = ([], [], [], [])
+            for rep, comp, (sets, row) in zip(reps, comps, _each(batch.column(2))):
+                own = sets.hashes[sets.bounds[row] : sets.bounds[row + 1]]
+                first = len(own) + (-NUMERATOR * len(own)) // DENOMINATOR + 1
+                # What no other member can hold needs no meeting, but has its place in the order.
+                count = counts[(own % np.uint64(CELLS)).astype(np.int64)]
+                chosen = np.lexsort((own, count))[:first]
+                chosen = chosen[count[chosen] > 1]
+                for column, values in zip(out, (own[chosen].view(np.int64), np.full(len(chosen), rep), np.full(len(chosen), comp), np.full(len(chosen), len(own)))):
+                    column.append(values)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else [], pa.int64()) for x in out], names=["h", "rep", "comp", "n"])
+
+    return run
 
 
 def _fits(a: str, b: str):
@@ -182,20 +213,16 @@ class _Verifier:
     def crowd(self, members: DataFrame) -> DataFrame:
         """All links between different comps among the members (rep, comp), distinct.
 
-        Shingles are ordered by how many members hold them, the rarest first.
-        Linked sets of n shingles have 3n/4 in common, so they share one of the
-        first n - ceil(3n/4) + 1 of either.
+        Linked sets share one of the rarest shingles of either. How rare a shingle
+        is, is counted in CELLS cells, whose counts are broadcast.
         """
-        sets = self.scratch.write(self.texts.join(members, "rep").select("rep", "comp", "text").mapInArrow(_hashes, "rep long, comp long, hashes array<long>"), "sets")
-        tokens = sets.select("rep", F.explode("hashes").alias("h")).repartition(self.parts, "h")
-        often = tokens.groupBy("h").agg(F.count("*").alias("f")).where("f > 1")
-        ranked = tokens.join(often, "h").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("f", "h"))).alias("ranked"))
-        # Shingles that one member alone holds come before all others.
-        n = F.size("hashes")
-        least = F.ceil(n * NUMERATOR / DENOMINATOR).cast("int")
-        first = F.greatest(F.lit(0), F.size("ranked") + 1 - least)
-        prefix = sets.join(ranked, "rep").select("rep", "comp", n.cast("long").alias("n"), F.explode(F.slice("ranked", 1, first)).alias("t"))
-        prefix = self.scratch.write(prefix.select(F.col("t.h").alias("h"), "rep", "comp", "n"), "prefix")
+        sets = self.scratch.write(self.texts.join(members, "rep").select("rep", "comp", "text"), "sets")
+        cells = sets.select("text").mapInArrow(_cell_counts, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # CELLS rows at most
+        often = np.zeros(CELLS, dtype=np.int64)
+        often[cells["cell"].to_numpy()] = cells["n"].to_numpy()
+        shared = sets.sparkSession.sparkContext.broadcast(often)
+        prefix = self.scratch.write(sets.mapInArrow(_rarest(shared), "h long, rep long, comp long, n long"), "prefix")
+        shared.destroy()
         groups = prefix.groupBy("h").agg(F.count("*").alias("m"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("rep").alias("low")).where("c0 < c1")
         dealt = self.scratch.write(prefix.join(groups.select("h", "m", "low"), "h"), "dealt")
         few = dealt.where(f"m <= {SMALL_BUCKET}")

@@ -34,31 +34,40 @@ LEAST = 20
 #: Bits by which the sum falls below its peak where a stretch ends.
 DROP = 10.0
 
-#: Ordinary words of identifiers; the samples are their combinations.
+#: Ordinary words of identifiers, and natural words of four languages; the ordinary samples are their combinations.
 WORDS = (
     "get set add remove update delete create find list load store read write open close start stop init config user name type value key index count size "
     "length path file line column table row query result error message request response client server service handler manager factory builder controller "
     "model view data item node edge graph tree list map array string number parse format encode decode convert validate check test assert expected actual"
 ).split()
+NATURAL = (
+    "the house people water between through another because country school never under world should thought morning children without every again "
+    "und nicht eine werden zwischen haus wasser menschen arbeit schule geschichte jahr freund strasse morgen kinder sprache verein gesellschaft wirtschaft "
+    "les maison pour avec monde entre temps toujours enfant travail pendant histoire quelque ville jour petite grande lumiere politique question "
+    "los casa para mundo tiempo entre ciudad siempre trabajo persona historia palabra camino durante pueblo gobierno familia nuestro grande"
+).split()
 
 
 def training_samples(spark: SparkSession, rows: int = 4096) -> DataFrame:
-    """Labelled samples (text, label): 1 for random strings (base 64, hexadecimal, upper case with digits), 0 for identifiers.
+    """Labelled samples (text, label): 1 for random strings (base 64, hexadecimal, upper case or any case with digits), 0 for ordinary ones.
 
-    `rows` bounds either class.
+    Ordinary are identifiers of two to five words, of code or of natural
+    language, in the usual spellings, some with a number. `rows` bounds either class.
     """
     n = spark.range(rows)
     digest = F.sha2(F.concat(F.lit("sample-"), F.col("id").cast("string")), 256)
-    words = F.array(*[F.lit(w) for w in WORDS])
-    pick = lambda k: F.element_at(words, (F.pmod(F.xxhash64(F.col("id"), F.lit(k)), F.lit(len(WORDS))) + 1).cast("int"))
     b64 = F.regexp_replace(F.base64(F.unhex(digest)), "\\s", "")
-    random = F.when(F.col("id") % 3 == 0, F.substring(digest, 1, 40)).when(F.col("id") % 3 == 1, F.substring(F.regexp_replace(F.upper(b64), "[^A-Z0-9]", ""), 1, 24)).otherwise(b64)
-    snake = F.concat_ws("_", pick(1), pick(2), pick(3), pick(4))
-    camel = F.concat(pick(1), F.initcap(pick(2)), F.initcap(pick(3)), F.initcap(pick(4)))
-    plain = F.concat(pick(1), pick(2), pick(3), pick(4))
-    dashed = F.concat_ws("-", pick(1), pick(2), pick(3), pick(4))
-    path = F.concat_ws("/", pick(1), pick(2), pick(3), pick(4))
-    ordinary = F.element_at(F.array(snake, camel, F.upper(snake), plain, dashed, path), (F.col("id") % 6 + 1).cast("int"))
+    upper = F.substring(F.regexp_replace(F.upper(b64), "[^A-Z0-9]", ""), 1, 24)
+    random = F.element_at(F.array(F.substring(digest, 1, 40), upper, b64, F.regexp_replace(b64, "[^A-Za-z0-9]", "")), (F.col("id") % 4 + 1).cast("int"))
+    words = F.when(F.col("id") % 2 == 0, F.array(*[F.lit(w) for w in WORDS])).otherwise(F.array(*[F.lit(w) for w in NATURAL]))
+    pick = lambda k: F.element_at(words, (F.pmod(F.xxhash64(F.col("id"), k), F.size(words)) + 1).cast("int"))
+    chosen = F.transform(F.sequence(F.lit(1), (F.pmod(F.xxhash64("id"), F.lit(4)) + 2).cast("int")), pick)
+    n = n.withColumn("chosen", chosen)
+    capital = F.transform("chosen", lambda w: F.initcap(w))
+    snake, camel = F.array_join("chosen", "_"), F.concat(F.col("chosen")[0], F.array_join(F.slice(capital, 2, 9), ""))
+    spelt = F.array(snake, camel, F.array_join(capital, ""), F.upper(snake), F.array_join("chosen", ""), F.array_join("chosen", "-"), F.array_join("chosen", "/"))
+    number = F.when(F.pmod(F.xxhash64("id", F.lit(9)), F.lit(5)) == 0, F.pmod(F.xxhash64("id", F.lit(7)), F.lit(3000)).cast("string")).otherwise("")
+    ordinary = F.concat(F.element_at(spelt, (F.pmod(F.xxhash64("id", F.lit(5)), F.lit(7)) + 1).cast("int")), number)
     return n.select(random.alias("text"), F.lit(1).alias("label")).unionByName(n.select(ordinary.alias("text"), F.lit(0).alias("label")))
 
 
@@ -170,7 +179,9 @@ def scan(docs: DataFrame, model: list[float], text_col: str = "text", threshold:
 
     Base kinds are assign, access and hex; the models add markov spans where no
     base span has the same bounds. Order is by start, then kind as listed. A
-    null or empty text has none.
+    null or empty text has none, texts of any length are read whole, repeated
+    rows each get their spans, and an empty table gives an empty result. A
+    column `secrets` of the input is replaced.
     """
     docs = without(docs, "secrets")
     text = F.coalesce(F.col(text_col), F.lit(""))

@@ -313,13 +313,61 @@ def test_secrets(spark):
     assert clean[0] is None and clean[2] == texts[2] and key not in clean[9] and clean[3] == '[secret]" and token:abc'
 
 
-def test_secret_models_tell_random_from_ordinary(spark):
+#: Words that no training sample holds.
+HELD_OUT = (
+    "invoice shipment warehouse calendar temperature neighbour garden journey library mountain bridge winter window letter kitchen "
+    "rechnung lieferung garten brief fenster bruecke kueche nachbar reise berg bibliothek versicherung krankenhaus "
+    "facture livraison jardin lettre fenetre voisin voyage montagne bibliotheque assurance hopital cuisine "
+    "factura envio jardin carta ventana vecino viaje montana biblioteca seguro cocina puente invierno"
+).split()
+
+
+def labelled(n=600):
+    """Held-out (token, whether it is random): keys of several alphabets, and identifiers of other words than those of the training."""
+    import string
+
+    r = random.Random(77)
+    alphabets = [string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", "0123456789abcdef", string.ascii_uppercase + string.digits, string.ascii_lowercase + string.digits]
+    rows = [("".join(r.choice(alphabets[i % 5]) for _ in range(r.randint(24, 48))), True) for i in range(n)]
+    while len(rows) < 2 * n:
+        words = [r.choice(HELD_OUT) for _ in range(r.randint(2, 5))]
+        token = r.choice([
+            lambda: "_".join(words), lambda: "-".join(words), lambda: "/".join(words), lambda: "".join(words), lambda: "_".join(words).upper(),
+            lambda: words[0] + "".join(w.title() for w in words[1:]), lambda: "/".join(words) + str(r.randint(1, 2030)), lambda: "".join(w.title() for w in words) + "Test",
+        ])()
+        if len(token) >= 20:
+            rows.append((token, False))
+    return rows
+
+
+def test_secrets_on_held_out_labels(spark):
+    """Recall and precision of the models alone: no base pattern stands beside these tokens."""
+    model = secrets.fit(secrets.training_samples(spark))
+    rows = labelled()
+    texts = [(i, f"see {token} there") for i, (token, _) in enumerate(rows)]
+    found = {r.doc_id: {s.kind for s in r.secrets} for r in secrets.scan(frame(spark, texts), model).collect()}
+    # Runs of 32 and more hexadecimal characters are base matches too; a span of the models may have the same bounds.
+    hit = [bool(found[i]) for i in range(len(rows))]
+    recall = sum(h for h, (_, real) in zip(hit, rows) if real) / sum(real for _, real in rows)
+    precision = sum(h for h, (_, real) in zip(hit, rows) if real) / sum(hit)
+    print("recall", recall, "precision", precision)
+    assert recall > 0.98 and precision > 0.97
+
+
+def test_secrets_that_only_the_models_find(spark):
+    key = "q7Zt0LxW3vNfB9kRjY2mHcD5sGa8"
+    texts = [f"export AWS_THING={key} then", f"https://host/garden/{key}/letter", "the_ordinary_name_of_a_function"]
+    model = secrets.fit(secrets.training_samples(spark))
+    got = {r.doc_id: [(s.kind, texts[r.doc_id][s.start : s.stop]) for s in r.secrets] for r in secrets.scan(frame(spark, list(enumerate(texts))), model).collect()}
+    assert got[2] == [] and all(brute.base_secrets(t) == [] for t in texts)
+    for i in (0, 1):
+        assert {kind for kind, _ in got[i]} == {"markov"} and any(key in piece for _, piece in got[i])
+
+
+def test_secret_ratio_is_a_plain_sum(spark):
     from pyspark.sql import functions as F
 
     model = secrets.fit(secrets.training_samples(spark))
-    judged = secrets.training_samples(spark, 6000).where(F.length("text") >= 20).withColumn("r", secrets.ratio(model, F.col("text"))).collect()
-    right = [(x.r >= secrets.THRESHOLD) == bool(x.label) for x in judged]
-    assert sum(right) / len(right) > 0.99
     # Bit by bit the same as a plain sum, also on a token of a million characters.
     token = "aZ09+/_=-" * 111_112
     pairs = [round(model[ord(a) * 128 + ord(b)], 6) for a, b in zip(token, token[1:])]
