@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import Snapshot
+from .graph import _cut
 from .search import rank_chunks, search
 
 
@@ -46,12 +47,13 @@ def pack_files(s: Snapshot, chosen: DataFrame, query: str, max_tokens: int) -> D
 
 
 def get_context(s: Snapshot, query: str, max_files: int = 8, max_tokens: int = 4000, max_related: int = 4) -> dict:
-    chosen = choose_files(s, query, max_files, max_related)
+    # What is chosen is small, by its limits, and read many times.
+    chosen = _cut(choose_files(s, query, max_files, max_related))
     files = s.files.join(F.broadcast(chosen), "path", "left_semi")
-    chunks = pack_files(s, chosen, query, max_tokens)
+    chunks = _cut(pack_files(s, chosen, query, max_tokens))
     start = chunks.where("symbolId IS NOT NULL").select(F.col("symbolId").alias("id")).distinct()
     hop = lambda a, b: s.relations.join(start.withColumnRenamed("id", a), a, "left_semi").where(F.col(b).isNotNull()).select(F.col(b).alias("id"))
-    ids = start.unionByName(hop("fromSymbolId", "toSymbolId")).unionByName(hop("toSymbolId", "fromSymbolId")).distinct()
+    ids = _cut(start.unionByName(hop("fromSymbolId", "toSymbolId")).unionByName(hop("toSymbolId", "fromSymbolId")).distinct())
     symbols = s.symbols.join(ids, "id", "left_semi")
     parts = [s.relations.join(ids.withColumnRenamed("id", end), end, "left_semi").select(*s.relations.columns) for end in ("fromSymbolId", "toSymbolId")]
     parts.append(s.relations.join(F.broadcast(chosen.withColumnRenamed("path", "filePath")), "filePath", "left_semi").select(*s.relations.columns))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -54,14 +56,18 @@ def api_endpoints(texts: DataFrame, symbols: DataFrame) -> DataFrame:
         for frame in frames:
             out = []
             for path, text, known in zip(frame["filePath"], frame["text"], frame["names"]):
+                text = text or ""
+                breaks = [m.start() for m in re.finditer("\n", text)]
+                # Where each name has first been seen whole, and the first in order of those seen so far.
+                seen = sorted((at + len(n), k) for k, n in enumerate(known) if (at := text.find(n)) >= 0)
+                ends, first = [e for e, _ in seen], list(accumulate((k for _, k in seen), min))
                 for pattern in patterns:
-                    for m in pattern.finditer(text or ""):
+                    for m in pattern.finditer(text):
                         route = (m[2] if pattern.groups > 1 else m[0]).strip()
                         if not route.startswith(("/", "http", "{")):
                             continue
-                        before = text[: m.start()]
-                        line = before.count("\n") + 1
-                        out.append((path, m[1].upper(), route, next((n for n in known if n in before), None), line, line + 1))
+                        line, named = bisect_left(breaks, m.start()) + 1, bisect_right(ends, m.start())
+                        out.append((path, m[1].upper(), route, known[first[named - 1]] if named else None, line, line + 1))
             yield pd.DataFrame(out, columns=["filePath", "method", "path", "symbolId", "startLine", "endLine"])
 
     found = rows.mapInPandas(find, "filePath string, method string, path string, symbolId string, startLine int, endLine int")

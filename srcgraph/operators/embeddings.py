@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import Snapshot
@@ -80,6 +80,12 @@ def embed_queue(provider: Provider, texts: list[str], progress: Callable[[int, i
             progress(at + len(batch), len(texts))
 
 
+def self_test(query: Column, document: Column) -> Column:
+    """Struct (dot, queryNorm, documentNorm) of two vectors."""
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+    return F.struct(dot(query, document).alias("dot"), F.sqrt(dot(query, query)).alias("queryNorm"), F.sqrt(dot(document, document)).alias("documentNorm"))
+
+
 def embed_chunks(chunks: DataFrame, provider: Provider) -> DataFrame:
     """Vectors of chunks(id, hash, text): each distinct text is embedded once and given to all chunks that have it."""
 

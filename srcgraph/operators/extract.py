@@ -2,8 +2,9 @@
 
 One pass per file in a Python worker. Python is read with its own syntax tree;
 languages with braces by a lexer that knows strings, comments and templates and
-matches braces; all else only gives text chunks. Identifiers derive from offsets
-in UTF-16 units.
+matches braces; languages whose blocks end with a word, and shell scripts, by
+one that matches these words; all else only gives text chunks. Identifiers
+derive from offsets in UTF-16 units.
 """
 
 from __future__ import annotations
@@ -267,13 +268,124 @@ def _parse_python(b: _Builder) -> None:
     visit(tree, None, None)
 
 
+@dataclass(frozen=True)
+class _Worded:
+    """A language whose blocks end with a word."""
+
+    lexer: re.Pattern
+    opens: frozenset[str]  # words that open a block wherever they stand
+    heads: frozenset[str]  # words that open a block at the head of a statement only
+    declares: dict[str, str]  # word before a name, and the symbol's kind
+    imports: frozenset[str]
+    closes: frozenset[str] = frozenset(["end"])
+
+
+def _lexer(comment: str, name: str = r"[A-Za-z_][\w]*[?!]?") -> re.Pattern:
+    return re.compile(rf"(?P<comment>{comment})|(?P<string>\"(?:\\.|[^\"\\])*\"?|'(?:\\.|[^'\\])*'?)|(?P<name>{name})|(?P<line>[\n;])|(?P<space>[^\S\n]+)|(?P<mark>.)", re.S)
+
+
+_WORDED = {
+    "ruby": _Worded(_lexer(r"\#[^\n]*|(?:(?<=\n)|\A)=begin.*?(?:\n=end|\Z)"), frozenset(["do"]), frozenset("class module def if unless case while until for begin".split()), {"class": "class", "module": "module", "def": "function"}, frozenset(["require", "require_relative", "load"])),
+    "lua": _Worded(_lexer(r"--\[\[.*?(?:\]\]|\Z)|--[^\n]*"), frozenset("function if do repeat".split()), frozenset(), {"function": "function"}, frozenset(["require", "dofile"]), frozenset(["end", "until"])),
+    "elixir": _Worded(_lexer(r"\#[^\n]*"), frozenset("do fn".split()), frozenset(), {"defmodule": "module", "defprotocol": "interface", "def": "function", "defp": "function", "defmacro": "function"}, frozenset("import alias use require".split())),
+    "julia": _Worded(_lexer(r"\#=.*?(?:=\#|\Z)|\#[^\n]*"), frozenset("function struct module if for while let begin do try quote macro".split()), frozenset(), {"function": "function", "struct": "class", "module": "module", "macro": "function"}, frozenset("import using include".split())),
+    "bash": _Worded(_lexer(r"(?:(?<=\s)|\A)\#[^\n]*", r"[A-Za-z_][\w-]*"), frozenset(["{"]), frozenset(), {"function": "function"}, frozenset(["source"]), frozenset(["}"])),
+}
+
+
+def _parse_worded(b: _Builder, language: str) -> None:
+    """Blocks by their words. A name after a declaring word is a symbol, one before a bracket a call, others are references."""
+    rules = _WORDED[language]
+    tokens = [(m.lastgroup, m[0], m.start(), m.end()) for m in rules.lexer.finditer(b.text) if m.lastgroup not in ("space", "comment")]
+    n = len(tokens)
+    word = lambda i: tokens[i][1] if 0 <= i < n else ""
+    group = lambda i: tokens[i][0] if 0 <= i < n else ""
+    head = lambda i: i == 0 or group(i - 1) == "line" or word(i - 1) in ("=", "then", "else", "do", "local")
+    known = rules.opens | rules.heads | rules.closes | rules.imports | set(rules.declares) | {"then", "else", "elsif", "elseif", "local", "return", "nil", "true", "false", "self", "and", "or", "not", "in", "end", "fi", "done", "esac"}
+
+    def opening(i: int) -> bool:
+        if word(i) in rules.opens and group(i) in ("name", "mark"):
+            after_word = word(i + 1) == ":" or word(i - 1) in (":", ".")  # a keyword argument or a member
+            # `for .. do` and `while .. do` are one block where the head of the statement opens it already.
+            return not after_word and not (language == "ruby" and word(i) == "do" and any(word(k) in ("while", "until", "for") for k in range(*_statement(i))))
+        return word(i) in rules.heads and group(i) == "name" and head(i)
+
+    def _statement(i: int) -> tuple[int, int]:
+        k = i
+        while k > 0 and group(k - 1) != "line":
+            k -= 1
+        return k, i
+
+    close: dict[int, int] = {}
+    stack: list[int] = []
+    for i in range(n):
+        if opening(i):
+            stack.append(i)
+        elif word(i) in rules.closes and group(i) in ("name", "mark") and stack and word(i - 1) != ".":
+            close[stack.pop()] = i
+    for i in stack:
+        close[i] = n - 1
+
+    def block(i: int) -> int:
+        """The token that ends what is declared at token i: its own block, or the first that opens in its statement, or the statement."""
+        if i in close:
+            return close[i]
+        k = i
+        while k < n and group(k) != "line":
+            if k in close:
+                return close[k]
+            k += 1
+        return min(k, n) - 1
+
+    owners: list[tuple[int, str, str]] = []  # last token, symbol, kind
+    i = 0
+    while i < n:
+        while owners and owners[-1][0] < i:
+            owners.pop()
+        kind, text, start, _ = tokens[i]
+        parent = owners[-1][1] if owners else None
+        shell = language == "bash" and kind == "name" and head(i) and word(i + 1) == "(" and word(i + 2) == ")"
+        if kind == "name" and (text in rules.declares and group(i + 1) == "name" and word(i - 1) not in (".", ":") or shell):
+            k = i if shell else i + 1
+            while word(k + 1) in (".", ":") and group(k + 2) == "name":  # Module.name, self.name or object:name
+                k += 2
+            name = word(k)
+            last = block(i if i in close else k)
+            inside = owners[-1][2] if owners else ""
+            what = "function" if shell else rules.declares[text]
+            what = "method" if what == "function" and language in ("ruby", "lua") and (inside in ("class", "module") or (language == "lua" and k > i + 1)) else what
+            symbol = b.symbol(what, name, start, tokens[last][3], parent)
+            if language == "ruby" and text == "class" and word(k + 1) == "<" and group(k + 2) == "name":
+                b.edge("extends", word(k + 2), start, symbol, 0.7, tokens[k + 2][2])
+                k += 2
+            owners.append((last, symbol, what))
+            i = k + 1
+            continue
+        if kind == "name" and text in rules.imports and (head(i) or word(i - 1) in ("(", "=")):
+            k = i + 1 + (word(i + 1) == "(")
+            if group(k) == "string":
+                b.edge("imports", word(k).strip("\"'"), start, parent, 0.7)
+                i = k + 1
+                continue
+            if group(k) == "name" or (language == "bash" and group(k) == "mark"):
+                end = k
+                while end + 1 < n and group(end + 1) != "line" and tokens[end + 1][2] == tokens[end][3]:
+                    end += 1
+                b.edge("imports", b.text[tokens[k][2] : tokens[end][3]], start, parent, 0.7)
+                i = end + 1
+                continue
+        if kind == "name" and text not in known:
+            b.edge("calls" if word(i + 1) == "(" else "references", text, start, parent, 0.55 if word(i + 1) == "(" else 0.45)
+        i += 1
+
+
 def parse(path: str, text: str, language: str) -> Parsed | None:
     """None for texts that are too long or in a language without a parser."""
-    if units(text) > MAX_PARSE or not (language == "python" or language in BRACED):
+    if units(text) > MAX_PARSE or not (language == "python" or language in BRACED or language in _WORDED):
         return None
     b = _Builder(path, text)
     try:
-        _parse_python(b) if language == "python" else _parse_braced(b, language)
+        _parse_python(b) if language == "python" else _parse_worded(b, language) if language in _WORDED else _parse_braced(b, language)
     except (SyntaxError, RecursionError, ValueError):
         return Parsed(error=True)
     return b.out

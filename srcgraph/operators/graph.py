@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import dirname, extname, join_path
 from ..schema import Snapshot
+from ..sources.staging import shared_root
 
 # Extensions tried on imports, folders' index files, and relation kinds.
 SCRIPT_EXTENSIONS = [".ts", ".tsx", ".js", ".jsx", ".mts", ".cts", ".mjs", ".cjs"]
@@ -22,12 +23,7 @@ def _cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage of a loop in the shared checkpoint folder."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root:
-            import tempfile
-
-            root = f"file://{tempfile.mkdtemp(prefix='srcgraph-')}"
-        spark.sparkContext.setCheckpointDir(f"{root}/loops-{uuid.uuid4().hex[:8]}")
+        spark.sparkContext.setCheckpointDir(f"{shared_root(spark)}/loops-{uuid.uuid4().hex[:8]}")
     return df.checkpoint()
 
 
@@ -97,8 +93,8 @@ def change_impact(s: Snapshot, query: str, max_depth: int = 3) -> dict:
     exact_n = exact.count()
     ambiguous, none = exact_n > 1 and not by_file, seeds.isEmpty()
     risk = "unknown" if none else "high" if n >= 10 or (deepest or 0) > 1 else "medium" if n >= 3 else "low"
-    caveats = ["No exact indexed file or symbol match was found; refine the query."] * none + [f"The symbol name matches {exact_n} definitions; use a file path to tell them apart."] * ambiguous
-    caveats += ["A static estimate from indexed relations.", "Dynamic and external dependents may be missing."] + ["Some affected edges have low confidence."] * ((least or 1) < 0.6)
+    caveats = [f"Nothing in the index is named {q!r}."] * none + [f"{exact_n} symbols share this name, and all of them were followed."] * ambiguous
+    caveats += [f"Edges were followed over at most {depth} steps, as the index has them."] + [f"The least certain edge has a confidence of {least}."] * ((least or 1) < 0.6)
     return {
         "query": query, "matchedFiles": seeds.orderBy("path"), "matchedSymbols": matched.select("name", "filePath", "kind"), "affectedFiles": affected,
         "affectedSymbols": s.symbols.join(affected.select("filePath", "depth"), "filePath").select("name", "filePath", "kind", "depth"), "risk": risk, "ambiguous": ambiguous, "caveats": caveats,

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import basename, dirname, extname, round_half_up, trim
+from ..functions.text import basename, dirname, extname, round_half_up, sha_prefix, trim
 from ..schema import Snapshot
 
 
@@ -196,11 +196,21 @@ def pack_batches(items: DataFrame, size_col: str = "size", order_col: str = "pat
                 out.append(batch)
             yield pd.DataFrame({"at": frame["at"], "batch": out})
 
-    keys = items.select(F.col(order_col).alias("at"), F.col(size_col).cast("long").alias("size")).coalesce(1).sortWithinPartitions("at")
+    keys = items.select(F.col(order_col).alias("at"), F.col(size_col).cast("long").alias("size")).repartition(1).sortWithinPartitions("at")
     cuts = keys.mapInPandas(fold, f"at {dict(items.dtypes)[order_col]}, batch long")
     return items.join(cuts, items[order_col] == cuts["at"]).drop("at")
 
 
+def repository_parts(items: DataFrame, repository: str, order_col: str = "path", **limits) -> DataFrame:
+    """Parts of a repository's files: part, files, uid, label and group; a single part has the repository's own label."""
+    packed = pack_batches(items, "size", order_col, **limits).groupBy(F.col("batch").alias("part")).agg(F.count("*").alias("files"))
+    total = packed.agg((F.max("part") + 1).alias("total"))  # one row
+    number = (F.col("part") + 1).cast("string")
+    label = F.when(F.col("total") > 1, F.concat(F.lit(f"{repository} · part "), number, F.lit(" of "), F.col("total").cast("string"))).otherwise(repository)
+    uid = sha_prefix(F.concat(F.lit(f"{repository}\0part-"), number), 32)
+    return packed.crossJoin(F.broadcast(total)).select("part", "files", uid.alias("uid"), label.alias("label"), F.lit(repository).alias("indexGroup"))
+
+
 def git_log(lines: DataFrame, limit: int = 20) -> DataFrame:
     """Commits from lines of `hash|author|date|subject`."""
     part = F.split("value", r"\|", 4)

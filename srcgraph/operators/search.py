@@ -10,27 +10,21 @@ from ..functions.text import all_terms, cosine, terms
 from ..schema import Snapshot
 
 
-def query_terms(spark, query: str) -> DataFrame:
-    return spark.range(1).select(F.explode(terms(F.lit(query))).alias("term"))
-
-
 def lexical_scores(s: Snapshot, query: str, any_symbol: bool = False) -> DataFrame:
     """(path, score) of files with a positive score.
 
     Per term: 2 for a file that has it, 1 for a path that contains it, 4 for each symbol whose name
     contains it; with any_symbol a symbol counts once, whichever terms it contains. The terms are a
-    handful of rows that are broadcast; contributions are summed before the shuffle.
+    constant of the plan: files and symbols are read once, and symbols summed before the one shuffle.
     """
-    q = F.broadcast(query_terms(s.spark, query))
-    has = s.file_terms.join(q, "term").select(F.col("filePath").alias("path"), F.lit(2.0).alias("score"))
-    in_path = s.files.select("path").join(q, F.lower("path").contains(F.col("term"))).select("path", F.lit(1.0).alias("score"))
-    if any_symbol:
-        matched = s.symbols.select("filePath", "name").join(q, F.lower("name").contains(F.col("term")), "left_semi")
-    else:
-        matched = s.symbols.select("filePath", "name").join(q, F.lower("name").contains(F.col("term")))
-    in_name = matched.select(F.col("filePath").alias("path"), F.lit(4.0).alias("score"))
-    total = has.unionByName(in_path).unionByName(in_name).groupBy("path").agg(F.sum("score").alias("score"))
-    return total.join(s.files.select("path"), "path", "left_semi")
+    q = terms(F.lit(query))
+    held = F.size(F.array_intersect(F.transform("terms", F.lower), q))
+    in_path = F.size(F.filter(q, lambda t: F.lower("path").contains(t)))
+    in_name = F.size(F.filter(q, lambda t: F.lower("name").contains(t)))
+    files = s.files.select("path", (2.0 * held + in_path).alias("own"))
+    matched = s.symbols.select(F.col("filePath").alias("path"), (F.least(in_name, F.lit(1)) if any_symbol else in_name).alias("m")).where("m > 0")
+    named = matched.groupBy("path").agg((4.0 * F.sum("m")).alias("named"))
+    return files.join(named, "path", "left").select("path", (F.col("own") + F.coalesce("named", F.lit(0.0))).alias("score")).where("score > 0")
 
 
 def search(s: Snapshot, query: str, limit: int = 10, any_symbol: bool = False) -> DataFrame:
@@ -39,8 +33,7 @@ def search(s: Snapshot, query: str, limit: int = 10, any_symbol: bool = False) -
 
 def excerpts(s: Snapshot, hits: DataFrame, query: str, length: int = 500) -> DataFrame:
     """Hits with the beginning of the first chunk of the file that contains a term."""
-    q = F.broadcast(query_terms(s.spark, query))
-    chunk = s.chunks.join(hits.select(F.col("path").alias("filePath")), "filePath", "left_semi").join(q, F.lower("text").contains(F.col("term")), "left_semi")
+    chunk = s.chunks.where(F.exists(terms(F.lit(query)), lambda t: F.lower("text").contains(t))).join(hits.select(F.col("path").alias("filePath")), "filePath", "left_semi")
     first = chunk.groupBy(F.col("filePath").alias("path")).agg(F.left(F.min_by("text", "ord"), F.lit(length)).alias("excerpt"))
     return hits.join(first, "path", "left").orderBy(F.desc("score"), "path")
 
@@ -66,8 +59,11 @@ def semantic_search(s: Snapshot, vector: list[float], limit: int = 10, provider:
         raise ValueError("the query vector must be finite")
     rows = s.vectors if provider is None else s.vectors.where(F.col("providerId") == provider)
     rows = rows.withColumn("score", cosine(F.col("values"), F.array(*[F.lit(float(x)) for x in vector])))
-    rows = rows.join(s.chunks, F.col("chunkId") == F.col("id")).join(s.files.select(F.col("path").alias("filePath")), "filePath", "left_semi")
-    return rows.select("filePath", "chunkId", "startLine", "endLine", "text", "score", "ord").orderBy(F.desc("score"), "ord").limit(limit)
+    places = s.chunks.select(F.col("id").alias("chunkId"), "filePath", "startLine", "endLine", "ord").join(s.files.select(F.col("path").alias("filePath")), "filePath", "left_semi")
+    best = rows.select("chunkId", "score").join(places, "chunkId").orderBy(F.desc("score"), "ord").limit(limit)
+    # Texts are fetched for the best alone.
+    out = s.chunks.select(F.col("id").alias("chunkId"), "text").join(F.broadcast(best), "chunkId")
+    return out.select("filePath", "chunkId", "startLine", "endLine", "text", "score", "ord").orderBy(F.desc("score"), "ord")
 
 
 def hybrid_search(s: Snapshot, query: str, vector: list[float] | None = None, limit: int = 10) -> DataFrame:
@@ -85,6 +81,4 @@ def hybrid_search(s: Snapshot, query: str, vector: list[float] | None = None, li
 
 def rank_chunks(chunks: DataFrame, query: str) -> DataFrame:
     """Chunks with the number of query terms, repeated ones each time, that they contain."""
-    q = F.broadcast(chunks.sparkSession.range(1).select(F.explode(all_terms(F.lit(query))).alias("term")))
-    hits = chunks.select("id", F.lower("text").alias("t")).join(q, F.col("t").contains(F.col("term"))).groupBy("id").agg(F.count("*").alias("score"))
-    return chunks.join(hits, "id", "left").withColumn("score", F.coalesce("score", F.lit(0).cast("long")))
+    return chunks.withColumn("score", F.size(F.filter(all_terms(F.lit(query)), lambda t: F.lower("text").contains(t))).cast("long"))

@@ -9,6 +9,7 @@ from ..functions.text import cosine, normalize_target
 from ..operators import context, detectors, graph, incremental, lookup, reports, resolve, search
 from ..operators.extract import text_chunks
 from . import testdata as td
+from .registry import QUERIES, SQL, query
 
 QUERY = "the onthe für éoi tion"
 NEEDLE = "red"
@@ -35,20 +36,6 @@ _PARTNERS = _TRADE + """,
 e AS (SELECT src, dst, n FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) AS r FROM trade) WHERE r <= 2)"""
 _Q = "('" + "'), ('".join(QUERY.split()) + "')"
 
-_QUERIES: dict = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None, *ctes: str):
-    def add(f):
-        _QUERIES[f.__name__] = f
-        if sql is not None:
-            _SQL[f.__name__] = (f"WITH RECURSIVE {','.join(ctes)}\n" if ctes else "") + sql
-        return f
-
-    return add
-
-
 def long(*columns: str):
     return [F.col(c).cast("long").alias(c) for c in columns]
 
@@ -108,22 +95,6 @@ def _query_vector(spark, d):
     return [float(x) for x in td.read(spark, d, "embeddings").where("vec_id = 0").first().embedding]
 
 
-def _near(spark, d, k):
-    q = F.array(*[F.lit(x) for x in _query_vector(spark, d)])
-    rows = td.read(spark, d, "embeddings").select("vec_id", "label", cosine(F.col("embedding").cast("array<double>"), q).alias("score"))
-    return rows.orderBy(F.desc(F.round("score", 9)), "vec_id").limit(k)
-
-
-@query("SELECT vec_id, round(list_cosine_similarity(e, q), 6) AS score FROM v, q0 ORDER BY round(list_cosine_similarity(e, q), 9) DESC, vec_id LIMIT 20", _VEC)
-def semantic_topk(spark, d):
-    return _near(spark, d, 20).select("vec_id", F.round("score", 6).alias("score"))
-
-
-@query("SELECT label, count(*)::BIGINT AS votes FROM (SELECT label FROM v, q0 ORDER BY round(list_cosine_similarity(e, q), 9) DESC, vec_id LIMIT 50) GROUP BY label", _VEC)
-def vector_knn_label_vote(spark, d):
-    return _near(spark, d, 50).groupBy("label").agg(F.count("*").alias("votes"))
-
-
 @query(
     """, lex AS (SELECT path, sum(s)::DOUBLE AS score FROM hits GROUP BY path ORDER BY score DESC, path LIMIT 20),
 sem AS (SELECT path, round(list_cosine_similarity(e, q), 9) AS c FROM v JOIN files ON files.ord = vec_id, q0 ORDER BY c DESC, vec_id LIMIT 20),
@@ -330,8 +301,8 @@ def partition_batches(spark, d):
     return reports.pack_batches(docs, "n_chars", "doc_id", 30, 60_000).select("doc_id", "batch")
 
 
-_SQL["partition_batches"] = "WITH RECURSIVE " + _SQL["partition_batches"]
-_SQL["part_rollup"] = "WITH " + _SQL["part_rollup"]
+SQL["partition_batches"] = "WITH RECURSIVE " + SQL["partition_batches"]
+SQL["part_rollup"] = "WITH " + SQL["part_rollup"]
 
 
 # Detectors
@@ -361,7 +332,7 @@ SELECT conv_id, turn, string_split(a, '|')[1] AS kind, string_split(a, '|')[2]::
 
 _PHRASES = ["", "who calls ", "callee of ", "where is ", "references to ", "what depends on ", "architecture of ", "tests for ", "api of ", "settings in ", "recent changes in "]
 _PHRASE_SQL = "[" + ", ".join(f"'{p}'" for p in _PHRASES) + f"][1 + (conv_id + turn) % {len(_PHRASES)}]"
-_SQL["query_intent"] = _intent_sql()
+SQL["query_intent"] = _intent_sql()
 
 
 @query()
@@ -372,13 +343,6 @@ def query_intent(spark, d):
     return rows.select("conv_id", "turn", detectors.query_intent(asked).alias("i")).select("conv_id", "turn", "i.kind", F.col("i.confidence").cast("double").alias("confidence"))
 
 
-@query()
-def api_endpoints(spark, d):
-    pages = td.read(spark, d, "pages")
-    text = F.concat(F.lit("const x = 1\napp.get('/"), F.col("page_id").cast("string"), F.lit("', f)\nrouter.post(\""), F.regexp_extract("url", "://[^/]*([^?#]*)", 1), F.lit('")\n'))
-    return detectors.api_endpoints(pages.select(F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(".ts")).alias("filePath"), text.alias("text")), td.symbols(spark, d))
-
-
 @query()
 def chunk_documents(spark, d):
     import pandas as pd
@@ -392,12 +356,6 @@ def chunk_documents(spark, d):
     return docs.mapInPandas(run, "id string, filePath string, startLine int, endLine int, hash string")
 
 
-@query("SELECT host AS name, count(*)::BIGINT AS importedBy, array_to_string(list_sort(list_distinct(list(page_id::VARCHAR))), '|') AS files FROM (SELECT page_id, regexp_extract(url, '://([^/]*)', 1) AS host FROM pages) GROUP BY host")
-def external_packages(spark, d):
-    rows = td.read(spark, d, "pages").select(F.col("page_id").cast("string").alias("file"), F.regexp_extract("url", "://([^/]*)", 1).alias("name"))
-    return rows.groupBy("name").agg(F.count("*").alias("importedBy"), F.array_join(F.array_sort(F.collect_set("file")), "|").alias("files"))
-
-
 @query(r"SELECT page_id, coalesce(nullif(list_last(list_filter(string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '^(\./|\.\./|/)', ''), '^[A-Za-z][A-Za-z0-9+.\-]*:', ''), '[?#].*$', ''), '/index$', ''), '\.[^/.]+$', ''), '/'), lambda x: x <> '')), ''), url) AS target FROM pages")
 def path_normalize(spark, d):
     return td.read(spark, d, "pages").select("page_id", normalize_target(F.col("url")).alias("target"))
@@ -420,38 +378,6 @@ def _trade_snapshot(spark, d):
     return s.with_(files=files, symbols=symbols, relations=relations)
 
 
-@query("SELECT src, dst, n::BIGINT AS n FROM trade", _TRADE)
-def file_dependency_edges(spark, d):
-    return td.trade(spark, d)
-
-
-@query("SELECT n_name AS path, (SELECT count(DISTINCT src) FROM e WHERE dst = n_nationkey)::BIGINT AS fanIn, (SELECT count(DISTINCT dst) FROM e WHERE src = n_nationkey)::BIGINT AS fanOut FROM nation", _PARTNERS)
-def fan_in_out(spark, d):
-    from ..operators.architecture import fan_in_out as fans
-
-    return fans(_named_files(spark, d), _named_edges(spark, d))
-
-
-def _named_files(spark, d):
-    return td.read(spark, d, "nation").select(F.col("n_name").alias("path"))
-
-
-def _named_edges(spark, d):
-    nation = td.read(spark, d, "nation")
-    a, b = (nation.select(F.col("n_nationkey").alias(k), F.col("n_name").alias(v)) for k, v in (("src", "from"), ("dst", "to")))
-    return td.partners(spark, d).join(F.broadcast(a), "src").join(F.broadcast(b), "dst").select("from", "to", "n")
-
-
-@query("SELECT n_name AS path, count(DISTINCT src)::BIGINT AS fanIn FROM e JOIN nation ON dst = n_nationkey GROUP BY n_name ORDER BY fanIn DESC, path LIMIT 10", _PARTNERS)
-def most_depended(spark, d):
-    return fan_in_out(spark, d).where("fanIn > 0").orderBy(F.desc("fanIn"), "path").limit(10).select("path", "fanIn")
-
-
-@query("SELECT n_name AS path FROM nation WHERE n_nationkey IN (SELECT src FROM e) AND n_nationkey NOT IN (SELECT dst FROM e)", _PARTNERS)
-def entry_candidates(spark, d):
-    return fan_in_out(spark, d).where("fanIn = 0 AND fanOut > 0").select("path")
-
-
 @query("SELECT 'n/' || a.n_name || '.ts' AS fromFile, 'n/' || b.n_name || '.ts' AS toFile, count(*)::BIGINT AS n FROM e JOIN nation a ON src = a.n_nationkey JOIN nation b ON dst = b.n_nationkey WHERE src < 20 AND dst < 20 GROUP BY ALL", _PARTNERS)
 def dependency_matrix(spark, d):
     return graph.dependency_matrix(_trade_snapshot(spark, d), 20)
@@ -474,18 +400,6 @@ def change_impact_bfs(spark, d):
     return graph.change_impact(s, name, 3)["affectedFiles"].select("filePath", *long("depth"), "confidence")
 
 
-@query(", r(root, node, depth) AS (SELECT n_nationkey, n_nationkey, 0 FROM nation WHERE n_nationkey < 2 UNION SELECT root, dst, depth + 1 FROM r JOIN e ON src = node WHERE depth < 6) SELECT root::BIGINT AS root, node::BIGINT AS node, min(depth)::BIGINT AS depth FROM r WHERE root <> node GROUP BY root, node", _PARTNERS)
-def shortest_path(spark, d):
-    """Depth of everything reachable from two nations."""
-    edges = td.partners(spark, d).select("src", "dst", (F.col("src") * 100 + F.col("dst")).cast("long").alias("ord"))
-    out = None
-    for root in (0, 1):
-        got = graph.bfs(edges, spark.range(root, root + 1).select(F.col("id").cast("int").alias("node")), 6)
-        got = got.select(F.lit(root).cast("long").alias("root"), F.col("dst").cast("long").alias("node"), F.col("depth").cast("long").alias("depth"))
-        out = got if out is None else out.unionByName(got)
-    return out
-
-
 @query("SELECT r.id, r.kind FROM relations r WHERE contains(lower(targetName), 'red widget') OR r.fromSymbolId IN (SELECT id FROM symbols WHERE lower(name) = 'red widget') OR contains('red widget', lower(targetName))", _SYMBOLS, _RELATIONS)
 def dependency_relations(spark, d):
     return graph.dependency_relations(_coded(spark, d), NAME).select("id", "kind")
@@ -553,8 +467,8 @@ def context_pack(spark, d):
 
 
 def queries() -> dict:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)

@@ -2,14 +2,39 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shared_root(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. Only a local session may do without: it gets a folder of its own."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="srcgraph-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder of the shared file system, by its plain path; it goes when the application ends."""
+    root = shared_root(spark)
+    if "://" in root and not root.startswith("file://"):
+        raise RuntimeError("a workspace needs a mounted folder")
+    path = f"{root.removeprefix('file://')}/{name}-{uuid.uuid4().hex[:12]}"
+    os.makedirs(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"file://{path}")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return path
+
+
 class Staging:
-    """Named Parquet tables below spark.checkpoint.dir, or a local folder where that is unset; they go when the run ends.
+    """Named Parquet tables below spark.checkpoint.dir; they go when the run ends.
 
     A staged table cuts lineage: what follows reads it as often as it needs, and a
     lost executor costs a re-read instead of another scan of the workspace.
@@ -17,8 +42,7 @@ class Staging:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="srcgraph-")
-        self.path = f"{root.rstrip('/')}/run-{uuid.uuid4().hex[:12]}"
+        self.path = f"{shared_root(spark)}/run-{uuid.uuid4().hex[:12]}"
         self.count = 0
 
     def __enter__(self) -> Staging:

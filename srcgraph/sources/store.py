@@ -1,11 +1,10 @@
-"""Snapshots on disk: Parquet tables of one version each, a manifest with counts and a digest, and a pointer to the current version."""
+"""Snapshots in any file system that Hadoop reaches: Parquet tables of one version each, a manifest with counts and a digest, and a pointer to the current version."""
 
 from __future__ import annotations
 
 import hashlib
 import json
 import os
-import shutil
 import uuid
 from datetime import UTC, datetime
 
@@ -13,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import SCHEMAS, Snapshot
+from .fs import Files
 
 FORMAT_VERSION = 1
 
@@ -46,38 +46,28 @@ def write(s: Snapshot, path: str, uid: str, keep_old: bool = False, **metadata)
     if len(uid.encode()) > 65535:
         raise StoredIndexError("uid", "too long")
     version = uuid.uuid4().hex
-    folder = os.path.join(path, f"v-{version}")
+    folder = f"{path}/v-{version}"
     counts, digests = {}, {}
     for name, df in s.tables().items():
         if name == "metadata":
             continue
-        df.write.parquet(os.path.join(folder, name))
-        got = _digest(s.spark.read.schema(SCHEMAS[name]).parquet(os.path.join(folder, name))).first()
+        df.write.parquet(f"{folder}/{name}")
+        got = _digest(s.spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}")).first()
         counts[name], digests[name] = got.n, got.digest
     now = datetime.now(UTC).isoformat()
     manifest = {"formatVersion": FORMAT_VERSION, "uid": uid, "createdAt": now, "updatedAt": now, **metadata, "counts": counts, "digests": digests}
-    _replace(os.path.join(folder, "manifest.json"), json.dumps(manifest))
+    files = Files(s.spark)
+    files.replace(f"{folder}/manifest.json", json.dumps(manifest))
     old = _current(path)
-    _replace(os.path.join(path, "CURRENT"), f"v-{version}")
+    files.replace(f"{path}/CURRENT", f"v-{version}")
     if old and not keep_old:
-        shutil.rmtree(os.path.join(path, old), ignore_errors=True)
+        files.remove(f"{path}/{old}")
     return manifest
 
 
-def _replace(path: str, text: str) -> None:
-    with open(path + ".tmp", "w", encoding="utf-8") as f:
-        f.write(text)
-        f.flush()
-        os.fsync(f.fileno())
-    os.replace(path + ".tmp", path)
-
-
 def _current(path: str) -> str | None:
-    try:
-        with open(os.path.join(path, "CURRENT"), encoding="utf-8") as f:
-            return f.read().strip()
-    except OSError:
-        return None
+    text = Files().read(f"{path}/CURRENT")
+    return text and text.strip()
 
 
 def manifest(path: str) -> dict:
@@ -85,9 +75,8 @@ def manifest(path: str) -> dict:
     if not version:
         raise StoredIndexError("missing", path)
     try:
-        with open(os.path.join(path, version, "manifest.json"), encoding="utf-8") as f:
-            return json.load(f)
-    except (OSError, ValueError) as e:
+        return json.loads(Files().read(f"{path}/{version}/manifest.json") or "")
+    except ValueError as e:
         raise StoredIndexError("malformed", str(e)) from e
 
 
@@ -98,10 +87,10 @@ def read(spark: SparkSession, path: str, uid: str | None = None, verify: bool =
         raise StoredIndexError("version", str(m.get("formatVersion")))
     if uid is not None and m.get("uid") != uid:
         raise StoredIndexError("uid", str(m.get("uid")))
-    folder = os.path.join(path, _current(path))
+    folder = f"{path}/{_current(path)}"
     tables = {}
     for name in m["counts"]:
-        tables[name] = spark.read.schema(SCHEMAS[name]).parquet(os.path.join(folder, name))
+        tables[name] = spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}")
         if verify:
             try:
                 got = _digest(tables[name]).first()
@@ -118,10 +107,8 @@ def read(spark: SparkSession, path: str, uid: str | None = None, verify: bool =
 def catalog(spark: SparkSession, folder: str, verify: bool = False) -> tuple[dict[str, Snapshot], list[dict], list[tuple[str, str]]]:
     """All indexes below a folder by uid, their manifests by workspace, and the ones that cannot be read; one bad index spoils nothing."""
     good, found, bad = {}, [], []
-    for name in sorted(os.listdir(folder)):
-        path = os.path.join(folder, name)
-        if not os.path.isdir(path):
-            continue
+    for name in Files(spark).folders(folder):
+        path = f"{folder}/{name}"
         try:
             m = manifest(path)
             good[m["uid"]] = read(spark, path, verify=verify)
@@ -141,6 +128,4 @@ def union(indexes: dict[str, Snapshot], table: str) -> DataFrame:
 
 
 def remove(path: str) -> bool:
-    existed = os.path.isdir(path)
-    shutil.rmtree(path, ignore_errors=True)
-    return existed
+    return Files().remove(path)

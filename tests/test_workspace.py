@@ -290,3 +290,34 @@ def test_cli(spark, tmp_path):
     assert cli.run(["search", "go", *args], spark)[0]["path"] == "a.ts" and cli.run(["symbols", "go", *args], spark)[0]["name"] == "go"
     assert cli.run(["files", "a", "--language", "typescript", *args], spark) and cli.run(["intent", "who calls go", *args], spark)["kind"] == "caller"
     assert cli.size("5mb") == 5 << 20
+
+
+WORDED = {
+    "ruby": (
+        "require 'json'\nmodule Shop\n  class Cart < Base\n    def total(x)\n      x.each do |i|\n        add(i) if i\n      end\n      while x do\n        y\n      end\n    end\n  end\nend\ndef solo\n  1\nend\n",
+        [("Shop", "module", 2, 13), ("Cart", "class", 3, 12), ("total", "method", 4, 11), ("solo", "function", 14, 16)], {("imports", "json", 1), ("extends", "Base", 3), ("calls", "add", 6)},
+    ),
+    "lua": (
+        'local j = require("json")\nlocal function add(a)\n  if a then return a end\n  for i = 1, 2 do call(i) end\nend\nfunction M.run:go(x)\n  repeat step() until x -- end\nend\n',
+        [("add", "function", 2, 5), ("go", "method", 6, 8)], {("imports", "json", 1), ("calls", "call", 4), ("calls", "step", 7)},
+    ),
+    "elixir": (
+        "defmodule Shop.Cart do\n  alias Shop.Item\n  def total(x), do: sum(x)\n  defp one(x) do\n    Enum.map(x, fn y -> f(y) end)\n  end\nend\n",
+        [("Cart", "module", 1, 7), ("total", "function", 3, 3), ("one", "function", 4, 6)], {("imports", "Shop.Item", 2), ("calls", "sum", 3), ("calls", "map", 5), ("calls", "f", 5)},
+    ),
+    "julia": (
+        "using LinearAlgebra\nmodule M\nstruct P\n x\nend\nfunction f(x)\n  for i in x\n   g(i)\n  end\nend\nend\n",
+        [("M", "module", 2, 11), ("P", "class", 3, 5), ("f", "function", 6, 10)], {("imports", "LinearAlgebra", 1), ("calls", "g", 8)},
+    ),
+    "bash": ("source ./lib.sh\nbuild() {\n  if [ -f x ]; then\n    run a\n  fi\n}\nfunction deploy {\n  build\n}\n", [("build", "function", 2, 6), ("deploy", "function", 7, 9)], {("imports", "./lib.sh", 1)}),
+}
+
+
+@pytest.mark.parametrize("language", WORDED)
+def test_languages_whose_blocks_end_with_a_word(language):
+    text, symbols, relations = WORDED[language]
+    got = parse("f", text, language)
+    assert [(x[2], x[3], x[4], x[5]) for x in got.symbols] == symbols
+    assert {(x[1], x[5], x[6]) for x in got.relations if x[1] not in ("references", "contains")} == relations
+    for odd in ("", "end end", "def", "do\n" * 50, '"' + text, text * 3):
+        assert not parse("f", odd, language).error
