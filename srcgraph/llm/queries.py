@@ -98,6 +98,20 @@ g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)
 """
 
+OP2_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + k - 1], ' ') AS g FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM (SELECT doc_id, w, least(5, len(w)) AS k FROM d WHERE len(w) > 0))),
+n AS (SELECT doc_id, count(*) AS n, md5(string_agg(g, chr(10) ORDER BY g)) AS same FROM sh GROUP BY doc_id),
+c AS (SELECT same, min(doc_id) AS rep, any_value(n) AS n FROM n GROUP BY same),
+r AS (SELECT rep, n, g FROM c JOIN sh ON doc_id = rep),
+l AS (SELECT a.rep AS x, b.rep AS y FROM r a JOIN r b ON a.g = b.g AND a.rep < b.rep GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+t(x, y) AS (SELECT x, y FROM e UNION SELECT t.x, e.y FROM t JOIN e ON t.y = e.x),
+k AS (SELECT x AS rep, least(x, min(y)) AS comp FROM t GROUP BY x)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(comp, c.rep, d.doc_id)::BIGINT AS component_id, d.doc_id = coalesce(comp, c.rep, d.doc_id) AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (same) LEFT JOIN k USING (rep)
+"""
+
 OP4_SQL = f"""
 WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
 bw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
@@ -172,4 +186,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op4_decontamination": OP4_SQL, "op6_line_dedup": OP6_SQL, "op7_substring_dedup": OP7_SQL, "op8_source_mixing": _op8_sql(), "op9_url_filter": OP9_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op2_minhash_near_dedup": OP2_SQL, "op4_decontamination": OP4_SQL, "op6_line_dedup": OP6_SQL, "op7_substring_dedup": OP7_SQL, "op8_source_mixing": _op8_sql(), "op9_url_filter": OP9_SQL}
