@@ -33,7 +33,7 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     while mark[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("c"))
-        large = down(_with_least(both, low, mark[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        large = _with_least(both, low, mark[0]).where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))  # v is the greater
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v"))
         fresh = scratch.write(down(small), "links")

@@ -2,12 +2,12 @@
 
 Documents with one word sequence are one representative from the start. Bands
 of its signature put a representative into buckets. Each bucket first proves
-its members against one hub, large ones against more. What stays unconnected
-in a bucket is compared without exception: as pairs in small buckets. Members
-of large ones meet through the rarest shingles of their sets, of which linked
-sets share one: as pairs where few hold it, else in blocks that hold one
-block's sets and stream the others past it. Sets are compared in full, and a
-link is confirmed on the words of the shingles.
+its members against one hub. What stays unconnected in a bucket is compared
+without exception: as pairs in small buckets. Members of large ones meet
+through the rarest shingles of their sets, of which linked sets share one: as
+pairs where few hold it, else in blocks that hold one block's sets and stream
+the others past it. Sets are compared in full, and a link is confirmed on the
+words of the shingles.
 """
 
 from __future__ import annotations
@@ -29,8 +29,6 @@ NUMERATOR, DENOMINATOR = 75, 100
 SMALL_BUCKET, BLOCK = 64, 256
 #: Members that one task compares with a hub.
 HUB_SHARE = 256
-#: Further hubs for large buckets that the first leaves unconnected.
-HUB_ROUNDS = 1
 #: Cells in which shingles are counted (2 MB of counts).
 CELLS = 1 << 18
 #: Identifiers that may be broadcast (16 bytes each, some 50 MB as a hash table).
@@ -130,13 +128,17 @@ def _against_block(batches):
 
 
 def _cell_counts(batches):
-    """(cell, n): how many shingles of the sets fall into each cell."""
+    """(cell, n): how many shingles of a task's sets fall into each cell.
+
+    Cells with one are left out: how rare a shingle is taken to be decides what
+    a comparison costs, never what is compared.
+    """
+    total = np.zeros(CELLS, dtype=np.int64)
     for batch in batches:
-        total = np.zeros(CELLS, dtype=np.int64)
         for sets in shingle_sets(batch.column(0), _HASHER):
             total += np.bincount((sets.hashes % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["cell", "n"])
+    used = np.flatnonzero(total > 1)
+    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["cell", "n"])
 
 
 def _rarest(often):
@@ -153,10 +155,7 @@ def _rarest(often):
             for rep, comp, (sets, row) in zip(reps, comps, _each(batch.column(2))):
                 own = sets.hashes[sets.bounds[row] : sets.bounds[row + 1]]
                 first = len(own) + (-NUMERATOR * len(own)) // DENOMINATOR + 1
-                # What no other member can hold needs no meeting, but has its place in the order.
-                count = counts[(own % np.uint64(CELLS)).astype(np.int64)]
-                chosen = np.lexsort((own, count))[:first]
-                chosen = chosen[count[chosen] > 1]
+                chosen = np.lexsort((own, counts[(own % np.uint64(CELLS)).astype(np.int64)]))[:first]
                 for column, values in zip(out, (own[chosen].view(np.int64), np.full(len(chosen), rep), np.full(len(chosen), comp), np.full(len(chosen), len(own)))):
                     column.append(values)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else [], pa.int64()) for x in out], names=["h", "rep", "comp", "n"])
@@ -278,18 +277,6 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         links = check.pairs(stars, "stars")
         comps = scratch.write(components(links, scratch), "comps")
         open_ = _placed(members, comps, scratch)
-        for turn in range(HUB_ROUNDS):
-            large = open_.where(f"m > {SMALL_BUCKET}")
-            if large.isEmpty():
-                break
-            hubs = large.groupBy("key").agg(F.max_by(F.struct("rep", "n", "comp"), F.xxhash64("rep", F.lit(turn))).alias("hub"))
-            spokes = large.join(hubs, "key").where((F.col("comp") != F.col("hub.comp")) & _fits("n", "hub.n")).select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).distinct()
-            more = check.pairs(spokes, "spokes")
-            if more.isEmpty():
-                continue
-            links = links.unionByName(more)
-            comps = scratch.write(components(links, scratch), "comps")
-            open_ = _placed(open_, comps, scratch)
         few = open_.where(f"m <= {SMALL_BUCKET}")
         links = links.unionByName(check.pairs(_crossing(few, "key").join(stars, ["a", "b"], "left_anti"), "crossing"))
         many = open_.where(f"m > {SMALL_BUCKET}")
