@@ -161,7 +161,7 @@ _PAIRS = [(1, 150), (2, 77), (10, 199)]
 @query(
     f""", pairs(a, b) AS (VALUES {", ".join(map(str, _PAIRS))}),
 w(a, b, node, depth, queue, path) AS (SELECT a, b, a, 0, [a::BIGINT], ['sym' || a] FROM pairs UNION ALL SELECT a, b, dst, depth + 1, list_append(queue, src * 1000000 + dst), list_append(path, 'sym' || dst) FROM w JOIN g ON src = node WHERE depth < 4 AND node <> b),
-best AS (SELECT a, b, arg_min(path, (depth, queue)) AS path FROM w WHERE node = b GROUP BY a, b)
+best AS (SELECT a, b, arg_min(path, (depth, queue)) AS path FROM w WHERE node = b GROUP BY a, b),
 found AS (SELECT pairs.a, coalesce(path, ['sym' || pairs.a]) AS path FROM pairs LEFT JOIN best USING (a, b))
 SELECT 'sym' || a AS start, unnest(range(1, len(path) + 1))::BIGINT AS pos, unnest(path) AS node FROM found""",
     _GRAPH,
@@ -364,9 +364,9 @@ def context_symbols(spark, d):
     return _context(spark, d)["symbols"].select("id", "name")
 
 
-@query("SELECT id, kind FROM relations WHERE fromSymbolId IN (SELECT id FROM ids) OR toSymbolId IN (SELECT id FROM ids) OR filePath IN (SELECT path FROM top)", _SYMBOLS, _RELATIONS, _CONTEXT)
+@query("SELECT DISTINCT id FROM relations WHERE fromSymbolId IN (SELECT id FROM ids) OR toSymbolId IN (SELECT id FROM ids) OR filePath IN (SELECT path FROM top)", _SYMBOLS, _RELATIONS, _CONTEXT)
 def context_relations(spark, d):
-    return _context(spark, d)["relations"].select("id", "kind")
+    return _context(spark, d)["relations"].select("id")
 
 
 @query("SELECT path AS filePath FROM top", _SYMBOLS, _CONTEXT.split(",\no AS")[0])

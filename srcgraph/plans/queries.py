@@ -247,7 +247,10 @@ def health_check(spark, d):
     return reports.health(s.with_(symbols=s.symbols.where("ord % 9 <> 0")), s.files.where("language <> 'fr'"))
 
 
-@query("SELECT id, testSymbol, targetSymbol, framework FROM (SELECT DISTINCT s.id, s.name AS testSymbol, first_value(o.name) OVER (PARTITION BY s.id ORDER BY o.ord NULLS LAST) AS targetSymbol, 'jest / node:test / vitest' AS framework FROM symbols s LEFT JOIN (SELECT name, min(ord) AS ord FROM t GROUP BY name) o ON o.name <> s.name AND contains(lower(s.name), lower(o.name)) WHERE s.kind = 'class')", _SYMBOLS, "t AS (SELECT * FROM symbols WHERE kind = 'class' UNION ALL SELECT 'x', '', r_name, '', 1, r_regionkey FROM region UNION ALL SELECT 'y', '', right(s_name, 2), '', 1, 50 + s_suppkey FROM supplier WHERE s_suppkey > 9)")
+@query(
+    "SELECT s.id, s.name AS testSymbol, (SELECT arg_min(o.name, (o.ord, o.name)) FROM t o WHERE o.name <> s.name AND contains(lower(s.name), lower(o.name))) AS targetSymbol, 'jest / node:test / vitest' AS framework FROM symbols s",
+    _SYMBOLS, "t AS (SELECT name, min(ord) AS ord FROM (SELECT name, ord FROM symbols UNION ALL SELECT r_name, r_regionkey FROM region UNION ALL SELECT right(s_name, 2), 50 + s_suppkey FROM supplier) GROUP BY name)",
+)
 def test_symbol_link(spark, d):
     s = td.snapshot(spark, d)
     one = s.symbols.withColumn("filePath", F.concat(F.lit("tests/"), "id", F.lit(".ts")))
@@ -272,7 +275,7 @@ def db_schema_detect(spark, d):
     return reports.database_models(s.with_(files=td.read(spark, d, "pages").select(F.concat(head, i.cast("string"), tail).alias("path"))))
 
 
-@query("SELECT path AS filePath, regexp_replace(regexp_extract(path, '[^/]*$'), '\\.md$', '') AS title, coalesce(links, '') AS links FROM files LEFT JOIN (SELECT path, array_to_string((list(name ORDER BY ord))[1:5], '|') AS links FROM (SELECT files.path, w.name, w.ord FROM files JOIN w ON list_contains(files.terms, lower(w.name))) GROUP BY path) USING (path)", _FILES, "w AS (SELECT name, row_number() OVER (ORDER BY name) AS ord FROM (SELECT DISTINCT term AS name FROM (SELECT unnest(terms) AS term FROM files WHERE ord < 3) WHERE length(term) > 3 ORDER BY term LIMIT 100))")
+@query("SELECT path AS filePath, regexp_replace(regexp_extract(path, '[^/]*$'), '\\.md$', '') AS title, coalesce(links, '') AS links FROM files LEFT JOIN (SELECT path, array_to_string((list(name ORDER BY ord))[1:5], '|') AS links FROM (SELECT files.path, w.name, w.ord FROM files JOIN w ON list_contains(files.terms, lower(w.name))) GROUP BY path) USING (path)", _FILES, "w AS (SELECT name, row_number() OVER (ORDER BY name) AS ord FROM (SELECT DISTINCT term AS name FROM (SELECT unnest(terms) AS term FROM files) WHERE length(term) > 3 ORDER BY term LIMIT 100))")
 def config_doc_detect(spark, d):
     s = td.snapshot(spark, d)
     words = s.files.select(F.explode("terms").alias("name")).distinct().where("length(name) > 3").orderBy("name").limit(100)
@@ -325,7 +328,7 @@ def _intent_sql() -> str:
     from ..functions.text import LEFT, RIGHT
 
     cases = " ".join("WHEN regexp_matches(x, '" + p.replace(LEFT, r"\b").replace(RIGHT, r"\b").replace("'", "''") + f"') THEN '{k}|{c}'" for k, c, p, _ in detectors.INTENTS)
-    return f"""WITH q AS (SELECT conv_id, turn, lower(coalesce(text, '')) AS t, {_PHRASE_SQL} || lower(left(coalesce(text, ''), 40)) AS x FROM conversations),
+    return f"""WITH q AS (SELECT conv_id, turn, lower(coalesce(text, '')) AS t, {_PHRASE_SQL} || lower(coalesce(text, '')) AS x FROM conversations),
 a AS (SELECT conv_id, turn, CASE WHEN trim(x) = '' THEN 'semantic|0.2' {cases} ELSE 'symbol|0.65' END AS a FROM q)
 SELECT conv_id, turn, string_split(a, '|')[1] AS kind, string_split(a, '|')[2]::DOUBLE AS confidence FROM a"""
 
@@ -453,13 +456,13 @@ def incremental_diff(spark, d):
 
 
 @query(
-    """, qs AS (SELECT * FROM (VALUES ('the'), ('onthe'), ('tion')) t(term)),
-r AS (SELECT filePath, startLine, ord, text, (SELECT count(*) FROM qs WHERE contains(lower(text), term)) AS score, ceil(length(text) / 4)::BIGINT AS cost FROM chunks WHERE ord < 30 * 100000),
+    """, top AS (SELECT path FROM hits GROUP BY path ORDER BY sum(s) DESC, path LIMIT 4),
+r AS (SELECT filePath, startLine, ord, text, (SELECT count(*) FROM q WHERE contains(lower(text), term)) AS score, ceil(length(text) / 4)::BIGINT AS cost FROM chunks WHERE filePath IN (SELECT path FROM top)),
 o AS (SELECT *, row_number() OVER (ORDER BY score DESC, startLine, ord) AS i FROM r),
 w AS (SELECT i, filePath, startLine, cost, score, CASE WHEN cost <= 900 THEN cost ELSE 0 END AS used, cost <= 900 AS taken FROM o WHERE i = 1
       UNION ALL SELECT o.i, o.filePath, o.startLine, o.cost, o.score, CASE WHEN w.used + o.cost <= 900 THEN w.used + o.cost ELSE w.used END, w.used + o.cost <= 900 FROM w JOIN o ON o.i = w.i + 1)
 SELECT filePath, startLine::BIGINT AS startLine, cost, score::BIGINT AS score FROM w WHERE taken""",
-    _FILES, _CHUNKS,
+    _FILES, _CHUNKS, _SCORES.replace(_Q, "('the'), ('onthe'), ('tion')"),
 )
 def context_pack(spark, d):
     s, asked = td.snapshot(spark, d), "the onthe tion"
