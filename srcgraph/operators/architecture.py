@@ -50,6 +50,13 @@ def _candidates(rows: DataFrame, base: Column, scripts: bool = False) -> DataFra
     return rows.select("*", F.posexplode(some.otherwise(plain)).alias("rank", "path")).drop("_base", "_ext")
 
 
+def _resolved(rows: DataFrame, base: Column, files: DataFrame, scripts: bool = False) -> DataFrame:
+    """rows that lead to a file, with its path as `to`. Each distinct base is looked for once, however many imports share it."""
+    keyed = rows.withColumn("_at", base)
+    found = _candidates(keyed.select("_at").distinct(), F.col("_at"), scripts).join(files.select("path"), "path")
+    return keyed.join(found.groupBy("_at").agg(F.min_by("path", "rank").alias("to")), "_at").drop("_at")
+
+
 def workspace_packages(texts: DataFrame, files: DataFrame) -> DataFrame:
     """(name, root, entryPoints) of the manifests that name a package; malformed ones drop out."""
     manifest = texts.where(basename(F.col("path")) == "package.json")
@@ -95,16 +102,14 @@ def analyze(s: Snapshot, texts: DataFrame | None = None) -> dict[str, DataFrame]
     files = s.files.select("path")
     imports = s.relations.where("kind = 'imports'").select("id", "filePath", F.trim("targetName").alias("target"), F.col("targetName").alias("raw"), "line", "ord")
     relative = imports.where(F.col("target").startswith("."))
-    found = _candidates(relative, normalize_path(F.concat_ws("/", dirname(F.col("filePath")), F.col("target"))), scripts=True).join(files, "path")
-    by_path = found.groupBy("id").agg(F.min_by("path", "rank").alias("to"))
+    by_path = _resolved(relative, normalize_path(F.concat_ws("/", dirname(F.col("filePath")), F.col("target"))), files, scripts=True).select("id", "to")
     other = imports.where(~F.col("target").startswith("."))
     if config:
         rows = _alias_rows(other, config)
         shaped = rows.select("id").distinct()
-        base = _candidates(rows, join_path(F.lit(config["baseUrl"]), F.col("mapped"))).withColumn("from", F.lit(0))
-        near = _candidates(rows, join_path(dirname(F.col("filePath")), F.col("mapped"))).withColumn("from", F.lit(1))
-        hits = base.unionByName(near).join(files, "path")
-        alias = hits.groupBy("id").agg(F.min_by(F.struct(F.col("path").alias("to"), "pattern", "mapped"), F.struct("order", "from", "rank")).alias("a")).select("id", "a.*")
+        base = _resolved(rows, join_path(F.lit(config["baseUrl"]), F.col("mapped")), files).withColumn("from", F.lit(0))
+        near = _resolved(rows, join_path(dirname(F.col("filePath")), F.col("mapped")), files).withColumn("from", F.lit(1))
+        alias = base.unionByName(near).groupBy("id").agg(F.min_by(F.struct("to", "pattern", "mapped"), F.struct("order", "from")).alias("a")).select("id", "a.*")
     else:
         shaped = other.where("false").select("id")
         alias = shaped.select("id", F.lit("").alias("to"), F.lit("").alias("pattern"), F.lit("").alias("mapped"))
@@ -114,8 +119,8 @@ def analyze(s: Snapshot, texts: DataFrame | None = None) -> dict[str, DataFrame]
     rest = rest.withColumn("package", package)
     inside = rest.join(packages, rest["package"] == packages["name"])
     direct = inside.where("target = package").select("id", F.get("entryPoints", 0).alias("to"))
-    sub = _candidates(inside.where("target <> package"), join_path(F.col("root"), F.expr("substring(target, length(package) + 2)"))).join(files, "path")
-    by_package = direct.where("to IS NOT NULL").unionByName(sub.groupBy("id").agg(F.min_by("path", "rank").alias("to")))
+    sub = _resolved(inside.where("target <> package"), join_path(F.col("root"), F.expr("substring(target, length(package) + 2)")), files)
+    by_package = direct.where("to IS NOT NULL").unionByName(sub.select("id", "to"))
     bound = by_path.unionByName(alias.select("id", "to")).unionByName(by_package)
     edges = imports.join(bound, "id").where("filePath <> to").groupBy(F.col("filePath").alias("from"), "to").agg(F.count("*").alias("imports"), F.array_sort(F.collect_set("line")).alias("lines"))
     external = rest.join(packages.select(F.col("name").alias("package")), "package", "left_anti").join(shaped, "id", "left_anti")

@@ -53,10 +53,11 @@ def import_targets(s: Snapshot) -> DataFrame:
     rows = s.relations.where((F.col("kind") == "imports") & F.col("targetName").startswith("."))
     base = join_path(dirname(F.col("filePath")), F.col("targetName"))
     tails = F.array(*[F.lit(x) for x in ["", *SCRIPT_EXTENSIONS, *[f"/index{e}" for e in INDEX_EXTENSIONS]]])
-    rows = rows.withColumn("base", base).select("id", "filePath", "targetName", "line", "confidence", "ord", F.posexplode(F.when(extname(F.col("base")) == "", tails).otherwise(F.array(F.lit("")))).alias("rank", "tail"), "base")
-    hit = rows.withColumn("path", F.concat("base", "tail")).join(s.files.select("path"), "path")
-    best = hit.groupBy("id").agg(F.min_by(F.struct("filePath", F.col("path").alias("target"), "targetName", "line", "confidence", "ord"), "rank").alias("e"))
-    return best.select("id", "e.*").where("target <> filePath")
+    rows = rows.withColumn("base", base)
+    # Each distinct base is looked for once, however many imports share it.
+    each = rows.select("base").distinct().select("base", F.posexplode(F.when(extname(F.col("base")) == "", tails).otherwise(F.array(F.lit("")))).alias("rank", "tail"))
+    found = each.withColumn("path", F.concat("base", "tail")).join(s.files.select("path"), "path").groupBy("base").agg(F.min_by("path", "rank").alias("target"))
+    return rows.join(found, "base").select("id", "filePath", "target", "targetName", "line", "confidence", "ord").where("target <> filePath")
 
 
 def change_impact(s: Snapshot, query: str, max_depth: int = 3) -> dict:

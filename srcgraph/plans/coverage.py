@@ -178,7 +178,7 @@ def top_degree_symbols(spark, d):
     return graph.relation_graph(call_snapshot(spark, d), 60)["nodes"].select("id", "degree")
 
 
-@query("SELECT 'P' || k AS id, 1::BIGINT AS level, least(4, (SELECT count(*) FROM g WHERE dst = k AND src <= 400))::BIGINT AS layer FROM modules WHERE k <= 400", _MODULES, _GRAPH)
+@query("SELECT 'P' || k AS id, 1::BIGINT AS level, least(4, (SELECT count(*) FROM g WHERE dst = k AND src < 400))::BIGINT AS layer FROM modules WHERE k < 400", _MODULES, _GRAPH)
 def flow_layers(spark, d):
     flow = graph.flow_graph(call_snapshot(spark, d), 400)
     return graph.flow_layers(flow["edges"], flow["nodes"]).select("id", *long("level", "layer"))
@@ -189,7 +189,7 @@ def focus_edges(spark, d):
     return graph.focus(call_snapshot(spark, d).relations, "P5", ["calls", "extends"]).select("id")
 
 
-@query(", m AS (SELECT f.path AS a, t.path AS b, count(*) AS n FROM g JOIN modules f ON src = f.k JOIN modules t ON dst = t.k WHERE src <= 300 AND dst <= 300 GROUP BY ALL) SELECT path, sum(o)::BIGINT AS outgoing, sum(i)::BIGINT AS incoming FROM (SELECT a AS path, n AS o, 0 AS i FROM m UNION ALL SELECT b, 0, n FROM m) GROUP BY path", _MODULES, _GRAPH)
+@query(", m AS (SELECT f.path AS a, t.path AS b, count(*) AS n FROM g JOIN modules f ON src = f.k JOIN modules t ON dst = t.k WHERE src < 300 AND dst < 300 GROUP BY ALL) SELECT path, sum(o)::BIGINT AS outgoing, sum(i)::BIGINT AS incoming FROM (SELECT a AS path, n AS o, 0 AS i FROM m UNION ALL SELECT b, 0, n FROM m) GROUP BY path", _MODULES, _GRAPH)
 def matrix_totals(spark, d):
     return graph.matrix_totals(graph.dependency_matrix(call_snapshot(spark, d), 300)).select("path", *long("outgoing", "incoming"))
 
