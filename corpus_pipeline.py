@@ -20,10 +20,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Leaves one row of each group of texts that are equal but for the case of A-Z, null and empty ones being equal: that with the least identifier."""
     return exact_dedup.drop_exact_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Leaves one document of each group that links of 75 in 100 five-word shingles join: that with the least identifier. Texts without words stay."""
     return near_dedup.drop_near_copies(docs)
 
 
@@ -50,9 +52,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. The tables of the stages before it are deleted when it is written."""
     docs = table(spark, sf_dir, "documents")
-    scratch = Scratch(spark, "pipeline")
-    for name, stage in STAGES:
-        docs = scratch.write(stage(spark, docs, sf_dir), name)
-        scratch.release()
-    return docs
+    with Scratch(spark, "pipeline") as scratch:
+        for name, stage in STAGES:
+            docs = scratch.write(stage(spark, docs, sf_dir), name)
+        return scratch.keep(docs)
