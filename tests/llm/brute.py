@@ -114,3 +114,21 @@ def thue_morse(n=12):
     for _ in range(n):
         word += word.translate(str.maketrans("ab", "ba"))
     return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def mixture(rows, share, block):
+    """{id: (source, slot, offset)}, slot by slot: the released block of the earliest deadline is next."""
+    period = sum(share.values())
+    queues = {}
+    for i, source in sorted(rows):
+        queues.setdefault(source if source in share else "*", []).append(i)
+    done, out, slot = dict.fromkeys(share, 0), {}, 0
+    while len(out) < len(rows):
+        ready = [(-(-(done[s] + 1) * period // n), -n, s) for s, n in share.items() if done[s] * period // n <= slot]
+        if ready:
+            s = min(ready)[2]
+            for offset, i in enumerate(queues.get(s, [])[done[s] * block : (done[s] + 1) * block]):
+                out[i] = (s, slot, offset)
+            done[s] += 1
+        slot += 1
+    return out
