@@ -70,3 +70,20 @@ def test_symbol_link_takes_all_symbols(spark, tmp_path):
     first = lambda n: min(((o, x) for x, o in others.items() if x != n and x.lower() in n.lower()), default=(0, None))[1]
     got = q.test_symbol_link(spark, write(spark, tmp_path / "t", part=parts, supplier=suppliers)).collect()
     assert {r.id: (r.testSymbol, r.targetSymbol) for r in got} == {i: (n, first(n)) for i, n, _ in names} and len(got) == len(names)
+
+
+@pytest.mark.parametrize("name", ["architecture_edges", "shortest_path", "refresh_edges", "extract_symbols", "workspace_scan"])
+def test_queries_agree_with_their_sql(spark, name):
+    folder = "/root/testdata/sf0.001"
+    duckdb = pytest.importorskip("duckdb")
+    if not os.path.isdir(folder):
+        pytest.skip("no tables")
+    import __spark_entry__
+
+    con = duckdb.connect()
+    for path in os.listdir(folder):
+        con.sql(f"CREATE VIEW {path[:-8]} AS SELECT * FROM '{folder}/{path}'")
+    rel = con.sql(__spark_entry__.oracle_sql()[name])
+    want = sorted((tuple(row[rel.columns.index(c)] for c in sorted(rel.columns)) for row in rel.fetchall()), key=repr)
+    df = __spark_entry__.queries()[name](spark, folder)
+    assert sorted((tuple(row[c] for c in sorted(df.columns)) for row in df.collect()), key=repr) == want and want
