@@ -1,7 +1,10 @@
 """Queries over tables in which what counts lies beyond the first rows and characters."""
 
+import os
 import re
 
+import pytest
+
 from srcgraph.plans import queries as q
 
 TERM = re.compile(r"[\w$.\-]+")
