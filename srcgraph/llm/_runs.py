@@ -32,23 +32,24 @@ class SortedRuns:
             self.runs[run] = table
         self.side: set[str] = set()
 
-    def write(self, rows: DataFrame, table: str, place: str) -> DataFrame:
+    def write(self, rows: DataFrame, table: str, place: str, deal: bool = True) -> DataFrame:
+        """Without `deal` the rows of a bucket are known to be in one task already: a shuffle or a merge join by the key has put them there."""
         with settings(self.spark, WHILE_WRITING):
-            rows.repartition(self.buckets, self.key).write.format("parquet").bucketBy(self.buckets, self.key).sortBy(self.key).option("path", f"{self.path}/{place}").saveAsTable(table)
+            (rows.repartition(self.buckets, self.key) if deal else rows).write.format("parquet").bucketBy(self.buckets, self.key).sortBy(self.key).option("path", f"{self.path}/{place}").saveAsTable(table)
         return self.spark.table(table)
 
-    def flush(self, rows: DataFrame) -> str:
+    def flush(self, rows: DataFrame, deal: bool = True) -> str:
         """Writes rows as a run; returns its name."""
         number = 1 + max((int(r.split("-")[1]) for r in self.runs), default=0)
         run, table = f"run-{number:06d}-{self.buckets}", f"{self.name}_{number:06d}"
-        self.write(rows, table, run)
+        self.write(rows, table, run, deal)
         self.runs[run] = table
         return run
 
-    def beside(self, rows: DataFrame, place: str) -> DataFrame:
+    def beside(self, rows: DataFrame, place: str, deal: bool = True) -> DataFrame:
         """A bucketed table that is no run; forget() drops it."""
         self.side.add(place)
-        return self.write(rows, f"{self.name}_{place}", place)
+        return self.write(rows, f"{self.name}_{place}", place, deal)
 
     def forget(self, place: str) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{place}")
@@ -58,10 +59,10 @@ class SortedRuns:
     def tables(self) -> list[DataFrame]:
         return [self.spark.table(table) for table in self.runs.values()]
 
-    def replace(self, rows: DataFrame) -> str:
+    def replace(self, rows: DataFrame, deal: bool = True) -> str:
         """Writes rows as the run that stands for all runs so far, which go."""
         old = dict(self.runs)
-        fresh = self.flush(rows)
+        fresh = self.flush(rows, deal)
         for run in old:
             self.drop(run)
         return fresh

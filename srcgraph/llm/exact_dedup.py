@@ -22,6 +22,8 @@ from ._store import WHILE_WRITING, Scratch, settings
 #: Above so many hits, they are joined by a shuffle instead of a broadcast (an identifier and a digest of 32 bytes, some 100
 #: bytes each as a hash table, so 20 MB).
 BROADCAST_ROWS = 200_000
+#: A group of more rows doesn't go to one task with them.
+HOT = 10_000
 #: Bits of a filter per digest. One of them is set, so one absent digest of this many passes.
 FILTER_BITS = 16
 #: Bits of one row of a filter, as Spark's bitmap functions have it.
@@ -53,7 +55,7 @@ class DigestIndex(SortedRuns):
 
     def flush_log(self, log: DataFrame) -> None:
         """Aggregates (id, digest) into a memtable and flushes it."""
-        run = self.flush(log.groupBy("digest").agg(self.pick("id").alias("keep"), F.count("*").alias("n")))
+        run = self.flush(log.groupBy("digest").agg(self.pick("id").alias("keep"), F.count("*").alias("n")), deal=False)
         if self.stored:
             self._filter(run)
 
@@ -118,7 +120,7 @@ class DigestIndex(SortedRuns):
     def compact(self) -> DataFrame:
         """One run instead of all; copies within and between runs fold into one row."""
         if len(self.runs) > 1:
-            run = self.replace(self.merged())
+            run = self.replace(self.merged(), deal=False)
             if self.stored:
                 self._filter(run)
         return self.tables()[0]
@@ -155,9 +157,21 @@ def add_batch(spark: SparkSession, path: str, docs: DataFrame, id_col: str = "do
         return _decided(scratch.keep(_groups(known.select("id", "text"), known.select("id", "digest"), index, scratch)), id_col)
 
 
+def _with_group(log: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Rows of the log with the group of their digest, if it repeats. Few groups, or the hot ones of many, are broadcast, so that none meets in one task."""
+    if repeated.count() <= BROADCAST_ROWS:
+        return log.join(F.broadcast(repeated), "digest", "left")
+    hot = repeated.where(F.col("n") > HOT)
+    if not 0 < hot.count() <= BROADCAST_ROWS:
+        return log.join(repeated, "digest", "left")
+    cold = log.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(repeated.where(F.col("n") <= HOT), "digest", "left")
+    return cold.unionByName(log.join(F.broadcast(hot), "digest"))
+
+
 def _groups(texts: DataFrame, log: DataFrame, index: DigestIndex, scratch: Scratch) -> DataFrame:
     """(id, digest, keep, n) of every row of the log, verified on the texts (id, text)."""
-    assigned = scratch.write(log.join(index.compact(), "digest").select("id", "digest", "keep", "n"), "assigned")
+    found = _with_group(log, scratch.write(index.compact().where("n > 1"), "repeated"))
+    assigned = scratch.write(found.select("id", "digest", F.coalesce("keep", "id").alias("keep"), F.coalesce("n", F.lit(1).cast("long")).alias("n")), "assigned")
     # A group is right when its least and greatest text are the same bytes.
     hits = scratch.write(assigned.where("n > 1").select("id", "digest").distinct(), "hits")
     n_hits = hits.count()

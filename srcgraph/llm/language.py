@@ -168,6 +168,9 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     score is the chosen language's share of probability, from 0 to 1. A text
     that is null, empty or has no letters is "und" with score 0, as is every
     text when the model has no language. Ties go to the first name in order.
+    Texts of any length are scored whole, chunk by chunk; repeated rows each get
+    their prediction, and an empty table gives an empty result. Columns of the
+    added names are replaced.
     """
     docs = without(docs, "lang_pred", "score")
     spark = docs.sparkSession

@@ -113,7 +113,7 @@ class RunIndex(SortedRuns):
         """(id, hits): the fingerprints of each document that another has too, and whether they are frequent."""
         if not self.runs:
             return self.spark.createDataFrame([], "id long, hits array<struct<print: bigint, often: boolean>>")
-        repeated = self.beside(self.counts().where("docs > 1").select("print", (F.col("windows") >= FREQUENT).alias("often")), "repeated")
+        repeated = self.beside(self.counts().where("docs > 1").select("print", (F.col("windows") >= FREQUENT).alias("often")), "repeated", deal=False)
         parts = [run.select("print", "id").hint("merge").join(repeated, "print").select("id", F.struct("print", "often").alias("hit")) for run in self.tables()]
         return reduce(DataFrame.unionByName, parts).groupBy("id").agg(F.collect_set("hit").alias("hits"))
 

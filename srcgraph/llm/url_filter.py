@@ -88,6 +88,9 @@ def split_url(url: str | None) -> tuple[str, str]:
 def judge(pages: DataFrame, rules: list[Rule], url_col: str = "url", default: str = "allow") -> DataFrame:
     """The input's rows and columns, with host, path, rule (null where none fits) and verdict, else `default`.
 
+    A URL that is null, empty or without ``://`` has an empty host and path,
+    which no rule with a host fits. URLs of any length are read whole, repeated
+    rows each get their verdict, and an empty table gives an empty result.
     Existing columns of those names are replaced.
     """
     names = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]

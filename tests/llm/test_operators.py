@@ -81,6 +81,15 @@ def test_exact_repeated_rows_and_null_ids(spark):
     assert sorted((r.doc_id or 0, r.text) for r in kept) == [(0, "c"), (1, "a"), (2, "b"), (2, "z")]
 
 
+def test_exact_with_many_groups_and_hot_ones(spark, monkeypatch):
+    rows = [(i, f"T{i % 7 if i % 3 else i}") for i in range(200)]
+    want = sorted(exact_dedup.exact_groups(frame(spark, rows)).collect())
+    monkeypatch.setattr(exact_dedup, "BROADCAST_ROWS", 4)
+    for hot in (21, 1000):
+        monkeypatch.setattr(exact_dedup, "HOT", hot)
+        assert sorted(exact_dedup.exact_groups(frame(spark, rows)).collect()) == want
+
+
 def test_exact_index_takes_further_batches(spark, tmp_path):
     rows = documents(3, 90)
     path = f"file://{tmp_path}/index"
