@@ -137,7 +137,7 @@ def test_ambiguous_names(spark, tmp_path):
     same = "export function build() { return 1 }\n"
     c, _ = code(spark, tmp_path, {"a/x.ts": same, "b/x.ts": same, "a/user.ts": "import { build } from './x'\nexport function use() { return build() }\n", "a/facade.ts": "import { use } from './user'\nexport const f = use\n", "a/facade.test.ts": "import { f } from './facade'\n"})
     got = c.change_impact("build")
-    assert got["ambiguous"] and got["matchedSymbols"].count() == 2 and any("2 definitions" in x for x in got["caveats"])
+    assert got["ambiguous"] and got["matchedSymbols"].count() == 2 and any("2 symbols share" in x for x in got["caveats"])
     got = c.change_impact("a/x.ts")
     depth = {r.filePath: r.depth for r in got["affectedFiles"].collect()}
     assert not got["ambiguous"] and depth["a/user.ts"] == 1 and depth["a/facade.ts"] == 2 and depth["a/facade.test.ts"] == 3
