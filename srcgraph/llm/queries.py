@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as decon
-from . import exact_dedup, html_text, language, line_dedup, mixing, near_dedup, secrets, substring_dedup, url_filter
+from . import clustering, exact_dedup, filter_audit, html_text, language, line_dedup, mixing, near_dedup, secrets, substring_dedup, suffix_dedup, url_filter
 from ._store import table
 
 #: Target weights of the mixture; sources that are not named share "*".
@@ -83,6 +83,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.dedup_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(table(spark, sf_dir, "embeddings")).drop("exact")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -177,13 +190,61 @@ f AS (SELECT page_id, arg_max(r_host || r_path, 1000000 * len(string_split(r_hos
 SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM p LEFT JOIN f USING (page_id)
 """
 
+OP11_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+blocks AS (SELECT doc_id, b * 2000 AS lo, substr(h, b * 4000 + 1, 4198) AS part FROM (SELECT doc_id, h, unnest(range(0, length(h) // 4000 + 1)) AS b FROM d)),
+s AS (SELECT doc_id, lo + i AS p, md5(substr(part, 2 * i + 1, 200)) AS w FROM (SELECT doc_id, lo, part, unnest(range(0, least(2000, length(part) // 2 - 99))) AS i FROM blocks)),
+late AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY w ORDER BY doc_id, p) AS nth FROM s) WHERE nth > 1),
+runs AS (SELECT doc_id, min(p) AS lo, max(p) + 100 AS hi FROM (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS run
+         FROM (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 THEN 0 ELSE 1 END AS fresh FROM late)) GROUP BY doc_id, run),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS k, max(n) AS n_spans, max(gone) AS n_removed
+         FROM (SELECT doc_id, h, hi AS a, coalesce(lead(lo) OVER w, length(h) // 2) AS b, count(*) OVER (PARTITION BY doc_id) AS n, sum(hi - lo) OVER (PARTITION BY doc_id) AS gone FROM runs JOIN d USING (doc_id) WINDOW w AS (PARTITION BY doc_id ORDER BY lo)
+               UNION ALL SELECT doc_id, h, 0, min(lo), 0, 0 FROM runs JOIN d USING (doc_id) GROUP BY doc_id, h) GROUP BY doc_id)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+OP12_SQL = """
+WITH RECURSIVE m AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, max(quality) AS q, max(toxic) AS x FROM labels GROUP BY doc_id),
+f AS (SELECT part, (len(w) < 50)::INT + 2 * (100 * len(list_distinct(w)) < 65 * len(w))::INT + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t))::INT
+             + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * (doc_id > min(doc_id) OVER (PARTITION BY t))::INT AS fails, coalesce(q = 1, false) AS good, coalesce(x = 1, false) AS toxic FROM m LEFT JOIN l USING (doc_id)),
+g AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY part, fails),
+o(filter_order, used) AS (SELECT '', 0 UNION ALL SELECT filter_order || x, used + bit FROM o JOIN (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) v(x, bit) ON used & bit = 0),
+s AS (SELECT filter_order, step, list_sum(list_transform(string_split(left(filter_order, step - 1), ''), lambda c: CASE c WHEN '' THEN 0 ELSE 1 << (ascii(c) - 65) END))::INT AS before, 1 << (ascii(filter_order[step]) - 65) AS bit
+      FROM (SELECT filter_order, unnest(range(1, 6)) AS step FROM o WHERE length(filter_order) = 5)),
+r AS (SELECT part, filter_order, step, bit, sum(n) FILTER (fails & (before | bit) = 0) AS kept, sum(n) FILTER (fails & before = 0 AND fails & bit > 0) AS removed, sum(n) FILTER (fails & before > 0 AND fails & bit > 0) AS redundant,
+             sum(n) FILTER (fails = bit) AS alone, sum(good) FILTER (fails & before = 0 AND fails & bit > 0) AS good, sum(toxic) FILTER (fails & before = 0 AND fails & bit > 0) AS toxic FROM g, s GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant, coalesce(alone, 0)::BIGINT AS unique_fails,
+       coalesce(good, 0)::BIGINT AS good_lost, coalesce(toxic, 0)::BIGINT AS toxic_lost, (sum(coalesce(removed, 0)) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM r
+"""
+
+
+def _op13_sql() -> str:
+    k, scale = clustering.CENTROIDS, clustering.SCALE
+    near = lambda c: f"SELECT DISTINCT ON (r) r, j, sum((x - c) * (x - c)) AS d FROM v JOIN {c} USING (i) GROUP BY r, j ORDER BY r, d, j"
+    ctes = [
+        f"""e AS (SELECT row_number() OVER () AS r, vec_id, embedding FROM embeddings WHERE len(embedding) = {clustering.DIMENSIONS} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {clustering.DIMENSIONS})""",
+        f"v AS MATERIALIZED (SELECT r, i, floor({scale} * embedding[i]::DOUBLE)::BIGINT AS x FROM (SELECT r, embedding, unnest(range(1, {clustering.DIMENSIONS + 1})) AS i FROM e))",
+        f"c0 AS MATERIALIZED (SELECT j, i, x AS c FROM v JOIN (SELECT r, row_number() OVER (ORDER BY sha256('{clustering.SEED}:' || vec_id)) - 1 AS j FROM e ORDER BY j LIMIT {k}) USING (r))",
+    ]
+    for n in range(1, clustering.ROUNDS + 1):
+        old = f"c{n - 1}"
+        ctes.append(f"a{n} AS MATERIALIZED ({near(old)})")
+        ctes.append(f"c{n} AS MATERIALIZED (SELECT j, i, coalesce(m, c) AS c FROM {old} LEFT JOIN (SELECT j, i, floor(sum(x) / count(*))::BIGINT AS m FROM v JOIN a{n} USING (r) GROUP BY j, i) USING (j, i))")
+    last = f"c{clustering.ROUNDS}"
+    return f"""WITH {", ".join(ctes)}, a AS MATERIALIZED ({near(last)}), h AS (SELECT j, sha256(string_agg(c::VARCHAR, ',' ORDER BY i)) AS h FROM {last} GROUP BY j)
+SELECT vec_id, j::INT AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY j))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, h AS centroid_sha256 FROM a JOIN e USING (r) JOIN h USING (j)"""
+
 
 def queries() -> dict:
     return {f.__name__: f for f in (
         op1_exact_dedup, op2_minhash_near_dedup, op3_html_extraction, op4_decontamination, op5_secret_scan, op6_line_dedup, op7_substring_dedup,
-        op8_source_mixing, op9_url_filter, op10_language_id, pipeline,
+        op8_source_mixing, op9_url_filter, op10_language_id, op11_suffix_dedup, op12_filter_audit, op13_centroid_clustering, pipeline,
     )}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op2_minhash_near_dedup": OP2_SQL, "op4_decontamination": OP4_SQL, "op6_line_dedup": OP6_SQL, "op7_substring_dedup": OP7_SQL, "op8_source_mixing": _op8_sql(), "op9_url_filter": OP9_SQL}
+    return {
+        "op1_exact_dedup": OP1_SQL, "op2_minhash_near_dedup": OP2_SQL, "op4_decontamination": OP4_SQL, "op6_line_dedup": OP6_SQL, "op7_substring_dedup": OP7_SQL, "op8_source_mixing": _op8_sql(), "op9_url_filter": OP9_SQL,
+        "op11_suffix_dedup": OP11_SQL, "op12_filter_audit": OP12_SQL, "op13_centroid_clustering": _op13_sql(),
+    }
