@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -141,22 +142,56 @@ def docs(s: Snapshot) -> DataFrame:
     return rows.select(F.col("path").alias("filePath"), title.alias("title"), names.alias("linkedSymbols"))
 
 
+#: Names that a task may hold as an automaton, and their characters: some 50 bytes for each, so 200 MB.
+AUTOMATON_NAMES, AUTOMATON_CHARACTERS = 200_000, 4_000_000
+
+
+def _by_pieces(lowered: DataFrame, names: DataFrame) -> DataFrame:
+    """(name, targetSymbol): the pieces of each name that are as long as some other are joined with the others by equality."""
+    lengths = F.array(*[F.lit(r.n) for r in names.select(F.length("piece").alias("n")).distinct().collect()]).cast("array<int>")  # no more than the longest name has characters
+    fitting = F.filter(lengths, lambda k: k <= F.length("low"))
+    pieces = F.transform(fitting, lambda k: F.transform(F.sequence(F.lit(1), F.length("low") - k + 1), lambda i: F.col("low").substr(i, k)))
+    pairs = lowered.select("name", F.explode(F.array_distinct(F.flatten(pieces))).alias("piece")).join(names, "piece").where(F.col("other") != F.col("name"))
+    return pairs.groupBy("name").agg(F.min_by("other", F.struct("otherOrd", "other")).alias("targetSymbol"))
+
+
+def _by_automaton(lowered: DataFrame, names: DataFrame) -> DataFrame:
+    """The same, each name read once by an automaton of all others. Of names that differ in case alone the first two are kept: one of them isn't the name itself."""
+    import ahocorasick
+
+    known = names.groupBy("piece").agg(F.slice(F.array_sort(F.collect_list(F.struct("otherOrd", "other"))), 1, 2).alias("first"))
+    words = lowered.sparkSession.sparkContext.broadcast([(r.piece, [tuple(x) for x in r.first]) for r in known.collect()])  # as many as AUTOMATON_NAMES
+
+    def search(frames):
+        automaton = ahocorasick.Automaton()
+        for word, first in words.value:
+            automaton.add_word(word, first)
+        automaton.make_automaton()
+        for frame in frames:
+            best = []
+            for name, low in zip(frame["name"], frame["low"]):
+                found = (x for _, first in automaton.iter(low) for x in first if x[1] != name)
+                best.append(min(found, default=(None, None))[1])
+            out = pd.DataFrame({"name": frame["name"], "targetSymbol": best})
+            yield out[out["targetSymbol"].notna()]
+
+    return lowered.mapInPandas(search, "name string, targetSymbol string")
+
+
 def test_links(s: Snapshot) -> DataFrame:
     """Symbols of test files with the first other name that theirs contains.
 
-    The pieces of each distinct name that are as long as some name are joined with the names by equality.
+    Up to AUTOMATON_NAMES distinct names are an automaton that every task holds; the names of more are found as pieces by a join.
     """
     lower = F.lower("filePath")
     framework = F.when(lower.endswith(".py"), "pytest / unittest").when(lower.endswith(".go"), "go test").when(lower.endswith(".rs"), "cargo test").otherwise("jest / node:test / vitest")
     tests = s.symbols.where(lower.rlike("test|spec|__tests__")).select("id", "filePath", "name", "ord", framework.alias("framework"))
-    names = s.symbols.groupBy(F.col("name").alias("other")).agg(F.min("ord").alias("otherOrd"))
+    names = s.symbols.where("name <> ''").groupBy(F.col("name").alias("other")).agg(F.min("ord").alias("otherOrd"))
     names = names.withColumn("piece", F.lower("other"))
-    lengths = F.array(*[F.lit(r.n) for r in names.select(F.length("piece").alias("n")).distinct().collect()]).cast("array<int>")  # no more than the longest name has characters
+    size = names.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("piece")), F.lit(0)).alias("characters")).first()
     lowered = tests.select("name", F.lower("name").alias("low")).distinct().where("low IS NOT NULL")
-    fitting = F.filter(lengths, lambda k: k <= F.length("low"))
-    pieces = F.transform(fitting, lambda k: F.transform(F.sequence(F.lit(1), F.length("low") - k + 1), lambda i: F.col("low").substr(i, k)))
-    pairs = lowered.select("name", F.explode(F.array_distinct(F.flatten(pieces))).alias("piece")).join(names, "piece").where(F.col("other") != F.col("name"))
-    hits = pairs.groupBy("name").agg(F.min_by("other", F.struct("otherOrd", "other")).alias("targetSymbol"))
+    small = 0 < size.n <= AUTOMATON_NAMES and size.characters <= AUTOMATON_CHARACTERS
+    hits = _by_automaton(lowered, names) if small else _by_pieces(lowered, names)
     return tests.join(hits, "name", "left").orderBy("ord").select(F.col("filePath").alias("testFile"), F.col("name").alias("testSymbol"), "targetSymbol", "framework")
 
 
