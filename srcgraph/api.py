@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from .operators import architecture, context, detectors, embeddings, graph, incremental, lookup, reports, search
 from .operators.extract import with_order
+from .operators.indexed import TextIndexes
 from .schema import Snapshot
 from .sources import scan, store
+from .sources.fs import Files
 from .sources.staging import Staging
 
 
@@ -27,22 +29,44 @@ class Codebase:
     # Life cycle
 
     def index(self, force: bool = False) -> dict:
-        """Refreshes the index; counts of added, changed, deleted and unchanged files."""
+        """Refreshes the index; counts of added, changed, deleted and unchanged files.
+
+        A first run, and one with `force`, writes everything; any other only what has changed, in the buckets of its paths.
+        """
         try:
-            previous = self.snapshot()
+            previous = None if force else self.snapshot()
         except store.StoredIndexError:
-            previous = Snapshot.empty(self.spark)
+            previous = None
         options = store.config_hash(maxFileSize=self.max_file_size, patterns=self.patterns or None, includeFiles=sorted(self.include) if self.include else None)
+        metadata = {"workspaceRoot": self.root, "configurationHash": options, **self.metadata}
         with Staging(self.spark) as stage:
             scanned = stage(scan.scan(self.spark, self.root, self.patterns, self.include, self.max_file_size).where("status = 'accepted'"), "scanned")
-            fresh, changes = incremental.refresh(previous, scanned, force, stage)
+            delta = None
+            if previous is not None:
+                delta, changes = incremental.refresh_delta(previous, scanned, stage)
+            if delta is None:
+                before = previous or (self._stored() if force else Snapshot.empty(self.spark))
+                fresh, changes = incremental.refresh(before, scanned, force, stage)
+                if self.provider is not None:
+                    fresh = embeddings.generate(fresh, self.provider)
+                store.write(with_order(fresh, stage), self.index_path, self.uid, **metadata)
+            else:
+                if self.provider is not None:
+                    vectors = embeddings.generate_delta(delta.apply(previous), self.provider)
+                    delta.gone["vectors"] = delta.gone["vectors"].unionByName(vectors.gone["vectors"])
+                    delta.rows["vectors"] = vectors.rows["vectors"]
+                store.commit(self.spark, self.index_path, delta, **metadata)
             counts = incremental.diff_counts(changes).first().asDict()
-            if self.provider is not None:
-                fresh = embeddings.generate(fresh, self.provider)
-            store.write(with_order(fresh, stage), self.index_path, self.uid, workspaceRoot=self.root, configurationHash=options, **self.metadata)
         self._snapshot = None
         return counts
 
+    def _stored(self) -> Snapshot:
+        """The index as it is; empty if it can't be read."""
+        try:
+            return self.snapshot()
+        except store.StoredIndexError:
+            return Snapshot.empty(self.spark)
+
     def snapshot(self) -> Snapshot:
         if self._snapshot is None:
             self._snapshot = store.read(self.spark, self.index_path, self.uid, verify=False)
@@ -50,8 +74,7 @@ class Codebase:
 
     def generate_embeddings(self, provider: embeddings.Provider) -> int:
         self.provider = provider
-        s = embeddings.generate(self.snapshot(), provider)
-        made = store.write(s, self.index_path, self.uid, workspaceRoot=self.root, **self.metadata)
+        made = store.commit(self.spark, self.index_path, embeddings.generate_delta(self.snapshot(), provider))
         self._snapshot = None
         return made["counts"]["vectors"]
 
@@ -62,6 +85,21 @@ class Codebase:
     def listing(self) -> list[tuple]:
         return [r for r in scan.walk(self.root, self.patterns, self.include) if r[1] == "accepted"]
 
+    def compact(self) -> dict:
+        """Merges the layers that refreshes have left in each bucket."""
+        self._snapshot = None
+        return store.compact(self.spark, self.index_path)
+
+    def text_indexes(self, *parts: str) -> TextIndexes:
+        """Indexes of terms and substrings of the current version, all or some; each is built when it is first asked for."""
+        folder, version = f"{self.index_path}/text", store._current(self.index_path)
+        for old in Files(self.spark).folders(folder):
+            if old != version:
+                Files(self.spark).remove(f"{folder}/{old}")
+        out = TextIndexes(self.spark, f"{folder}/{version}")
+        missing = tuple(p for p in parts or TextIndexes.PARTS if not out.substrings(p).built)
+        return TextIndexes.build(self.snapshot(), out.path, missing)
+
     def watch(self, debounce_ms: int = 500):
         from .streaming.watch import Watcher
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import Snapshot
+from ..sources.store import Delta
 from .incremental import missing_vectors, upsert
 
 MICRO_BATCH = 4
@@ -102,3 +103,9 @@ def generate(s: Snapshot, provider: Provider) -> Snapshot:
     """Vectors of the provider for all chunks; those it made before are kept, others are replaced."""
     kept = s.vectors.where((F.col("providerId") == provider.id) & (F.col("dimensions") == provider.dimensions))
     return s.with_(vectors=upsert(kept, embed_chunks(missing_vectors(s, provider.id, provider.dimensions), provider), "chunkId"))
+
+
+def generate_delta(s: Snapshot, provider: Provider) -> Delta:
+    """What generate() changes: vectors that come, in place of others of their chunks."""
+    made = embed_chunks(missing_vectors(s, provider.id, provider.dimensions), provider)
+    return Delta(gone={"vectors": s.vectors.where((F.col("providerId") != provider.id) | (F.col("dimensions") != provider.dimensions)).select("chunkId")}, rows={"vectors": made})

@@ -10,6 +10,7 @@ derive from offsets in UTF-16 units.
 from __future__ import annotations
 
 import ast
+import bisect
 import hashlib
 import re
 from dataclasses import dataclass, field
@@ -473,11 +474,51 @@ def path_ranks(files: DataFrame, stage=unstaged) -> DataFrame:
     return dealt.join(sizes.select("part", before.alias("before")), "part").select("path", (F.col("before") + F.col("within")).alias("rank"))
 
 
-def with_order(s: Snapshot, stage=unstaged) -> Snapshot:
-    """ord anew: files by path, other records by file and position. For one index."""
-    rank = path_ranks(s.files, stage)
+#: Numbers of records within a file, and of files that may yet come between two.
+RECORDS, GAP = 1 << 20, 1 << 16
+#: Files that may come at once between those that have numbers; each is held by the driver and by every task.
+NEW_FILES = 100_000
+
 
+def _placed(s: Snapshot, places: DataFrame) -> Snapshot:
     def put(df: DataFrame, key: str) -> DataFrame:
-        return df.join(rank.withColumnRenamed("path", key), key, "left").withColumn("ord", F.col("rank") * (1 << 20) + F.pmod(F.col("ord"), F.lit(1 << 20))).select(*df.columns)
+        return df.join(places.withColumnRenamed("path", key), key, "left").withColumn("ord", F.col("place") * RECORDS + F.pmod(F.col("ord"), F.lit(RECORDS))).select(*df.columns)
 
     return s.with_(files=put(s.files, "path"), symbols=put(s.symbols, "filePath"), relations=put(s.relations, "filePath"), chunks=put(s.chunks, "filePath"))
+
+
+def with_order(s: Snapshot, stage=unstaged) -> Snapshot:
+    """ord anew: files by path, other records by file and position. For one index. Numbers of files leave gaps for files that come later."""
+    return _placed(s, path_ranks(s.files, stage).select("path", ((F.col("rank") + 1) * GAP).alias("place")))
+
+
+def with_order_among(fresh: Snapshot, files: DataFrame) -> Snapshot | None:
+    """ord of changed and new files and their records, between the numbers of files(path, ord), which stay. None if a gap is full or too many files are new."""
+    spark = files.sparkSession
+    known = files.select("path", F.shiftright("ord", 20).alias("place"))
+    same = fresh.files.select("path").join(known, "path")
+    new = [r.path for r in fresh.files.select("path").join(known, "path", "left_anti").limit(NEW_FILES + 1).collect()]
+    if len(new) > NEW_FILES:
+        return None
+    new.sort(key=lambda p: p.encode())
+    codes = [p.encode() for p in new]
+
+    def slot(paths: pd.Series) -> pd.Series:
+        """How many of the new paths come before."""
+        return pd.Series([bisect.bisect_left(codes, p.encode()) for p in paths], dtype="int32")
+
+    places: list[tuple[str, int]] = []
+    if new:
+        bounds = {r.slot: (r.lo, r.hi) for r in known.select(F.pandas_udf(slot, "int")("path").alias("slot"), "place").groupBy("slot").agg(F.min("place").alias("lo"), F.max("place").alias("hi")).collect()}
+        # New paths i..j-1 have no known one between them: they share the gap after the last known one before.
+        i, below = 0, bounds.get(0, (0, 0))[1]
+        while i < len(new):
+            j = i + 1
+            while j < len(new) and j not in bounds:
+                j += 1
+            above = bounds[j][0] if j in bounds else below + (j - i + 1) * GAP
+            if above - below <= j - i:
+                return None
+            places += [(p, below + (above - below) * (k + 1) // (j - i + 1)) for k, p in enumerate(new[i:j])]
+            i, below = j, bounds[j][1] if j in bounds else above
+    return _placed(fresh, same.unionByName(spark.createDataFrame(places, "path string, place long")))

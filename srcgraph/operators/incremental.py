@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..schema import Snapshot
 from ..sources.staging import unstaged
-from .extract import extract
-from .resolve import resolve_relations
+from ..sources.store import Delta
+from .extract import extract, with_order_among
+from .resolve import resolve_changed, resolve_relations
 
 
 def diff(previous: DataFrame, current: DataFrame) -> DataFrame:
@@ -43,6 +44,38 @@ def refresh(previous: Snapshot, scanned: DataFrame, force: bool = False, stage=u
     return previous.with_(files=files, symbols=symbols, relations=relations, chunks=chunks, vectors=vectors), changes
 
 
+def refresh_delta(previous: Snapshot, scanned: DataFrame, stage=unstaged) -> tuple[Delta | None, DataFrame]:
+    """What a refresh changes, and the changes by path; None instead of a delta if files can't be numbered among the others.
+
+    Rows of unchanged files are neither read again nor written, but for edges that the change binds otherwise: their files'
+    edges are replaced. Applied to `previous`, as a refresh has left it, it gives what refresh() gives, but for ord.
+    """
+    changes = stage(diff(previous.files, scanned), "changes")
+    todo = scanned.join(changes.where("status IN ('added', 'changed')").select("path"), "path", "left_semi")
+    fresh = with_order_among(extract(todo, stage), previous.files)
+    if fresh is None:
+        return None, changes
+    old = stage(changes.where("status IN ('changed', 'deleted')").select("path"), "old")
+    owned = old.withColumnRenamed("path", "filePath")
+    of_old = lambda df: df.join(owned, "filePath", "left_semi").select(*df.columns)
+    kept = lambda df: df.join(owned, "filePath", "left_anti").select(*df.columns)
+    added = stage(fresh.symbols, "added")
+    symbols = kept(previous.symbols).unionByName(added)
+    carried = kept(previous.relations)
+    rebound, bound = resolve_changed(carried, fresh.relations, of_old(previous.symbols), added, symbols, stage)
+    rebound = stage(rebound, "rebound")
+    touched = rebound.select("filePath").distinct()
+    rewritten = upsert(carried.join(touched, "filePath", "left_semi").select(*carried.columns), rebound, "id")
+    chunks = stage(fresh.chunks, "fresh-chunks")
+    lost = of_old(previous.chunks).select("id", "hash").join(chunks.select("id", "hash"), ["id", "hash"], "left_anti")
+    lost = lost.select(F.col("id").alias("chunkId")).join(previous.vectors.select("chunkId"), "chunkId", "left_semi")
+    delta = Delta(
+        gone={"files": old, "symbols": owned, "relations": owned.unionByName(touched), "chunks": owned, "vectors": lost},
+        rows={"files": fresh.files, "symbols": added, "relations": bound.unionByName(rewritten), "chunks": chunks},
+    )
+    return delta, changes
+
+
 def missing_vectors(s: Snapshot, provider: str, dimensions: int) -> DataFrame:
     """Chunks without a vector of that provider and size."""
     have = s.vectors.where((F.col("providerId") == provider) & (F.col("dimensions") == dimensions)).select(F.col("chunkId").alias("id"))

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import basename, normalize_target
 
 BOUND_KINDS = ["calls", "extends", "implements", "contains"]
+#: Files in a folder that are known by their base name too.
+SCRIPT_FILE = r"(?i)/[^/]*\.(ts|js)$"
+
+
+def _base(path: Column) -> Column:
+    return F.lower(F.regexp_replace(basename(path), r"(?i)\.(ts|js)$", ""))
 
 
 def resolve_relations(relations: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -28,7 +34,7 @@ def resolve_relations(relations: DataFrame, symbols: DataFrame) -> DataFrame:
     dangling = F.col("toSymbolId").isNotNull() & F.col("_live").isNull()
     rows = rows.withColumn("confidence", F.when(dangling, F.least("confidence", F.lit(0.5))).otherwise(F.col("confidence")))
     rows = rows.withColumn("toSymbolId", F.when(~dangling, F.col("toSymbolId"))).withColumn("_norm", normalize_target(F.col("targetName")))
-    base = symbols.where(F.col("filePath").rlike(r"(?i)/[^/]*\.(ts|js)$")).withColumn("_base", F.lower(F.regexp_replace(basename(F.col("filePath")), r"(?i)\.(ts|js)$", "")))
+    base = symbols.where(F.col("filePath").rlike(SCRIPT_FILE)).withColumn("_base", _base(F.col("filePath")))
     rows = rows.join(first({"targetName": F.col("name"), "filePath": F.col("filePath")}, symbols, "_local"), ["targetName", "filePath"], "left")
     rows = rows.join(first({"targetName": F.col("name")}, symbols, "_any"), "targetName", "left")
     rows = rows.join(first({"_norm": F.col("name")}, symbols, "_named"), "_norm", "left")
@@ -39,6 +45,39 @@ def resolve_relations(relations: DataFrame, symbols: DataFrame) -> DataFrame:
     return rows.withColumn("confidence", confidence).withColumn("toSymbolId", F.when(open_, found).otherwise(F.col("toSymbolId"))).select(*relations.columns)
 
 
+def resolve_changed(carried: DataFrame, fresh: DataFrame, gone: DataFrame, added: DataFrame, symbols: DataFrame, stage) -> tuple[DataFrame, DataFrame]:
+    """Binding after a change, by what changed: (edges of `carried` that come out otherwise, `fresh` edges bound).
+
+    `carried` were resolved before; `gone` and `added` are the symbols that went and came, `symbols` all that there are now.
+    An edge that is bound to a symbol that stays keeps it, and one that found nothing finds nothing yet unless its name
+    came: so only edges to symbols that went, and unbound ones whose target came, are bound anew, against the symbols of
+    their names alone. Equals resolve_relations over all edges and symbols.
+    """
+    lost = gone.select("id").join(symbols.select("id"), "id", "left_anti").select(F.col("id").alias("toSymbolId")).distinct()
+    script = added.where(F.col("filePath").rlike(SCRIPT_FILE)).select(_base(F.col("filePath")).alias("key"))
+    came = stage(added.select(F.col("name").alias("key")).distinct(), "came")
+    bases = stage(script.distinct(), "bases")
+    dangling = carried.join(lost, "toSymbolId", "left_semi").select(*carried.columns)
+    loose = carried.where(F.col("toSymbolId").isNull() & F.col("kind").isin(BOUND_KINDS)).withColumn("_norm", normalize_target(F.col("targetName")))
+    loose = loose.withColumn("_keys", F.array_distinct(F.array("targetName", "_norm"))).withColumn("_low", F.lower("_norm"))
+    by_name = loose.select("*", F.explode("_keys").alias("key")).join(came, "key", "left_semi").select(*carried.columns)
+    by_base = loose.join(bases.withColumnRenamed("key", "_low"), "_low", "left_semi").select(*carried.columns)
+    todo = stage(dangling.unionByName(by_name).unionByName(by_base).dropDuplicates(["id"]).withColumn("_fresh", F.lit(False)).unionByName(fresh.withColumn("_fresh", F.lit(True))), "todo")
+    # The symbols that these edges can meet: those they are bound to, and those of their names.
+    ids = todo.select(F.col("toSymbolId").alias("id")).where("id IS NOT NULL").distinct()
+    norm = normalize_target(F.col("targetName"))
+    names = todo.select(F.explode(F.array("targetName", norm)).alias("name")).distinct()
+    lows = todo.select(F.lower(norm).alias("_base")).distinct()
+    met = symbols.join(ids, "id", "left_semi").select(*symbols.columns).unionByName(symbols.join(names, "name", "left_semi").select(*symbols.columns))
+    scripts = symbols.where(F.col("filePath").rlike(SCRIPT_FILE)).withColumn("_base", _base(F.col("filePath"))).join(lows, "_base", "left_semi").select(*symbols.columns)
+    met = stage(met.unionByName(scripts).dropDuplicates(["id"]), "met")
+    bound = stage(resolve_relations(todo, met), "bound")
+    before = todo.where("NOT _fresh").select("id", F.col("toSymbolId").alias("_to"), F.col("confidence").alias("_confidence"))
+    other = ~(F.col("toSymbolId").eqNullSafe(F.col("_to")) & F.col("confidence").eqNullSafe(F.col("_confidence")))
+    changed = bound.where("NOT _fresh").join(before, "id").where(other).select(*carried.columns)
+    return changed, bound.where("_fresh").select(*carried.columns)
+
+
 def resolution_report(before: DataFrame, after: DataFrame, symbols: DataFrame) -> DataFrame:
     """One row: edges that lost their symbol, and edges bound since."""
     live = symbols.select(F.col("id").alias("toSymbolId"))

@@ -45,9 +45,15 @@ class Files:
         qualified = fs.makeQualified(at)
         self._hadoop.FileContext.getFileContext(qualified.toUri(), self._conf).rename(fs.makeQualified(beside), qualified, over)
 
+    def exists(self, path: str) -> bool:
+        fs, at = self._at(path)
+        return fs.exists(at)
+
     def folders(self, path: str) -> list[str]:
-        """Names of the folders in a folder."""
+        """Names of the folders in a folder; none if there is no such."""
         fs, at = self._at(path)
+        if not fs.exists(at):
+            return []
         return sorted(x.getPath().getName() for x in fs.listStatus(at) if x.isDirectory())
 
     def remove(self, path: str) -> bool:

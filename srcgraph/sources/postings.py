@@ -10,10 +10,12 @@ array, so a key that most rows hold is many rows and never one large one.
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .fs import Files
 
@@ -32,7 +34,13 @@ class Postings:
         self.spark, self.path = spark, path
 
     def _table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        schema = {"postings": "key string, block long, rows array<int>", "frequencies": "key string, n long"}.get(name)
+        return self.spark.read.schema(schema or StructType.fromJson(json.loads(Files(self.spark).read(f"{self.path}/rows.json")))).parquet(f"{self.path}/{name}")
+
+    @property
+    def built(self) -> bool:
+        """Whether build() has come to its end."""
+        return Files(self.spark).exists(f"{self.path}/frequencies/_SUCCESS")
 
     @classmethod
     def build(cls, rows: DataFrame, path: str, keys: Column, block_bits: int = BLOCK_BITS):
@@ -41,15 +49,17 @@ class Postings:
         files.remove(path)
         number = F.monotonically_increasing_id()
         numbered = rows.select("*", number.alias("__number")).select(*rows.columns, F.shiftright("__number", block_bits).alias("__block"), F.col("__number").bitwiseAND((1 << block_bits) - 1).cast("int").alias("__at"))
+        files.replace(f"{path}/rows.json", numbered.schema.json())
         numbered.write.partitionBy("__block").parquet(f"{path}/rows")
-        found = spark.read.parquet(f"{path}/rows").select(F.col("__block").cast("long").alias("block"), F.col("__at").alias("at"), F.explode(F.array_distinct(F.array_compact(keys))).alias("key"))
+        out = cls(spark, path)
+        found = out.rows().select(F.col("__block").alias("block"), F.col("__at").alias("at"), F.explode(F.array_distinct(F.array_compact(keys))).alias("key"))
         # One group is one key in one block; its size is bounded by the block's.
         grouped = found.groupBy("key", "block").agg(F.sort_array(F.collect_list("at")).alias("rows"))
         ordered = grouped.repartitionByRange(F.col("key"), F.col("block")).sortWithinPartitions("key", "block")
         ordered.write.option("parquet.block.size", ROW_GROUP).parquet(f"{path}/postings")
-        counts = spark.read.parquet(f"{path}/postings").groupBy("key").agg(F.sum(F.size("rows")).alias("n"))
+        counts = out._table("postings").groupBy("key").agg(F.sum(F.size("rows")).alias("n"))
         counts.repartitionByRange("key").sortWithinPartitions("key").write.option("parquet.block.size", ROW_GROUP).parquet(f"{path}/frequencies")
-        return cls(spark, path)
+        return out
 
     def frequencies(self, keys: list[str]) -> dict[str, int]:
         """Rows of each of these keys that occur."""
