@@ -164,8 +164,8 @@ def repeated_strings(rows: DataFrame, scratch: Scratch, distinct: bool = True) -
     cut = scratch.write(texts.mapInArrow(_cut_out, "print long, id long, mark long, at long, n int, lead int, bytes binary"), "cut")
     if not cut.isEmpty():
         # Numbers in the order of places, so that a number and a string's place in the stretch are one ordered long.
-        cut = cut if distinct else cut.dropDuplicates(["id", "mark", "at"])
-        ordered = scratch.write(cut.orderBy("id", "mark", "at").withColumn("ord", F.monotonically_increasing_id()), "ordered")
+        once = cut if distinct else cut.dropDuplicates(["id", "mark", "at"])
+        ordered = scratch.write(once.orderBy("id", "mark", "at").withColumn("ord", F.monotonically_increasing_id()), "ordered")
         scratch.drop(cut)
         reach = scratch.write(_reach(ordered, scratch), "reach")
         back = F.greatest(F.lit(0), F.lit(WIDTH) - F.coalesce("right", F.lit(WIDTH)))
