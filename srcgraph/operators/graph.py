@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import uuid
 
 import pandas as pd
@@ -19,12 +20,22 @@ DERIVED_KINDS = ["contains", "exports", "exported-by", "imported-by", "called-by
 DEPENDENCY_KINDS = ["imports", "exports", "calls", "references", "contains", "extends", "implements", "depends-on"]
 
 
+_LOOPS: dict[str, str] = {}
+
+
 def _cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of a loop in the shared checkpoint folder."""
+    """Cuts the lineage of a loop: a table in the shared checkpoint folder, written in one job; it goes when the application ends."""
     spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(f"{shared_root(spark)}/loops-{uuid.uuid4().hex[:8]}")
-    return df.checkpoint()
+    root = _LOOPS.get(spark.sparkContext.applicationId)
+    if root is None:
+        root = _LOOPS[spark.sparkContext.applicationId] = f"{shared_root(spark)}/loops-{uuid.uuid4().hex[:12]}"
+        folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+        fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(folder)
+        fs.deleteOnExit(folder)
+    path = f"{root}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int, first_edge_only: bool = True) -> DataFrame:
@@ -204,45 +215,88 @@ def graph_cycles(s: Snapshot, limit: int = 20) -> DataFrame:
     return rows.withColumn("all", F.lit(True)).groupBy("all").applyInPandas(search, "id string, symbols array<string>, files array<string>, length int")
 
 
-def strongly_connected(edges: DataFrame) -> DataFrame:
+#: Nodes with more followers are looked up by broadcast, up to so many of them (16 bytes each).
+FOLLOWED, BROADCAST_NODES = 10_000, 200_000
+
+
+def least_reached(edges: DataFrame, rounds: list | None = None) -> DataFrame:
+    """(node, least): the least node that each node of edges(src, dst), two longs, reaches, itself included.
+
+    Each round a node takes the least of what its successors have, then what the node that it has found has found itself.
+    It also takes what lies ahead on a path of chosen successors, whose length doubles each round and begins anew when it
+    spans the graph. So with numbers in random order even paths and rings of n nodes take some multiple of log n rounds
+    instead of n. `rounds` gets a number for each.
+    """
+    known = _cut(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("least", F.col("node")))
+    span = max(1, known.count().bit_length())
+    for turn in itertools.count():
+        if turn % span == 0:
+            hops = _cut(edges.groupBy("src").agg(F.min_by("dst", F.xxhash64("dst", F.lit(turn))).alias("dst")))
+        else:  # a path that ends stays at its end
+            hops = _cut(hops.join(hops.select(F.col("src").alias("dst"), F.col("dst").alias("far")), "dst", "left").select("src", F.coalesce("far", "dst").alias("dst")))
+        steps = edges if turn % span == 0 else edges.unionByName(hops)
+        pushed = steps.join(known.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("least").alias("p"))
+        near = _cut(known.join(pushed, "node", "left").select("node", F.least("least", F.coalesce("p", "least")).alias("least"), F.coalesce(F.col("p") < F.col("least"), F.lit(False)).alias("moved")))
+        if rounds is not None:
+            rounds.append(turn)
+        if near.where("moved").isEmpty():
+            return near.select("node", "least")
+        # Of the nodes that others have found only those that went on themselves are looked up.
+        followed = near.groupBy(F.col("least").alias("node")).agg(F.count("*").alias("n"))
+        ahead = _cut(followed.join(near.select("node", F.col("least").alias("further")), "node").where("further < node").select(F.col("node").alias("least"), "further", "n"))
+        known = near.select("node", "least") if ahead.isEmpty() else _cut(_jumped(near, ahead).select("node", F.coalesce("further", "least").alias("least")))
+
+
+def _jumped(near: DataFrame, ahead: DataFrame) -> DataFrame:
+    """near with `further`, if its `least` went on. Few of these, or the much followed ones of many, are broadcast."""
+    if ahead.count() <= BROADCAST_NODES:
+        return near.join(F.broadcast(ahead.drop("n")), "least", "left")
+    hot = ahead.where(F.col("n") > FOLLOWED).drop("n")
+    if not 0 < hot.count() <= BROADCAST_NODES:
+        return near.join(ahead.drop("n"), "least", "left")
+    cold = near.join(F.broadcast(hot.select("least")), "least", "left_anti").join(ahead.where(F.col("n") <= FOLLOWED).drop("n"), "least", "left")
+    return cold.unionByName(near.join(F.broadcast(hot), "least"))
+
+
+def strongly_connected(edges: DataFrame, rounds: list | None = None) -> DataFrame:
     """edges(src, dst) to (node, component) of components of two or more nodes, named after their least node.
 
-    Colours flow forward to a fixed point, then members are found backward from each colour's root; what is found is peeled off.
+    Nodes get random numbers. All nodes that reach the same least one are a class, with that one as its pivot; backward,
+    within the classes, each node finds the least that reaches it. Nodes that their pivot reaches are its component. What
+    is left falls apart by both answers, gets new numbers and goes on, so all classes are divided at once, and the rounds
+    grow with powers of the logarithm of a graph's size, however deep it is.
     """
-    edges = _cut(edges.where("src <> dst").select("src", "dst").distinct())
-    out = None
-    while True:
-        while True:  # nodes without an edge in or out are in no cycle
-            trimmed = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-            trimmed, before = _cut(trimmed.select("src", "dst")), edges.count()
-            edges = trimmed
-            if edges.count() == before:
-                break
-        if edges.isEmpty():
-            break
-        colour = edges.select(F.col("src").alias("node")).distinct().withColumn("c", F.col("node"))
-        while True:
-            pushed = edges.join(colour.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("c").alias("p"))
-            fresh = _cut(colour.join(pushed, "node", "left").select("node", F.least("c", F.coalesce("p", "c")).alias("c"), (F.col("p") < F.col("c")).alias("moved")))
-            moving = not fresh.where("moved").isEmpty()
-            colour = fresh.select("node", "c")
-            if not moving:
-                break
-        found = _cut(colour.where("node = c"))
-        inside = edges.join(colour.select(F.col("node").alias("src"), F.col("c").alias("cs")), "src").join(colour.select(F.col("node").alias("dst"), F.col("c").alias("cd")), "dst").where("cs = cd")
-        inside = _cut(inside.select("src", "dst", F.col("cs").alias("c")))
-        frontier = found
-        while not frontier.isEmpty():
-            back = inside.join(frontier.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node"), "c").distinct()
-            frontier = _cut(back.join(found.select("node"), "node", "left_anti"))
-            found = found.unionByName(frontier)
-        found = _cut(found)
-        big = found.groupBy("c").agg(F.count("*").alias("n"), F.min("node").alias("component")).where("n > 1")
-        part = found.join(big, "c").select("node", "component")
+    edges = edges.where("src <> dst").select("src", "dst").distinct()
+    names = edges.select(F.explode(F.array("src", "dst")).alias("name")).distinct()
+    numbered, salt = None, 0
+    while numbered is None:  # until no two names have one number
+        tried = _cut(names.select("name", F.xxhash64("name", F.lit(salt)).alias("node")))
+        numbered, salt = (tried if tried.groupBy("node").count().where("count > 1").isEmpty() else None), salt + 1
+    number = lambda c: F.xxhash64(c, F.lit(salt - 1))
+    left = _cut(edges.select(number("src").alias("a"), number("dst").alias("b")))
+    out, turn = None, 0
+    while not left.isEmpty():
+        # Nodes without an edge in or out are in no cycle.
+        left = _cut(left.join(left.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(left.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b"))
+        turn += 1
+        own = lambda c: F.xxhash64(c, F.lit(turn))  # noqa: B023, E731
+        drawn = left.select(own("a").alias("src"), own("b").alias("dst"), "a", "b")
+        forward = least_reached(drawn.select("src", "dst"), rounds)
+        class_ = lambda end: forward.select(F.col("node").alias(end), F.col("least").alias(f"{end}Class"))  # noqa: B023, E731
+        inside = _cut(drawn.join(class_("src"), "src").join(class_("dst"), "dst").where("srcClass = dstClass"))
+        backward = least_reached(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")), rounds)
+        found = backward.join(forward.withColumnRenamed("least", "pivot"), "node").where("least = pivot")
+        ends = _cut(inside.select(F.explode(F.array(F.struct(F.col("src").alias("node"), F.col("a").alias("id")), F.struct(F.col("dst").alias("node"), F.col("b").alias("id")))).alias("e")).select("e.*").distinct())
+        part = _cut(found.join(ends, "node").select("id", F.concat_ws(":", F.lit(turn), "pivot").alias("c")))
         out = part if out is None else out.unionByName(part)
-        gone = found.select("node")
-        edges = _cut(edges.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
-    return out if out is not None else edges.select(F.col("src").alias("node"), F.col("dst").alias("component"))
+        back = lambda end: backward.select(F.col("node").alias(end), F.col("least").alias(f"{end}Back"))  # noqa: B023, E731
+        rest = inside.join(back("src"), "src").join(back("dst"), "dst").where("srcBack = dstBack AND srcBack <> srcClass")
+        left = _cut(rest.select("a", "b"))
+    if out is None:
+        return edges.select(F.col("src").alias("node"), F.col("dst").alias("component"))
+    members = out.join(numbered.withColumnRenamed("node", "id"), "id")
+    least = members.groupBy("c").agg(F.min("name").alias("component"), F.count("*").alias("n")).where("n > 1")
+    return members.join(least, "c").select(F.col("name").alias("node"), "component")
 
 
 def degrees(s: Snapshot) -> DataFrame:

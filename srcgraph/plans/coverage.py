@@ -155,6 +155,20 @@ def call_snapshot(spark, d) -> Snapshot:
     return s.with_(relations=relations)
 
 
+_SPARSE = """
+h AS (SELECT src, dst FROM (SELECT DISTINCT l_partkey AS src, 1 + (l_partkey + 37 * l_suppkey) % (SELECT count(*) FROM part) AS dst FROM lineitem WHERE l_linenumber = 7) WHERE src <> dst),
+reach(a, b) AS (SELECT src, dst FROM h UNION SELECT a, dst FROM reach JOIN h ON b = src)"""
+
+
+@query("SELECT 'P' || f.a AS node, min('P' || f.b) AS component FROM reach f JOIN reach r ON f.a = r.b AND f.b = r.a GROUP BY f.a HAVING count(*) > 1", _SPARSE)
+def module_scc(spark, d):
+    """Knots of modules whose edges are every seventh line of an order."""
+    n = td.read(spark, d, "part").count()
+    line = td.read(spark, d, "lineitem").where("l_linenumber = 7").select(*long("l_partkey", "l_suppkey"))
+    pairs = line.select(F.col("l_partkey").alias("src"), (1 + (F.col("l_partkey") + 37 * F.col("l_suppkey")) % n).alias("dst"))
+    return graph.strongly_connected(pairs.select(F.concat(F.lit("P"), "src").alias("src"), F.concat(F.lit("P"), "dst").alias("dst")))
+
+
 _PAIRS = [(1, 150), (2, 77), (10, 199)]
 
 
