@@ -391,8 +391,8 @@ def context_files(spark, d):
 # Refresh
 
 
-def _refreshed(spark, d) -> tuple[Snapshot, DataFrame, Snapshot]:
-    """A snapshot of all documents, then every fifth is gone, every third has another text."""
+def before_and_after(spark, d) -> tuple[Snapshot, DataFrame]:
+    """A snapshot of all documents, and a scan in which every fifth is gone and every third has another text."""
     docs = td.read(spark, d, "documents").select(F.col("doc_id").cast("long").alias("k"), td.doc_path().alias("path"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("none")).alias("language"))
     n, none = docs.count(), F.lit(None).cast("string")
     digest = lambda text: F.sha2(text.cast("binary"), 256)
@@ -411,6 +411,11 @@ def _refreshed(spark, d) -> tuple[Snapshot, DataFrame, Snapshot]:
     previous = Snapshot(files, symbols, relations, chunks, vectors, spark.createDataFrame([], SCHEMAS["metadata"]))
     text = F.when(F.col("k") % 3 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
     scanned = docs.where("k % 5 <> 0").select("path", F.lit("accepted").alias("status"), F.lit("markdown").alias("language"), digest(text).alias("hash"), F.length(text).cast("long").alias("size"), F.lit(0.0).alias("modifiedAt"), text.alias("text"))
+    return previous, scanned
+
+
+def _refreshed(spark, d) -> tuple[Snapshot, DataFrame, Snapshot]:
+    previous, scanned = before_and_after(spark, d)
     fresh, changes = incremental.refresh(previous, scanned)
     return fresh, changes, previous
 
