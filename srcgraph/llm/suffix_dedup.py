@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructType
 
 from ._hot import with_known
-from ._store import Scratch, without
+from ._store import Scratch, settings, without
 from ._tok import mix64, pieces, row_groups, seeded, sliding_min, string_bytes
 
 #: Bytes of a repeated string, and of those that its anchor is chosen by.
@@ -33,6 +33,8 @@ PIECE = 1 << 18
 PLACE_BITS = 24
 #: Offsets and lengths, in bytes, of what is ranked next to an anchor's first 32: to the right of it, and to the left.
 RIGHT, LEFT = ((32, 32), (64, 36)), ((-32, 32), (-64, 32))
+#: Of a join with the few keys that repeat, Spark first drops most of the rows that have none, by a filter of bounded size.
+FILTERED = {"spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0", "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1g"}
 #: A stretch has fewer strings than 2 to this.
 STRING_BITS = 7
 _FACTORS = seeded(311, GRAM // 8) | np.uint64(1)
@@ -150,7 +152,8 @@ def repeated_strings(rows: DataFrame, scratch: Scratch, distinct: bool = True) -
     anchors = scratch.write(rows.mapInArrow(_anchors, "print long, s1 long, s2 long, id long, mark long, at long, n int, lead int"), "anchors")
     alike = (F.min("s1") == F.max("s1")) & (F.min("s2") == F.max("s2"))
     shared = scratch.write(anchors.groupBy("print").agg(F.count("*").alias("many"), alike.alias("alike")).where("many > 1"), "shared")
-    found = scratch.write(with_known(anchors, shared, ["print"], "many").drop("many"), "found")
+    with settings(rows.sparkSession, FILTERED):
+        found = scratch.write(with_known(anchors, shared.where("many > 1"), ["print"], "many").drop("many"), "found")
     scratch.drop(anchors)
     place = F.struct("id", "mark", "at")
     firsts = scratch.write(found.groupBy(*_STRETCH, "alike").agg(F.min(place).alias("first"), F.count("*").alias("many")), "firsts")
@@ -171,11 +174,14 @@ def repeated_strings(rows: DataFrame, scratch: Scratch, distinct: bool = True) -
         back = F.greatest(F.lit(0), F.lit(WIDTH) - F.coalesce("right", F.lit(WIDTH)))
         bounded = ordered.join(reach, "ord", "left").withColumn("least", F.greatest(F.lit(0), F.col("lead") - F.coalesce("left", F.lit(WIDTH)))).withColumn("most", F.least(F.col("n") - 1, F.col("lead") - back))
         bounded = scratch.write(bounded.where("least <= most").select("ord", "id", "mark", "at", "least", "most", "bytes"), "bounded")
+        scratch.drop(ordered)
         string = F.unhex(F.left(F.sha2(F.expr(f"substring(bytes, k + 1, {WIDTH})"), 256), F.lit(32)))
-        strings = bounded.withColumn("k", F.explode(F.sequence("least", "most"))).select(string.alias("string"), (F.shiftleft("ord", STRING_BITS) + F.col("k")).alias("place"), "id", "mark", (F.col("at") + F.col("k")).alias("lo"))
+        strings = bounded.withColumn("k", F.explode(F.sequence("least", "most"))).select(string.alias("string"), (F.shiftleft("ord", STRING_BITS) + F.col("k")).alias("place"))
         earliest = scratch.write(strings.groupBy("string").agg(F.min("place").alias("earliest"), F.count("*").alias("n")).where("n > 1"), "earliest")
-        later = with_known(strings, earliest, ["string"]).where("place > earliest").select("id", "mark", "lo", (F.col("lo") + WIDTH).alias("hi"))
-        ranges.append(scratch.write(later, "later"))
+        later = with_known(strings, earliest, ["string"]).where("place > earliest").select("place")
+        later = scratch.write(later.groupBy(F.shiftright("place", STRING_BITS).alias("ord")).agg(F.collect_list(F.col("place").bitwiseAND((1 << STRING_BITS) - 1).cast("int")).alias("ks")), "later")
+        each = bounded.select("ord", "id", "mark", "at").join(later, "ord").select("id", "mark", "at", F.explode("ks").alias("k")).select("id", "mark", (F.col("at") + F.col("k")).alias("lo"))
+        ranges.append(each.select("id", "mark", "lo", (F.col("lo") + WIDTH).alias("hi")))
     out = ranges[0]
     return out.unionByName(ranges[1]) if len(ranges) > 1 else out
 
