@@ -53,14 +53,15 @@ class _Builder:
         self.lines = [0]
         for m in re.finditer("\n", text):
             self.lines.append(m.end())
+        #: Places of characters of two units, looked for once.
+        self.wide = [m.start() for m in re.finditer("[\U00010000-\U0010ffff]", text)] if not text.isascii() else []
 
     def line(self, at: int) -> int:
-        import bisect
-
         return bisect.bisect_right(self.lines, at)
 
     def offset(self, at: int) -> int:
-        return units(self.text[:at])
+        """In UTF-16 units."""
+        return at + bisect.bisect_left(self.wide, at)
 
     def symbol(self, kind: str, name: str, start: int, end: int, parent: str | None, exported: bool = False) -> str:
         name = re.split(r"::|\.", name)[-1]

@@ -535,9 +535,9 @@ def workspace_scan(spark, d):
     return rows.select("path", "status", "hash", "size", F.when(F.col("path") == "src3", "unknown").otherwise(F.col("language")).alias("language"))
 
 
-@query("SELECT status, count(*)::BIGINT AS n FROM (SELECT CASE status WHEN 'skipped-binary' THEN 'accepted' ELSE status END AS status FROM ws WHERE status <> 'folder' UNION ALL SELECT DISTINCT 'ignored' FROM ws WHERE status = 'folder') GROUP BY status", _IGNORED)
+@query("SELECT status, count(*)::BIGINT AS n FROM (SELECT status FROM ws WHERE status <> 'folder' UNION ALL SELECT DISTINCT 'ignored' FROM ws WHERE status = 'folder') GROUP BY status", _IGNORED)
 def workspace_listing(spark, d):
-    """Names and sizes only."""
+    """Names and sizes, and the first bytes of each file."""
     return scan.status_counts(scan.list_files(spark, _workspace(spark, d)).where("path <> '.gitignore'"))
 
 

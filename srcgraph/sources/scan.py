@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import copy
 import hashlib
+import json
 import os
 import re
 from dataclasses import dataclass, field
@@ -10,6 +12,7 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.text import language
 
@@ -95,52 +98,129 @@ class IgnoreMatcher:
         return False
 
 
+def _rules(root: str, folder: str) -> str:
+    try:
+        with open(os.path.join(root, folder, ".gitignore"), encoding="utf-8", errors="replace") as f:
+            return f.read()
+    except OSError:
+        return ""
+
+
+def _entries(root: str, folder: str, matcher: IgnoreMatcher):
+    """(path, kind, size, modifiedAt) of a folder's entries in order of names: folder, file or ignored. Links are passed over."""
+    for entry in sorted(os.scandir(os.path.join(root, folder)), key=lambda e: e.name):
+        path = f"{folder}/{entry.name}" if folder else entry.name
+        if entry.is_symlink():
+            continue
+        if matcher.ignores(path, entry.is_dir()):
+            yield path, "ignored", 0, 0.0
+        elif entry.is_dir():
+            yield path, "folder", 0, 0.0
+        elif entry.is_file():
+            st = entry.stat()
+            yield path, "file", st.st_size, st.st_mtime * 1000
+
+
+def _below(matcher: IgnoreMatcher, root: str, folder: str) -> IgnoreMatcher:
+    """The rules that hold in a folder: those above, and its own."""
+    own = _rules(root, folder) if folder else ""
+    if not own:
+        return matcher
+    out = copy.copy(matcher)
+    out.layers = list(matcher.layers)
+    out.add(folder, own)
+    return out
+
+
+def _walked(root: str, folder: str, matcher: IgnoreMatcher, include: set[str] | None, deep: bool = True):
+    """Rows of a folder, whose rules `matcher` has, and of all folders below if deep."""
+    for path, kind, size, modified in _entries(root, folder, matcher):
+        if kind == "folder":
+            if deep:
+                yield from _walked(root, path, _below(matcher, root, path), include)
+        elif kind == "ignored":
+            yield path, "ignored", 0, 0.0
+        elif include is None or path in include:
+            yield path, "accepted", size, modified
+
+
 def walk(root: str, patterns: list[str] = (), include: set[str] | None = None) -> list[tuple[str, str, int, float]]:
     """(path, status, size, modifiedAt) in order of names: accepted or ignored. Links are passed over, an ignored folder is one row."""
-
-    def rules(folder: str) -> str:
+    return list(_walked(root, "", IgnoreMatcher(list(patterns), _rules(root, "")), include))
+
+
+class FolderPartition(InputPartition):
+    """A folder with the rules that hold in it; its files alone, or all that is below it."""
+
+    def __init__(self, folder: str, matcher: IgnoreMatcher, deep: bool):
+        self.folder, self.matcher, self.deep = folder, matcher, deep
+
+
+class WorkspaceReader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.root, self.wanted = options["path"], int(options.get("folders", 64))
+        self.patterns = json.loads(options.get("patterns", "[]"))
+        include = json.loads(options.get("include", "null"))
+        self.include = None if include is None else set(include)
+        self.limit = int(options.get("maxfilesize", MAX_FILE_SIZE))
+
+    def partitions(self) -> list[FolderPartition]:
+        """Folders from the top, level by level, until there are enough to share among the tasks; only these are listed here."""
+        out, level = [], [("", IgnoreMatcher(self.patterns, _rules(self.root, "")))]
+        while level and len(level) < self.wanted:
+            below = []
+            for folder, matcher in level:
+                out.append(FolderPartition(folder, matcher, deep=False))
+                below += [(path, _below(matcher, self.root, path)) for path, kind, _, _ in _entries(self.root, folder, matcher) if kind == "folder"]
+            level = below
+        return out + [FolderPartition(folder, matcher, deep=True) for folder, matcher in level]
+
+    def read(self, partition: FolderPartition):
+        for path, status, size, modified in _walked(self.root, partition.folder, partition.matcher, self.include, partition.deep):
+            if status == "accepted":
+                status = "skipped-large-file" if size > self.limit else self._sniffed(path)
+            yield path, status, size, modified
+
+    def _sniffed(self, path: str) -> str:
         try:
-            with open(os.path.join(root, folder, ".gitignore"), encoding="utf-8", errors="replace") as f:
-                return f.read()
+            with open(os.path.join(self.root, path), "rb") as f:
+                return "skipped-binary" if b"\0" in f.read(SNIFF_BYTES) else "accepted"
         except OSError:
-            return ""
-
-    matcher = IgnoreMatcher(list(patterns), rules(""))
-    out: list[tuple[str, str, int, float]] = []
-
-    def visit(folder: str) -> None:
-        if folder and (own := rules(folder)):
-            matcher.add(folder, own)
-        for entry in sorted(os.scandir(os.path.join(root, folder)), key=lambda e: e.name):
-            path = f"{folder}/{entry.name}" if folder else entry.name
-            if entry.is_symlink():
-                continue
-            if matcher.ignores(path, entry.is_dir()):
-                out.append((path, "ignored", 0, 0.0))
-            elif entry.is_dir():
-                visit(path)
-            elif entry.is_file() and (include is None or path in include):
-                st = entry.stat()
-                out.append((path, "accepted", st.st_size, st.st_mtime * 1000))
-
-    visit("")
-    return out
+            return "error"
+
+
+class Workspace(DataSource):
+    """A workspace folder as a table of its files: `path`, and as JSON `patterns` and `include`; `maxFileSize`; `folders`, how many tasks should share it."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "workspace"
+
+    def schema(self) -> str:
+        return "path string, status string, size long, modifiedAt double"
+
+    def reader(self, schema) -> WorkspaceReader:
+        return WorkspaceReader(self.options)
 
 
 def list_files(spark: SparkSession, root: str, patterns: list[str] = (), include: set[str] | None = None, max_file_size: int = MAX_FILE_SIZE) -> DataFrame:
-    """(path, status, size, modifiedAt): names and sizes only, nothing is read."""
-    rows = [(p, "skipped-large-file" if s == "accepted" and n > max_file_size else s, n, m) for p, s, n, m in walk(root, patterns, include)]
-    return spark.createDataFrame(rows, "path string, status string, size long, modifiedAt double")
+    """(path, status, size, modifiedAt), listed by the tasks, folder by folder. Of a file no more is read than tells whether it is binary."""
+    spark.dataSource.register(Workspace)
+    reader = spark.read.format("workspace").option("patterns", json.dumps(list(patterns))).option("maxFileSize", max_file_size).option("folders", 2 * spark.sparkContext.defaultParallelism)
+    if include is not None:
+        reader = reader.option("include", json.dumps(sorted(include)))
+    return reader.load(os.path.realpath(root))
 
 
 def scan(spark: SparkSession, root: str, patterns: list[str] = (), include: set[str] | None = None, max_file_size: int = MAX_FILE_SIZE) -> DataFrame:
     """(path, status, language, hash, size, modifiedAt, text); text and hash of accepted files only.
 
-    Names are listed once; contents are read by the tasks, so the root must be a folder that all of them see.
+    Folders are listed and contents read by the tasks, so the root must be a folder that all of them see.
     Hidden files count, which Spark's own file sources pass over.
     """
     root = os.path.realpath(root)
-    listed = list_files(spark, root, patterns, include, max_file_size)
+    # Large folders are one task's to list, but their files are dealt to all to be read.
+    listed = list_files(spark, root, patterns, include, max_file_size).repartition(F.col("path"))
 
     def read(frames):
         for frame in frames:

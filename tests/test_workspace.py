@@ -2,6 +2,7 @@
 
 import json
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -276,11 +277,96 @@ def test_watcher(spark, tmp_path):
     os.remove(os.path.join(c.root, "n/b.py"))
     put(c.root, **{"node_modules/q.js": "x"})
     assert w.tick() and "n/b.py" not in {r.path for r in c.files().collect()} and w.status()["lastError"] is None
-    w.seen = None
-    w.start()
-    w.query.processAllAvailable()
-    w.stop()
-    assert w.runs >= 4 and not w.status()["watching"]
+
+
+def waited(done, seconds=90):
+    end = time.time() + seconds
+    while not done() and time.time() < end:
+        time.sleep(0.1)
+    return done()
+
+
+def test_writes_in_short_order_are_one_run(spark, tmp_path):
+    from srcgraph.streaming.watch import Watcher
+
+    put(str(tmp_path / "ws"), **{"a.py": "a = 1\n"})
+    c = Codebase(spark, str(tmp_path / "ws"), index_path=str(tmp_path / "i"))
+    seen = []
+    c.index = lambda: seen.append({r[0] for r in c.listing()})
+    w = Watcher(c, 3000).start()
+    try:
+        assert waited(lambda: w.runs == 1) and seen == [{"a.py"}]
+        for k in range(3):
+            put(c.root, **{f"b{k}.py": "b = 1\n"})
+            time.sleep(0.3)
+        assert waited(lambda: w.runs == 2)
+        time.sleep(4)
+        assert w.runs == 2 and seen[1] == {"a.py", "b0.py", "b1.py", "b2.py"}
+        os.remove(os.path.join(c.root, "b1.py"))
+        assert waited(lambda: w.runs == 3) and seen[2] == {"a.py", "b0.py", "b2.py"}
+    finally:
+        w.stop()
+    assert not w.status()["watching"] and w.last_error is None
+
+
+def test_debounce_counts_from_the_last_change(tmp_path):
+    """The state function alone, with a clock of its own."""
+    from srcgraph.streaming import watch
+
+    class State:
+        exists, get = False, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+    root, clock, state = str(tmp_path), [100.0], State()
+    step = watch.settling(root, [], None, 10)
+    given = lambda: sum(len(f) for f in step((root,), iter([]), state))
+    real, watch.time = watch.time, type("Clock", (), {"time": staticmethod(lambda: clock[0])})
+    try:
+        out = []
+        for at, write in ((100, "a"), (106, "b"), (112, "c"), (121, None), (122, None), (140, None), (141, "d"), (150, None), (151, None)):
+            clock[0] = at
+            if write:
+                (tmp_path / write).write_text(write)
+            out.append(given())
+    finally:
+        watch.time = real
+    assert out == [0, 0, 0, 0, 1, 0, 0, 0, 1]
+
+
+def test_listing_by_tasks_equals_a_walk(spark, tmp_path):
+    """Folders are shared at any depth; rules are inherited; the first 8 KiB tell binaries."""
+    root = str(tmp_path / "deep")
+    for k in range(4):
+        for i in range(3):
+            put(root, **{f"d{k}/e{i}/f{j}.py": "x" for j in range(2)})
+        put(root, **{f"d{k}/.gitignore": f"e{k}/\n*.tmp\n!keep.tmp\n", f"d{k}/x.tmp": "1", f"d{k}/keep.tmp": "2", f"d{k}/e1/y.tmp": "3"})
+    put(root, **{".gitignore": "/d3/e2/f0.py\n", "big.txt": "x" * 300, "node_modules/q.js": "x"})
+    with open(os.path.join(root, "bin.dat"), "wb") as f:
+        f.write(b"a\0b")
+    with open(os.path.join(root, "late.dat"), "wb") as f:
+        f.write(b"a" * scan.SNIFF_BYTES + b"\0")
+    os.symlink(os.path.join(root, "d0"), os.path.join(root, "link"))
+    plain = {(p, "skipped-binary" if p == "bin.dat" else "skipped-large-file" if n > 9000 else s, n, m) for p, s, n, m in scan.walk(root, ["*.log"])}
+    assert {tuple(r) for r in scan.list_files(spark, root, ["*.log"], max_file_size=9000).collect()} == plain
+    for folders in (1, 3, 500):
+        reader = scan.WorkspaceReader({"path": root, "folders": str(folders), "patterns": '["*.log"]', "maxfilesize": "9000"})
+        parts = reader.partitions()
+        assert {r for p in parts for r in reader.read(p)} == plain and (len(parts) == 1) == (folders == 1)
+    assert [tuple(r)[0] for r in scan.list_files(spark, root, include={"d0/e1/f0.py"}).where("status = 'accepted'").collect()] == ["d0/e1/f0.py"]
+
+
+def test_identifiers_take_linear_time():
+    """One wide character used to make every offset a count of the whole prefix."""
+    text = "".join(f"function f{i}(a) {{ return g{i}(a, 'é\U0001f600') }}\n" for i in range(8000))
+    began = time.time()
+    got = parse("a.js", text, "javascript")
+    assert len(got.symbols) >= 8000 and time.time() - began < 20
+    from srcgraph.operators.extract import _Builder, units
+
+    b = _Builder("p", "aé\U0001f600b\U0001f601c")
+    assert [b.offset(i) for i in range(7)] == [units(b.text[:i]) for i in range(7)]
 
 
 def test_cli(spark, tmp_path):
