@@ -141,7 +141,7 @@ CHECKS = {
 
 
 def audited(rows, labels):
-    quality, toxic = ({i for i, q, x in labels if (q, x)[k] == 1} for k in (0, 1))
+    quality, toxic = ({i for i, q, x in labels if i is not None and (q, x)[k] == 1} for k in (0, 1))
     least = {}
     for i, t, _ in rows:
         if i is not None:
@@ -179,7 +179,7 @@ def audit_rows(seed=3, n=120):
 def test_filter_audit(spark):
     rows = audit_rows()
     labels = [(i, i % 2, int(i % 7 == 0)) for i in range(0, 140, 3)] + [(3, 1, None), (None, 1, 1), (9999, 1, 1), (502, None, 1)]
-    marked = spark.createDataFrame(labels, "doc_id long, quality int, toxic int").withColumnsRenamed({}).selectExpr("*", "'x' AS text", "'y' AS part")
+    marked = spark.createDataFrame(labels, "doc_id long, quality int, toxic int").selectExpr("*", "'x' AS text", "'y' AS part")
     out = filter_audit.audit_documents(frame(spark, [(i, t, s) for i, t, s in rows]), marked)
     got = {(x.part, x.filter_order, x.step): (x.kept, x.removed, x.redundant, x.unique_fails, x.good_lost, x.toxic_lost, x.shapley) for x in out.collect()}
     assert got == audited(rows, labels)
