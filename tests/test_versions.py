@@ -56,16 +56,16 @@ def test_versions_and_compaction(spark, tmp_path):
     make = lambda d: spark.createDataFrame([(p, "py", h, 1, 0.0, [], 0) for p, h in d.items()], SCHEMAS["files"])
     store.write(Snapshot.empty(spark).with_(files=make(state)), path, "u", buckets=4)
     read = lambda: {x.path: x.hash for x in store.read(spark, path, "u").files.collect()}
-    for turn in range(1, 7):
+    for turn in range(1, 5):
         changed = {r.choice(sorted(state)): str(turn) for _ in range(3)} | {f"n{turn}": str(turn)}
         deleted = r.choice(sorted(set(state) - set(changed)))
         keys = spark.createDataFrame([(k,) for k in [*changed, deleted]], "path string")
-        store.commit(spark, path, store.Delta(gone={"files": keys}, rows={"files": make(changed)}), fan=4)
+        store.commit(spark, path, store.Delta(gone={"files": keys}, rows={"files": make(changed)}), fan=3)
         state = {**state, **changed}
         del state[deleted]
         assert read() == state
         m = store.manifest(path)
-        assert m["counts"]["files"] == len(state) and max(store._Layers(spark, path, m).depths("files").values()) <= 4
+        assert m["counts"]["files"] == len(state) and max(store._Layers(spark, path, m).depths("files").values()) <= 3
     m = store.compact(spark, path)
     assert set(store._Layers(spark, path, m).depths("files").values()) == {1} and read() == state
     store.vacuum(spark, path, keep=1)
@@ -151,7 +151,7 @@ def test_delta_refresh_equals_a_whole_one(spark, tmp_path):
     previous = with_order(whole.with_(relations=stage(whole.relations, "relations")), stage)
     vectors = previous.chunks.select(F.col("id").alias("chunkId"), F.col("hash").alias("chunkHash"), F.lit("p").alias("providerId"), F.lit(1).alias("dimensions"), F.array(F.lit(1.0)).alias("values"))
     previous = previous.with_(**{n: stage(df, n) for n, df in previous.with_(vectors=vectors).tables().items() if n != "metadata"})
-    for _ in range(3):
+    for _ in range(2):
         texts = sources(r, texts)
         want, changes = incremental.refresh(previous, scanned(spark, texts), stage=stage)
         delta, changed = incremental.refresh_delta(previous, scanned(spark, texts), stage)
