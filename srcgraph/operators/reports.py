@@ -163,14 +163,18 @@ def _by_automaton(lowered: DataFrame, names: DataFrame) -> DataFrame:
     words = lowered.sparkSession.sparkContext.broadcast([(r.piece, [tuple(x) for x in r.first]) for r in known.collect()])  # as many as AUTOMATON_NAMES
 
     def search(frames):
-        automaton = ahocorasick.Automaton()
+        automaton, everywhere = ahocorasick.Automaton(), []
         for word, first in words.value:
-            automaton.add_word(word, first)
+            if word:
+                automaton.add_word(word, first)
+            else:  # the empty name is in all
+                everywhere = first
         automaton.make_automaton()
         for frame in frames:
             best = []
             for name, low in zip(frame["name"], frame["low"]):
-                found = (x for _, first in automaton.iter(low) for x in first if x[1] != name)
+                lists = [first for _, first in automaton.iter(low)] if len(automaton) else []
+                found = (x for first in [everywhere, *lists] for x in first if x[1] != name)
                 best.append(min(found, default=(None, None))[1])
             out = pd.DataFrame({"name": frame["name"], "targetSymbol": best})
             yield out[out["targetSymbol"].notna()]
@@ -186,7 +190,7 @@ def test_links(s: Snapshot) -> DataFrame:
     lower = F.lower("filePath")
     framework = F.when(lower.endswith(".py"), "pytest / unittest").when(lower.endswith(".go"), "go test").when(lower.endswith(".rs"), "cargo test").otherwise("jest / node:test / vitest")
     tests = s.symbols.where(lower.rlike("test|spec|__tests__")).select("id", "filePath", "name", "ord", framework.alias("framework"))
-    names = s.symbols.where("name <> ''").groupBy(F.col("name").alias("other")).agg(F.min("ord").alias("otherOrd"))
+    names = s.symbols.where("name IS NOT NULL").groupBy(F.col("name").alias("other")).agg(F.min("ord").alias("otherOrd"))
     names = names.withColumn("piece", F.lower("other"))
     size = names.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("piece")), F.lit(0)).alias("characters")).first()
     lowered = tests.select("name", F.lower("name").alias("low")).distinct().where("low IS NOT NULL")
