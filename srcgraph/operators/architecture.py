@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import basename, dirname, extname, join_path, normalize_path
 from ..schema import Snapshot
-from .graph import strongly_connected
+from .graph import _cut, strongly_connected
 
 # Extensions tried on an import without one, and what a script extension may stand for.
 EXTENSIONS = [".ts", ".tsx", ".mts", ".cts", ".js", ".jsx", ".mjs", ".cjs", ".py", ".go", ".rs", ".java", ".cs", ".kt", ".kts", ".swift", ".rb", ".php", ".vue", ".svelte"]
@@ -34,27 +34,27 @@ def load_alias_config(texts: DataFrame) -> dict | None:
     return None
 
 
-def _tails() -> Column:
-    return F.array(*[F.lit(x) for x in ["", *EXTENSIONS, *[f"/index{e}" for e in EXTENSIONS]]])
+def _meanings(base: str, scripts: Column) -> Column:
+    """The (way, key) under which the files that an import of the column `base` may mean are filed: as it stands, without its extension, or as what a script is compiled from."""
+    path, ext = F.col(base), extname(F.col(base))
+    at = lambda way, key: F.struct(F.lit(way).alias("way"), key.alias("key"))
+    plain = at("plain", path)
+    typed = at("typed", F.substring(path, F.lit(1), F.length(path) - F.length(ext)))
+    return F.when(ext == "", F.array(plain, at("bare", path))).when(scripts & ext.isin(SCRIPTS), F.array(plain, typed)).otherwise(F.array(plain))
 
 
-def _candidates(rows: DataFrame, base: Column, scripts: bool = False) -> DataFrame:
-    """rows with `rank` and `path` for every file an import of `base` may mean."""
-    ext = extname(base)
-    typed = F.transform(F.array(*[F.lit(x) for x in TYPED]), lambda x: F.concat(F.expr("left(_base, length(_base) - length(_ext))"), x))
-    plain = F.array(F.col("_base"))
-    rows = rows.withColumn("_base", base).withColumn("_ext", ext)
-    some = F.when(F.col("_ext") == "", F.transform(_tails(), lambda x: F.concat(F.col("_base"), x)))
-    if scripts:
-        some = some.when(F.col("_ext").isin(SCRIPTS), F.concat(plain, typed))
-    return rows.select("*", F.posexplode(some.otherwise(plain)).alias("rank", "path")).drop("_base", "_ext")
-
-
-def _resolved(rows: DataFrame, base: Column, files: DataFrame, scripts: bool = False) -> DataFrame:
-    """rows that lead to a file, with its path as `to`. Each distinct base is looked for once, however many imports share it."""
-    keyed = rows.withColumn("_at", base)
-    found = _candidates(keyed.select("_at").distinct(), F.col("_at"), scripts).join(files.select("path"), "path")
-    return keyed.join(found.groupBy("_at").agg(F.min_by("path", "rank").alias("to")), "_at").drop("_at")
+def _filed(files: DataFrame) -> DataFrame:
+    """(way, key, rank, to): every file under each key that leads to it, four rows at most, so an import looks up two keys and not one for each extension."""
+    path, ext = F.col("path"), extname(F.col("path"))
+    stem = F.substring(path, F.lit(1), F.length(path) - F.length(ext))
+    place = lambda xs, first: F.array_position(F.array(*map(F.lit, xs)), ext) + first
+    at = lambda way, key, rank: F.struct(F.lit(way).alias("way"), key.alias("key"), rank.cast("int").alias("rank"))
+    known = ext.isin(EXTENSIONS)
+    rows = F.array(
+        at("plain", path, F.lit(0)), F.when(known, at("bare", stem, place(EXTENSIONS, 0))), F.when(ext.isin(TYPED), at("typed", stem, place(TYPED, 0))),
+        F.when(known & stem.endswith("/index"), at("bare", F.substring(stem, F.lit(1), F.length(stem) - len("/index")), place(EXTENSIONS, len(EXTENSIONS)))),
+    )
+    return files.select(F.explode(F.array_compact(rows)).alias("f"), path.alias("to")).select("f.*", "to")
 
 
 def workspace_packages(texts: DataFrame, files: DataFrame) -> DataFrame:
@@ -65,73 +65,86 @@ def workspace_packages(texts: DataFrame, files: DataFrame) -> DataFrame:
         F.col("m.name").alias("name"), F.when(dirname(F.col("path")) == ".", "").otherwise(dirname(F.col("path"))).alias("root"), F.col("path").alias("manifest"), "m"
     )
     entries = F.array_compact(F.array("m.types", "m.module", "m.main", *[F.lit(x) for x in ("src/index.ts", "src/index.js", "index.ts", "index.js")]))
-    each = rows.select("name", "root", "manifest", F.posexplode(F.filter(entries, lambda x: x != "")).alias("entry", "sub"))
-    found = _candidates(each, join_path(F.col("root"), F.regexp_replace(F.regexp_replace("sub", "^/", ""), r"^\./", ""))).join(files.select("path"), "path")
-    best = found.groupBy("manifest", "entry").agg(F.min_by("path", "rank").alias("path")).groupBy("manifest").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("entry", "path"))), lambda x: x["path"])).alias("entryPoints"))
+    each = rows.select("manifest", "root", F.posexplode(F.filter(entries, lambda x: x != "")).alias("entry", "sub"))
+    each = each.select("manifest", "entry", join_path(F.col("root"), F.regexp_replace(F.regexp_replace("sub", "^/", ""), r"^\./", "")).alias("base"))
+    found = each.select("manifest", "entry", F.explode(_meanings("base", F.lit(False))).alias("m")).select("manifest", "entry", "m.*").join(_filed(files), ["way", "key"])
+    best = found.groupBy("manifest", "entry").agg(F.min_by("to", "rank").alias("path")).groupBy("manifest").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("entry", "path"))), lambda x: x["path"])).alias("entryPoints"))
     return rows.drop("m").join(best, "manifest", "left").select("name", "root", F.coalesce("entryPoints", F.array().cast("array<string>")).alias("entryPoints")).orderBy("name")
 
 
-def _alias_rows(imports: DataFrame, config: dict) -> DataFrame:
-    """Every (import, pattern, mapping) that fits, ranked by the pattern's prefix, then the mapping."""
-    parts = None
-    order = sorted(config["paths"].items(), key=lambda kv: -(kv[0].index("*") if "*" in kv[0] else len(kv[0])))
-    for p, (pattern, mappings) in enumerate(order):  # patterns of one config file
+def _fitting(config: dict) -> list[tuple[Column, str, Column]]:
+    """(condition, pattern, mapped target) of every mapping of the configuration, longest prefix first, for a column `target`."""
+    out = []
+    for pattern, mappings in sorted(config["paths"].items(), key=lambda kv: -(kv[0].index("*") if "*" in kv[0] else len(kv[0]))):
         head, star, tail = pattern.partition("*")
         target = F.col("target")
         fits = (target.startswith(head) & target.endswith(tail) & (F.length(target) >= len(head) + len(tail))) if star else target == pattern
-        wild = F.substring(target, len(head) + 1, 1 << 30) if not tail else F.expr(f"substring(target, {len(head) + 1}, length(target) - {len(head) + len(tail)})")
-        wild = wild if star else F.lit("")
-        for m, mapping in enumerate(mappings):
+        wild = F.substring(target, F.lit(len(head) + 1), F.length(target) - len(head) - len(tail)) if star else F.lit("")
+        for mapping in mappings:
             a, star2, b = mapping.partition("*")
-            mapped = F.concat(F.lit(a), wild, F.lit(b)) if star2 else F.lit(mapping)
-            rows = imports.where(fits).select("*", F.lit(pattern).alias("pattern"), F.lit(p * 1000 + m).alias("order"), mapped.alias("mapped"))
-            parts = rows if parts is None else parts.unionByName(rows)
-    return parts if parts is not None else imports.where("false").select("*", F.lit("").alias("pattern"), F.lit(0).alias("order"), F.lit("").alias("mapped"))
+            out.append((fits, pattern, F.concat(F.lit(a), wild, F.lit(b)) if star2 else F.lit(mapping)))
+    return out
+
+
+def bind_imports(s: Snapshot, config: dict | None, packages: DataFrame) -> DataFrame:
+    """(filePath, target, line, relative, shaped, package, internal, to, pattern, mapped) of every import, `to` null where no file is meant.
+
+    `relative`: begins with a dot; `shaped`: fits an alias; `package`: the name in front of any other; `internal`: of the workspace.
+
+    What an import means depends on its folder and target alone. Each distinct pair is classified by
+    expressions, its ranked candidates meet the files in one join, and the least wins: aliases by
+    pattern and mapping, from the base folder before the importing one, and then packages.
+    """
+    imports = s.relations.where("kind = 'imports'").select("filePath", dirname(F.col("filePath")).alias("dir"), F.trim("targetName").alias("target"), "line").where("target IS NOT NULL")
+    target, folder = F.col("target"), F.col("dir")
+    segments = F.split(target, "/")
+    package = F.when(target.startswith("@"), F.array_join(F.slice(segments, 1, 2), "/")).otherwise(segments[0])
+    fitting = _fitting(config) if config else []
+    shaped = F.lit(False)
+    for fits, _, _ in fitting:
+        shaped = shaped | fits
+    pairs = imports.select("dir", "target").distinct().withColumn("relative", target.startswith(".")).withColumn("shaped", ~F.col("relative") & shaped).withColumn("package", F.when(~F.col("relative"), package))
+    named = packages.groupBy(F.col("name").alias("package")).agg(F.max_by(F.struct("root", F.get("entryPoints", 0).alias("entry")), "root").alias("p"))
+    pairs = pairs.join(named, "package", "left").withColumn("internal", F.col("p").isNotNull())
+
+    def choice(order: int, base: Column, pattern: str | None = None, mapped: Column | None = None) -> Column:
+        names = (F.lit(pattern), F.lit(None) if mapped is None else mapped)
+        return F.struct(F.lit(order).alias("order"), base.alias("base"), names[0].cast("string").alias("pattern"), names[1].cast("string").alias("mapped"))
+
+    at_last = 2 * len(fitting)
+    below = join_path(F.col("p.root"), F.substring(target, F.length("package") + 2, F.length(target)))
+    choices = [F.when(F.col("relative"), choice(0, normalize_path(F.concat_ws("/", folder, target)))), F.when(F.col("internal"), choice(at_last, F.when(target == F.col("package"), F.col("p.entry")).otherwise(below)))]
+    for i, (fits, pattern, mapped) in enumerate(fitting):
+        for near, start in enumerate((F.lit(config["baseUrl"]), folder)):
+            choices.append(F.when(~F.col("relative") & fits, choice(2 * i + near, join_path(start, mapped), pattern, mapped)))
+    about = ["dir", "target", "relative", "shaped", "package", "internal"]
+    asked = pairs.select(*about, F.explode_outer(F.array_compact(F.array(*choices))).alias("c")).select(*about, "c.*")
+    asked = asked.select(*about, "order", "pattern", "mapped", F.explode(_meanings("base", F.col("relative"))).alias("m")).select(*about, "order", "pattern", "mapped", "m.*")
+    led = asked.join(_filed(s.files), ["way", "key"], "left")
+    first = F.min_by(F.struct("to", "pattern", "mapped"), F.when(F.col("to").isNotNull(), F.struct("order", "rank")))
+    known = led.groupBy(*about).agg(first.alias("b")).select(*about, "b.*")
+    return imports.join(known, ["dir", "target"]).drop("dir")
 
 
 def analyze(s: Snapshot, texts: DataFrame | None = None) -> dict[str, DataFrame]:
     """All parts of the report. texts(path, text) holds the configuration files and manifests.
 
-    An import is relative, of an alias, of a workspace package or external. Each class explodes ranked
-    candidates and joins them to the files; the first that exists wins. Imports of the file itself don't count.
+    An import is relative, of an alias, of a workspace package or external. The imports are bound once and
+    written; all parts are read from that table. Imports of the file itself don't count.
     """
-    spark = s.spark
     if texts is None:
-        texts = spark.createDataFrame([], "path string, text string")
-    config, packages = load_alias_config(texts), workspace_packages(texts, s.files)
-    files = s.files.select("path")
-    imports = s.relations.where("kind = 'imports'").select("id", "filePath", F.trim("targetName").alias("target"), F.col("targetName").alias("raw"), "line", "ord")
-    relative = imports.where(F.col("target").startswith("."))
-    by_path = _resolved(relative, normalize_path(F.concat_ws("/", dirname(F.col("filePath")), F.col("target"))), files, scripts=True).select("id", "to")
-    other = imports.where(~F.col("target").startswith("."))
-    if config:
-        rows = _alias_rows(other, config)
-        shaped = rows.select("id").distinct()
-        base = _resolved(rows, join_path(F.lit(config["baseUrl"]), F.col("mapped")), files).withColumn("from", F.lit(0))
-        near = _resolved(rows, join_path(dirname(F.col("filePath")), F.col("mapped")), files).withColumn("from", F.lit(1))
-        alias = base.unionByName(near).groupBy("id").agg(F.min_by(F.struct("to", "pattern", "mapped"), F.struct("order", "from")).alias("a")).select("id", "a.*")
-    else:
-        shaped = other.where("false").select("id")
-        alias = shaped.select("id", F.lit("").alias("to"), F.lit("").alias("pattern"), F.lit("").alias("mapped"))
-    rest = other.join(alias, "id", "left_anti")
-    segments = F.split("target", "/")
-    package = F.when(F.col("target").startswith("@"), F.array_join(F.slice(segments, 1, 2), "/")).otherwise(segments[0])
-    rest = rest.withColumn("package", package)
-    inside = rest.join(packages, rest["package"] == packages["name"])
-    direct = inside.where("target = package").select("id", F.get("entryPoints", 0).alias("to"))
-    sub = _resolved(inside.where("target <> package"), join_path(F.col("root"), F.expr("substring(target, length(package) + 2)")), files)
-    by_package = direct.where("to IS NOT NULL").unionByName(sub.select("id", "to"))
-    bound = by_path.unionByName(alias.select("id", "to")).unionByName(by_package)
-    edges = imports.join(bound, "id").where("filePath <> to").groupBy(F.col("filePath").alias("from"), "to").agg(F.count("*").alias("imports"), F.array_sort(F.collect_set("line")).alias("lines"))
-    external = rest.join(packages.select(F.col("name").alias("package")), "package", "left_anti").join(shaped, "id", "left_anti")
+        texts = s.spark.createDataFrame([], "path string, text string")
+    packages = _cut(workspace_packages(texts, s.files))
+    bound = _cut(bind_imports(s, load_alias_config(texts), packages))
+    edges = bound.where("filePath <> to").groupBy(F.col("filePath").alias("from"), "to").agg(F.count("*").alias("imports"), F.array_sort(F.collect_set("line")).alias("lines"))
+    external = bound.where("NOT relative AND NOT shaped AND NOT internal AND to IS NULL")
     externals = external.groupBy(F.col("package").alias("name")).agg(F.count("*").alias("importedBy"), F.array_sort(F.collect_set("filePath")).alias("files")).orderBy(F.desc("importedBy"), "name")
-    missing = lambda rows, known: rows.join(known.select("id"), "id", "left_anti").select("filePath", "target", "line").orderBy("filePath", "line")
-    aliases = alias.groupBy(F.col("pattern").alias("alias")).agg(F.min("mapped").alias("target"), F.countDistinct("to").alias("files"))
+    missing = lambda kind: bound.where(f"{kind} AND to IS NULL").select("filePath", "target", "line").orderBy("filePath", "line")
+    aliases = bound.where("pattern IS NOT NULL").groupBy(F.col("pattern").alias("alias")).agg(F.min("mapped").alias("target"), F.countDistinct("to").alias("files"))
     fans = fan_in_out(s.files, edges)
     return {
         "edges": edges, "files": fans, "mostDependedOn": fans.where("fanIn > 0").orderBy(F.desc("fanIn"), "path").limit(10), "entryCandidates": fans.where("fanIn = 0 AND fanOut > 0").orderBy("path"),
-        "unresolvedRelativeImports": missing(relative, by_path), "unresolvedAliasImports": missing(other.join(shaped, "id", "left_semi"), alias.select("id").unionByName(by_package.select("id"))),
-        "externalPackages": externals, "resolvedAliases": aliases, "workspacePackages": packages,
+        "unresolvedRelativeImports": missing("relative"), "unresolvedAliasImports": missing("shaped"), "externalPackages": externals, "resolvedAliases": aliases, "workspacePackages": packages.orderBy("name"),
     }
 
 

@@ -134,6 +134,49 @@ def test_architecture(spark, tmp_path):
     assert [r.target for r in got["unresolvedRelativeImports"].collect()] == ["./gone"] and [r.target for r in got["unresolvedAliasImports"].collect()] == ["@/gone"]
 
 
+def test_imports_are_bound_like_a_search_of_candidates(spark):
+    import itertools
+    import posixpath
+
+    from srcgraph.operators import architecture as a
+    from srcgraph.schema import Snapshot
+
+    ends = [".ts", ".tsx", ".js", ".d.ts", "", ".md", "/index.ts", "/index.jsx", ".test.ts"]
+    paths = [f"{d}{n}{e}" for i, (d, n, e) in enumerate(itertools.product(["", "p/", "p/q/"], ["a", "b", "index"], ends)) if i % 3]
+    targets = [f"{d}{n}{e}" for d, n, e in itertools.product(["./", "../", "@/", "own/", "other/"], ["a", "b", "index", "q"], ["", ".js", ".jsx", ".ts", ".mjs", ".test"])] + ["own", "other", " ./a ", "", ".", "..", None]
+    rows = [(f"{p}/x.ts", t, n) for n, (p, t) in enumerate(itertools.product(["p", "p/q"], targets))]
+    s = Snapshot.empty(spark)
+    s = s.with_(files=spark.createDataFrame([(p,) for p in paths], "path string"), relations=spark.createDataFrame([("imports", *r) for r in rows], "kind string, filePath string, targetName string, line int"))
+    packages = spark.createDataFrame([("own", "p", ["p/a.ts"]), ("own", "p/q", ["p/q/a.tsx"]), ("other", "", [])], "name string, root string, entryPoints array<string>")
+    config = {"baseUrl": ".", "paths": {"@/*": ["p/*", "gone/*"], "@/a*": ["p/q/b*"], "other/b": ["b"]}}
+
+    def look(base, scripts):
+        stem, ext = posixpath.splitext(base)
+        more = [base + e for e in a.EXTENSIONS] + [f"{base}/index{e}" for e in a.EXTENSIONS] if not ext else [stem + e for e in a.TYPED] if scripts and ext in a.SCRIPTS else []
+        return next((c for c in [base, *more] if c in paths), None)
+
+    join = lambda *xs: "" if posixpath.normpath("/".join(x for x in xs if x)) == "." else posixpath.normpath("/".join(x for x in xs if x))
+    want = {}
+    for path, raw, n in rows:
+        if raw is None:
+            continue
+        t, folder = raw.strip(), posixpath.dirname(path)
+        if t.startswith("."):
+            want[n] = look(join(folder, t), True)
+            continue
+        mapped = ["p/q/b" + t[3:]] if t.startswith("@/a") else []
+        mapped += ["p/" + t[2:], "gone/" + t[2:]] if t.startswith("@/") else ["b"] if t == "other/b" else []
+        hits = [look(join(start, m), False) for m in mapped for start in (".", folder)]
+        name, _, rest = t.partition("/")
+        root, entries = {"own": ("p/q", ["p/q/a.tsx"]), "other": ("", [])}.get(name, ("", []))
+        if name in ("own", "other"):
+            hits.append(look(join(root, rest), False) if rest else next(iter(entries), None))
+        want[n] = next((h for h in hits if h), None)
+    got = a.bind_imports(s, config, packages).collect()
+    assert {r.line: r.to for r in got} == want and len(got) == len(want) and len(set(want.values())) > 15
+    assert {r.target for r in got if r.shaped} == {t for t in targets if t and (t.startswith("@/") or t == "other/b")}
+
+
 def test_ambiguous_names(spark, tmp_path):
     same = "export function build() { return 1 }\n"
     c, _ = code(spark, tmp_path, {"a/x.ts": same, "b/x.ts": same, "a/user.ts": "import { build } from './x'\nexport function use() { return build() }\n", "a/facade.ts": "import { use } from './user'\nexport const f = use\n", "a/facade.test.ts": "import { f } from './facade'\n"})
