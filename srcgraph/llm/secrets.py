@@ -31,6 +31,8 @@ THRESHOLD = 1.0
 #: Parts of such a run, between / = _ and -.
 PART = "[A-Za-z0-9+]{20,}"
 LEAST = 20
+#: Distinct characters that a span of the models has at least; a rule of hyphens has one. Twenty random hexadecimal digits have fewer once in 90,000.
+VARIETY = 6
 #: Bits by which the sum falls below its peak where a stretch ends.
 DROP = 10.0
 
@@ -72,7 +74,7 @@ def training_samples(spark: SparkSession, rows: int = 4096) -> DataFrame:
 
 
 def fit(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
-    """Log-likelihood ratio in bits of each of 128 x 128 transitions, random over ordinary."""
+    """Log-likelihood ratio in bits of each of 128 x 128 transitions, random over ordinary; one that neither class shows says nothing, 0."""
     at = F.explode(F.sequence(F.lit(1), F.length("text") - 1))
     pairs = samples.where(F.length("text") > 1).select("label", "text", at.alias("at"))
     pairs = pairs.select("label", F.pmod(F.ascii(F.expr("substr(text, at, 1)")), F.lit(128)).alias("a"), F.pmod(F.ascii(F.expr("substr(text, at + 1, 1)")), F.lit(128)).alias("b"))
@@ -81,7 +83,8 @@ def fit(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
     for (label, a, _), n in counts.items():
         totals[label, a] = totals.get((label, a), 0) + n
     p = lambda label, a, b: (counts.get((label, a, b), 0) + smoothing) / (totals.get((label, a), 0) + 128 * smoothing)
-    return [math.log2(p(1, a, b) / p(0, a, b)) for a in range(128) for b in range(128)]
+    shown = {(a, b) for _, a, b in counts}
+    return [math.log2(p(1, a, b) / p(0, a, b)) if (a, b) in shown else 0.0 for a in range(128) for b in range(128)]
 
 
 def matches(text: Column, pattern: str) -> tuple[Column, Column]:
@@ -148,10 +151,12 @@ def stretches(model: list[float], token: Column, threshold: float) -> Column:
 def judged(model: list[float], text: Column, threshold: float) -> Column:
     """Array of (start, stop) of the runs that reach the threshold, and of the parts that do of the others."""
     span = lambda start, stop: F.struct(start.alias("start"), stop.alias("stop"))
-    high = lambda token: ratio(model, token) >= threshold
+    varied = lambda token: F.size(F.array_distinct(F.split(token, ""))) >= VARIETY
+    high = lambda token: varied(token) & (ratio(model, token) >= threshold)
 
     def parts(run):
-        found = F.concat(stretches(model, run["found"], threshold), F.transform(located(run["found"], PART, high), lambda s: span(s["start"], s["stop"])))
+        risen = F.filter(stretches(model, run["found"], threshold), lambda s: varied(run["found"].substr(s["start"] + 1, s["stop"] - s["start"])))
+        found = F.concat(risen, F.transform(located(run["found"], PART, high), lambda s: span(s["start"], s["stop"])))
         return F.transform(F.array_distinct(found), lambda s: span(run["start"] + s["start"], run["start"] + s["stop"]))
 
     return F.flatten(F.transform(located(text, CANDIDATE, lambda f: F.lit(True)), lambda run: F.when(high(run["found"]), F.array(span(run["start"], run["stop"]))).otherwise(parts(run))))
