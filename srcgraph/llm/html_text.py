@@ -2,17 +2,21 @@
 
 Markup is stripped into lines, one per block element. A line weighs as many
 characters as it has outside links: none where most of it is links or it stands
-in page furniture, a quarter in blocks that are only perhaps furniture, and
-SURGE more in an element that marks the article, beside which other lines weigh
-nothing. Weights are summed over sliding windows of three lines. The text lies
-between the first surge, where a window exceeds SURGE, and the last dive, where
-the windows fall to nothing; stretches in which they have fallen to nothing are
-passed over. So a short paragraph of an article stays, a run of links in it
-goes, and one between its paragraphs stays.
+in page furniture, a quarter in blocks that are only perhaps furniture. In an
+element that marks the article a line weighs all its characters and SURGE, links
+or not, and beside it other lines weigh nothing, unless most prose of the page
+stands there: then the mark was a teaser's. A form is furniture, but not one
+that holds most prose of the page. Weights are summed over sliding windows of
+three lines. The text lies between the first surge, where a window exceeds
+SURGE, and the last dive, where the windows fall to nothing; stretches in which
+they have fallen to nothing are passed over. So a short paragraph, a linked
+heading and a list of references of an article stay, and outside a marked
+article a run of links goes while one between paragraphs stays.
 """
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 from collections import Counter
@@ -36,7 +40,7 @@ _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
     "hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody tfoot thead tr ul".split()
 )
-_BOILERPLATE = frozenset("head nav aside footer form button select menu dialog label fieldset audio video canvas map".split())
+_BOILERPLATE = frozenset("head nav aside footer button select menu dialog label fieldset audio video canvas map".split())
 #: Words of class names and identifiers: of furniture, of what may be furniture, and those that say nothing beside them.
 _FURNITURE = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu sidebar footer masthead breadcrumb breadcrumbs "
@@ -55,39 +59,49 @@ class Line(NamedTuple):
     skipped: bool  # in furniture
     perhaps: bool  # in what may be furniture
     inside: bool  # in an element that marks the article
+    form: int = 0  # number of the outermost form around it, from 1
 
 
 def _kind(names: str) -> int:
-    """2 if a class or identifier names furniture and nothing else, 1 if perhaps, else 0."""
-    best = 0
+    """2 if classes or an identifier name furniture and nothing else, 1 if perhaps or if only some of several names do, else 0."""
+    best, others = 0, False
     for name in names.lower().split():
         parts = [x for x in re.split(r"[_-]+", name) if x and not x.isdigit()]
         if all(x in _FURNITURE or x in _PERHAPS or x in _NEUTRAL for x in parts):
             best = max([best, *(2 if x in _FURNITURE else 1 if x in _PERHAPS else 0 for x in parts)])
-    return best
+        else:
+            others = True
+    return min(best, 1) if others else best
 
 
 class _Tags:
-    """Finds where tags end, in a time that grows with the page: a quote that is found to close nowhere is not followed again."""
+    """Finds where tags end, in a time that grows with the page: the places of all marks are listed once, and a quote that is found to close nowhere is not followed again."""
 
     def __init__(self, page: str):
         self.page, self.dead = page, set()
-        self.last = {mark: page.rfind(mark) for mark in "\"'>"}
+        self.places: dict[str, list[int]] = {mark: [] for mark in "\"'>"}
+        for found in _SPECIAL.finditer(page):
+            self.places[found[0]].append(found.start())
+
+    def _next(self, mark: str, at: int) -> int:
+        places = self.places[mark]
+        k = bisect.bisect_left(places, at)
+        return places[k] if k < len(places) else len(self.page)
 
     def end(self, pos: int) -> int:
         """The place after the tag whose attributes begin at pos. Where its quotes leave it open, it ends at the next < or >."""
         page, at, seen = self.page, pos, []
         while True:
-            found = _SPECIAL.search(page, at) if at <= max(self.last.values()) else None
-            if found is None or found.start() in self.dead:
+            at = min(self._next(mark, at) for mark in self.places)
+            if at == len(page) or at in self.dead:
                 break
-            at = found.start()
             if page[at] == ">":
                 return at + 1
             seen.append(at)
-            if at == self.last[page[at]]:
+            closing = self._next(page[at], at + 1)
+            if closing == len(page):
                 break
-            at = page.find(page[at], at + 1) + 1
+            at = closing + 1
         self.dead.update(seen)
         found = _BRACKET.search(page, pos)
         return len(page) if found is None else found.end() if found[0] == ">" else found.start()
@@ -97,7 +111,24 @@ _SPECIAL, _BRACKET = re.compile("[>\"']"), re.compile("[<>]")
 
 
 def _lines(page: str) -> tuple[list[Line], bool]:
-    """Each block in page order, and whether an element marks the article."""
+    """Each block in page order, and whether an element marks the article.
+
+    Where most prose lies is known at the end of the page: then forms that hold less become furniture, and
+    the mark of an element goes if more than twice its prose stands in paragraphs beside it.
+    """
+    lines = _blocks(page)
+    prose = lambda x: 0 if x.skipped or x.perhaps else len(x.text) - x.links
+    whole, held = sum(map(prose, lines)), Counter()
+    for x in lines:
+        held[x.form] += prose(x)
+    lines = [x._replace(skipped=x.skipped or (x.form > 0 and 2 * held[x.form] <= whole)) for x in lines]
+    marked = [x for x in lines if x.inside and not x.skipped]
+    if sum(prose(x) for x in lines if x.tag == "p" and not x.inside) > 2 * sum(len(x.text) for x in marked):
+        return [x._replace(inside=False) for x in lines], False
+    return lines, bool(marked)
+
+
+def _blocks(page: str) -> list[Line]:
     out: list[Line] = []
     parts: list[str] = []
     link_chars = 0
@@ -105,14 +136,14 @@ def _lines(page: str) -> tuple[list[Line], bool]:
     depth: Counter = Counter()  # open elements by name
     tags = _Tags(page)
     kinds = [0, 0, 0]  # open elements that are no, perhaps and surely furniture
-    inside = 0
-    tag, any_article = "", False
+    inside = forms = 0
+    tag = ""
 
     def flush():
         nonlocal link_chars, parts
         text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
         if text:
-            out.append(Line(text, link_chars, tag, kinds[2] > 0, kinds[1] > 0, inside > 0))
+            out.append(Line(text, link_chars, tag, kinds[2] > 0, kinds[1] > 0, inside > 0, forms if depth["form"] else 0))
         parts, link_chars = [], 0
 
     def leave():
@@ -162,15 +193,18 @@ def _lines(page: str) -> tuple[list[Line], bool]:
             pairs = {m[0].lower(): m[1] or m[2] or m[3] for m in _ATTR.findall(attrs)} if "=" in attrs else {}
             role = pairs.get("role", "").lower()
             article = name in ("article", "main") or role in ("main", "article") or "articlebody" in pairs.get("itemprop", "").lower()
+            names = f"{pairs.get('class', '')} {pairs.get('id', '')}"
+            if article and name == "article" and _kind(names) == 2:
+                article = False  # of a reader's comment, or of what is promoted
             if name in _BOILERPLATE or (name == "header" and not inside) or role in _ROLES or "hidden" in attrs.split():
                 kind = 2
             else:
-                kind = 0 if article or name in ("html", "body") else _kind(f"{pairs.get('class', '')} {pairs.get('id', '')}")
+                kind = 0 if article or name in ("html", "body") else _kind(names)
+            forms += name == "form" and depth["form"] == 0
             stack.append((name, kind, article))
             depth[name] += 1
             kinds[kind] += 1
             inside += article
-            any_article = any_article or (article and kinds[2] == 0)
             if name in _BLOCK:
                 tag = name
         else:
@@ -184,7 +218,7 @@ def _lines(page: str) -> tuple[list[Line], bool]:
             if name in _BLOCK:
                 tag = ""
     flush()
-    return out, any_article
+    return out
 
 
 def weights(lines: list[Line], marked: bool) -> list[int]:
@@ -192,12 +226,12 @@ def weights(lines: list[Line], marked: bool) -> list[int]:
     out = []
     for line in lines:
         prose = len(line.text) - line.links
-        if line.skipped or 2 * line.links > len(line.text) or (marked and not line.inside):
+        if line.skipped or (marked and not line.inside) or (2 * line.links > len(line.text) and (line.perhaps or not line.inside)):
             out.append(0)
         elif line.perhaps:
             out.append(-(-prose // 4))
         else:
-            out.append(prose + SURGE if line.inside else prose)
+            out.append(len(line.text) + SURGE if line.inside else prose)
     return out
 
 

@@ -373,6 +373,15 @@ def test_secrets_that_only_the_models_find(spark):
         assert {kind for kind, _ in got[i]} == {"markov"} and any(key in piece for _, piece in got[i])
 
 
+def test_rules_are_no_secrets(spark):
+    model = secrets.fit(secrets.training_samples(spark))
+    rules = [c * 40 for c in "-=_/+a0"] + ["-=" * 20, "=-_" * 12, "/" * 10 + "-" * 30, "# " + "-" * 78, "Title\n" + "=" * 25 + "\nText"]
+    got = secrets.scan(frame(spark, list(enumerate(rules))), model).collect()
+    assert len(got) == len(rules) and not any(s.kind == "markov" for r in got for s in r.secrets)
+    both = secrets.scan(frame(spark, [(1, "-" * 30 + "\nq9Zr4TnX0bK7uWv2Lp8JsY6d\n" + "-" * 30)]), model).first().secrets
+    assert [(s.start, s.stop) for s in both] == [(31, 55)]
+
+
 def test_secret_ratio_is_a_plain_sum(spark):
     from pyspark.sql import functions as F
 
@@ -405,8 +414,11 @@ def plain_main_text(lines, marked):
     weight = []
     for text, links, skipped, perhaps, inside in lines:
         prose = len(text) - links
-        on = not skipped and links * 2 <= len(text) and (inside or not marked)
-        weight.append((math.ceil(prose / 4) if perhaps else prose + 80 * inside) if on else 0)
+        linked = links * 2 > len(text)
+        if skipped or (marked and not inside) or (linked and (perhaps or not inside)):
+            weight.append(0)
+        else:
+            weight.append(math.ceil(prose / 4) if perhaps else len(text) + 80 if inside else prose)
     n = len(lines)
     window = lambda i: sum(weight[i : i + 3])
     for surge in (80, 0):
@@ -440,6 +452,10 @@ def test_html_against_plain_distribution():
             page += {"p": f"<p>{text}</p>", "l": f"<p><a href='x'>{text}</a></p>", "a": f"<aside>{text}</aside>", "f": f"<div class='legal'>{text}</div>"}[kind]
             lines.append((text, len(text) if kind == "l" else 0, kind == "a", kind == "f", open_article))
         page += "</article>" if open_article else ""
+        marks = sum(len(text) for text, _, skipped, _, inside in lines if inside and not skipped)
+        beside = sum(len(text) - links for text, links, skipped, perhaps, inside in lines if not (inside or skipped or perhaps))
+        if beside > 2 * marks:  # most prose stands beside the mark
+            lines, open_article = [(*line[:4], False) for line in lines], False
         assert html_text.main_text(page) == plain_main_text(lines, open_article), page
 
 
@@ -453,12 +469,36 @@ def test_html_keeps_all_stretches():
     links = "".join(f"<p><a href='{k}'>link {k}</a></p>" for k in range(4))
     page = "<body>" + "".join(f"<p>{x}</p>" for x in prose[:2]) + links + "".join(f"<p>{x}</p>" for x in prose[2:]) + "</body>"
     assert html_text.main_text(page) == "\n\n".join(prose)
-    # So it is in an article, from which a run of links goes, but not one link between paragraphs.
+    # An article keeps its links: the contract drops nothing else from it.
     inner = page.replace("body>", "article>").replace("</article>", "<p><a href='z'>Read on</a></p><p>Fin.</p></article>")
-    assert html_text.main_text(inner) == "\n\n".join([*prose, "Read on", "Fin."])
+    assert html_text.main_text(inner) == "\n\n".join([*prose[:2], *(f"link {k}" for k in range(4)), *prose[2:], "Read on", "Fin."])
+
+
+P = "A paragraph of prose that is long enough to count as a paragraph of prose, and more."
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<article><h1><a href='/x'>Title</a></h1><p>{P}</p><p><a href='y'>The last one</a></p></article>", ["Title", P, "The last one"]),
+        (f"<article><p>{P}</p><h2>References</h2><ul>" + "".join(f"<li><a href='{k}'>Work {k}</a></li>" for k in range(5)) + "</ul></article>", [P, "References", *(f"Work {k}" for k in range(5))]),
+        (f"<main><p>{P}</p><section class='discussion'><article class='comment'><p>I disagree with all of it</p></article></section></main>", [P]),
+        (f"<body><form id='aspnetForm'><nav>Home</nav><h1>Top</h1><p>{P}</p><div>{P}</div></form><form><p>Your name</p></form></body>", ["Top", P, P]),
+        (f"<body><p>{P}</p><form><p>Your name, please</p><button>Send</button></form><p>{P}</p></body>", [P, P]),
+        (f"<article><p>{P}</p><div class='social history'><p>On the social history of the town</p></div></article>", [P, "On the social history of the town"]),
+        (f"<article><p>{P}</p><div class='comments list'><p>Not at all</p></div></article>", [P]),
+        (f"<div id='content'><p>{P}</p><p>{P}</p><p>{P}</p></div><nav>x</nav><article class='promo'><p>Teaser</p></article>", [P, P, P]),
+    ],
+)
+def test_html_keeps_what_the_article_holds(page, want):
+    assert html_text.main_text(page) == "\n\n".join(want)
+
+
+def test_html_is_not_only_a_teaser():
+    assert html_text.main_text(f"<article><p>Teaser</p></article><div id='content'><p>{P}</p><p>{P}</p></div>").endswith(f"{P}\n\n{P}")
 
 
-@pytest.mark.parametrize("piece", ['<a href="', "<a href='x\">", "<div>", "</p><b>", "<a b", "<!-", "<p class=aaaaaaaaaaaaaaaa ", '<i x="> <i y=\''])
+@pytest.mark.parametrize("piece", ['<a href="', "<a href='x\">", "<div>", "</p><b>", "<a b", "<!-", "<p class=aaaaaaaaaaaaaaaa ", "<p x=", '<i x="> <i y=\''])
 def test_html_takes_linear_time(piece):
     import time
 
@@ -467,6 +507,7 @@ def test_html_takes_linear_time(piece):
     html_text.main_text(piece * (1_000_000 // len(piece)))
     assert time.process_time() - began < 8
     html_text.main_text("<p " + "a" * 1_000_000 + "=")
+    html_text.main_text(piece * (1_000_000 // len(piece)) + '"')
 
 
 def test_html_odd_tables(spark):
