@@ -11,9 +11,18 @@ from .search import rank_chunks, search
 
 
 def related_files(s: Snapshot, seeds: DataFrame, limit: int) -> DataFrame:
-    """Files that edges join to the seeds(path), by summed confidence."""
+    """Files that edges join to the seeds(path), by summed confidence.
+
+    The seeds' symbols are written first, so their size is known; only edges that touch one, or that
+    stand in a seed, meet the symbols of all files.
+    """
+    seeds = _cut(seeds.select("path").distinct())
+    own = _cut(s.symbols.join(F.broadcast(seeds.withColumnRenamed("path", "filePath")), "filePath", "left_semi").select("id").distinct())
+    touches = lambda end: own.select(F.col("id").alias(f"{end}SymbolId"), F.lit(True).alias(f"_{end}"))
+    stands = F.broadcast(seeds.select(F.col("path").alias("filePath"), F.lit(True).alias("_in")))
+    near = s.relations.join(touches("from"), "fromSymbolId", "left").join(touches("to"), "toSymbolId", "left").join(stands, "filePath", "left").where("_from OR _to OR _in")
     at = lambda end: s.symbols.select(F.col("id").alias(f"{end}SymbolId"), F.col("filePath").alias(end))
-    rows = s.relations.join(at("from"), "fromSymbolId", "left").join(at("to"), "toSymbolId", "left")
+    rows = near.join(at("from"), "fromSymbolId", "left").join(at("to"), "toSymbolId", "left")
     rows = rows.select(F.coalesce("from", "filePath").alias("a"), F.col("to").alias("b"), "confidence").where("b IS NOT NULL AND a <> b")
     both = rows.unionByName(rows.select(F.col("b").alias("a"), F.col("a").alias("b"), "confidence"))
     seeded = both.join(F.broadcast(seeds.select(F.col("path").alias("a"))), "a", "left_semi").join(F.broadcast(seeds.select(F.col("path").alias("b"))), "b", "left_anti")
@@ -35,7 +44,7 @@ def pack(ranked: DataFrame, budget: int) -> DataFrame:
 
 def choose_files(s: Snapshot, query: str, max_files: int = 8, max_related: int = 4) -> DataFrame:
     """(path) of the best files of a search over all files, and then of files related to them."""
-    seeds = search(s, query, max(1, max_files - min(max_related, max_files - 1))).select("path")
+    seeds = _cut(search(s, query, max(1, max_files - min(max_related, max_files - 1))).select("path"))
     n = seeds.count()
     related = related_files(s, seeds, min(max_files - n, max_related)).select("path")
     return seeds.unionByName(related)

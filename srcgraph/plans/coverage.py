@@ -7,6 +7,7 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import truncate_and_normalize
 from ..operators import architecture, context, detectors, embeddings, graph, incremental, lookup, reports, search
 from ..operators.extract import extract
 from ..schema import SCHEMAS, Snapshot
@@ -342,6 +343,20 @@ def embed_words(spark, d):
     return made.select(F.col("chunkHash").alias("hash"), F.posexplode("values").alias("at", "value")).where("value <> 0").select("hash", *long("at"), "value")
 
 
+@query(
+    """SELECT vec_id::BIGINT AS vec_id, round(c[1] / sqrt(list_dot_product(c, c)), 6) AS first, round(list_dot_product(c, q) / sqrt(list_dot_product(c, c)) / sqrt(list_dot_product(q, q)), 6) AS score
+FROM (SELECT vec_id, e[1:16] AS c FROM v WHERE len(e) >= 16), (SELECT q[1:16] AS q FROM q0) WHERE list_dot_product(c, c) > 0""",
+    _VEC,
+)
+def truncated_vectors(spark, d):
+    """All vectors cut to their first 16 components and scaled to length one, and their product with the query's."""
+    cut = lambda e: truncate_and_normalize(e, 16)
+    rows = td.read(spark, d, "embeddings").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"))
+    rows = rows.where(F.size("e") >= 16).where(F.exists(F.slice("e", 1, 16), lambda x: x != 0)).select("vec_id", cut(F.col("e")).alias("c"))
+    asked = cut(F.array(*[F.lit(x) for x in _query_vector(spark, d)]))
+    return rows.select("vec_id", F.round(F.col("c")[0], 6).alias("first"), F.round(embeddings.self_test(asked, F.col("c"))["dot"], 6).alias("score"))
+
+
 # Context
 
 
