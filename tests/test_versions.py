@@ -273,6 +273,22 @@ def test_a_lookup_reads_the_row_groups_of_its_grams(spark, tmp_path, monkeypatch
     assert read_by_scans(hits, "rows") < 20_000 / 4  # only the candidates' blocks
 
 
+def test_an_index_grows_with_the_texts(spark, tmp_path):
+    """Grams of long texts in linear time; what is shuffled is packed lists, not a row for each gram of each row."""
+    import time
+
+    words = " ".join(f"w{i}" for i in range(100_000))
+    rows = spark.range(8).select("id", F.concat(F.lit(words), F.lit(" row"), "id").alias("t"))
+    began = time.monotonic()
+    index = SubstringIndex.of(rows, str(tmp_path / "i"), F.col("t"))
+    assert time.monotonic() - began < 60
+    assert [r.id for r in index.containing("W99999 row5").collect()] == [5] and index.containing("w99999 row").count() == 8
+    same = spark.range(100_000).select("id", F.lit("always the same").alias("t"))
+    packed = SubstringIndex.of(same.repartition(2), str(tmp_path / "s"), F.col("t"), block_bits=16)
+    assert packed.frequencies(["alw"]) == {"alw": 100_000} and packed.containing("the same").count() == 100_000
+    assert packed._table("postings").agg(F.sum(F.length("rows"))).first()[0] < 15 * 4096
+
+
 def test_search_over_stored_indexes(spark, tmp_path):
     files = spark.createDataFrame([("src/login.py", "python", "h", 1, 0.0, ["Login", "user", "login"], 1), ("doc/user.md", "markdown", "h", 1, 0.0, ["guide"], 2), ("x.py", "python", "h", 1, 0.0, [], 3)], SCHEMAS["files"])
     s = Snapshot.empty(spark).with_(files=files, symbols=symbol_rows(spark, [("src/login.py", "loginUser"), ("x.py", "user"), ("x.py", "UserLogin"), ("lost.py", "user")]))
