@@ -90,3 +90,15 @@ def test_queries_agree_with_their_sql(spark, name):
     want = sorted((tuple(row[rel.columns.index(c)] for c in sorted(rel.columns)) for row in rel.fetchall()), key=repr)
     df = __spark_entry__.queries()[name](spark, folder)
     assert sorted((tuple(row[c] for c in sorted(df.columns)) for row in df.collect()), key=repr) == want and want
+
+
+def test_extraction_is_dealt_and_broadcasts_no_symbols(spark):
+    """Few parts lie in one row group, but their files are parsed by all tasks, and parents of symbols meet them in a merge join."""
+    from srcgraph.plans import coverage
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no tables")
+    assert coverage._sources(spark, folder).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    plan = coverage.extract_symbols(spark, folder)._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
