@@ -65,7 +65,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     removed = repeated_lines(docs, id_col, text_col, window)
     rows = docs.withColumn("__sg_print", F.xxhash64(F.col(text_col)))
     removed = removed.select(F.col("__sg_id").alias("__sg_rid"), F.col("__sg_print").alias("__sg_rprint"), F.col("removed").alias("__sg_removed"))
-    out = rows.join(removed, (F.col(id_col) == F.col("__sg_rid")) & (F.col("__sg_print") == F.col("__sg_rprint")), "left")
+    # Merged at every size: were they few enough to broadcast, their lists of lines would pass through the driver up to some size, and the plan would change there.
+    out = rows.join(removed.hint("merge"), (F.col(id_col) == F.col("__sg_rid")) & (F.col("__sg_print") == F.col("__sg_rprint")), "left")
     # Columns of their own, so that no line is split or looked for anew for another: the time grows with the lines.
     lines = F.col("__sg_lines")
     out = out.withColumn("__sg_gone", F.coalesce(F.col("__sg_removed"), F.array().cast("array<int>"))).withColumn("__sg_lines", F.split(F.col(text_col), "\n"))

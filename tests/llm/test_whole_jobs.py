@@ -45,3 +45,14 @@ def test_secrets_joined_to_ordinary_words(spark):
     plain = secrets.training_samples(spark, 3000).where(F.length("text") >= 20).where("label = 0").select("text")
     share = secrets.scan(plain, model).select(F.avg((F.size("secrets") > 0).cast("double"))).first()[0]
     assert share < 0.01, share
+
+
+def test_lines_join_alike_at_every_size(spark):
+    """The lists of removed lines are merged with the documents, not broadcast while they are few."""
+    from srcgraph.llm import line_dedup
+
+    docs = spark.createDataFrame([(i, "a\nb\nc\n" + str(i)) for i in range(20)], "doc_id long, text string")
+    out = line_dedup.dedup_lines(docs)
+    plan = out._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert sorted((r.doc_id, r.n_removed) for r in out.collect()) == [(0, 0)] + [(i, 3) for i in range(1, 20)]
