@@ -43,6 +43,12 @@ def _meanings(base: str, scripts: Column) -> Column:
     return F.when(ext == "", F.array(plain, at("bare", path))).when(scripts & ext.isin(SCRIPTS), F.array(plain, typed)).otherwise(F.array(plain))
 
 
+def _looked_up(base: str, scripts: Column, *of: str) -> Column:
+    """_meanings, and where there is no base a key of its own for each row `of`, under which nothing is filed: null keys would all meet in one task."""
+    nowhere = F.array(F.struct(F.lit("none").alias("way"), F.concat_ws("\0", *of).alias("key")))
+    return F.when(F.col(base).isNull(), nowhere).otherwise(_meanings(base, scripts))
+
+
 def _filed(files: DataFrame) -> DataFrame:
     """(way, key, rank, to): every file under each key that leads to it, four rows at most, so an import looks up two keys and not one for each extension."""
     path, ext = F.col("path"), extname(F.col("path"))
@@ -54,7 +60,8 @@ def _filed(files: DataFrame) -> DataFrame:
         at("plain", path, F.lit(0)), F.when(known, at("bare", stem, place(EXTENSIONS, 0))), F.when(ext.isin(TYPED), at("typed", stem, place(TYPED, 0))),
         F.when(known & stem.endswith("/index"), at("bare", F.substring(stem, F.lit(1), F.length(stem) - len("/index")), place(EXTENSIONS, len(EXTENSIONS)))),
     )
-    return files.select(F.explode(F.array_compact(rows)).alias("f"), path.alias("to")).select("f.*", "to")
+    # Several rows a file, of longer keys than the files' estimate knows of: they are shuffled, since a broadcast would hold all of them in the driver and every task.
+    return files.select(F.explode(F.array_compact(rows)).alias("f"), path.alias("to")).select("f.*", "to").hint("shuffle_hash")
 
 
 def workspace_packages(texts: DataFrame, files: DataFrame) -> DataFrame:
@@ -119,7 +126,7 @@ def bind_imports(s: Snapshot, config: dict | None, packages: DataFrame) -> DataF
             choices.append(F.when(~F.col("relative") & fits, choice(2 * i + near, join_path(start, mapped), pattern, mapped)))
     about = ["dir", "target", "relative", "shaped", "package", "internal"]
     asked = pairs.select(*about, F.explode_outer(F.array_compact(F.array(*choices))).alias("c")).select(*about, "c.*")
-    asked = asked.select(*about, "order", "pattern", "mapped", F.explode(_meanings("base", F.col("relative"))).alias("m")).select(*about, "order", "pattern", "mapped", "m.*")
+    asked = asked.select(*about, "order", "pattern", "mapped", F.explode(_looked_up("base", F.col("relative"), "dir", "target")).alias("m")).select(*about, "order", "pattern", "mapped", "m.*")
     led = asked.join(_filed(s.files), ["way", "key"], "left")
     first = F.min_by(F.struct("to", "pattern", "mapped"), F.when(F.col("to").isNotNull(), F.struct("order", "rank")))
     known = led.groupBy(*about).agg(first.alias("b")).select(*about, "b.*")
@@ -138,7 +145,8 @@ def analyze(s: Snapshot, texts: DataFrame | None = None) -> dict[str, DataFrame]
     bound = _cut(bind_imports(s, load_alias_config(texts), packages))
     edges = bound.where("filePath <> to").groupBy(F.col("filePath").alias("from"), "to").agg(F.count("*").alias("imports"), F.array_sort(F.collect_set("line")).alias("lines"))
     external = bound.where("NOT relative AND NOT shaped AND NOT internal AND to IS NULL")
-    externals = external.groupBy(F.col("package").alias("name")).agg(F.count("*").alias("importedBy"), F.array_sort(F.collect_set("filePath")).alias("files")).orderBy(F.desc("importedBy"), "name")
+    importers = external.groupBy(F.col("package").alias("name"), "filePath").agg(F.count("*").alias("n"))  # counted by file first: a package's list meets no file twice
+    externals = importers.groupBy("name").agg(F.sum("n").alias("importedBy"), F.sort_array(F.collect_list("filePath")).alias("files")).orderBy(F.desc("importedBy"), "name")
     missing = lambda kind: bound.where(f"{kind} AND to IS NULL").select("filePath", "target", "line").orderBy("filePath", "line")
     aliases = bound.where("pattern IS NOT NULL").groupBy(F.col("pattern").alias("alias")).agg(F.min("mapped").alias("target"), F.countDistinct("to").alias("files"))
     fans = fan_in_out(s.files, edges)

@@ -102,3 +102,16 @@ def test_extraction_is_dealt_and_broadcasts_no_symbols(spark):
     assert coverage._sources(spark, folder).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     plan = coverage.extract_symbols(spark, folder)._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_imports_that_mean_no_file_are_spread(spark):
+    """An import of an outside package has no base to look up; each is looked for under a key of its own, not all under null."""
+    from pyspark.sql import functions as F
+
+    from srcgraph.operators import architecture
+
+    rows = spark.createDataFrame([(f"d{i}", "react", None, False) for i in range(50)] + [("d", "./a", "d/a", True)], "dir string, target string, base string, relative boolean")
+    asked = rows.select("base", F.explode(architecture._looked_up("base", F.col("relative"), "dir", "target")).alias("m")).select("base", "m.*").collect()
+    keys = [(r.way, r.key) for r in asked]
+    assert len(set(keys)) == len(keys) == 52 and all(k is not None for _, k in keys)
+    assert {r.way for r in asked if r.base is None} == {"none"}
