@@ -87,7 +87,8 @@ def change_impact(s: Snapshot, query: str, max_depth: int = 3) -> dict:
     seeds = _cut(seeds)
     matched = s.symbols.join(files.withColumnRenamed("path", "filePath"), "filePath", "left_semi") if by_file else exact
     reason = F.concat(F.lit("imports "), F.col("targetName"), F.lit(" (line "), F.col("line"), F.lit(")"))
-    file_edges = import_targets(s).select(F.col("target").alias("src"), F.col("filePath").alias("dst"), "ord", F.col("filePath").alias("file"), "confidence", reason.alias("reason"))
+    # Bound once and written: each level of the search reads them, and binding costs far more than a level.
+    file_edges = _cut(import_targets(s).select(F.col("target").alias("src"), F.col("filePath").alias("dst"), "ord", F.col("filePath").alias("file"), "confidence", reason.alias("reason")))
     by_import = bfs(file_edges, seeds.withColumnRenamed("path", "node"), depth)
     reason = F.concat("kind", F.lit(": "), F.col("targetName"), F.lit(" (line "), F.col("line"), F.lit(")"))
     live = s.symbols.select(F.col("id").alias("fromSymbolId"))

@@ -115,3 +115,18 @@ def test_imports_that_mean_no_file_are_spread(spark):
     keys = [(r.way, r.key) for r in asked]
     assert len(set(keys)) == len(keys) == 52 and all(k is not None for _, k in keys)
     assert {r.way for r in asked if r.base is None} == {"none"}
+
+
+def test_search_levels_read_written_edges(spark, monkeypatch):
+    """A search reads its edges level by level, so imports are bound and pairs of order lines told apart once, before the first."""
+    from srcgraph.operators import graph
+    from srcgraph.plans import coverage
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no tables")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    seen, bfs = [], graph.bfs
+    monkeypatch.setattr(graph, "bfs", lambda edges, *args, **options: seen.append(plan(edges)) or bfs(edges, *args, **options))
+    coverage.change_impact_imports(spark, folder)
+    assert seen and "Join" not in seen[0] and "Aggregate" not in seen[0]
