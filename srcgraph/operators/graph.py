@@ -124,19 +124,21 @@ def symbol_path(s: Snapshot, start: str, target: str, max_depth: int = 4, max_no
     if starts.isEmpty() or targets.isEmpty():
         return {"nodes": [a, b], "edges": [], "depth": 0}
     edges = s.relations.where("fromSymbolId IS NOT NULL AND toSymbolId IS NOT NULL").select(F.col("fromSymbolId").alias("id"), F.col("toSymbolId").alias("next"), "kind", "confidence", "ord")
-    names = s.symbols.select(F.col("id").alias("next"), F.col("name").alias("nextName"))
     none = F.array().cast("array<struct<from:string,to:string,kind:string,confidence:double>>")
-    level = _cut(starts.select("id", F.array(F.col("ord")).alias("queue"), F.array("name").alias("path"), none.alias("edges")))
+    level = _cut(starts.select("id", F.array(F.col("ord")).alias("queue"), F.array("id").alias("path"), none.alias("edges")))
     seen = level.select("id")
     for depth in range(min(max_depth, max_nodes - 2) + 1):
         hit = level.join(targets, "id").orderBy("queue").select("path", "edges").first()
         if hit:
-            return {"nodes": hit.path, "edges": [e.asDict() for e in hit.edges], "depth": depth}
-        step = level.join(edges, "id").join(seen.withColumnRenamed("id", "next"), "next", "left_anti").join(names, "next", "left").withColumn("nextName", F.coalesce("nextName", "next"))
+            # Names of the one path that is found, instead of a join of each level with all symbols.
+            names = {r.id: r.name for r in s.symbols.where(F.col("id").isin(hit.path)).select("id", "name").collect()}
+            named = lambda i: names.get(i, i)
+            return {"nodes": [named(i) for i in hit.path], "edges": [{**e.asDict(), "from": named(e["from"]), "to": named(e["to"])} for e in hit.edges], "depth": depth}
+        step = level.join(edges, "id").join(seen.withColumnRenamed("id", "next"), "next", "left_anti")
         # The queue's order: that of the parent, then of the edge.
         step = step.select(
-            "next", F.concat("queue", F.array("ord")).alias("queue"), F.concat("path", F.array("nextName")).alias("path"),
-            F.concat("edges", F.array(F.struct(F.element_at("path", -1).alias("from"), F.col("nextName").alias("to"), "kind", "confidence"))).alias("edges"),
+            "next", F.concat("queue", F.array("ord")).alias("queue"), F.concat("path", F.array("next")).alias("path"),
+            F.concat("edges", F.array(F.struct(F.element_at("path", -1).alias("from"), F.col("next").alias("to"), "kind", "confidence"))).alias("edges"),
         )
         level = _cut(step.groupBy(F.col("next").alias("id")).agg(F.min_by(F.struct("queue", "path", "edges"), "queue").alias("x")).select("id", "x.*"))
         if level.isEmpty():

@@ -184,6 +184,7 @@ SELECT 'sym' || a AS start, unnest(range(1, len(path) + 1))::BIGINT AS pos, unne
 def shortest_path(spark, d):
     """The path that a search from one symbol to another finds first, node by node."""
     s = call_snapshot(spark, d)
+    s = s.with_(relations=graph._cut(s.relations))  # every level of every search reads the edges
     rows = [(f"sym{a}", i, node) for a, b in _PAIRS for i, node in enumerate(graph.symbol_path(s, f"sym{a}", f"sym{b}")["nodes"], 1)]
     return spark.createDataFrame(rows, "start string, pos long, node string")
 

@@ -130,3 +130,7 @@ def test_search_levels_read_written_edges(spark, monkeypatch):
     monkeypatch.setattr(graph, "bfs", lambda edges, *args, **options: seen.append(plan(edges)) or bfs(edges, *args, **options))
     coverage.change_impact_imports(spark, folder)
     assert seen and "Join" not in seen[0] and "Aggregate" not in seen[0]
+    read = []
+    monkeypatch.setattr(graph, "symbol_path", lambda s, *args: read.append(plan(s.relations)) or {"nodes": ["x"]})
+    coverage.shortest_path(spark, folder)
+    assert len(read) == 3 and len(set(read)) == 1 and "Aggregate" not in read[0]
