@@ -32,6 +32,8 @@ FILES_PER_BUCKET, MOST_BUCKETS = 2_000, 4_096
 FAN = 8
 #: Versions whose layers stay: readers of the one before are left in peace.
 KEEP = 2
+#: Buckets that a task writes side by side as its rows come; a task of more sorts them first, which spills where texts are large.
+OPEN_BUCKETS = 8
 #: Replaced keys that are broadcast to the rows of the layers (some 150 bytes each as a hash table).
 BROADCAST_KEYS = 200_000
 
@@ -143,7 +145,13 @@ def _put(rows: DataFrame, table: str, place: str, buckets: int) -> dict | None:
     seen = Observation()
     row = F.xxhash64(*[F.col(c) for c in rows.columns])
     dealt = rows.withColumn("bucket", _bucket(table, buckets)).repartition(F.col("bucket"))
-    dealt.observe(seen, F.count("*").alias("n"), F.sum(row.cast("decimal(38,0)")).alias("digest")).write.partitionBy("bucket").parquet(place)
+    conf, writers = rows.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
+    before = conf.get(writers)
+    conf.set(writers, OPEN_BUCKETS)
+    try:
+        dealt.observe(seen, F.count("*").alias("n"), F.sum(row.cast("decimal(38,0)")).alias("digest")).write.partitionBy("bucket").parquet(place)
+    finally:
+        conf.set(writers, before)
     if not seen.get["n"]:
         return None
     found = sorted(int(n.split("=")[1]) for n in Files(rows.sparkSession).folders(place) if n.startswith("bucket="))

@@ -134,3 +134,17 @@ def test_search_levels_read_written_edges(spark, monkeypatch):
     monkeypatch.setattr(graph, "symbol_path", lambda s, *args: read.append(plan(s.relations)) or {"nodes": ["x"]})
     coverage.shortest_path(spark, folder)
     assert len(read) == 3 and len(set(read)) == 1 and "Aggregate" not in read[0]
+
+
+def test_buckets_are_written_unsorted(spark, tmp_path):
+    """Rows go to their buckets' files as they come: sorting whole texts by bucket first spills all of them."""
+    from srcgraph.schema import SCHEMAS
+    from srcgraph.sources import store
+
+    rows = spark.createDataFrame([(f"f{i}", "markdown", "h", i, 0.0, ["a"], i) for i in range(100)], SCHEMAS["files"])
+    put = store._put(rows, "files", f"file://{tmp_path}/rows", 4)
+    assert put["n"] == 100 and put["buckets"] == [0, 1, 2, 3] and len(list(tmp_path.glob("rows/bucket=*/*.parquet"))) == 4
+    done = spark._jsparkSession.sharedState().statusStore().executionsList()
+    plans = [done.apply(i).physicalPlanDescription() for i in range(done.size())]
+    plan = next(p for p in reversed(plans) if f"{tmp_path}/rows" in p)
+    assert "Exchange" in plan and "Sort" not in plan
