@@ -536,7 +536,12 @@ def _workspace(spark, d):
                     f.write((b"\0" if doc % 50 == 0 else b"") + text.encode())
             yield frame[["doc_id"]]
 
-    docs.mapInPandas(put, "doc_id long").agg(F.count("*")).collect()
+    rows, before = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set(rows, 1000)  # whole texts
+    try:
+        docs.mapInPandas(put, "doc_id long").agg(F.count("*")).collect()
+    finally:
+        spark.conf.set(rows, before)
     with open(os.path.join(root, ".gitignore"), "w") as f:
         f.write("# generated\nsrc3/\n*7.md\n!src1/en/doc7.md\n")
     return root

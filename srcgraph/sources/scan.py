@@ -19,6 +19,8 @@ from ..functions.text import language
 # Folders that are never scanned, and limits.
 DEFAULT_EXCLUDES = ["node_modules/", ".git/", "dist/", "build/", "out/", "target/", "coverage/", ".cache/", ".tmp/", "temp/", "vendor/"]
 MAX_FILE_SIZE, SNIFF_BYTES = 5 << 20, 8192
+#: Bytes of files after which a task hands on what it has read, so a batch of paths is never held with all its texts.
+READ_BYTES = 4 << 20
 
 
 def compile_rule(line: str) -> tuple[re.Pattern, bool, bool] | None:
@@ -222,24 +224,30 @@ def scan(spark: SparkSession, root: str, patterns: list[str] = (), include: set[
     # Large folders are one task's to list, but their files are dealt to all to be read.
     listed = list_files(spark, root, patterns, include, max_file_size).repartition(F.col("path"))
 
+    def read_part(frame):
+        status, digest, text, sizes = [], [], [], []
+        for path, known, size in zip(frame["path"], frame["status"], frame["size"]):
+            data = None
+            if known == "accepted":
+                try:
+                    with open(os.path.join(root, path), "rb") as f:
+                        data = f.read()
+                except OSError:
+                    known = "error"
+            if data is not None and b"\0" in data[:SNIFF_BYTES]:
+                known, data = "skipped-binary", None
+            status.append(known)
+            digest.append(hashlib.sha256(data).hexdigest() if data is not None else None)
+            text.append(data.decode("utf-8", "replace") if data is not None else None)
+            sizes.append(len(data) if data is not None else size)
+        return pd.DataFrame({"path": frame["path"], "status": status, "hash": digest, "size": sizes, "modifiedAt": frame["modifiedAt"], "text": text})
+
     def read(frames):
         for frame in frames:
-            status, digest, text, sizes = [], [], [], []
-            for path, known, size in zip(frame["path"], frame["status"], frame["size"]):
-                data = None
-                if known == "accepted":
-                    try:
-                        with open(os.path.join(root, path), "rb") as f:
-                            data = f.read()
-                    except OSError:
-                        known = "error"
-                if data is not None and b"\0" in data[:SNIFF_BYTES]:
-                    known, data = "skipped-binary", None
-                status.append(known)
-                digest.append(hashlib.sha256(data).hexdigest() if data is not None else None)
-                text.append(data.decode("utf-8", "replace") if data is not None else None)
-                sizes.append(len(data) if data is not None else size)
-            yield pd.DataFrame({"path": frame["path"], "status": status, "hash": digest, "size": sizes, "modifiedAt": frame["modifiedAt"], "text": text})
+            # By the listed sizes: a part ends where their running sum passes a multiple of READ_BYTES.
+            group = frame["size"].where(frame["status"] == "accepted", 0).cumsum() // READ_BYTES
+            for _, part in frame.groupby(group, sort=False):
+                yield read_part(part)
 
     out = listed.mapInPandas(read, "path string, status string, hash string, size long, modifiedAt double, text string")
     return out.select("path", "status", language(F.col("path")).alias("language"), "hash", "size", "modifiedAt", "text")

@@ -148,3 +148,21 @@ def test_buckets_are_written_unsorted(spark, tmp_path):
     plans = [done.apply(i).physicalPlanDescription() for i in range(done.size())]
     plan = next(p for p in reversed(plans) if f"{tmp_path}/rows" in p)
     assert "Exchange" in plan and "Sort" not in plan
+
+
+def test_scan_hands_on_texts_by_size(spark, tmp_path, monkeypatch):
+    """A batch of paths isn't held with all its texts: what has been read goes on after some megabytes."""
+    import pandas as pd
+
+    from srcgraph.sources import scan
+
+    for i in range(6):
+        (tmp_path / f"f{i}.md").write_text(str(i) * (3 << 20))
+    seen, kind = [], type(spark.range(1))
+    given = kind.mapInPandas
+    monkeypatch.setattr(kind, "mapInPandas", lambda self, f, schema: seen.append(f) or given(self, f, schema))
+    scan.scan(spark, str(tmp_path))
+    frame = pd.DataFrame({"path": [f"f{i}.md" for i in range(6)], "status": "accepted", "size": 3 << 20, "modifiedAt": 0.0})
+    parts = list(seen[-1]([frame]))
+    assert len(parts) > 2 and max(p["size"].sum() for p in parts) <= 2 * scan.READ_BYTES
+    assert [t[0] for p in parts for t in p["text"]] == list("012345") and [p for x in parts for p in x["path"]] == list(frame["path"])
