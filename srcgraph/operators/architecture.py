@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from ..functions.text import basename, dirname, extname, join_path, normalize_path
 from ..schema import Snapshot
+from ..sources.staging import settings
 from .graph import _cut, strongly_connected
 
 # Extensions tried on an import without one, and what a script extension may stand for.
 EXTENSIONS = [".ts", ".tsx", ".mts", ".cts", ".js", ".jsx", ".mjs", ".cjs", ".py", ".go", ".rs", ".java", ".cs", ".kt", ".kts", ".swift", ".rb", ".php", ".vue", ".svelte"]
 SCRIPTS, TYPED = [".js", ".jsx", ".mjs", ".cjs"], [".ts", ".tsx", ".mts", ".cts"]
+# Tasks of the binding read so much, of a table or of a shuffle, however many imports there are.
+TASK_BYTES, TASKS = "16m", 200
 
 
 def strip_json_comments(text: Column) -> Column:
@@ -60,8 +63,8 @@ def _filed(files: DataFrame) -> DataFrame:
         at("plain", path, F.lit(0)), F.when(known, at("bare", stem, place(EXTENSIONS, 0))), F.when(ext.isin(TYPED), at("typed", stem, place(TYPED, 0))),
         F.when(known & stem.endswith("/index"), at("bare", F.substring(stem, F.lit(1), F.length(stem) - len("/index")), place(EXTENSIONS, len(EXTENSIONS)))),
     )
-    # Several rows a file, of longer keys than the files' estimate knows of: they are shuffled, since a broadcast would hold all of them in the driver and every task.
-    return files.select(F.explode(F.array_compact(rows)).alias("f"), path.alias("to")).select("f.*", "to").hint("shuffle_hash")
+    # Several rows a file, of longer keys than the files' estimate knows of: they are merged, since a broadcast would hold all of them in the driver and every task, and a hash table cannot spill.
+    return files.select(F.explode(F.array_compact(rows)).alias("f"), path.alias("to")).select("f.*", "to").hint("merge")
 
 
 def workspace_packages(texts: DataFrame, files: DataFrame) -> DataFrame:
@@ -133,6 +136,12 @@ def bind_imports(s: Snapshot, config: dict | None, packages: DataFrame) -> DataF
     return imports.join(known, ["dir", "target"]).drop("dir")
 
 
+def _dealt(spark) -> dict[str, str]:
+    """Settings under which partitions are many at first and joined up to TASK_BYTES, so a task's memory doesn't grow with the imports."""
+    tasks = max(TASKS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return {"spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(tasks), "spark.sql.adaptive.advisoryPartitionSizeInBytes": TASK_BYTES, "spark.sql.files.maxPartitionBytes": TASK_BYTES}
+
+
 def analyze(s: Snapshot, texts: DataFrame | None = None) -> dict[str, DataFrame]:
     """All parts of the report. texts(path, text) holds the configuration files and manifests.
 
@@ -141,8 +150,9 @@ def analyze(s: Snapshot, texts: DataFrame | None = None) -> dict[str, DataFrame]
     """
     if texts is None:
         texts = s.spark.createDataFrame([], "path string, text string")
-    packages = _cut(workspace_packages(texts, s.files))
-    bound = _cut(bind_imports(s, load_alias_config(texts), packages))
+    with settings(s.spark, _dealt(s.spark)):
+        packages = _cut(workspace_packages(texts, s.files))
+        bound = _cut(bind_imports(s, load_alias_config(texts), packages))
     edges = bound.where("filePath <> to").groupBy(F.col("filePath").alias("from"), "to").agg(F.count("*").alias("imports"), F.array_sort(F.collect_set("line")).alias("lines"))
     external = bound.where("NOT relative AND NOT shaped AND NOT internal AND to IS NULL")
     importers = external.groupBy(F.col("package").alias("name"), "filePath").agg(F.count("*").alias("n"))  # counted by file first: a package's list meets no file twice

@@ -41,7 +41,9 @@ def modules(spark, d) -> Snapshot:
         F.lit(0).alias("startColumn"), F.lit(0).alias("endColumn"), none.alias("parentId"), F.col("k").alias("ord"),
     )
     line = td.read(spark, d, "lineitem").select(*long("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), "l_returnflag", "l_linestatus").distinct()
-    line = line.join(part.withColumnRenamed("k", "l_partkey"), "l_partkey", "left_semi").join(part.withColumnRenamed("k", "l_suppkey"), "l_suppkey", "left_semi")
+    # The estimate of a key's column is far below what its hash table takes in the driver and every task.
+    known = part.hint("broadcast" if part.count() <= graph.BROADCAST_NODES else "merge")
+    line = line.join(known.withColumnRenamed("k", "l_suppkey"), "l_suppkey", "left_semi").join(known.withColumnRenamed("k", "l_partkey"), "l_partkey", "left_semi")
     s, module = F.col("l_suppkey").cast("string"), F.concat(F.lit("pkg"), (F.col("l_suppkey") % 20).cast("string"), F.lit("/src/m"), F.col("l_suppkey").cast("string"))
     kind = F.col("l_linenumber") % 5
     up = F.when(F.col("l_partkey") % 4 == 3, "../../../").otherwise("../../")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -33,6 +34,22 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, wanted: dict[str, str]):
+    """Session settings for the time of a block; what was set before comes back."""
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    try:
+        for key, value in wanted.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
 class Staging:
     """Named Parquet tables below spark.checkpoint.dir; they go when the run ends.
 

@@ -166,3 +166,25 @@ def test_scan_hands_on_texts_by_size(spark, tmp_path, monkeypatch):
     parts = list(seen[-1]([frame]))
     assert len(parts) > 2 and max(p["size"].sum() for p in parts) <= 2 * scan.READ_BYTES
     assert [t[0] for p in parts for t in p["text"]] == list("012345") and [p for x in parts for p in x["path"]] == list(frame["path"])
+
+
+def test_imports_are_bound_without_hash_tables_of_all_files(spark, monkeypatch):
+    """Neither parts' keys nor the names of files are held whole by a task: they are merged, in tasks of a bounded size."""
+    duckdb = pytest.importorskip("duckdb")
+    from srcgraph.operators import architecture, graph
+    from srcgraph.plans import coverage
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no tables")
+    seen, cut, key = [], architecture._cut, "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(key, None)
+    monkeypatch.setattr(graph, "BROADCAST_NODES", 0)
+    monkeypatch.setattr(architecture, "_cut", lambda df: seen.append((spark.conf.get(key), df._jdf.queryExecution().executedPlan().toString())) or cut(df))
+    got = sorted(map(tuple, coverage.unresolved_imports(spark, folder).collect()))
+    assert len(seen) == 2 and all(size == architecture.TASK_BYTES and "ShuffledHashJoin" not in plan for size, plan in seen)
+    assert "SortMergeJoin [l_partkey" in seen[1][1] and "BroadcastHashJoin [l_" not in seen[1][1] and spark.conf.get(key, None) == before
+    con = duckdb.connect()
+    for path in os.listdir(folder):
+        con.sql(f"CREATE VIEW {path[:-8]} AS SELECT * FROM '{folder}/{path}'")
+    assert got == sorted(con.sql(coverage.SQL["unresolved_imports"]).fetchall()) and got
