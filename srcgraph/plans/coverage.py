@@ -530,10 +530,14 @@ def _workspace(spark, d):
     docs = td.read(spark, d, "documents").select("doc_id", td.doc_path().alias("path"), F.coalesce("text", F.lit("")).alias("text"))
 
     def put(frames):
+        made = set()
         for frame in frames:
             for doc, path, text in zip(frame["doc_id"], frame["path"], frame["text"]):
                 at = os.path.join(root, path)
-                os.makedirs(os.path.dirname(at), exist_ok=True)
+                folder = os.path.dirname(at)
+                if folder not in made:
+                    os.makedirs(folder, exist_ok=True)
+                    made.add(folder)
                 with open(at, "wb") as f:
                     f.write((b"\0" if doc % 50 == 0 else b"") + text.encode())
             yield frame[["doc_id"]]

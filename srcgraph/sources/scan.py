@@ -69,14 +69,15 @@ class Layer:
     def ignores(self, path: str, folder: bool) -> bool:
         """A path below an ignored folder is ignored; otherwise the last rule that matches decides."""
         parts = path.split("/")
-        for n in range(1, len(parts) + 1):
-            here, is_folder, hit = "/".join(parts[:n]), n < len(parts) or folder, False
-            for pattern, negated, only in self.rules:
-                if (is_folder or not only) and pattern.match(here):
-                    hit = not negated
-            if hit:
-                return True
-        return False
+        return any(self.hits("/".join(parts[:n]), n < len(parts) or folder) for n in range(1, len(parts) + 1))
+
+    def hits(self, path: str, folder: bool) -> bool:
+        """Whether the rules ignore the path itself, whatever they say of the folders above."""
+        hit = False
+        for pattern, negated, only in self.rules:
+            if (folder or not only) and pattern.match(path):
+                hit = not negated
+        return hit
 
 
 class IgnoreMatcher:
@@ -92,10 +93,11 @@ class IgnoreMatcher:
     def add(self, base: str, rules: str) -> None:
         self.layers.append(self._layer(base, rules.split("\n")))
 
-    def ignores(self, path: str, folder: bool = False) -> bool:
+    def ignores(self, path: str, folder: bool = False, walked: bool = False) -> bool:
+        """A path whose folders have been `walked`, so none of them is ignored, is judged without them."""
         for layer in self.layers:
             below = path if not layer.base else path[len(layer.base) + 1 :] if path.startswith(layer.base + "/") else ""
-            if below and layer.ignores(below, folder):
+            if below and (layer.hits if walked else layer.ignores)(below, folder):
                 return True
         return False
 
@@ -108,13 +110,13 @@ def _rules(root: str, folder: str) -> str:
         return ""
 
 
-def _entries(root: str, folder: str, matcher: IgnoreMatcher):
+def _entries(root: str, folder: str, matcher: IgnoreMatcher, folders_only: bool = False):
     """(path, kind, size, modifiedAt) of a folder's entries in order of names: folder, file or ignored. Links are passed over."""
     for entry in sorted(os.scandir(os.path.join(root, folder)), key=lambda e: e.name):
         path = f"{folder}/{entry.name}" if folder else entry.name
-        if entry.is_symlink():
+        if entry.is_symlink() or folders_only and not entry.is_dir():
             continue
-        if matcher.ignores(path, entry.is_dir()):
+        if matcher.ignores(path, entry.is_dir(), walked=True):
             yield path, "ignored", 0, 0.0
         elif entry.is_dir():
             yield path, "folder", 0, 0.0
@@ -165,6 +167,7 @@ class WorkspaceReader(DataSourceReader):
         include = json.loads(options.get("include", "null"))
         self.include = None if include is None else set(include)
         self.limit = int(options.get("maxfilesize", MAX_FILE_SIZE))
+        self.sniff = options.get("sniff", "true") == "true"
 
     def partitions(self) -> list[FolderPartition]:
         """Folders from the top, level by level, until there are enough to share among the tasks; only these are listed here."""
@@ -173,14 +176,14 @@ class WorkspaceReader(DataSourceReader):
             below = []
             for folder, matcher in level:
                 out.append(FolderPartition(folder, matcher, deep=False))
-                below += [(path, _below(matcher, self.root, path)) for path, kind, _, _ in _entries(self.root, folder, matcher) if kind == "folder"]
+                below += [(path, _below(matcher, self.root, path)) for path, kind, _, _ in _entries(self.root, folder, matcher, folders_only=True) if kind == "folder"]
             level = below
         return out + [FolderPartition(folder, matcher, deep=True) for folder, matcher in level]
 
     def read(self, partition: FolderPartition):
         for path, status, size, modified in _walked(self.root, partition.folder, partition.matcher, self.include, partition.deep):
             if status == "accepted":
-                status = "skipped-large-file" if size > self.limit else self._sniffed(path)
+                status = "skipped-large-file" if size > self.limit else self._sniffed(path) if self.sniff else status
             yield path, status, size, modified
 
     def _sniffed(self, path: str) -> str:
@@ -192,7 +195,7 @@ class WorkspaceReader(DataSourceReader):
 
 
 class Workspace(DataSource):
-    """A workspace folder as a table of its files: `path`, and as JSON `patterns` and `include`; `maxFileSize`; `folders`, how many tasks should share it."""
+    """A workspace folder as a table of its files: `path`, and as JSON `patterns` and `include`; `maxFileSize`; `folders`, how many tasks should share it; `sniff` false leaves files unopened."""
 
     @classmethod
     def name(cls) -> str:
@@ -205,10 +208,10 @@ class Workspace(DataSource):
         return WorkspaceReader(self.options)
 
 
-def list_files(spark: SparkSession, root: str, patterns: list[str] = (), include: set[str] | None = None, max_file_size: int = MAX_FILE_SIZE) -> DataFrame:
-    """(path, status, size, modifiedAt), listed by the tasks, folder by folder. Of a file no more is read than tells whether it is binary."""
+def list_files(spark: SparkSession, root: str, patterns: list[str] = (), include: set[str] | None = None, max_file_size: int = MAX_FILE_SIZE, sniff: bool = True) -> DataFrame:
+    """(path, status, size, modifiedAt), listed by the tasks, folder by folder. Of a file no more is read than tells whether it is binary; without `sniff` nothing is, and binaries count as accepted."""
     spark.dataSource.register(Workspace)
-    reader = spark.read.format("workspace").option("patterns", json.dumps(list(patterns))).option("maxFileSize", max_file_size).option("folders", 2 * spark.sparkContext.defaultParallelism)
+    reader = spark.read.format("workspace").option("patterns", json.dumps(list(patterns))).option("maxFileSize", max_file_size).option("sniff", sniff).option("folders", 2 * spark.sparkContext.defaultParallelism)
     if include is not None:
         reader = reader.option("include", json.dumps(sorted(include)))
     return reader.load(os.path.realpath(root))
@@ -221,8 +224,10 @@ def scan(spark: SparkSession, root: str, patterns: list[str] = (), include: set[
     Hidden files count, which Spark's own file sources pass over.
     """
     root = os.path.realpath(root)
-    # Large folders are one task's to list, but their files are dealt to all to be read.
-    listed = list_files(spark, root, patterns, include, max_file_size).repartition(F.col("path"))
+    # Large folders are one task's to list, but their files are dealt to all to be read: by number, since rows without
+    # their texts are so small that an adaptive plan would put them together for one task.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    listed = list_files(spark, root, patterns, include, max_file_size, sniff=False).repartition(tasks, F.col("path"))
 
     def read_part(frame):
         status, digest, text, sizes = [], [], [], []
@@ -231,11 +236,13 @@ def scan(spark: SparkSession, root: str, patterns: list[str] = (), include: set[
             if known == "accepted":
                 try:
                     with open(os.path.join(root, path), "rb") as f:
-                        data = f.read()
+                        data = f.read(SNIFF_BYTES)
+                        if b"\0" in data:
+                            known, data = "skipped-binary", None
+                        else:
+                            data += f.read()
                 except OSError:
-                    known = "error"
-            if data is not None and b"\0" in data[:SNIFF_BYTES]:
-                known, data = "skipped-binary", None
+                    known, data = "error", None
             status.append(known)
             digest.append(hashlib.sha256(data).hexdigest() if data is not None else None)
             text.append(data.decode("utf-8", "replace") if data is not None else None)

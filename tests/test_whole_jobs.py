@@ -188,3 +188,24 @@ def test_imports_are_bound_without_hash_tables_of_all_files(spark, monkeypatch):
     for path in os.listdir(folder):
         con.sql(f"CREATE VIEW {path[:-8]} AS SELECT * FROM '{folder}/{path}'")
     assert got == sorted(con.sql(coverage.SQL["unresolved_imports"]).fetchall()) and got
+
+
+def test_files_of_a_scan_are_dealt_to_all_tasks(spark, tmp_path, monkeypatch):
+    """Rows of paths are few bytes, but the files behind them are read by as many tasks as there are; the driver judges folders alone."""
+    from pyspark.sql import functions as F
+
+    from srcgraph.sources import scan
+
+    for i in range(200):
+        (tmp_path / f"d{i % 2}").mkdir(exist_ok=True)
+        (tmp_path / f"d{i % 2}/f{i}.md").write_text(f"text {i}")
+    (tmp_path / "d0/late.dat").write_bytes(b"a" * scan.SNIFF_BYTES + b"\0")
+    (tmp_path / "d1/bin.dat").write_bytes(b"a\0b")
+    rows = scan.scan(spark, str(tmp_path)).withColumn("task", F.spark_partition_id()).collect()
+    assert len({r.task for r in rows}) >= spark.sparkContext.defaultParallelism
+    got = {r.path: (r.status, r.size, r.text) for r in rows}
+    assert len(got) == 202 and got["d1/f7.md"] == ("accepted", 6, "text 7") and got["d1/bin.dat"] == ("skipped-binary", 3, None) and got["d0/late.dat"][0] == "accepted"
+    judged, ignores = [], scan.IgnoreMatcher.ignores
+    monkeypatch.setattr(scan.IgnoreMatcher, "ignores", lambda self, path, *args, **options: judged.append(path) or ignores(self, path, *args, **options))
+    scan.WorkspaceReader({"path": str(tmp_path), "folders": "500"}).partitions()
+    assert judged == ["d0", "d1"]
