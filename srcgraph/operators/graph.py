@@ -220,6 +220,8 @@ def graph_cycles(s: Snapshot, limit: int = 20) -> DataFrame:
 
 #: Nodes with more followers are looked up by broadcast, up to so many of them (16 bytes each).
 FOLLOWED, BROADCAST_NODES = 10_000, 200_000
+#: Edges from which on a graph's busiest knot is looked for first, and the part of all nodes seen that a level of that search must add.
+KNOTTED, LEVEL = 10_000, 100
 
 
 def least_reached(edges: DataFrame, rounds: list | None = None) -> DataFrame:
@@ -261,15 +263,54 @@ def _jumped(near: DataFrame, ahead: DataFrame) -> DataFrame:
     return cold.unionByName(near.join(F.broadcast(hot), "least"))
 
 
+def _trimmed(left: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """n edges(a, b) without those from a node that none leads to, or to one that none leaves: these are in no cycle. Again while that halves them. With their number."""
+    while n:
+        before = n
+        left = _cut(left.join(left.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(left.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b"))
+        n = left.count()
+        if 2 * n > before:
+            break
+    return left, n
+
+
+def _sized(df: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(df) if n <= BROADCAST_NODES else df.hint("merge")
+
+
+def _knot(left: DataFrame) -> tuple[DataFrame, int, int]:
+    """(id): nodes that the busiest node of edges(a, b) reaches and is reached by, itself included; their number; that node.
+
+    It is searched from in both directions at once, each node being entered once in each. The search ends when a level adds
+    little, and after as many levels as the number of nodes has bits: all it finds is in one component, which may have more.
+    """
+    way = lambda a, b, ahead: F.struct(F.col(a).alias("node"), F.col(b).alias("next"), F.lit(ahead).alias("ahead"))
+    arcs = _cut(left.select(F.explode(F.array(way("a", "b", True), way("b", "a", False))).alias("e")).select("e.*"))
+    degrees = arcs.groupBy("node").agg(F.least(F.count_if("ahead"), F.count_if(~F.col("ahead"))).alias("n"))
+    nodes, pivot = degrees.agg(F.count("*"), F.max_by("node", F.struct("n", "node"))).first()
+    fresh = seen = left.sparkSession.createDataFrame([(pivot, True), (pivot, False)], "node long, ahead boolean")
+    added = total = 2
+    for _ in range(nodes.bit_length()):
+        met = arcs.join(_sized(fresh, added), ["node", "ahead"]).select(F.col("next").alias("node"), "ahead").distinct()
+        fresh = _cut(met.join(_sized(seen, total), ["node", "ahead"], "left_anti"))
+        added = fresh.count()
+        seen, total = seen.unionByName(fresh), total + added
+        if added * LEVEL < total:
+            break
+    both = _cut(seen.groupBy("node").agg(F.count("*").alias("ways")).where("ways = 2").select(F.col("node").alias("id")))
+    return both, both.count(), pivot
+
+
 def strongly_connected(edges: DataFrame, rounds: list | None = None) -> DataFrame:
     """edges(src, dst) to (node, component) of components of two or more nodes, named after their least node.
 
     Nodes get random numbers. All nodes that reach the same least one are a class, with that one as its pivot; backward,
     within the classes, each node finds the least that reaches it. Nodes that their pivot reaches are its component. What
     is left falls apart by both answers, gets new numbers and goes on, so all classes are divided at once, and the rounds
-    grow with powers of the logarithm of a graph's size, however deep it is.
+    grow with powers of the logarithm of a graph's size, however deep it is. As each round takes all edges, most nodes of a
+    large component are found first, by a search that crosses an edge once in each direction, and made one node.
     """
-    edges = edges.where("src <> dst").select("src", "dst").distinct()
+    edges = _cut(edges.where("src <> dst").select("src", "dst").distinct())
     names = edges.select(F.explode(F.array("src", "dst")).alias("name")).distinct()
     numbered, salt = None, 0
     while numbered is None:  # until no two names have one number
@@ -278,9 +319,16 @@ def strongly_connected(edges: DataFrame, rounds: list | None = None) -> DataFram
     number = lambda c: F.xxhash64(c, F.lit(salt - 1))
     left = _cut(edges.select(number("src").alias("a"), number("dst").alias("b")))
     out, turn = None, 0
-    while not left.isEmpty():
-        # Nodes without an edge in or out are in no cycle.
-        left = _cut(left.join(left.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(left.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b"))
+    left, n = _trimmed(left, left.count())
+    knot = None
+    if n >= KNOTTED:
+        knot, members, pivot = _knot(left)
+        for end in ("a", "b"):
+            inside = knot.select(F.col("id").alias(end), F.lit(pivot).alias("knot"))
+            left = left.join(_sized(inside, members), end, "left").withColumn(end, F.coalesce("knot", end)).drop("knot")
+        left = _cut(left.where("a <> b").distinct())
+        left, n = _trimmed(left, left.count())
+    while n:
         turn += 1
         own = lambda c: F.xxhash64(c, F.lit(turn))  # noqa: B023, E731
         drawn = left.select(own("a").alias("src"), own("b").alias("dst"), "a", "b")
@@ -295,8 +343,14 @@ def strongly_connected(edges: DataFrame, rounds: list | None = None) -> DataFram
         back = lambda end: backward.select(F.col("node").alias(end), F.col("least").alias(f"{end}Back"))  # noqa: B023, E731
         rest = inside.join(back("src"), "src").join(back("dst"), "dst").where("srcBack = dstBack AND srcBack <> srcClass")
         left = _cut(rest.select("a", "b"))
+        left, n = _trimmed(left, left.count())
+    if knot is not None:
+        # The component that the knot's node turned out to be of has all of the knot.
+        own_c = None if out is None else out.where(F.col("id") == pivot).select("c").first()
+        whole = knot.select("id", F.lit(own_c.c if own_c else "knot").alias("c"))
+        out = whole if out is None else out.where(F.col("id") != pivot).unionByName(whole)
     if out is None:
-        return edges.select(F.col("src").alias("node"), F.col("dst").alias("component"))
+        return edges.where("false").select(F.col("src").alias("node"), F.col("dst").alias("component"))
     members = out.join(numbered.withColumnRenamed("node", "id"), "id")
     least = members.groupBy("c").agg(F.min("name").alias("component"), F.count("*").alias("n")).where("n > 1")
     return members.join(least, "c").select(F.col("name").alias("node"), "component")

@@ -72,3 +72,20 @@ def test_least_reached(spark):
                     seen.add(b)
                     todo.append(b)
         assert got[a] == min(seen)
+
+
+def test_a_large_component_is_searched_once(spark, monkeypatch):
+    """Rounds take what a search from the busiest node leaves; the knot it finds joins what else is of its component, however deep."""
+    monkeypatch.setattr(graph, "KNOTTED", 1, raising=False)
+    r = random.Random(5)
+    large = [(f"g{r.randrange(200)}", f"g{r.randrange(200)}") for _ in range(800)] + [(f"i{k}", "g0") for k in range(30)] + [("g1", f"o{k}") for k in range(30)]
+    # A long way out of the large component and back: the search ends before it has seen all of it.
+    deep = [("g2", "w0"), ("w60", "g3")] + [(f"w{k}", f"w{k + 1}") for k in range(60)]
+    small = [("x", "y"), ("y", "x"), ("y", "g4"), ("g5", "z0"), ("z0", "z1"), ("z1", "z2"), ("z2", "z0")]
+    taken, least_reached = [], graph.least_reached
+    monkeypatch.setattr(graph, "least_reached", lambda edges, rounds: taken.append(edges.count()) or least_reached(edges, rounds))
+    monkeypatch.setattr(graph, "BROADCAST_NODES", 60)  # narrow levels are broadcast, wide ones are merged
+    assert found(spark, large + deep + small) == components([e for e in large + deep + small if e[0] != e[1]])
+    assert taken and max(taken) < 200
+    path = [(f"p{k}", f"p{k + 1}") for k in range(3)]
+    assert found(spark, path) == {}
